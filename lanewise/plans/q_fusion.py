@@ -1,0 +1,12 @@
+"""Lane inference: the flagship query and its steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def fusion_lane_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+
+
+QUERIES = {"fusion_lane_inference": (fusion_lane_inference, None)}
