@@ -64,3 +64,71 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
        CAST(length(formatted) AS BIGINT) AS formatted_chars
 FROM a
 """
+
+
+def _quality() -> str:
+    from .quality import RULES, STOP_WORDS
+
+    stop = ", ".join("'" + w + "'" for w in STOP_WORDS)
+    verdict = " OR ".join(f"(n_words >= {least} AND {metric} {op} {value})" for metric, op, value, least in RULES)
+    return rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM w, unnest(generate_series(1, len(w) - 7)) AS u(i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+cover AS (
+  SELECT doc_id, CAST(sum(least(8, coalesce(nxt - i, 8))) AS BIGINT) AS n_repeat_words
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice) GROUP BY doc_id),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+m AS (
+  SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words,
+         len(list_filter(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ({stop}))) AS n_stop,
+         length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters,
+         len(list_filter(l, lambda x: regexp_matches(ltrim(x, ' '), '^[-*•]\s'))) AS n_bullets,
+         len(list_filter(l, lambda x: regexp_matches(rtrim(x, ' '), '(\.\.\.|…)$'))) AS n_ellipses
+  FROM l LEFT JOIN cover ON cover.doc_id = l.doc_id),
+r AS (
+  SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars,
+         CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_ratio,
+         CASE WHEN n_words > 0 THEN n_stop / n_words ELSE 0 END AS stop_ratio,
+         CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio,
+         CASE WHEN n_lines > 0 THEN n_bullets / n_lines ELSE 0 END AS bullet_line_ratio,
+         CASE WHEN n_lines > 0 THEN n_ellipses / n_lines ELSE 0 END AS ellipsis_line_ratio,
+         CASE WHEN word_chars > 0 THEN n_letters / word_chars ELSE 0 END AS alpha_ratio,
+         n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {verdict}) AS kept FROM r
+"""
+
+
+SQL["op4_quality"] = _quality()
+
+SQL["op2_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line
+  FROM documents WHERE text IS NOT NULL),
+t AS (
+  SELECT doc_id, pos, line,
+         list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS k
+  FROM l),
+s AS (
+  SELECT *, len(k) AS n, CAST(ceil((len(k) - 2) / 5.0) AS BIGINT) AS w FROM t
+  WHERE len(k) >= 3 AND len(list_filter(k, lambda x: x <> '<*>')) * 2 >= len(k)),
+leaves AS (
+  SELECT doc_id, pos, 'whole ' || array_to_string(k, ' ') AS leaf FROM s
+  UNION ALL
+  SELECT doc_id, pos, concat_ws(chr(1), n, k[1], k[2], o, CASE WHEN o <> 0 THEN array_to_string(k[3 : w + 2], ' ') ELSE '*' END,
+         CASE WHEN o <> 1 THEN array_to_string(k[w + 3 : 2 * w + 2], ' ') ELSE '*' END, CASE WHEN o <> 2 THEN array_to_string(k[2 * w + 3 : 3 * w + 2], ' ') ELSE '*' END,
+         CASE WHEN o <> 3 THEN array_to_string(k[3 * w + 3 : 4 * w + 2], ' ') ELSE '*' END, CASE WHEN o <> 4 THEN array_to_string(k[4 * w + 3 : 5 * w + 2], ' ') ELSE '*' END) AS leaf
+  FROM s, unnest([0, 1, 2, 3, 4]) AS u(o) WHERE n >= 12),
+f AS (SELECT leaf, min(doc_id) AS low FROM leaves GROUP BY leaf),
+gone AS (SELECT DISTINCT leaves.doc_id, pos FROM leaves JOIN f ON f.leaf = leaves.leaf WHERE leaves.doc_id > f.low),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_dropped,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL), '') AS text
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CASE WHEN d.text IS NULL THEN NULL ELSE kept.text END AS text
+FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
