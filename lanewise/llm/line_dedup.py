@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP
 
 #: Leading tokens of the tree's fixed levels; stretches of the rest, of which one at a time may vary.
 LEADING, PARTS = 2, 5
@@ -21,31 +20,44 @@ LEAST_TOKENS, OPEN_TOKENS = 3, 12
 NO_ID = 2**63 - 1
 
 
-def _leaves(tokens: Column, leading: int, parts: int, open_tokens: int) -> Column:
-    """Hashes of the leaves in which a line stands: the whole template, and one for each open stretch."""
-    n = F.size(tokens)
-    width = F.ceil((n - leading) / F.lit(parts)).cast("int")
-    cut = lambda k: F.xxhash64(F.slice(tokens, F.lit(leading + 1) + width * k, width))
-    hashes = F.array(*[F.when(F.lit(leading) + width * k < n, cut(k)).otherwise(F.lit(0).cast("long")) for k in range(parts)])
-    fixed = F.xxhash64(n, F.slice(tokens, 1, leading))
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` once for ``body``: neither a pushed-down filter nor a merged projection computes it again."""
+    return F.transform(F.array(value), body)[0]
 
-    def open_leaves(h: Column) -> Column:
-        return F.array(*[F.xxhash64(fixed, F.lit(k), *[h[j] for j in range(parts) if j != k]) for k in range(parts)])
 
-    whole = F.array(F.xxhash64(n, F.lit(-1), tokens))
-    return F.when(n >= open_tokens, F.concat(whole, F.transform(F.array(hashes), open_leaves)[0])).otherwise(whole)
+def _tokens(line: Column) -> Column:
+    """Tokens of a line; those with digits are variable fields. Only lines with a digit see the pattern, which starts at token starts."""
+    masked = F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*", "<*>")
+    plain = F.when(line.rlike("[0-9]"), masked).otherwise(line)
+    spaced = F.when(plain.rlike(r"[\x09\x0B-\x0D]"), F.translate(plain, "\t\x0b\x0c\r", "    ")).otherwise(plain)
+    return F.array_remove(F.split(spaced, " ", -1), "")
+
+
+def _leaves(tokens: Column, leading: int, parts: int, least: int, open_tokens: int) -> Column:
+    """Hashes of the leaves in which a line stands: the whole template, and one for each open stretch; none for lines that are too short
+    or of which less than half is constant."""
+
+    def stretches(t: Column) -> Column:
+        n = F.size(t)
+        width = F.ceil((n - leading) / F.lit(parts)).cast("int")
+        cut = lambda k: F.when(F.lit(leading) + width * k < n, F.xxhash64(F.slice(t, F.lit(leading + 1) + width * k, width))).otherwise(F.lit(0).cast("long"))
+        whole = F.xxhash64(n, F.lit(-1), t)
+        fixed = F.xxhash64(n, F.slice(t, 1, leading))
+        several = _let(
+            F.array(fixed, *[cut(k) for k in range(parts)]), lambda h: F.array(whole, *[F.xxhash64(h[0], F.lit(k), *[h[j + 1] for j in range(parts) if j != k]) for k in range(parts)])
+        )
+        solid = (n >= least) & (F.size(F.array_remove(t, "<*>")) * 2 >= n)
+        return F.when(~solid, F.array().cast("array<bigint>")).when(n >= open_tokens, several).otherwise(F.array(whole))
+
+    return _let(tokens, stretches)
 
 
 def line_leaves(docs: DataFrame, leading: int = LEADING, parts: int = PARTS, least: int = LEAST_TOKENS, open_tokens: int = OPEN_TOKENS) -> DataFrame:
     """``id, rid, pos, leaf``: the leaves of every line that has enough tokens. ``rid`` tells rows with one id apart."""
-    masked = lambda line: F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")
-    tokens = lambda line: F.filter(F.split(masked(line), GAP, -1), lambda t: t != "")
     lines = docs.where("text is not null").select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
     )
-    split = lines.select("id", "rid", "pos", tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= least)
-    solid = F.size(F.filter("tokens", lambda t: t != "<*>")) * 2 >= F.size("tokens")  # at least half of a template is constant
-    return split.where(solid).select("id", "rid", "pos", F.explode(_leaves(F.col("tokens"), leading, parts, open_tokens)).alias("leaf"))
+    return lines.select("id", "rid", "pos", F.explode(_leaves(_tokens(F.col("line")), leading, parts, least, open_tokens)).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, **tree) -> DataFrame:
