@@ -82,7 +82,8 @@ def rebuild_ids(sections: DataFrame, used: DataFrame, least_tail: float = 25.0)
         rid, taken = int(pdf.rid.iloc[0]), set(pdf.used.iloc[0] if pdf.used.iloc[0] is not None else ())
         parts = [[float(a), float(b)] for a, b in zip(pdf.start, pdf.stop, strict=True)]
         if len(parts) > 1 and parts[-1][1] - parts[-1][0] < least_tail:
-            parts[-2][1] = parts.pop()[1]
+            tail = parts.pop()
+            parts[-1][1] = tail[1]
         ids, k = [], 0
         for _ in parts:
             while k in taken:

@@ -76,9 +76,28 @@ def unpredicted(panos: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
     return panos.join(done, on, "left_anti")
 
 
-def headerless_csv(spark: SparkSession, path: str, names: list[str], encoding: str = "gb2312") -> DataFrame:
-    """CSV without a header, columns named by position."""
-    return spark.read.csv(path, header=False, encoding=encoding, inferSchema=True).toDF(*names)
+#: Encodings that Spark's CSV reader takes itself.
+NATIVE_ENCODINGS = ("iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8")
+
+
+def headerless_csv(spark: SparkSession, path: str, names: list[str], encoding: str = "gb2312", types: list[str] | None = None) -> DataFrame:
+    """CSV without a header, columns named by position; strings unless ``types`` says otherwise.
+
+    Encodings that Spark does not know are decoded file by file in Arrow batches, then parsed by Spark.
+    """
+    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, types or ["string"] * len(names), strict=True))
+    if encoding.lower() in NATIVE_ENCODINGS:
+        return spark.read.csv(path, header=False, encoding=encoding, schema=schema)
+
+    def lines(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(content.as_py().decode(encoding).splitlines(), pa.string())], names=["line"])
+
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "line string")
+    return raw.where("line <> ''").select(F.from_csv("line", schema).alias("r")).select("r.*")
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

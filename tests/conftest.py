@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from lanewise.session import build_session
 
-    session = build_session("local[4]", {"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    session = build_session("local[2]", {"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     yield session
     session.stop()
 
