@@ -32,7 +32,7 @@ def unescape(text: Column, table=ESCAPES) -> Column:
     return text
 
 
-def chosen_paths(messages: DataFrame, max_levels: int = 40) -> DataFrame:
+def chosen_paths(messages: DataFrame) -> DataFrame:
     """``conv_id, node, depth`` of every message on the best root-to-leaf path of its conversation.
 
     ``messages``: ``conv_id, node, parent, score``; a conversation's nodes are distinct, a root's parent is null, an
@@ -42,27 +42,30 @@ def chosen_paths(messages: DataFrame, max_levels: int = 40) -> DataFrame:
     nodes = messages.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
     linked = nodes.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("n")), "left")
-    # up: the ancestor `hop` = 2 ** level steps above, null beyond the root; seen: messages and score from here up to it, without it
-    jump = cut_lineage(linked.select("conv_id", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("seen"), "score"))
-    levels = [jump.select("conv_id", "node", "up")]
-    for _ in range(max_levels):
-        if not jump.where("up is not null").limit(1).count():
+    # up: the ancestor 2 ** level steps above, null beyond the root; seen, score: of the messages from here up to it, without it
+    first = cut_lineage(linked.select("conv_id", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("seen"), "score"))
+    depth, active = first.where("up is null"), first.where("up is not null")
+    levels = [active.select("conv_id", "node", "up")]
+    for _ in range(first.count().bit_length() + 1):  # more levels than that are a cycle, which never ends and is left out
+        if active.isEmpty():
             break
-        above = jump.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("seen").alias("seen2"), F.col("score").alias("score2"))
+        # only messages that have not met their root take part; their ancestors may have
+        above = depth.unionByName(active).select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("seen").alias("seen2"), F.col("score").alias("score2"))
         jump = cut_lineage(
-            jump.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left").select(
-                "conv_id", "node", F.col("up2").alias("up"), (F.col("seen") + F.coalesce("seen2", F.lit(0))).alias("seen"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")
+            active.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n"))).select(
+                "conv_id", "node", F.col("up2").alias("up"), (F.col("seen") + F.col("seen2")).alias("seen"), (F.col("score") + F.col("score2")).alias("score")
             )
         )
-        levels.append(jump.select("conv_id", "node", "up"))
-    depth = jump.where("up is null").select("conv_id", "node", "seen", "score")  # a cycle never ends and is left out
+        depth, active = depth.unionByName(jump.where("up is null")), jump.where("up is not null")
+        levels.append(active.select("conv_id", "node", "up"))
+    depth = depth.select("conv_id", "node", "seen", "score")
     parents = linked.where("n is not null").select(F.col("conv_id").alias("c"), F.col("n").alias("p")).distinct()
     leaves = depth.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("p")), "left_anti")
     rank = F.struct((-F.col("score") / F.col("seen")).alias("s"), (-F.col("seen")).alias("d"), F.col("node").alias("n"))
     best = leaves.groupBy("conv_id").agg(F.min(rank).alias("r")).select("conv_id", F.col("r.n").alias("node"))
     path = cut_lineage(best)
     for level in reversed(levels[:-1]):  # every message of the path so far also names the one 2 ** level above
-        hop = level.where("up is not null").select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up")
+        hop = level.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up")
         more = path.join(hop, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))).select("conv_id", F.col("up").alias("node"))
         path = cut_lineage(path.unionByName(more))
     steps = depth.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("seen").alias("depth"))
