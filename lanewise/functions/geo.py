@@ -218,3 +218,22 @@ def in_ring(x, y, ring: Column) -> Column:
 def planar_or_haversine(x1, y1, x2, y2, lon1, lat1, lon2, lat2) -> Column:
     """Planar distance where projected coordinates exist, else great-circle metres."""
     return F.coalesce(F.hypot(_c(x1) - _c(x2), _c(y1) - _c(y2)), haversine(lon1, lat1, lon2, lat2))
+
+
+def banded_polynomial(x, y, bands: list[tuple[float, list[float]]]) -> Column:
+    """A provider's Mercator conversion: the first band whose lower bound |y| reaches gives ten coefficients.
+
+    x' = sign(x) (c0 + c1 |x|); y' = sign(y) (c2 + c3 t + ... + c8 t^6) with t = |y| / c9. The coefficient tables are the provider's and are not part of this
+    package: pass them, highest band first.
+    """
+    x, y = _c(x), _c(y)
+
+    def apply(c: list[float]) -> Column:
+        t = F.abs(y) / c[9]
+        powers = sum((c[2 + k] * F.pow(t, k) for k in range(1, 7)), F.lit(c[2]))
+        return F.struct((F.signum(x) * (c[0] + c[1] * F.abs(x))).alias("x"), (F.signum(y) * powers).alias("y"))
+
+    out = None
+    for low, c in bands:
+        out = F.when(F.abs(y) >= low, apply(c)) if out is None else out.when(F.abs(y) >= low, apply(c))
+    return out

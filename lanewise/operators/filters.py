@@ -123,3 +123,29 @@ def dense_ids(df: DataFrame, where: Column, order: list, name: str) -> DataFrame
     counts = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     starts = counts.withColumn("__s", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).select("__p", "__s")
     return placed.join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + F.col("__k")).drop("__p", "__k", "__s")
+
+
+def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 1) -> DataFrame:
+    """``n`` rows, the smallest by a seeded hash of their keys: the same on every run, however the table is partitioned."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+
+
+def split_fraction(df: DataFrame, keys: list[str], fraction: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """About ``fraction`` of the rows by a seeded hash of their keys, and the others."""
+    drawn = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) < fraction * 1_000_000
+    return df.where(drawn), df.where(~drawn)
+
+
+def bernoulli(df: DataFrame, keys: list[str], wanted: int, size: int, seed: int = 42) -> DataFrame:
+    """Every row with probability wanted / size."""
+    return split_fraction(df, keys, min(1.0, wanted / max(size, 1)), seed)[0]
+
+
+def draw_test_set(edges: DataFrame, per_city: int, levels: int = 5, seed: int = 1) -> DataFrame:
+    """Edges for a labelled test set: classified, minor roads left out, links flagged, ``per_city`` drawn by hash in every city.
+
+    ``edges (city, eid, road_type)``.
+    """
+    typed = edges.withColumn("level", road_level(F.col("road_type"))).withColumn("is_link", F.contains("road_type", F.lit("link"))).where(F.col("level") < levels + 1)
+    w = Window.partitionBy("city").orderBy(F.xxhash64(F.lit(seed), "eid"), "eid")
+    return typed.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= per_city).drop("__rn")

@@ -235,3 +235,56 @@ def repair_directions(edges: DataFrame, key: str, rounds: int = 4) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema.fields) + ", flipped boolean"
     return edges.groupBy(key).applyInPandas(run, schema)
+
+
+def main_roads(edges: DataFrame, key: str, least: float = 50.0) -> DataFrame:
+    """Main roads and links of every road: ``key, src, dst, is_main, path``.
+
+    From the origins (no way in, some way out) the longest walk is taken, its edges are removed, and so on while walks are longer than ``least``; what
+    remains are links. ``edges (key, src, dst, length)``.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = {(r.src, r.dst): float(r.length) for r in pdf.sort_values(["src", "dst"]).itertuples()}
+        main: dict = {}
+        rounds = 0
+        while left:
+            ends = {d for _, d in left}
+            origins = sorted({s for s, _ in left} - ends) or [min(s for s, _ in left)]
+            out_of: dict = {}
+            for (s, d), w in left.items():
+                out_of.setdefault(s, []).append((d, w))
+            best: tuple = (0.0, [])
+            for o in origins:
+                stack = [(o, 0.0, [o])]
+                far: dict = {}
+                while stack:
+                    n, cost, path = stack.pop()
+                    if cost < far.get(n, -1.0):
+                        continue
+                    far[n] = cost
+                    if cost > best[0]:
+                        best = (cost, path)
+                    stack += [(d, cost + w, [*path, d]) for d, w in out_of.get(n, ()) if d not in path and cost + w > far.get(d, -1.0)]
+            if best[0] <= least:
+                break
+            for pair in zip(best[1], best[1][1:], strict=False):
+                main[pair] = rounds
+                del left[pair]
+            rounds += 1
+        rows = [(pdf[key].iloc[0], s, d, True, k) for (s, d), k in main.items()] + [(pdf[key].iloc[0], s, d, False, None) for s, d in left]
+        return pd.DataFrame(rows, columns=[key, "src", "dst", "is_main", "path"]).astype({"path": "Int32"})
+
+    kind, node = edges.schema[key].dataType.simpleString(), edges.schema["src"].dataType.simpleString()
+    return edges.select(key, "src", "dst", "length").groupBy(key).applyInPandas(run, f"{key} {kind}, src {node}, dst {node}, is_main boolean, path int")
+
+
+def chain_edges(edges: DataFrame) -> DataFrame:
+    """Edges of a named road in ordered groups: ``eid, grp, place``; an edge follows another if it alone starts where that one alone ends.
+
+    ``edges (eid, s, e)``.
+    """
+    only_in = edges.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("eid").alias("link")).where("n = 1").select(F.col("e").alias("node"), "link")
+    only_out = edges.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("eid").alias("next")).where("n = 1").select(F.col("s").alias("node"), "next")
+    steps = only_in.join(only_out, "node").where("link <> next").select("link", "next")
+    return chain_heads(edges.select(F.col("eid").alias("link")), steps).select(F.col("link").alias("eid"), F.col("head").alias("grp"), "place")

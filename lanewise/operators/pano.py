@@ -173,3 +173,23 @@ def predictions_along(way: DataFrame, panos: DataFrame, memo: DataFrame, every:
     n = F.count(F.lit(1)).over(Window.partitionBy("rid"))
     thinned = panos.withColumn("__n", n).where((F.col("__n") <= every) | (F.col("ord") % every == 1)).drop("__n")
     return roads.join(thinned, "rid").join(memo, ["pid", "dir"]).select("road_seq", "rid", "pid", "ord", "dir", "lane_num")
+
+
+def look_up(wanted: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of the wanted panos from the landed table, and those still to be fetched: ``wanted (PID)``."""
+    return wanted.select("PID").distinct().join(stored, F.col("PID") == F.col("ID")).drop("PID"), wanted.select("PID").distinct().join(stored.select(F.col("ID").alias("PID")), "PID", "left_anti")
+
+
+def key_panos(nodes: DataFrame) -> DataFrame:
+    """First and last pano of every record's current road: the panos a crawl goes on with."""
+    p = by_order(current_road(F.col("Roads"))["Panos"])
+    return nodes.select(F.explode(F.array_distinct(F.array(F.get(p, F.lit(0))["PID"], F.element_at(p, -1)["PID"]))).alias("PID")).where("PID is not null").distinct()
+
+
+def trajectory_overlap(pids: DataFrame, first: str, second: str) -> DataFrame:
+    """Panos and edges that two trajectories share: ``eid, shared, only_first, only_second``.
+
+    ``pids (eid, root, pid)``.
+    """
+    side = pids.where(F.col("root").isin(first, second)).groupBy("eid", "pid").agg(F.max((F.col("root") == first).cast("int")).alias("a"), F.max((F.col("root") == second).cast("int")).alias("b"))
+    return side.groupBy("eid").agg(F.sum(F.col("a") * F.col("b")).alias("shared"), F.sum(F.col("a") * (1 - F.col("b"))).alias("only_first"), F.sum(F.col("b") * (1 - F.col("a"))).alias("only_second"))

@@ -1 +1 @@
-"""Road-lane analytics on PySpark."""
+"""Micro-batch sinks for new observations."""

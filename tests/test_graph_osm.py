@@ -283,3 +283,56 @@ def test_table_maintenance(spark):
     assert rows(relational.upsert(stored, new, ["id"])) == [(1, "a"), (2, "B"), (3, "c")]
     assert rows(relational.insert_absent(stored, new, ["id"])) == [(1, "a"), (2, "b"), (3, "c")]
     assert rows(relational.delete(stored, new, ["id"])) == [(1, "a")]
+
+
+def test_road_filter_and_samples(spark):
+    m = 1 / 110000
+    edges = spark.createDataFrame([(1, "A", "primary", [(0.0, 0.0), (90 * m, 0.0)]), (2, "B", "primary", [(0.0, 500 * m), (90 * m, 500 * m)])], "eid long, name string, road_type string, coords array<struct<x:double,y:double>>")
+    roads = spark.createDataFrame([("r", [(0.0, 20 * m), (9 * m, 20 * m)]), ("s", [(0.0, 530 * m), (9 * m, 530 * m)])], "rid string, line array<struct<x:double,y:double>>")
+    kept, near = spatial.filter_roads(edges, roads, name="A", road_type="secondary")
+    assert [r.eid for r in kept.collect()] == [1] and [r.rid for r in near.collect()] == ["r"]
+    ids = spark.range(1000)
+    assert filters.sample_rows(ids, ["id"], 7).collect() == filters.sample_rows(ids.repartition(5), ["id"], 7).collect()
+    a, b = filters.split_fraction(ids, ["id"], 0.05)
+    assert 20 < a.count() < 90 and a.count() + b.count() == 1000 and filters.bernoulli(ids, ["id"], 1000, 1000).count() == 1000
+    cities = ids.selectExpr("id % 2 city", "id eid", "case when id % 3 = 0 then 'primary_link' else 'service' end road_type")
+    drawn = filters.draw_test_set(cities, 5)
+    assert drawn.count() == 10 and drawn.where("not is_link").count() == 0
+
+
+def test_main_roads_and_chains(spark):
+    edges = spark.createDataFrame([("k", 1, 2, 40.0), ("k", 2, 3, 40.0), ("k", 2, 9, 10.0), ("k", 5, 6, 60.0)], "k string, src long, dst long, length double")
+    got = {(r.src, r.dst): (r.is_main, r.path) for r in graph.main_roads(edges, "k").collect()}
+    assert got == {(1, 2): (True, 0), (2, 3): (True, 0), (5, 6): (True, 1), (2, 9): (False, None)}
+    chained = graph.chain_edges(spark.createDataFrame([(10, 1, 2), (11, 2, 3), (12, 3, 4), (13, 3, 5)], "eid long, s long, e long"))
+    assert {tuple(r) for r in chained.collect()} == {(10, 10, 0), (11, 10, 1), (12, 12, 0), (13, 13, 0)}
+
+
+def test_lookups_and_overlap(spark):
+    stored = spark.createDataFrame([("a", 1)], "ID string, X long")
+    have, lack = pano.look_up(spark.createDataFrame([("a",), ("b",), ("b",)], "PID string"), stored)
+    assert [r.ID for r in have.collect()] == ["a"] and [r.PID for r in lack.collect()] == ["b"]
+    pids = spark.createDataFrame([(1, "t", 7), (1, "u", 7), (1, "t", 8), (2, "u", 9)], "eid long, root string, pid long")
+    assert {tuple(r) for r in pano.trajectory_overlap(pids, "t", "u").collect()} == {(1, 1, 1, 0), (2, 0, 0, 1)}
+
+
+def test_parts_are_cut_at_the_region(spark):
+    p = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((-2, 1), (1, 1), (2, 1), (5, 4))])
+    got = spark.range(1).select(osm.cut_at_box(p, (0.0, 0.0, 4.0, 4.0)).alias("p")).first().p
+    assert [(q.x, q.y) for q in got] == [(0.0, 1.0), (1.0, 1.0), (2.0, 1.0), (4.0, 3.0)]
+
+
+def test_banded_polynomial(spark):
+    from lanewise.functions import geo
+
+    bands = [(10.0, [1.0, 2.0, 0.0, 3.0, 0, 0, 0, 0, 0, 10.0]), (0.0, [0.0, 1.0, 0.0, 1.0, 0, 0, 0, 0, 0, 1.0])]
+    got = spark.range(1).select(geo.banded_polynomial(F.lit(-5.0), F.lit(20.0), bands).alias("a"), geo.banded_polynomial(F.lit(5.0), F.lit(-2.0), bands).alias("b")).first()
+    assert (got.a.x, got.a.y, got.b.x, got.b.y) == (-11.0, 6.0, 5.0, -2.0)
+
+
+def test_backup(spark):
+    spark.createDataFrame([(1,)], "id long").write.mode("overwrite").saveAsTable("roads_t")
+    sinks.backup(spark, "roads_t")
+    assert spark.table("back_roads_t").count() == 1
+    spark.sql("drop table roads_t")
+    spark.sql("drop table back_roads_t")
