@@ -20,9 +20,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder all executors share and continue from the copy.
 
     The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests,
-    a temporary folder takes its place.
+    a temporary folder takes its place. Shuffle files of lineages cut before are let go first: Spark removes them when the
+    driver collects garbage, which a small driver heap may put off for long.
     """
     spark = df.sparkSession
+    spark.sparkContext._jvm.System.gc()
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lanewise-checkpoint-"))
     return df.checkpoint()

@@ -3,10 +3,10 @@
 1. Every text becomes a set of hashed word n-grams in one global order, the hash's. Equal sets share a digest and are one node from here on.
 2. Filter: all but ``slack(n)`` of a set's n-grams lie in a partner's set. So of the first ``slack + need`` at least ``need`` do, and
    then they stand among the partner's first ones. Sets whose first n-grams are hardly shared by other sets drop out.
-3. Rounds over the rest, each: sets that share an n-gram drawn for this round (a minimum under a
-   round-specific hash) meet in bounded blocks and are joined by trie; linked sets take one label. Then a set stays only while enough of its
-   n-grams are shared with sets of other labels.
-4. What stays is joined exactly: by every n-gram of its prefix in order of frequency, in pairs of bounded blocks.
+3. Rounds over the rest: sets that share an n-gram drawn for the round (a minimum under a round-specific hash) meet in bounded blocks and
+   are joined by trie. Linked sets take one label; then a set stays only if enough of its n-grams are shared with sets of other labels.
+4. What stays is joined exactly: sets that share an n-gram of their prefixes, in order of frequency, are of one family, and a family is joined by
+   trie, in pairs of bounded blocks if it is large.
 
 Groups are split into blocks, and of the pairs found only a spanning forest leaves a block, so that a group of copies costs rows in proportion
 to its size.
@@ -15,9 +15,9 @@ to its size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ from .common import components, cut_lineage
 BLOCK = 512
 #: Nodes up to this number are broadcast (24 bytes each) when their texts are read again; beyond it they are joined.
 BROADCAST_NODES = 1_000_000
-ROUNDS = 3
+ROUNDS = 2
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: Fixed odd multipliers.
@@ -183,85 +183,88 @@ def _sets(docs: DataFrame, width: int, percent: int, share: int, what: str) -> D
 
 
 def _shared_enough(sets: DataFrame, percent: int, share: int) -> DataFrame:
-    """Nodes of which at least ``need`` of the first ``slack + need`` n-grams occur in other nodes. A necessary condition for a link."""
+    """Nodes of which at least ``need`` of the first ``slack + need`` n-grams occur in other texts. A necessary condition for a link."""
     n = F.col("n")
     loose = n - F.floor((n * percent + 99) / 100)
     enough = F.least(F.floor(loose * share / 100) + 4, n - loose)
     posts = sets.where("node is not null").select("node", "n", F.posexplode("grams").alias("pos", "gram"))
-    common = posts.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("gram")
+    # counting rows, not sets, lets copies of one set pass; they are one node later
+    common = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
     tested = posts.where(F.col("pos") < loose + enough).select("node", "gram", enough.cast("int").alias("enough"))
     hits = tested.join(common, "gram").groupBy("node", "gram").agg(F.max("enough").alias("enough"))  # copies of a set count once
     return hits.groupBy("node").agg(F.count(F.lit(1)).alias("hits"), F.max("enough").alias("enough")).where("hits >= enough").select("node")
 
 
+def _gather(post: np.ndarray, start: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The posting lists of some n-grams, one after another."""
+    at, n = start[grams], start[grams + 1] - start[grams]
+    ends = np.cumsum(n)
+    return post[np.repeat(at - ends + n, n) + np.arange(ends[-1])] if len(ends) and ends[-1] else post[:0]
+
+
 def trie_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i of left, j of right) with Jaccard of at least ``percent`` %; right None: i < j of left.
 
-    The n-grams of the left sets, most frequent first, form a trie; its paths are walked depth first. Overlaps with all right sets are kept per level, so
-    that sets that share a path share its partial overlaps. A subtree is left when no right set can still reach its bound:
-    overlap so far plus what remains of the shorter set.
+    The n-grams of the left sets, most frequent first, form a trie; its paths are walked depth first. Overlaps with all right sets are kept at every
+    branching, so that sets that share a path share its partial overlaps. A subtree is left when no right set can still reach its bound:
+    overlap so far plus what remains of the path.
     """
     own = right is None
     others = left if own else right
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not left or not others:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none
+    lens = np.array([len(s) for s in others])
     known, inverse = np.unique(np.concatenate(others), return_inverse=True)
-    who = np.repeat(np.arange(len(others)), [len(s) for s in others])
-    order = np.argsort(inverse, kind="stable")
-    post, start = who[order], np.searchsorted(inverse[order], np.arange(len(known) + 1))
-    freq = np.diff(start)
-    sizes = np.array([len(s) for s in others])
-    paths, lost = [], []
-    for s in left:  # n-grams that no right set has only cost length
-        at = np.searchsorted(known, s)
-        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == s)]
-        paths.append(at[np.lexsort((at, -freq[at]))])
-        lost.append(len(s) - len(at))
-    walk = sorted(range(len(left)), key=lambda k: (-freq[paths[k]]).tolist() and list(zip((-freq[paths[k]]).tolist(), paths[k].tolist(), strict=True)))
+    count = np.bincount(inverse, minlength=len(known))
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(known))
+    place = rank[inverse]
+    order = np.argsort(place, kind="stable")
+    post, start = np.repeat(np.arange(len(others)), lens)[order], np.searchsorted(place[order], np.arange(len(known) + 1))
+    if own:
+        paths = np.split(place, np.cumsum(lens)[:-1])
+    else:
+        flat = np.concatenate(left)
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        mine = np.where(known[at] == flat, rank[at], -1)
+        paths = [p[p >= 0] for p in np.split(mine, np.cumsum([len(s) for s in left])[:-1])]
+    paths = [np.sort(p) for p in paths]
+    walk = sorted(range(len(left)), key=lambda k: paths[k].astype(">u4").tobytes())
+
+    def shared(a: np.ndarray, b: np.ndarray) -> int:
+        m = min(len(a), len(b))
+        differ = a[:m] != b[:m]
+        return int(differ.argmax()) if differ.any() else m
+
+    ahead = [shared(paths[a], paths[b]) for a, b in zip(walk, walk[1:], strict=False)] + [0]
     out_i, out_j = [], []
-    stack: list[tuple[int, np.ndarray]] = [(0, np.zeros(len(others), np.int64))]  # depth, overlaps
-    below: np.ndarray | None = None
+    stack: list[tuple[int, np.ndarray]] = [(0, np.zeros(len(others), np.int64))]
     for k, i in enumerate(walk):
         path, n = paths[i], len(left[i])
-        if k:  # back to the branching node
-            before = paths[walk[k - 1]]
-            m = min(len(before), len(path))
-            differ = np.flatnonzero(before[:m] != path[:m])
-            branch = int(differ[0]) if len(differ) else m
-            while stack[-1][0] > branch:
-                stack.pop()
-        least = -(-percent * (n + sizes) // (100 + percent))  # overlap that the pair needs
-        fits = (np.minimum(n, sizes) * 100 >= percent * np.maximum(n, sizes)) & (least > 0)
+        while k and stack[-1][0] > ahead[k - 1]:  # back to the branching
+            stack.pop()
+        least = -(-percent * (n + lens) // (100 + percent))  # overlap that a pair needs
+        fits = (np.minimum(n, lens) * 100 >= percent * np.maximum(n, lens)) & (least > 0)
         if own:
             fits[i] = False
-        # where the next set leaves this path: its overlaps are kept for it
-        ahead = 0
-        if k + 1 < len(walk):
-            after = paths[walk[k + 1]]
-            m = min(len(after), len(path))
-            differ = np.flatnonzero(after[:m] != path[:m])
-            ahead = int(differ[0]) if len(differ) else m
         depth, overlap = stack[-1]
-        stops = sorted({x for x in (ahead, *range(64, len(path), 64), len(path)) if x > depth} | {len(path)})
+        stops = sorted({x for x in (ahead[k], depth + (len(path) - depth) // 4, depth + (len(path) - depth) // 2) if x > depth} | {len(path)})
         for stop in stops:
             if stop > depth:
-                grams = path[depth:stop]
-                hit = np.concatenate([post[start[g] : start[g + 1]] for g in grams])
-                overlap = overlap + np.bincount(hit, minlength=len(others))
+                overlap = overlap + np.bincount(_gather(post, start, path[depth:stop]), minlength=len(others))
                 depth = stop
-                if stop == ahead:
+                if stop == ahead[k]:
                     stack.append((depth, overlap))
-            if stop >= ahead and not (fits & (overlap + len(path) - depth >= least)).any():  # nothing below can reach its bound
+            if stop >= ahead[k] and not (fits & (overlap + len(path) - depth >= least)).any():  # nothing below reaches its bound
                 break
         else:
-            found = np.flatnonzero(fits & (overlap * 100 >= percent * (n + sizes - overlap)))
+            found = np.flatnonzero(fits & (overlap * 100 >= percent * (n + lens - overlap)))
             if own:
                 found = found[found > i]
-            out_i.append(np.full(len(found), i))
-            out_j.append(found)
-    if not out_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_i).astype(np.int64), np.concatenate(out_j).astype(np.int64)
+            out_i.append(np.full(len(found), i, np.int64))
+            out_j.append(found.astype(np.int64))
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else none
 
 
 def forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -285,57 +288,62 @@ def forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _block_links(percent: int):
     """Links within a block (side 0 only) or between two (sides 0 and 1): a spanning forest of them."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["side", "node"])
-        if pdf["label"].nunique() < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        left = [np.asarray(g, np.int64) for g in a.grams]
-        if len(b):
-            i, j = trie_pairs(left, [np.asarray(g, np.int64) for g in b.grams], percent)
-            nodes, j = np.concatenate([a.node.to_numpy(), b.node.to_numpy()]), j + len(a)
-        else:
-            i, j = trie_pairs(left, None, percent)
-            nodes = a.node.to_numpy()
-        kept = forest(len(nodes), zip(i.tolist(), j.tolist(), strict=True))
-        return pd.DataFrame({"a": [int(nodes[x]) for x, _ in kept], "b": [int(nodes[y]) for _, y in kept]}, dtype="int64")
+    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, sides, labels = (table.column(c).to_numpy() for c in ("node", "side", "label"))
+        if len(nodes) < 2 or (labels == labels[0]).all():
+            return empty
+        lists = table.column("grams").combine_chunks()
+        flat, cut = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().cumsum()
+        sets = np.split(flat, cut[:-1])
+        a, b = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+        i, j = trie_pairs([sets[k] for k in a], [sets[k] for k in b] if len(b) else None, percent)
+        i, j = a[i], (b if len(b) else a)[j]
+        differ = labels[i] != labels[j]
+        kept = forest(len(nodes), zip(i[differ].tolist(), j[differ].tolist(), strict=True))
+        return pa.table({"a": pa.array([int(nodes[x]) for x, _ in kept], pa.int64()), "b": pa.array([int(nodes[y]) for _, y in kept], pa.int64())})
 
     return run
 
 
 def _round_links(sets: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Links between sets that share the round's minimum n-gram; a large group is cut into blocks by size order."""
-    drawn = F.array_min(F.transform("grams", lambda g: F.struct(F.xxhash64(g, F.lit(seed)).alias("h"), g.alias("g"))))["h"]
-    keyed = sets.select("node", "label", "grams", drawn.alias("key"))
-    # blocks: by a hash of the node, as many as the group's size asks for
+    """Links between sets that share the round's minimum n-gram; a large group is cut into blocks by a hash."""
+    drawn = F.array_min(F.transform("grams", lambda g: F.xxhash64(g, F.lit(seed))))
+    keyed = sets.select("node", drawn.alias("key"), "grams")
     size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    dealt = keyed.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), blocks).cast("int"))
-    run = _block_links(percent)
-    return dealt.select("key", "block", "node", "label", "grams", F.lit(0).alias("side")).groupBy("key", "block").applyInPandas(run, "a long, b long")
+    block = F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("size") / BLOCK)).cast("int")
+    dealt = keyed.join(size, "key").select("key", block.alias("block"), "node", F.col("node").alias("label"), "grams", F.lit(0).alias("side"))
+    return dealt.groupBy("key", "block").applyInArrow(_block_links(percent), "a long, b long")
 
 
 def _unsettled(sets: DataFrame, percent: int) -> DataFrame:
     """Sets of which enough n-grams occur under another label too: only they can have a link that joins two labels."""
-    posts = sets.select("node", "label", "n", F.explode("grams").alias("gram"))
+    posts = sets.select("node", "label", F.explode("grams").alias("gram"))
     mixed = posts.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gram")
-    hits = posts.join(mixed, "gram").groupBy("node").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n"))
-    return sets.join(hits.where(F.col("hits") * 100 >= F.col("n") * percent).select("node"), "node", "left_semi")
+    hits = posts.select("node", "gram").join(mixed, "gram").groupBy("node").agg(F.count(F.lit(1)).alias("hits"))
+    return sets.join(hits, "node").where(F.col("hits") * 100 >= F.col("n") * percent).drop("hits")
 
 
 def _last_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Every link between the labels of ``sets``: prefixes in order of frequency, groups in pairs of blocks."""
+    """Every link that joins two labels of ``sets``.
+
+    Two linked sets share one of the first ``slack + 1`` n-grams in order of frequency. Sets that share one go to one family. A family of more than a block
+    is dealt out to pairs of its blocks.
+    """
     posts = sets.select("node", "label", "n", F.explode("grams").alias("gram"))
     freq = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), (F.min("label") != F.max("label")).alias("mixed"))
     ranked = posts.join(freq, "gram").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "gram")))
-    prefix = ranked.where((F.col("rank") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1) & F.col("mixed")).select("node", "gram", "df")
-    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
-    dealt = prefix.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    full = pairs.join(sets.select("node", "label", "grams"), "node")
-    run = _block_links(percent)
-    return full.select("gram", "i", "j", "node", "label", "grams", "side").groupBy("gram", "i", "j").applyInPandas(run, "a long, b long")
+    prefix = ranked.where((F.col("rank") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1) & F.col("mixed"))
+    ties = prefix.groupBy("gram").agg(F.min("node").alias("hub"))
+    edges = cut_lineage(prefix.select("node", "gram").join(ties, "gram").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    touched = edges.where("a <> b")
+    family = components(touched.select(F.col("a").alias("node")).unionByName(touched.select(F.col("b").alias("node"))).distinct(), touched).withColumnRenamed("label", "family")
+    blocks = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = sets.select("node", "label", "grams").join(family, "node").join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = pairs.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "grams", (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return placed.groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
 
 
 def join_nodes(docs: DataFrame, width: int = 3, percent: int = 90, share: int = 100, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -350,14 +358,10 @@ def join_nodes(docs: DataFrame, width: int = 3, percent: int = 90, share: int =
         kept = F.broadcast(kept)
     sets = again.join(kept, "node", "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.any_value("grams").alias("grams"))
     sets = cut_lineage(sets)
-    labelled = sets.withColumn("label", F.col("node"))
-    links = None
-    for seed in range(rounds):
-        found = cut_lineage(_round_links(labelled, seed, percent))
-        links = found if links is None else links.unionByName(found)
-        labels = components(sets.select("node"), links)
-        labelled = cut_lineage(_unsettled(sets.join(labels, "node"), percent))
-    links = links.unionByName(cut_lineage(_last_links(labelled, percent)))
+    links = cut_lineage(reduce(DataFrame.unionByName, [_round_links(sets, seed, percent) for seed in range(rounds)]))
+    labels = components(sets.select("node"), links)
+    rest = cut_lineage(_unsettled(sets.join(labels, "node"), percent))
+    links = links.unionByName(cut_lineage(_last_links(rest, percent)))
     touched = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     return members, components(touched, links)
 
