@@ -1,129 +1,210 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut into chunks at white space where a rolling hash of the bytes before it hits a mask, so that equal passages
-yield equal chunks wherever they stand. Each task keeps a bounded store of chunks: a chunk that
-documents share is encoded once. Where two chunks meet, the words on both sides are encoded together;
-if that differs from the parts, the chunks are joined and encoded as one, until all joins agree.
+yield equal chunks wherever they stand. Each worker keeps a bounded store of chunks: a chunk that documents share is encoded once. A new
+chunk is put together from its words, the finest cut, whose codes are stored too; only words that are new go to the tokenizer. Wherever two pieces
+meet, the characters on both sides are encoded together and apart, once for each pair of characters. Where that does not agree, the whole
+text is encoded as one instead.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-
-#: Bytes that the rolling hash sees; a cut every 2 ** MASK_BITS white spaces on average; most bytes of a chunk.
-WINDOW, MASK_BITS, MOST_BYTES = 8, 4, 4096
-#: Chunks and joins that a task remembers.
-STORE, JOINS = 100_000, 50_000
+from pyspark.sql import types as T
+
+#: Bytes that the rolling hash sees; a cut every 2 ** MASK_BITS white spaces on average.
+WINDOW, MASK_BITS = 8, 5
+#: Chunks and words that a worker remembers; a full store starts anew. Together about 200 MB at most for words of usual length.
+STORE, WORDS = 30_000, 400_000
+#: Words that are encoded in one call.
+TOGETHER = 512
+#: Longer chunks are coded but not remembered.
+MOST_BYTES = 1_000
 #: A fixed odd multiplier of the polynomial rolling hash.
 MULTIPLIER = 0x9E3779B97F4A7C15
+#: White space that two pieces are tried with where they meet.
+SPACINGS = (" ", "\n", "\t", "\r\n", "  ", "\x0b", "\x0c")
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
-def cut_points(data: bytes) -> list[int]:
+def cut_points(data: bytes) -> np.ndarray:
     """Where chunks end, in bytes: before ASCII white space, chosen by the bytes ahead of it."""
     if len(data) <= WINDOW:
-        return [len(data)] if data else []
+        return np.zeros(0, np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)
     space = SPACES[raw]
     at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
     at = at[at >= WINDOW]
     rolling = np.zeros(len(at), dtype=np.uint64)
     for k in range(WINDOW):
-        rolling = rolling * np.uint64(MULTIPLIER) + raw[at - WINDOW + k]
+        rolling *= np.uint64(MULTIPLIER)
+        rolling += raw[at - WINDOW + k]
     rolling ^= rolling >> np.uint64(29)
     rolling *= np.uint64(MULTIPLIER)
-    chosen = at[(rolling >> np.uint64(64 - MASK_BITS)) == 0].tolist()
-    if at.size and len(data) > MOST_BYTES:  # no chunk grows without bound while there is white space
-        out, last = [], 0
-        for cut in [*chosen, len(data)]:
-            while cut - last > MOST_BYTES:
-                k = int(np.searchsorted(at, last + MOST_BYTES, "right")) - 1
-                if k < 0 or at[k] <= last:
-                    break
-                last = int(at[k])
-                out.append(last)
-            if cut < len(data):
-                out.append(cut)
-                last = cut
-        chosen = out
-    if not chosen or chosen[-1] != len(data):
-        chosen.append(len(data))
-    return chosen
+    return at[(rolling >> np.uint64(64 - MASK_BITS)) == 0]
 
 
 class ChunkCoder:
-    """Encodes and decodes texts with one tokenizer and a bounded store of chunks."""
+    """Encodes and decodes texts with one tokenizer and bounded stores of chunks and words."""
 
-    def __init__(self, path: str, store: int = STORE, joins: int = JOINS):
+    def __init__(self, path: str, store: int = STORE, words: int = WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.store: OrderedDict[bytes, tuple] = OrderedDict()
-        self.joins: OrderedDict[bytes, bool] = OrderedDict()
-        self.most, self.most_joins = store, joins
-        self.names: dict[int, str] = {}
-
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def spell(self, ids: list[int]) -> str:
-        """What decode() makes of ids, special tokens included."""
-        names, out = self.names, []
-        for i in ids:
-            if (name := names.get(i)) is None:
-                name = names[i] = self.tokenizer.id_to_token(i)
-            out.append(name)
-        return " ".join(out)
-
-    def chunks(self, parts: list[bytes]) -> list[tuple[int, str, str]]:
-        """Number of tokens, ids as text and decoded text of each part; new parts are encoded together."""
+        t = self.tokenizer = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        self.most, self.most_words = store, words
+        size = t.get_vocab_size(with_added_tokens=True)
+        self.names, self.digits = [t.id_to_token(i) for i in range(size)], [str(i) for i in range(size)]
+        special = {i: x.content for i, x in t.get_added_tokens_decoder().items() if x.special}
+        #: A special token stands between words that are encoded in one call: it keeps them apart.
+        self.fence = next(iter(special.items()), None)
+        # a tokenizer that lower-cases sees a letter's two cases as one; special strings are matched before and must stay
+        self.lowers = '"Lowercase"' in t.to_str() and all(x.content == x.content.lower() for x in t.get_added_tokens_decoder().values())
+        self.marks = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
+        self.characters: dict[str, int] = {}
+        self.meets: dict[tuple[int, int], bool] = {}
+        self.store: dict[bytes, tuple | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.said: list[str] = []
+        self.spelled: list[str] = []
+        self.sizes, self.first, self.last = (np.zeros(1024, np.int64) for _ in range(3))
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word. Many words make one text, as a call costs more than a word."""
+        if self.fence is None or any(self.fence[1][:2] in w for w in words):
+            return self.encode(words)
+        out: list[list[int]] = []
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = self.tokenizer.encode(self.fence[1].join(some), add_special_tokens=False).ids
+            ends = [*np.flatnonzero(np.array(ids) == self.fence[0]).tolist(), len(ids)]
+            out += [ids[a:b] for a, b in zip([0, *[e + 1 for e in ends]], ends, strict=False)]
+        return out
+
+    def plain(self, ids: list[int]) -> tuple[int, str, str]:
+        """Number of tokens, ids as text and what decode() makes of them, special tokens included."""
+        return len(ids), " ".join(map(self.digits.__getitem__, ids)), " ".join(map(self.names.__getitem__, ids))
+
+    def learn(self, fresh: list[bytes]) -> None:
+        """Store new words."""
+        texts = [w.decode() for w in fresh]
+        base, number = len(self.said), self.characters
+        if base + len(fresh) > len(self.sizes):
+            self.sizes, self.first, self.last = (np.resize(x, 2 * (base + len(fresh))) for x in (self.sizes, self.first, self.last))
+        place = slice(base, base + len(fresh))
+        coded = self.encode_words(texts)
+        digits, names = self.digits.__getitem__, self.names.__getitem__
+        self.said += [" ".join(map(digits, ids)) for ids in coded]
+        self.spelled += [" ".join(map(names, ids)) for ids in coded]
+        self.sizes[place] = [len(ids) for ids in coded]
+        self.first[place] = [number.setdefault(t[0], len(number)) for t in texts]
+        self.last[place] = [number.setdefault(t[-1], len(number)) for t in texts]
+        self.words.update(zip(fresh, range(base, base + len(fresh)), strict=True))
+
+    def agree(self, last: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether pieces that meet at these characters encode together as they do apart, whatever the white space."""
+        pairs, place = np.unique(last << 32 | first, return_inverse=True)
+        ok = np.ones(len(pairs), bool)
+        names = None
+        for k, pair in enumerate(pairs.tolist()):
+            meet = pair >> 32, pair & 0xFFFFFFFF
+            if (known := self.meets.get(meet)) is None:
+                names = names or list(self.characters)
+                a, b = names[meet[0]], names[meet[1]]
+                x, y, *both = self.encode([a, b, *[a + s + b for s in SPACINGS]])
+                known = self.meets[meet] = all(x + y == z for z in both)
+            ok[k] = known
+        return ok[place]
+
+    def chunks(self, parts: list[bytes]) -> dict[bytes, tuple | None]:
+        """Codes of new chunks: tokens, ids as text, decoded text, first and last character; () without words, None if words do not agree where they meet."""
+        split = [p.split() for p in parts]
+        flat = [w for ws in split for w in ws]
+        if fresh := [w for w in dict.fromkeys(flat) if w not in self.words]:
+            self.learn(fresh)
+        at = list(map(self.words.__getitem__, flat))
+        index = np.array(at, np.int64)
+        n, first, last = self.sizes[index], self.first[index], self.last[index]
+        ends = np.cumsum([len(ws) for ws in split])
+        inner = np.ones(max(len(index) - 1, 0), bool)
+        inner[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(index))] - 1] = False  # where two chunks stand beside one another
+        bad = np.zeros(len(index) + 1, np.int64)
+        if inner.any():
+            bad[1:-1][inner] = ~self.agree(last[:-1][inner], first[1:][inner])
+        bad, total, empty = np.cumsum(bad), np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n == 0)])
+        said, spelled = self.said.__getitem__, self.spelled.__getitem__
+        out: dict[bytes, tuple | None] = {}
+        lo = 0
+        for p, hi in zip(parts, ends.tolist(), strict=True):
+            if hi == lo:
+                out[p] = ()
+            elif bad[hi - 1] > bad[lo]:
+                out[p] = None
+            else:
+                own = at[lo:hi]
+                if empty[hi] > empty[lo]:
+                    own = [i for i in own if self.sizes[i]]
+                out[p] = (int(total[hi] - total[lo]), " ".join(map(said, own)), " ".join(map(spelled, own)), int(first[lo]), int(last[hi - 1]))
+            lo = hi
+        return out
+
+    def code_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Number of tokens, ids as text and decoded text of each text."""
+        datas = [t.encode("utf-8", "replace") for t in texts]
+        if self.lowers:
+            low = [d.lower() for d in datas]  # A-Z only
+            datas = [d if any(m in x for m in self.marks) else x for d, x in zip(datas, low, strict=True)]
+        cuts = cut_points(b"\n".join(datas))
+        parts, at = [], 0
+        for data in datas:
+            lo, hi = np.searchsorted(cuts, (at + 1, at + len(data)))
+            ends = [*(cuts[lo:hi] - at).tolist(), len(data)]
+            parts.append([data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+            at += len(data) + 1
         store = self.store
-        new = [p for p in dict.fromkeys(parts) if p not in store]
-        for p, e in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False) if new else (), strict=True):
-            ids = e.ids
-            store[p] = (len(ids), " ".join(map(str, ids)), self.spell(ids))
-        out = [store[p] for p in parts]
-        while len(store) > self.most:
-            store.popitem(last=False)
+        made = self.chunks(list(dict.fromkeys(p for own in parts for p in own if p not in store)))
+        out = []
+        for text, own in zip(texts, parts, strict=True):
+            pieces = [made[p] if p in made else store[p] for p in own]
+            if None not in pieces:
+                pieces = [p for p in pieces if p]
+                if len(pieces) < 2 or self.agree(np.array([p[4] for p in pieces[:-1]]), np.array([p[3] for p in pieces[1:]])).all():
+                    some = [p for p in pieces if p[0]]
+                    out.append((sum(p[0] for p in some), " ".join([p[1] for p in some]), " ".join([p[2] for p in some])))
+                    continue
+            out.append(self.plain(self.encode([text])[0]))  # repaired: the text is encoded as one
+        store.update((p, v) for p, v in made.items() if len(p) <= MOST_BYTES)
+        if len(store) > self.most:
+            store.clear()
+        if len(self.words) > self.most_words or len(self.meets) > 1_000_000:
+            self.forget()
         return out
 
-    def agrees(self, left: bytes, right: bytes) -> bool:
-        """Whether the words on both sides of a join encode together as they do apart."""
-        a = left.rsplit(None, 1)[-1] if left.strip() else left
-        words = right.split(None, 1)
-        b = right[: len(right) - len(words[1])] if len(words) > 1 else right
-        key = a + b
-        if (known := self.joins.get(key)) is None:
-            x, y, both = (e.ids for e in self.tokenizer.encode_batch([a.decode(), b.decode(), key.decode()], add_special_tokens=False))
-            known = self.joins[key] = x + y == both
-            if len(self.joins) > self.most_joins:
-                self.joins.popitem(last=False)
-        return known
-
-    def code(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, ids as text and decoded text."""
-        data = text.encode("utf-8", "replace")
-        parts, last = [], 0
-        for cut in cut_points(data):
-            parts.append(data[last:cut])
-            last = cut
-        merged: list[bytes] = []
-        for part in parts:  # repair: parts that do not agree are joined and encoded as one
-            while merged and not self.agrees(merged[-1], part):
-                part = merged.pop() + part
-            merged.append(part)
-        coded = [c for c in self.chunks(merged) if c[0]]
-        return sum(c[0] for c in coded), " ".join(c[1] for c in coded), " ".join(c[2] for c in coded)
+
+#: Coders of this worker process, by path: their stores outlive a task.
+_CODERS: dict[str, ChunkCoder] = {}
+
+
+def coder_of(path: str) -> ChunkCoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _CODERS:
+        _CODERS[path] = ChunkCoder(path)
+    return _CODERS[path]
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -133,8 +214,8 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
     One map over the rows; the tokenizer is read at ``path`` on each executor. A null or empty text has no tokens and two empty strings.
     Repeated rows give repeated results; columns other than ``keep`` are not read.
     """
-    kept = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens long, ids string, decoded string"
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())]
+    schema = T.StructType([*[docs.schema[c] for c in keep], *added])
     return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(_coder(path, len(keep), False), schema)
 
 
@@ -145,15 +226,12 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 
 def _coder(path: str, n_keep: int, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = ChunkCoder(path)
+        coder = coder_of(path)
         names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("n_tokens", "ids", "decoded")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # bounds what a batch of long texts holds at once
-                piece = batch.slice(at, 256)
-                out = [coder.code(t or "") for t in piece.column(n_keep).to_pylist()]
+            for at in range(0, batch.num_rows, 128):  # bounds what a batch of long texts holds at once
+                piece = batch.slice(at, 128)
+                out = coder.code_batch([t or "" for t in piece.column(n_keep).to_pylist()])
                 if digests:
                     out = [(n, hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest()) for n, a, b in out]
                 new = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]
