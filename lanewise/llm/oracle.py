@@ -132,3 +132,16 @@ kept AS (
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CASE WHEN d.text IS NULL THEN NULL ELSE kept.text END AS text
 FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
+
+SQL["op7_embedding_dedup"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.95),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT d.vec_id, coalesce(n.n, 0) AS n_links, least(d.vec_id, coalesce(m.low, d.vec_id)) AS component_id, d.vec_id <= coalesce(m.low, d.vec_id) AS kept
+FROM embeddings d LEFT JOIN (SELECT a, count(*) AS n FROM both_ways GROUP BY a) n ON n.a = d.vec_id LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) m ON m.a = d.vec_id
+"""

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out
 
@@ -207,5 +208,5 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, same columns."""
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("text"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, score double"
+    schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("score", T.DoubleType())])
     return packed.mapInArrow(_scorer(model), schema).where("score < 0.5").select(*[F.col(f"row.`{c}`").alias(c) for c in names])
