@@ -1,7 +1,7 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut into chunks at white space where a rolling hash of the bytes before it hits a mask, so that equal passages
-yield equal chunks wherever they stand. Each worker keeps a bounded store of chunks: a chunk that documents share is encoded once. A new
+yield equal chunks wherever they stand. Each task keeps a bounded store of chunks: a chunk that documents share is encoded once. A new
 chunk is put together from its words, the finest cut, whose codes are stored too; only words that are new go to the tokenizer. Wherever two pieces
 meet, the characters on both sides are encoded together and apart, once for each pair of characters. Where that does not agree, the whole
 text is encoded as one instead.
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 #: Bytes that the rolling hash sees; a cut every 2 ** MASK_BITS white spaces on average.
 WINDOW, MASK_BITS = 8, 5
-#: Chunks and words that a worker remembers; a full store starts anew. Together about 200 MB at most for words of usual length.
+#: Chunks and words that a task remembers; a full store starts anew. Together about 200 MB at most for words of usual length.
 STORE, WORDS = 30_000, 400_000
 #: Words that are encoded in one call.
 TOGETHER = 512
@@ -196,7 +196,7 @@ class ChunkCoder:
         return out
 
 
-#: Coders of this worker process, by path: their stores outlive a task.
+#: Coders of this worker process, by path. Their stores end with a task, so that an idle worker holds the tokenizer only.
 _CODERS: dict[str, ChunkCoder] = {}
 
 
@@ -227,6 +227,13 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 def _coder(path: str, n_keep: int, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(path)
+        try:
+            yield from code(coder, batches)
+        finally:
+            coder.store.clear()
+            coder.forget()
+
+    def code(coder: ChunkCoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("n_tokens", "ids", "decoded")
         for batch in batches:
             for at in range(0, batch.num_rows, 128):  # bounds what a batch of long texts holds at once

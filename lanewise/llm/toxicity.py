@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import cut_lineage, held_out
 
 #: Bound of the training sample: rows of each class, chosen by hash of the id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 5_000, 10_000
@@ -115,12 +115,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[int, np.nd
     telling[df < LEAST_DOCS] = 0
     best = np.sort(np.argsort(-telling, kind="stable")[:MOST_FEATURES])
     known = feats[best[telling[best] > 0]]
-    row, col = _csr(rows, known)
+    return _solve(y, _csr(rows, known), _csr([r for _, r in pairs], known), _csr([rows[k] for k, _ in pairs], known), len(pairs), known, cf_weight)
+
+
+def _solve(y: np.ndarray, own: tuple, other: tuple, same: tuple, m: int, known: np.ndarray, cf_weight: float) -> Model:
+    """Weights of the features ``known``. ``own``: row and column of every feature of a text; ``other`` and ``same``: of the ``m`` swapped
+    copies and of their texts."""
+    n, d, pos = len(y), len(known), float(y.sum())
+    if n == 0 or pos in (0.0, float(n)):
+        return Model(float(np.log((pos + 0.5) / (n - pos + 0.5))))
+    (row, col), (arow, acol), (brow, bcol) = own, other, same
     share = np.where(y > 0, 0.5 / pos, 0.5 / (n - pos))  # both classes weigh the same
-    cf_rows = [r for _, r in pairs]
-    arow, acol = _csr(cf_rows, known)
-    brow, bcol = _csr([rows[k] for k, _ in pairs], known)
-    m, d = len(pairs), len(known)
 
     def smooth(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
         z = np.bincount(row, weights=w[col], minlength=n) + b
@@ -157,31 +162,70 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[int, np.nd
 def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN, terms=IDENTITY_TERMS) -> Model:
     """Fit on a bounded sample of the labelled documents that are not held out.
 
-    Ids are drawn from ``labels`` by hash, at most ``n_toxic + n_clean`` of them; the documents are found by a broadcast of those ids. The
-    driver gets hashed features only. Labels that are null, or whose id is null, teach nothing; of several labels of an id the highest counts.
+    Ids are drawn from ``labels`` by hash, at most ``n_toxic + n_clean`` of them; the documents are found by a broadcast of those ids. Features
+    are counted by the executors; the driver gets the hashes of the most telling ones only. Labels that are null, or whose id is null, teach nothing; of several labels of an id the highest counts.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     drawn = [one.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for v, k in ((1, n_toxic), (0, n_clean))]
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))
     sample = docs.where("text is not null").select("doc_id", "text").join(ids, "doc_id").select("doc_id", "toxic", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    hashes = cut_lineage(sample.mapInArrow(_hasher(terms), f"doc_id {kind}, toxic int, own array<long>, other array<long>"))
+    known = np.array(sorted(r["f"] for r in _telling(hashes).collect()), dtype=np.int64)
+    got = hashes.mapInArrow(_narrower(known), f"doc_id {kind}, toxic int, own binary, other binary").collect()
+    got = sorted(got, key=lambda r: (r["doc_id"], r["own"]))[: 2 * (n_toxic + n_clean)]  # repeated rows of an id
+    both = [r for r in got if r["other"] is not None]
+    places = _places([r["own"] for r in got]), _places([r["other"] for r in both]), _places([r["own"] for r in both])
+    return _solve(np.array([r["toxic"] for r in got], dtype=np.float64), *places, len(both), known, CF_WEIGHT)
+
+
+def _places(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every feature of lists of 32-bit column numbers."""
+    return np.repeat(np.arange(len(lists), dtype=np.int32), np.array([len(x) // 4 for x in lists], dtype=np.int64)), np.frombuffer(b"".join(lists), np.int32)
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _hasher(terms):
+    """Hashed features of a text, and of its copy with group terms swapped, null if it has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, other = [], []
             for text in batch.column(2).to_pylist():
                 words = word_set(text)
-                own.append(hashed(words).tobytes())
+                own.append(hashed(words))
                 copy = swapped(words, terms)
-                other.append(None if copy is None else hashed(copy).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary()), pa.array(other, pa.binary())], names=["doc_id", "toxic", "own", "other"])
+                other.append(None if copy is None else hashed(copy))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, kind), pa.array(other, kind)], names=["doc_id", "toxic", "own", "other"])
+
+    return run
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sorted(sample.mapInArrow(features, f"doc_id {kind}, toxic int, own binary, other binary").collect(), key=lambda r: (r["doc_id"], r["own"]))
-    got = got[: 2 * (n_toxic + n_clean)]  # repeated rows of an id
-    rows = [np.frombuffer(r["own"], np.int64) for r in got]
-    pairs = [(k, np.frombuffer(r["other"], np.int64)) for k, r in enumerate(got) if r["other"] is not None]
-    return fit(rows, np.array([r["toxic"] for r in got], dtype=np.float64), pairs)
+
+def _telling(hashes: DataFrame) -> DataFrame:
+    """The sample's most telling features ``f``: a large gap and a large ratio between the classes' document shares."""
+    n, pos = hashes.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    seen = hashes.select("toxic", F.explode("own").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("hit")).where(F.col("df") >= LEAST_DOCS)
+    p, q = (F.col("hit") + 0.5) / (pos + 1), (F.col("df") - F.col("hit") + 0.5) / (n - pos + 1)
+    gain = F.abs(F.log(p / q)) * F.abs(p - q)
+    return seen.select("f", gain.alias("gain")).where("gain > 0").orderBy(F.col("gain").desc(), "f").limit(MOST_FEATURES)
+
+
+def _narrower(known: np.ndarray):
+    """The known features of each list, as bytes of 32-bit column numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def narrow(v) -> bytes | None:
+            if not v.is_valid:
+                return None
+            at = np.flatnonzero(np.isin(known, v.values.to_numpy(zero_copy_only=False), assume_unique=True))
+            return at.astype(np.int32).tobytes()
+
+        for batch in batches:
+            lists = [pa.array([narrow(v) for v in batch.column(k)], pa.binary()) for k in (2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "own", "other"])
+
+    return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -207,6 +251,13 @@ def _scorer(model: Model):
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, same columns."""
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("score", T.DoubleType())])
-    return packed.mapInArrow(_scorer(model), schema).where("score < 0.5").select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = pa.array([model.score(t.as_py()) for t in batch.column(0).field(at)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["row", "score"])
+
+    return packed.mapInArrow(run, schema).where("score < 0.5").select(*[F.col(f"row.`{c}`").alias(c) for c in names])
