@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from .common import components, cut_lineage
 from .ngram_join import forest
 
 #: Filters a vector falls into on average, and at least; vectors per filter that the code's size aims at.
-LIST, LEAST, PER_FILTER = 16, 8, 200
+LIST, LEAST, PER_FILTER = 24, 20, 400
 #: Codewords of one block at most: the code has at most its square of filters.
 MOST_WORDS = 2048
 #: Vectors verified at once; larger filters are split into pairs of blocks.
@@ -108,38 +107,43 @@ def _filters(words: int):
 
 def _verify(threshold: float):
     """Links of a pair of blocks at one filter, each pair at its smallest shared filter only: degrees and a spanning forest."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        here, diagonal = int(pdf["filter"].iloc[0]), pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        a = pdf[pdf.side == 0]
-        b = a if diagonal else pdf[pdf.side == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "w": []}, dtype="int64")
-        x, y = (np.stack([np.frombuffer(u) for u in s.unit]) for s in (a, b))
-        near = x @ y.T >= threshold
+    empty = pa.table({k: pa.array([], pa.int64()) for k in ("a", "b", "w")})
+
+    def run(table: pa.Table) -> pa.Table:
+        here, side = table.column("filter")[0].as_py(), table.column("side").to_numpy()
+        diagonal = table.column("i")[0] == table.column("j")[0]
+        left = np.flatnonzero(side == 0)
+        right = left if diagonal else np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return empty
+        units = np.frombuffer(b"".join(table.column("unit").to_pylist())).reshape(len(side), -1)
+        near = units[left] @ units[right].T >= threshold
         if diagonal:
-            near &= np.triu(np.ones(near.shape, bool), 1)
-        if near.any():
-            smaller = [[f[f < here] for f in s.filters] for s in (a, b)]
-            known = np.unique(np.concatenate([*smaller[0], *smaller[1], np.zeros(0, np.int64)]))
-            if len(known):
-                marks = []
-                for s in smaller:
-                    m = np.zeros((len(s), len(known)), np.float32)
-                    m[np.repeat(np.arange(len(s)), [len(f) for f in s]), np.searchsorted(known, np.concatenate(s))] = 1
-                    marks.append(m)
-                near &= ~(marks[0] @ marks[1].T > 0)
+            near = np.triu(near, 1)
+        if not near.any():
+            return empty
+        lists = table.column("filters").combine_chunks()
+        flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(side)), lists.value_lengths().to_numpy())
+        flat, owner = flat[flat < here], owner[flat < here]
+        known, column = np.unique(flat, return_inverse=True)
+        if len(known):
+            marks = np.zeros((len(side), len(known)), np.float32)
+            marks[owner, column] = 1
+            near &= ~(marks[left] @ marks[right].T > 0)
+        nodes, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+        weight = np.zeros(len(side), np.int64)
+        weight[left] += near @ copies[right]
+        weight[right] += copies[left] @ near
         i, j = np.nonzero(near)
-        na, nb, ca, cb = a.node.to_numpy(), b.node.to_numpy(), a.copies.to_numpy(), b.copies.to_numpy()
-        rows: dict[int, int] = {}
-        for nodes, weights in ((na, near @ cb), (nb, ca @ near)):
-            for node, w in zip(nodes.tolist(), weights.tolist(), strict=True):
-                if w:
-                    rows[node] = rows.get(node, 0) + w
-        shift = 0 if diagonal else len(a)
-        names = na if diagonal else np.concatenate([na, nb])
-        kept = forest(len(names), zip(i.tolist(), (j + shift).tolist(), strict=True))
-        return pd.DataFrame({"a": [*rows, *[int(names[p]) for p, _ in kept]], "b": [*[None] * len(rows), *[int(names[q]) for _, q in kept]], "w": [*rows.values(), *[0] * len(kept)]}).astype({"a": "int64", "b": "Int64", "w": "int64"})
+        kept = forest(len(side), zip(left[i].tolist(), right[j].tolist(), strict=True))
+        has = np.flatnonzero(weight)
+        return pa.table(
+            {
+                "a": pa.array([*nodes[has].tolist(), *[int(nodes[x]) for x, _ in kept]], pa.int64()),
+                "b": pa.array([*[None] * len(has), *[int(nodes[y]) for _, y in kept]], pa.int64()),
+                "w": pa.array([*weight[has].tolist(), *[0] * len(kept)], pa.int64()),
+            }
+        )
 
     return run
 
@@ -166,7 +170,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, words: int | None
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = other.select("node", "dim", "filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     full = placed.join(coded.select("node", "copies", "unit", "filters"), "node").select("dim", "filter", "i", "j", "side", "node", "copies", "unit", "filters")
-    found = cut_lineage(full.groupBy("dim", "filter", "i", "j").applyInPandas(_verify(threshold), "a long, b long, w long"))
+    found = cut_lineage(full.groupBy("dim", "filter", "i", "j").applyInArrow(_verify(threshold), "a long, b long, w long"))
     degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("w"))
     labels = components(nodes.select("node"), found.where("b is not null").select("a", "b"))
     named = nodes.select("node", "copies").join(degree, "node", "left").join(labels, "node")
