@@ -165,7 +165,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, words: int | None
     coded = cut_lineage(nodes.select("node", "dim", "copies", "unit").mapInArrow(_filters(words), schema))
     posts = coded.select("node", "dim", F.explode("filters").alias("filter"))
     # one row per filter in use: bounded by the code's size times the vectors' lengths
-    blocks = posts.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("dim", "filter", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    blocks = cut_lineage(posts.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("dim", "filter", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     dealt = posts.join(blocks, ["dim", "filter"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = other.select("node", "dim", "filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
@@ -175,6 +175,6 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, words: int | None
     labels = components(nodes.select("node"), found.where("b is not null").select("a", "b"))
     named = nodes.select("node", "copies").join(degree, "node", "left").join(labels, "node")
     linked = rows.select("vec_id", "node").join(named.select("node", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "label"), "node", "left")
-    smallest = linked.where("label is not null").groupBy("label").agg(F.min("vec_id").alias("component_id"))
+    smallest = cut_lineage(linked.where("label is not null").groupBy("label").agg(F.min("vec_id").alias("component_id")))
     out = linked.join(smallest, "label", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

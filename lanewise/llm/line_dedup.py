@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 
 #: Leading tokens of the tree's fixed levels; stretches of the rest, of which one at a time may vary.
 LEADING, PARTS = 2, 5
@@ -67,7 +69,8 @@ def recurring_lines(docs: DataFrame, **tree) -> DataFrame:
     only leaves of several documents are joined back.
     """
     leaves = line_leaves(docs, **tree)
-    shared = leaves.groupBy("leaf").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("leaf", "first")
+    # written first: a join against a table, unlike one against an aggregation, can have its large partitions split
+    shared = cut_lineage(leaves.groupBy("leaf").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("leaf", "first"))
     hits = leaves.join(shared, "leaf").where("id > first").select("id", "rid", "pos")
     return hits.groupBy("id", "rid").agg(F.collect_set("pos").alias("drop"))
 

@@ -189,7 +189,8 @@ def _shared_enough(sets: DataFrame, percent: int, share: int) -> DataFrame:
     enough = F.least(F.floor(loose * share / 100) + 4, n - loose)
     posts = sets.where("node is not null").select("node", "n", F.posexplode("grams").alias("pos", "gram"))
     # counting rows, not sets, lets copies of one set pass; they are one node later
-    common = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    # written first: a join against a table, unlike one against an aggregation, can have its large partitions split
+    common = cut_lineage(posts.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"))
     tested = posts.where(F.col("pos") < loose + enough).select("node", "gram", enough.cast("int").alias("enough"))
     hits = tested.join(common, "gram").groupBy("node", "gram").agg(F.max("enough").alias("enough"))  # copies of a set count once
     return hits.groupBy("node").agg(F.count(F.lit(1)).alias("hits"), F.max("enough").alias("enough")).where("hits >= enough").select("node")
@@ -311,7 +312,7 @@ def _round_links(sets: DataFrame, seed: int, percent: int) -> DataFrame:
     """Links between sets that share the round's minimum n-gram; a large group is cut into blocks by a hash."""
     drawn = F.array_min(F.transform("grams", lambda g: F.xxhash64(g, F.lit(seed))))
     keyed = sets.select("node", drawn.alias("key"), "grams")
-    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    size = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     block = F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("size") / BLOCK)).cast("int")
     dealt = keyed.join(size, "key").select("key", block.alias("block"), "node", F.col("node").alias("label"), "grams", F.lit(0).alias("side"))
     return dealt.groupBy("key", "block").applyInArrow(_block_links(percent), "a long, b long")
@@ -320,7 +321,7 @@ def _round_links(sets: DataFrame, seed: int, percent: int) -> DataFrame:
 def _unsettled(sets: DataFrame, percent: int) -> DataFrame:
     """Sets of which enough n-grams occur under another label too: only they can have a link that joins two labels."""
     posts = sets.select("node", "label", F.explode("grams").alias("gram"))
-    mixed = posts.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gram")
+    mixed = cut_lineage(posts.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gram"))
     hits = posts.select("node", "gram").join(mixed, "gram").groupBy("node").agg(F.count(F.lit(1)).alias("hits"))
     return sets.join(hits, "node").where(F.col("hits") * 100 >= F.col("n") * percent).drop("hits")
 
@@ -332,7 +333,7 @@ def _last_links(sets: DataFrame, percent: int) -> DataFrame:
     is dealt out to pairs of its blocks.
     """
     posts = sets.select("node", "label", "n", F.explode("grams").alias("gram"))
-    freq = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), (F.min("label") != F.max("label")).alias("mixed"))
+    freq = cut_lineage(posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), (F.min("label") != F.max("label")).alias("mixed")))
     ranked = posts.join(freq, "gram").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "gram")))
     prefix = ranked.where((F.col("rank") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1) & F.col("mixed"))
     ties = prefix.groupBy("gram").agg(F.min("node").alias("hub"))
@@ -373,8 +374,8 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90, share: int = 100
     smaller than none: a component of null ids only has the id null. Repeated rows give repeated results; other columns are not read.
     """
     members, labels = join_nodes(docs, width, percent, share)
-    labelled = members.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("class"))
-    smallest = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    labelled = cut_lineage(members.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("class")))
+    smallest = cut_lineage(labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id")))
     named = labelled.join(smallest, "class", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
