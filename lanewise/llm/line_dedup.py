@@ -31,8 +31,8 @@ def _tokens(line: Column) -> Column:
     """Tokens of a line; those with digits are variable fields. Only lines with a digit see the pattern, which starts at token starts."""
     masked = F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*", "<*>")
     plain = F.when(line.rlike("[0-9]"), masked).otherwise(line)
-    spaced = F.when(plain.rlike(r"[\x09\x0B-\x0D]"), F.translate(plain, "\t\x0b\x0c\r", "    ")).otherwise(plain)
-    return F.array_remove(F.split(spaced, " ", -1), "")
+    spaced = lambda p: F.when(p.rlike(r"[\x09\x0B-\x0D]"), F.translate(p, "\t\x0b\x0c\r", "    ")).otherwise(p)
+    return F.array_remove(F.split(_let(plain, spaced), " ", -1), "")
 
 
 def _leaves(tokens: Column, leading: int, parts: int, least: int, open_tokens: int) -> Column:
