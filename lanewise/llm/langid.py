@@ -44,10 +44,12 @@ def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, list[str
 
 
 def dictionaries(samples: dict[str, list[str]], size: int = DICT_BYTES) -> dict[str, bytes]:
-    """Raw content per language: equally many bytes for each, so that none is favoured by its length."""
+    """Raw content per language: up to ``size`` bytes of its own sample, however little the other languages have.
+
+    A small dictionary is at no advantage: what it does not hold has to be spelt out.
+    """
     raw = {k: "\n".join(v).encode() for k, v in samples.items()}
-    least = min([size, *(len(v) for v in raw.values() if v)])
-    return {k: v[-least:] for k, v in raw.items() if v}
+    return {k: v[-size:] for k, v in raw.items() if v}
 
 
 def predict(docs: DataFrame, dicts: dict[str, bytes], margin: float = MARGIN) -> DataFrame:

@@ -1,5 +1,6 @@
 """Defined results for nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
+import brute
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,18 @@ def test_language(odd, none):
     assert {r.lang_pred for r in langid.predict(odd, {}).collect()} == {"und"}
 
 
+def test_language_with_one_short_document_leaves_the_others_alone(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    stray = next(i for i in range(10**9, 10**9 + 100) if not brute.held_out(i))
+    for lang, text in (("aa", "kri olmu"), ("zz", "x")):
+        more = table.unionByName(spark.createDataFrame([(stray, text, lang)], table.schema))
+        dicts = langid.dictionaries(langid.sample_texts(more))
+        assert dicts[lang] == text.encode() and {k: v for k, v in dicts.items() if k != lang} == langid.dictionaries(langid.sample_texts(table))
+        truth = {r.doc_id: r.lang for r in table.where("lang is not null").collect()}
+        rows = [r for r in langid.predict(more, dicts).collect() if r.held_out and r.doc_id in truth and r.lang_pred != "und"]
+        assert len(rows) > 20 and sum(r.lang_pred == truth[r.doc_id] for r in rows) / len(rows) > 0.9
+
+
 def test_embeddings(spark):
     table = spark.createDataFrame([(1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (None, [0.0, 1.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<float>").withColumns({"node": F.lit(1), "unit": F.lit(2), "dim": F.lit(3)})
     got = [tuple(r) for r in embed_dedup.near_duplicates(table).orderBy("vec_id").collect()]
