@@ -4,6 +4,7 @@ Every line walks a tree of fixed depth: its token count, then its leading tokens
 digits are variable fields from the start. In longer lines the tokens after the leading ones fall into ``PARTS`` stretches, and a line
 stands in one leaf for each stretch left open: two lines that differ only within one stretch, a variable field, share a
 leaf. A leaf that holds lines of several documents is a recurring template; its lines are dropped everywhere but in its first document.
+Lines too short or too variable for a template have one leaf of their exact text, so that their copies recur too.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from .common import cut_lineage
 
 #: Leading tokens of the tree's fixed levels; stretches of the rest, of which one at a time may vary.
 LEADING, PARTS = 2, 5
-#: Lines with fewer tokens are left alone; lines with fewer than ``OPEN_TOKENS`` have no open stretch.
+#: Lines with fewer tokens have no template; lines with fewer than ``OPEN_TOKENS`` have no open stretch.
 LEAST_TOKENS, OPEN_TOKENS = 3, 12
 #: Stands for a null id: after all others.
 NO_ID = 2**63 - 1
@@ -35,9 +36,9 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.split(_let(plain, spaced), " ", -1), "")
 
 
-def _leaves(tokens: Column, leading: int, parts: int, least: int, open_tokens: int) -> Column:
-    """Hashes of the leaves in which a line stands: the whole template, and one for each open stretch; none for lines that are too short
-    or of which less than half is constant."""
+def _leaves(tokens: Column, line: Column, leading: int, parts: int, least: int, open_tokens: int, exact: bool) -> Column:
+    """Hashes of the leaves in which a line stands: the whole template, and one for each open stretch. Lines that are too short or of which less
+    than half is constant have the leaf of their exact text if ``exact``, else none; blank lines have none."""
 
     def stretches(t: Column) -> Column:
         n = F.size(t)
@@ -49,17 +50,18 @@ def _leaves(tokens: Column, leading: int, parts: int, least: int, open_tokens: i
             F.array(fixed, *[cut(k) for k in range(parts)]), lambda h: F.array(whole, *[F.xxhash64(h[0], F.lit(k), *[h[j + 1] for j in range(parts) if j != k]) for k in range(parts)])
         )
         solid = (n >= least) & (F.size(F.array_remove(t, "<*>")) * 2 >= n)
-        return F.when(~solid, F.array().cast("array<bigint>")).when(n >= open_tokens, several).otherwise(F.array(whole))
+        alone = F.when(n > 0, F.array(F.xxhash64(F.lit(-2), line))).otherwise(F.array().cast("array<bigint>")) if exact else F.array().cast("array<bigint>")
+        return F.when(~solid, alone).when(n >= open_tokens, several).otherwise(F.array(whole))
 
     return _let(tokens, stretches)
 
 
-def line_leaves(docs: DataFrame, leading: int = LEADING, parts: int = PARTS, least: int = LEAST_TOKENS, open_tokens: int = OPEN_TOKENS) -> DataFrame:
-    """``id, rid, pos, leaf``: the leaves of every line that has enough tokens. ``rid`` tells rows with one id apart."""
+def line_leaves(docs: DataFrame, leading: int = LEADING, parts: int = PARTS, least: int = LEAST_TOKENS, open_tokens: int = OPEN_TOKENS, exact: bool = True) -> DataFrame:
+    """``id, rid, pos, leaf``: the leaves of every line that is not blank (without ``exact``: that has a template). ``rid`` tells rows with one id apart."""
     lines = docs.where("text is not null").select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
     )
-    return lines.select("id", "rid", "pos", F.explode(_leaves(_tokens(F.col("line")), leading, parts, least, open_tokens)).alias("leaf"))
+    return lines.select("id", "rid", "pos", F.explode(_leaves(_tokens(F.col("line")), F.col("line"), leading, parts, least, open_tokens, exact)).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, **tree) -> DataFrame:
@@ -92,7 +94,7 @@ def dedup_lines(docs: DataFrame, **tree) -> DataFrame:
     """``doc_id, n_lines, n_dropped, text``: every text without the lines whose template an earlier document has.
 
     "Earlier" is by ``doc_id``; null ids count as one last document. A line repeated within its own document only stays, as do
-    blank and very short lines. A null text stays null with no lines; an empty one has one line. Rows with equal id and text are one document, and each of
+    blank lines and, without ``exact``, lines that have no template. A null text stays null with no lines; an empty one has one line. Rows with equal id and text are one document, and each of
     them is returned; rows with equal id and other texts are one document too. Other columns are not read.
     """
     packed = docs.select("doc_id", "text", *_keys())

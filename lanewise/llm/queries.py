@@ -23,7 +23,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    # the query's SQL leaves lines without a template alone
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), exact=False)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,12 @@ def test_line_dedup(odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_exact_copies_of_lines_without_template_are_dropped(spark):
+    shared = ["Menu", "Read more", "12 34 56 78 x", "一行没有空格的文字"]
+    table = spark.createDataFrame([(1, "\n".join(["first one", *shared, "", "7 a"])), (2, "\n".join(["", *shared, "menu", "8 a"])), (None, "Menu\n \nown")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_documents(table).collect()} == {1: table.first().text, 2: "\nmenu\n8 a", None: " \nown"}
+
+
 def test_ngram_join(odd, none):
     got = by_id(ngram_join.classes(odd))
     assert sum(map(len, got.values())) == len(ROWS)
