@@ -381,13 +381,27 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90, share: int = 100
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, share: int = 40) -> DataFrame:
-    """The rows of ``docs``, same columns, without those linked to a document of a smaller id: one of each group stays.
+    """The rows of ``docs``, same columns, of which one of each group of linked texts stays: that of the smallest id.
 
-    Of rows with one id that share a group all stay, as they are one document. Rows with a null id go only if their group has an id.
+    A null id comes after all others. Rows are told apart by id and text: another text of the same id is no part of the group. Of texts of one id in one
+    group the smallest by hash stays, of rows equal in id and text the smallest in all columns. Texts without an n-gram are in no group and stay.
     """
-    found = classes(docs, width, percent, share)
-    gone = found.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id", "component_id")
-    ids = cut_lineage(gone.where("doc_id is not null").select("doc_id").distinct())
-    if ids.count() <= BROADCAST_NODES:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rid = F.xxhash64("doc_id", "text")
+    members, labels = join_nodes(docs.select(F.struct("doc_id", rid.alias("rid")).alias("doc_id"), "text"), width, percent, share)
+    named = members.where("node is not null").join(labels, "node", "left").select(F.coalesce("label", "node").alias("class"), "doc_id.doc_id", "doc_id.rid")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
+    rows = cut_lineage(named.groupBy("class", "doc_id", "rid").agg(F.count(F.lit(1)).alias("copies")).select("class", place.alias("place"), "copies"))
+    first = cut_lineage(rows.groupBy("class").agg(F.min("place").alias("first"), F.sum("copies").alias("size")).where("size > 1").select("class", "first"))
+    found = cut_lineage(rows.join(first, "class").select(F.col("place.rid").alias("__rid"), (F.col("place.rid") != F.col("first.rid")).alias("gone"), "copies"))
+
+    def few(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
+
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    left = docs.withColumn("__rid", rid).join(few(found.where("gone").select("__rid")), "__rid", "left_anti")
+    copied = found.where("not gone and copies > 1").select("__rid")
+    if copied.isEmpty():
+        return left.select(*names)
+    copied = few(copied)
+    one = left.join(copied, "__rid", "left_semi").groupBy("__rid").agg(F.min(F.struct(*names)).alias("row"))
+    return left.join(copied, "__rid", "left_anti").select(*names).unionByName(one.select("row.*"))

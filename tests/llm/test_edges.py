@@ -98,6 +98,18 @@ def test_ngram_join(odd, none):
     assert ngram_join.classes(none).count() == 0
 
 
+def test_keep_one_tells_rows_apart_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (None, a), (2, a + " more"), (2, b), (None, c), (None, c), (None, c + " more"), (3, ""), (None, ""), (4, "alone " + b[::-1]), (4, "alone " + b[::-1])]
+    table = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], SCHEMA)
+    kept = ngram_join.keep_one(table)
+    assert kept.columns == table.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    null_c = [t for i, t in got if i is None and t]
+    assert len(null_c) == 1 and null_c[0] in (c, c + " more")
+    assert sorted(map(str, got)) == sorted(map(str, [(1, a), (2, b), (None, null_c[0]), (3, ""), (None, ""), rows[9]]))
+
+
 def test_quality(odd, none):
     got = by_id(quality.with_quality(odd))
     assert got[3][0].n_words == 0 and got[3][0].base_failed and not got[3][0].kept
