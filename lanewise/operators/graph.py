@@ -180,17 +180,27 @@ def longest_path(edges: DataFrame, key: str) -> DataFrame:
     return edges.select(key, "src", "dst", "length").groupBy(key).applyInPandas(run, f"{key} {kind}, seq long, node {node}")
 
 
-def follow_single(edges: DataFrame, starts: DataFrame, max_steps: int = 200) -> DataFrame:
-    """Walks from ``starts (root)`` that go on while a node has one way out: ``root, seq, node``; a visited node ends a walk."""
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst")).where("n = 1").select("src", "dst")
+def follow_single(edges: DataFrame, starts: DataFrame, forks: bool = True) -> DataFrame:
+    """Walks from ``starts (root)``: ``root, seq, node``. A node with one way out is followed; at a fork the walk goes on to the neighbours with one way in,
+    unless ``forks`` is off. A visited node ends a walk.
+
+    The walks have no longest length: rounds go on until none has a next node.
+    """
+    pairs = cut(edges.select("src", "dst").distinct())
+    outs = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    ways = pairs.join(outs.where("n = 1"), "src", "left_semi")
+    if forks:
+        single = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+        ways = ways.unionByName(pairs.join(outs.where("n > 1"), "src", "left_semi").join(single, "dst", "left_semi").select("src", "dst"))
+    ways = cut(ways)
     walks = cut(starts.select("root", F.lit(0).alias("seq"), F.col("root").alias("node")))
-    front = walks
-    for k in range(1, max_steps + 1):
-        step = front.join(out, front["node"] == out["src"]).select("root", F.lit(k).alias("seq"), F.col("dst").alias("node"))
-        front = cut(step.join(walks.select("root", "node"), ["root", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        walks = walks.unionByName(front.select("root", "seq", "node"))
+    front, k = walks, 0
+    while not front.isEmpty():
+        k += 1
+        step = front.join(ways, front["node"] == ways["src"]).select("root", F.lit(k).alias("seq"), F.col("dst").alias("node")).distinct()
+        front = cut(step.join(walks.select("root", "node"), ["root", "node"], "left_anti")).select("root", "seq", "node")
+        walks = walks.unionByName(front)
+        walks = cut(walks) if k % 8 == 0 else walks
     return walks
 
 

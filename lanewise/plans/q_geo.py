@@ -300,7 +300,12 @@ def r13_short_paths(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT w.root, w.seq + 1, o.dst, list_append(w.seen, o.dst) FROM w JOIN o ON o.src = w.node WHERE NOT list_contains(w.seen, o.dst)) SELECT root, seq, node FROM w"""))
 def r15_follow_single(spark: SparkSession, d: str) -> DataFrame:
     starts = table(spark, d, "events").where("user_id <= 20").selectExpr("user_id root").distinct()
-    return graph.follow_single(v_graph(spark, d).where("length < 3"), starts)
+    return graph.follow_single(v_graph(spark, d).where("length < 3"), starts, forks=False)
+
+
+@q()
+def r15_traversed_roads(spark: SparkSession, d: str) -> DataFrame:
+    return graph.follow_single(v_graph(spark, d).where("length < 3"), table(spark, d, "events").selectExpr("user_id root").distinct())
 
 
 _WAY = "w AS (SELECT l_orderkey AS way, l_partkey AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_orderkey % 20 = 0)"

@@ -336,3 +336,14 @@ def test_backup(spark):
     assert spark.table("back_roads_t").count() == 1
     spark.sql("drop table roads_t")
     spark.sql("drop table back_roads_t")
+
+
+def test_walks_go_on_at_forks_and_have_no_longest_length(spark):
+    # 2 forks to 3 (one way in) and 4 (two ways in); 3 goes on to 5, 5 back to 1
+    edges = spark.createDataFrame([(1, 2), (2, 3), (2, 4), (9, 4), (3, 5), (5, 1), (4, 6), (9, 8)], "src long, dst long")
+    starts = spark.createDataFrame([(1,), (9,)], "root long")
+    walk = lambda **k: {tuple(r) for r in graph.follow_single(edges, starts, **k).collect()}
+    assert walk() == {(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 3, 5), (9, 0, 9), (9, 1, 8)}
+    assert walk(forks=False) == {(1, 0, 1), (1, 1, 2), (9, 0, 9)}
+    long = spark.range(205).selectExpr("id src", "id + 1 dst").coalesce(1)
+    assert graph.follow_single(long, spark.createDataFrame([(0,)], "root long")).count() == 206
