@@ -223,7 +223,7 @@ def j10_nearest_line(spark: SparkSession, d: str) -> DataFrame:
 SELECT pid, tid FROM (SELECT pid, tid, row_number() OVER (PARTITION BY pid ORDER BY sqrt(pow(x - tx, 2) + pow(y - ty, 2)), tid) AS rn FROM p, t) WHERE rn = 1""")
 def j11_nearest_node(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").selectExpr("vec_id", "cast(embedding[0] as double) x", "cast(embedding[1] as double) y")
-    return spatial.nearest(e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "pid"), e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "tid"), 0.05, rings=4).select("pid", "tid")
+    return spatial.nearest(e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "pid"), e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "tid"), 0.05).select("pid", "tid")
 
 
 @q(sql("v_seg", f"SELECT a.id, a.i, b.i AS j, round({_hav('a.x', 'a.y', 'b.x', 'b.y', C.EARTH_RADIUS_M)}, 2) AS m FROM v_seg a JOIN v_seg b ON a.id = b.id"))
@@ -341,7 +341,7 @@ SELECT pid AS poi_id, 'poi:' || pid AS src, CAST(tid AS VARCHAR) AS dst, 20 AS l
 def r23_connect_pois(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").selectExpr("vec_id", "cast(embedding[0] as double) x", "cast(embedding[1] as double) y")
     centres = e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "poi_id")
-    near = spatial.nearest(centres.withColumnRenamed("poi_id", "pid"), e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "tid"), 0.05, rings=4)
+    near = spatial.nearest(centres.withColumnRenamed("poi_id", "pid"), e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "tid"), 0.05)
     return osm.connect_pois(centres, near).select("poi_id", "src", "dst", "link_type")
 
 

@@ -347,3 +347,11 @@ def test_walks_go_on_at_forks_and_have_no_longest_length(spark):
     assert walk(forks=False) == {(1, 0, 1), (1, 1, 2), (9, 0, 9)}
     long = spark.range(205).selectExpr("id src", "id + 1 dst").coalesce(1)
     assert graph.follow_single(long, spark.createDataFrame([(0,)], "root long")).count() == 206
+
+
+def test_nearest_finds_targets_however_far(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e6, -3e7), (3, None, 1.0), (4, float("nan"), 1.0), (5, float("inf"), 1.0)], "pid long, x double, y double")
+    targets = spark.createDataFrame([(7, 0.0, 0.01), (8, 500.0, 0.0), (9, None, None), (10, float("nan"), 0.0)], "tid long, x double, y double")
+    assert {(r.pid, r.tid) for r in spatial.nearest(points, targets, 0.05).collect()} == {(1, 7), (2, 8)}
+    assert spatial.nearest(points, targets.limit(0), 0.05).count() == 0
+    assert spatial.nearest(points.limit(0), targets, 0.05).count() == 0
