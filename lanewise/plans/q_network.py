@@ -113,7 +113,7 @@ def r26_insert_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @q()
 def r30_greedy_coverage(spark: SparkSession, d: str) -> DataFrame:
-    m = v_map(spark, d).where("eid % 10 = 0")
+    m = v_map(spark, d)
     ranked = fusion.rank_candidates(m.selectExpr("eid", "rid root", "pid rid", "tie distance"))
     matched = m.selectExpr("eid", "rid root", "ofs / 10D start", "least(1D, ofs / 10D + lane_num / 10D) end")
     return fusion.greedy_coverage(ranked, matched)
@@ -134,7 +134,7 @@ def r32_main_roads(spark: SparkSession, d: str) -> DataFrame:
 
 @q()
 def r34_trajectory_table(spark: SparkSession, d: str) -> DataFrame:
-    trajs = v_map(spark, d).where("eid % 10 = 0").selectExpr("eid root", "ofs seq", "pid rid")
+    trajs = v_map(spark, d).selectExpr("eid root", "ofs seq", "pid rid")
     roads = table(spark, d, "part").selectExpr("p_partkey ID", "p_size n", "array(named_struct('x', cast(p_size as double), 'y', 1D)) line")
     return pano.trajectory_table(trajs, roads).select("root", "rids", "n_roads", "n_panos", F.size("line").alias("points"))
 
@@ -148,7 +148,7 @@ def r42_test_set(spark: SparkSession, d: str) -> DataFrame:
 @q()
 def r43_predictions_along(spark: SparkSession, d: str) -> DataFrame:
     way = v_map(spark, d).where("eid = 7").selectExpr("ofs seq", "rid")
-    panos = v_map(spark, d).where("eid % 50 = 0").selectExpr("rid", "pid", "ofs ord", "pid % 360 dir")
+    panos = v_map(spark, d).selectExpr("rid", "pid", "ofs ord", "pid % 360 dir")
     memo = table(spark, d, "part").selectExpr("p_partkey pid", "p_partkey % 360 dir", "p_size % 5 lane_num")
     return pano.predictions_along(way, panos, memo)
 
@@ -197,7 +197,7 @@ def g25_provider_coordinates(spark: SparkSession, d: str) -> DataFrame:
 
 @q()
 def g29_inserted_interval(spark: SparkSession, d: str) -> DataFrame:
-    spans = v_map(spark, d).where("eid % 20 = 0").groupBy("eid").agg(F.array_sort(F.collect_set(F.struct((F.col("ofs") * 10).alias("start"), (F.col("ofs") * 10 + 4).alias("end"), F.col("lane_num").alias("value")))).alias("s"))
+    spans = v_map(spark, d).groupBy("eid").agg(F.array_sort(F.collect_set(F.struct((F.col("ofs") * 10).alias("start"), (F.col("ofs") * 10 + 4).alias("end"), F.col("lane_num").alias("value")))).alias("s"))
     return spans.select("eid", F.to_json(intervals.insert_interval(F.col("s"), F.struct(F.lit(12).alias("start"), F.lit(33).alias("end"), F.lit(9).alias("value")))).alias("spans"))
 
 

@@ -355,3 +355,11 @@ def test_nearest_finds_targets_however_far(spark):
     assert {(r.pid, r.tid) for r in spatial.nearest(points, targets, 0.05).collect()} == {(1, 7), (2, 8)}
     assert spatial.nearest(points, targets.limit(0), 0.05).count() == 0
     assert spatial.nearest(points.limit(0), targets, 0.05).count() == 0
+
+
+def test_observation_queries_take_every_edge(spark, sf_dir):
+    from lanewise.plans import q_network as n
+
+    edges = {r.l_orderkey for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").distinct().collect()}
+    assert {r.eid for r in n.g29_inserted_interval(spark, sf_dir).select("eid").collect()} == edges
+    assert {r.root % 10 for r in n.r34_trajectory_table(spark, sf_dir).select("root").collect()} == set(range(10))
