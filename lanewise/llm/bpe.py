@@ -1,15 +1,17 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut into chunks at white space where a rolling hash of the bytes before it hits a mask, so that equal passages
-yield equal chunks wherever they stand. Each task keeps a bounded store of chunks: a chunk that documents share is encoded once. A new
-chunk is put together from its words, the finest cut, whose codes are stored too; only words that are new go to the tokenizer. Wherever two pieces
-meet, the characters on both sides are encoded together and apart, once for each pair of characters. Where that does not agree, the whole
-text is encoded as one instead.
+yield equal chunks wherever they stand. Each task keeps a store of chunks, bounded in bytes: while it is in the store, a chunk that documents
+share is encoded once. A new chunk is put together from its words, the finest cut, whose codes are stored too; only words that are new go to
+the tokenizer. Wherever two pieces meet, the characters on both sides are encoded together and apart, once for each pair of characters. Chunks
+that do not agree where they meet are encoded again as one piece, which grows to both sides until it agrees with its neighbours: encoded
+together with them it gives the same ids as apart.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
@@ -18,10 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import give_back, pieces_of, small_batches
+
 #: Bytes that the rolling hash sees; a cut every 2 ** MASK_BITS white spaces on average.
 WINDOW, MASK_BITS = 8, 5
-#: Chunks and words that a task remembers; a full store starts anew. Together about 200 MB at most for words of usual length.
-STORE, WORDS = 30_000, 400_000
+#: Bytes of chunks and of words, with their codes, that a task remembers; a full store starts anew.
+STORE_BYTES, WORD_BYTES = 8 << 20, 24 << 20
+#: What an entry costs besides its texts, about; pairs of characters that are remembered.
+ENTRY_BYTES, MOST_MEETS = 400, 100_000
+#: Texts that are coded together: rows and bytes.
+PIECE_ROWS, PIECE_BYTES = 128, 1 << 20
 #: Words that are encoded in one call.
 TOGETHER = 512
 #: Longer chunks are coded but not remembered.
@@ -55,13 +63,15 @@ def cut_points(data: bytes) -> np.ndarray:
 class ChunkCoder:
     """Encodes and decodes texts with one tokenizer and bounded stores of chunks and words."""
 
-    def __init__(self, path: str, store: int = STORE, words: int = WORDS):
+    def __init__(self, path: str, store: int = STORE_BYTES, words: int = WORD_BYTES):
         from tokenizers import Tokenizer
 
         t = self.tokenizer = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
         self.most, self.most_words = store, words
+        #: Without a decoder, decoded text is the tokens with spaces between; a decoder has to see all ids of a text.
+        self.spaced = json.loads(t.to_str())["decoder"] is None
         size = t.get_vocab_size(with_added_tokens=True)
         self.names, self.digits = [t.id_to_token(i) for i in range(size)], [str(i) for i in range(size)]
         special = {i: x.content for i, x in t.get_added_tokens_decoder().items() if x.special}
@@ -70,15 +80,21 @@ class ChunkCoder:
         # a tokenizer that lower-cases sees a letter's two cases as one; special strings are matched before and must stay
         self.lowers = '"Lowercase"' in t.to_str() and all(x.content == x.content.lower() for x in t.get_added_tokens_decoder().values())
         self.marks = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
-        self.characters: dict[str, int] = {}
-        self.meets: dict[tuple[int, int], bool] = {}
-        self.store: dict[bytes, tuple | None] = {}
         self.forget()
 
     def forget(self) -> None:
+        """Empty all stores."""
+        self.characters: dict[str, int] = {}
+        self.meets: dict[tuple[int, int], bool] = {}
+        self.store: dict[bytes, tuple] = {}
+        self.stored = 0
+        self.forget_words()
+
+    def forget_words(self) -> None:
         self.words: dict[bytes, int] = {}
         self.said: list[str] = []
         self.spelled: list[str] = []
+        self.word_bytes = 0
         self.sizes, self.first, self.last = (np.zeros(1024, np.int64) for _ in range(3))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -115,6 +131,7 @@ class ChunkCoder:
         self.first[place] = [number.setdefault(t[0], len(number)) for t in texts]
         self.last[place] = [number.setdefault(t[-1], len(number)) for t in texts]
         self.words.update(zip(fresh, range(base, base + len(fresh)), strict=True))
+        self.word_bytes += sum(map(len, fresh)) + sum(map(len, self.said[base:])) + sum(map(len, self.spelled[base:])) + ENTRY_BYTES * len(fresh)
 
     def agree(self, last: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Whether pieces that meet at these characters encode together as they do apart, whatever the white space."""
@@ -131,8 +148,18 @@ class ChunkCoder:
             ok[k] = known
         return ok[place]
 
-    def chunks(self, parts: list[bytes]) -> dict[bytes, tuple | None]:
-        """Codes of new chunks: tokens, ids as text, decoded text, first and last character; () without words, None if words do not agree where they meet."""
+    def whole(self, part: bytes) -> tuple:
+        """The code of a piece that the tokenizer sees as one."""
+        text = part.decode()
+        inner, number = text.strip(" \t\n\x0b\x0c\r"), self.characters
+        if not inner:
+            return ()
+        return (*self.plain(self.encode([text])[0]), number.setdefault(inner[0], len(number)), number.setdefault(inner[-1], len(number)))
+
+    def chunks(self, parts: list[bytes]) -> dict[bytes, tuple]:
+        """Codes of new chunks: tokens, ids as text, decoded text, first and last character; () without words."""
+        if not parts:
+            return {}
         split = [p.split() for p in parts]
         flat = [w for ws in split for w in ws]
         if fresh := [w for w in dict.fromkeys(flat) if w not in self.words]:
@@ -140,7 +167,7 @@ class ChunkCoder:
         at = list(map(self.words.__getitem__, flat))
         index = np.array(at, np.int64)
         n, first, last = self.sizes[index], self.first[index], self.last[index]
-        ends = np.cumsum([len(ws) for ws in split])
+        ends = np.cumsum([len(ws) for ws in split], dtype=np.int64)
         inner = np.ones(max(len(index) - 1, 0), bool)
         inner[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(index))] - 1] = False  # where two chunks stand beside one another
         bad = np.zeros(len(index) + 1, np.int64)
@@ -148,13 +175,13 @@ class ChunkCoder:
             bad[1:-1][inner] = ~self.agree(last[:-1][inner], first[1:][inner])
         bad, total, empty = np.cumsum(bad), np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n == 0)])
         said, spelled = self.said.__getitem__, self.spelled.__getitem__
-        out: dict[bytes, tuple | None] = {}
+        out: dict[bytes, tuple] = {}
         lo = 0
         for p, hi in zip(parts, ends.tolist(), strict=True):
             if hi == lo:
                 out[p] = ()
             elif bad[hi - 1] > bad[lo]:
-                out[p] = None
+                out[p] = self.whole(p)
             else:
                 own = at[lo:hi]
                 if empty[hi] > empty[lo]:
@@ -176,25 +203,63 @@ class ChunkCoder:
             ends = [*(cuts[lo:hi] - at).tolist(), len(data)]
             parts.append([data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
             at += len(data) + 1
-        store = self.store
-        made = self.chunks(list(dict.fromkeys(p for own in parts for p in own if p not in store)))
+        made = self.chunks(list(dict.fromkeys(p for own in parts for p in own if p not in self.store)))
         out = []
         for text, own in zip(texts, parts, strict=True):
-            pieces = [made[p] if p in made else store[p] for p in own]
-            if None not in pieces:
-                pieces = [p for p in pieces if p]
-                if len(pieces) < 2 or self.agree(np.array([p[4] for p in pieces[:-1]]), np.array([p[3] for p in pieces[1:]])).all():
-                    some = [p for p in pieces if p[0]]
-                    out.append((sum(p[0] for p in some), " ".join([p[1] for p in some]), " ".join([p[2] for p in some])))
-                    continue
-            out.append(self.plain(self.encode([text])[0]))  # repaired: the text is encoded as one
-        store.update((p, v) for p, v in made.items() if len(p) <= MOST_BYTES)
-        if len(store) > self.most:
-            store.clear()
-        if len(self.words) > self.most_words or len(self.meets) > 1_000_000:
-            self.forget()
+            pieces = [made[p] if p in made else self.store[p] for p in own]
+            inked = [k for k, p in enumerate(pieces) if p]
+            if len(inked) > 1:
+                ok = self.agree(np.array([pieces[k][4] for k in inked[:-1]]), np.array([pieces[k][3] for k in inked[1:]]))
+                if not ok.all():
+                    pieces = self.repaired(own, pieces, [(inked[k], inked[k + 1]) for k in np.flatnonzero(~ok).tolist()])
+            some = [p for p in pieces if p and p[0]]
+            ids = " ".join([p[1] for p in some])
+            out.append((sum(p[0] for p in some), ids, " ".join([p[2] for p in some]) if self.spaced else self.decode(ids)))
+        self.remember(made)
         return out
 
+    def decode(self, ids: str) -> str:
+        return self.tokenizer.decode([int(i) for i in ids.split()], skip_special_tokens=False)
+
+    def remember(self, made: dict[bytes, tuple]) -> None:
+        """Store new chunks; full stores start anew."""
+        short = {p: v for p, v in made.items() if len(p) <= MOST_BYTES}
+        self.store.update(short)
+        self.stored += sum(len(p) + (len(v[1]) + len(v[2]) if v else 0) + ENTRY_BYTES for p, v in short.items())
+        if self.stored > self.most:
+            self.store, self.stored = {}, 0
+        if self.word_bytes > self.most_words:
+            self.forget_words()
+        if len(self.meets) > MOST_MEETS:
+            self.forget()
+
+    def repaired(self, parts: list[bytes], pieces: list[tuple], joins: list[tuple[int, int]]) -> list[tuple]:
+        """The pieces of a text of which those at the bad ``joins`` (places of the two that meet) are encoded again as one.
+
+        A stretch of chunks grows by one to both sides until it agrees with what stands beside it, the text's ends at last.
+        """
+        windows: list[tuple[int, int, tuple]] = []
+        for first, second in joins:
+            if windows and second < windows[-1][1]:
+                continue
+            lo, hi = first, second + 1
+            while True:
+                left, right = max(lo - 1, 0), min(hi + 1, len(parts))
+                if windows and left < windows[-1][1]:  # two stretches that meet are one
+                    lo = windows.pop()[0]
+                    continue
+                mine = self.whole(b"".join(parts[lo:hi]))
+                apart = " ".join(p[1] for p in (*pieces[left:lo], mine, *pieces[hi:right]) if p and p[0])
+                if (left, right) == (lo, hi) or self.whole(b"".join(parts[left:right]))[1] == apart:
+                    break
+                lo, hi = left, right
+            windows.append((lo, hi, mine))
+        out, done = [], 0
+        for lo, hi, mine in windows:
+            out += [*pieces[done:lo], mine]
+            done = hi
+        return out + pieces[done:]
+
 
 #: Coders of this worker process, by path. Their stores end with a task, so that an idle worker holds the tokenizer only.
 _CODERS: dict[str, ChunkCoder] = {}
@@ -216,11 +281,13 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
     """
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())]
     schema = T.StructType([*[docs.schema[c] for c in keep], *added])
+    small_batches(docs.sparkSession)
     return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(_coder(path, len(keep), False), schema)
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the digests of what ``encode`` returns, made where it is made."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_coder(path, 1, True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -230,14 +297,13 @@ def _coder(path: str, n_keep: int, digests: bool):
         try:
             yield from code(coder, batches)
         finally:
-            coder.store.clear()
             coder.forget()
+            give_back()
 
     def code(coder: ChunkCoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("n_tokens", "ids", "decoded")
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):  # bounds what a batch of long texts holds at once
-                piece = batch.slice(at, 128)
+            for piece in pieces_of(batch, n_keep, PIECE_ROWS, PIECE_BYTES):
                 out = coder.code_batch([t or "" for t in piece.column(n_keep).to_pylist()])
                 if digests:
                     out = [(n, hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest()) for n, a, b in out]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +35,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch between the JVM and Python: texts are long, and both sides hold a whole batch.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to ``BATCH_ROWS`` rows, unless the user has set a bound."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def pieces_of(batch: pa.RecordBatch, column: int, rows: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of up to ``rows`` rows whose texts in ``column`` have ``most`` bytes together, or of one row."""
+    at, n, size = 0, 0, 0
+    for k, own in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if n and (n == rows or size + own > most):
+            yield batch.slice(at, n)
+            at, n, size = k, 0, 0
+        n, size = n + 1, size + own
+    if n:
+        yield batch.slice(at, n)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and the next stage needs it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

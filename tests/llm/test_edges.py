@@ -1,6 +1,7 @@
 """Defined results for nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,7 +132,7 @@ def test_bpe_special_strings_and_joins():
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
     tok.no_truncation()
-    coder = bpe.ChunkCoder(queries.tokenizer_path(), store=4, words=9)
+    coder = bpe.ChunkCoder(queries.tokenizer_path(), store=2_000, words=4_000)
     texts = ["a <|startoftext|> b<|endoftext|>c", "É é ́x", "İstanbul ΣΑΣ ΟΔΟΣ 's don't", "x y z　w " * 40, "word " * 500, "a" * 9000 + " b", "\r\n\t" * 30, "1 2 3 " * 300 + "fin"]
     for text in texts * 2:
         ids = tok.encode(text, add_special_tokens=False).ids
@@ -139,6 +140,33 @@ def test_bpe_special_strings_and_joins():
     assert coder.code_batch(texts) == [coder.code_batch([t])[0] for t in texts]
 
 
+def test_bpe_pieces_without_new_chunks(spark):
+    rows = [(k, t) for k, t in enumerate([None] * 300 + [""] * 300 + ["one known text\nof two lines"] * 300)]
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), queries.tokenizer_path()).collect()
+    assert len(got) == 900 and len({(r.n_tokens, r.ids, r.decoded) for r in got}) == 2
+    assert {r.n_tokens for r in got if r.doc_id < 600} == {0} and {r.n_tokens for r in got if r.doc_id >= 600} == {6}
+
+
+def test_bpe_repairs_joins_that_do_not_agree(monkeypatch):
+    """Whatever joins are held to be bad, the repaired ids are the tokenizer's."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    tok.no_truncation()
+    coder, rng, repairs = bpe.ChunkCoder(queries.tokenizer_path()), random.Random(3), []
+    monkeypatch.setattr(bpe, "cut_points", lambda data: np.array([k for k in range(9, len(data)) if data[k : k + 1].isspace() and not data[k - 1 : k].isspace()], np.int64))
+    monkeypatch.setattr(coder, "agree", lambda last, first: (lambda ok: ok & [rng.random() < 0.8 for _ in ok])(bpe.ChunkCoder.agree(coder, last, first)))
+    monkeypatch.setattr(coder, "repaired", lambda *a: repairs.append(1) or bpe.ChunkCoder.repaired(coder, *a))
+    parts = ["don't", "É", "́x", "Σ", "<|endoftext|>", " ", "\n", "\t \n", " ", "12", "…", "über", "한국"]
+    for _ in range(60):
+        text = "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 90)))
+        ids = tok.encode(text, add_special_tokens=False).ids
+        assert coder.code_batch([text]) == [(len(ids), " ".join(map(str, ids)), tok.decode(ids, skip_special_tokens=False))]
+    assert len(repairs) > 20
+
+
 def test_language(odd, none):
     got = by_id(langid.identify(odd))
     assert [r.lang_pred for r in got[3] + got[4] + got[5] + got[8]] == ["und"] * 4
