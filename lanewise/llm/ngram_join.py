@@ -1,12 +1,13 @@
 """N-gram Jaccard join: prefix trees over globally ordered shingle sets.
 
-1. Every text becomes a set of hashed word n-grams in one global order, the hash's. Equal sets share a digest and are one node from here on.
+1. Every text becomes a set of hashed word n-grams in one global order, the hash's. Equal sets share a 128-bit digest and are one node from here on.
 2. Filter: all but ``slack(n)`` of a set's n-grams lie in a partner's set. So of the first ``slack + need`` at least ``need`` do, and
    then they stand among the partner's first ones. Sets whose first n-grams are hardly shared by other sets drop out.
 3. Rounds over the rest: sets that share an n-gram drawn for the round (a minimum under a round-specific hash) meet in bounded blocks and
    are joined by trie. Linked sets take one label; then a set stays only if enough of its n-grams are shared with sets of other labels.
-4. What stays is joined exactly: sets that share an n-gram of their prefixes, in order of frequency, are of one family, and a family is joined by
-   trie, in pairs of bounded blocks if it is large.
+4. What stays is joined exactly, in one global order, the n-grams' frequency. Two linked sets share one of their ``slack + 1`` rarest n-grams. Sets
+   that share one are of one family; a family is joined by trie, in pairs of bounded blocks if it is large. A family of very many blocks
+   is joined n-gram by n-gram instead, so that a set is copied as often as it has rare n-grams, and not as often as its family has blocks.
 
 Groups are split into blocks, and of the pairs found only a spanning forest leaves a block, so that a group of copies costs rows in proportion
 to its size.
@@ -14,31 +15,32 @@ to its size.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import components, cut_lineage
+from .common import components, cut_lineage, give_back, pieces_of, small_batches
 
-#: Sets that a trie is built over at once.
-BLOCK = 512
-#: Nodes up to this number are broadcast (24 bytes each) when their texts are read again; beyond it they are joined.
+#: N-grams and sets that a trie is built over at once, about: a block's bound.
+BLOCK_GRAMS, BLOCK = 250_000, 512
+#: Blocks beyond which a family is joined by its rare n-grams.
+FAMILY_BLOCKS = 16
+#: Rows up to this number are broadcast (24 bytes each); beyond it they are joined.
 BROADCAST_NODES = 1_000_000
+#: Texts of more copies than this share of all rows (and than ``HOT_COPIES``) are at most this many; they are joined by broadcast.
+MOST_HOT, HOT_COPIES = 100_000, 1_000
 ROUNDS = 2
-SPACES = np.zeros(256, dtype=bool)
-SPACES[[9, 10, 11, 12, 13, 32]] = True
+SPACE = re.compile(rb"[ \t-\r]")
 #: Fixed odd multipliers.
-MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-
-
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Bytes whose words are hashed at once; a longer text is cut at white space.
 PIECE_BYTES = 1 << 20
-_POWERS: list[np.ndarray] = []
 
 
 def _finish(x: np.ndarray) -> np.ndarray:
@@ -48,72 +50,23 @@ def _finish(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a fixed odd multiplier and of its inverse modulo 2 ** 64."""
-    if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n + 1, PIECE_BYTES + 1)
-        steps = [np.full(size, m, np.uint64) for m in (MIX[4], pow(MIX[4], -1, 1 << 64))]
-        for x in steps:
-            x[0] = 1
-        _POWERS[:] = [np.multiply.accumulate(x) for x in steps]
-    return _POWERS[0], _POWERS[1]
-
-
-def word_hashes(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of a lower-cased buffer; texts begin at ``begins``. A word's hash is a polynomial of its bytes."""
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    solid = ~SPACES[raw]
-    edge = np.zeros(len(raw), bool)
-    edge[begins[begins < len(raw)]] = True
-    start = np.flatnonzero(solid & (edge | np.concatenate([[True], ~solid[:-1]])))
-    end = np.flatnonzero(solid & np.concatenate([edge[1:] | ~solid[1:], [True]])) + 1
-    power, inverse = _powers(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    return _finish(h ^ (end - start).astype(np.uint64) * np.uint64(MIX[0])), start
+def word_hashes(text: bytes) -> np.ndarray:
+    """The hash of every word of a text; A-Z count as lower case. A long text is read in pieces that end at white space."""
+    from xxhash import xxh3_64_intdigest
+
+    parts, at = [], 0
+    while at < len(text):
+        end = SPACE.search(text, at + PIECE_BYTES) if len(text) - at > PIECE_BYTES else None
+        stop = end.start() if end else len(text)
+        words = text[at:stop].lower().split()
+        parts.append(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)))
+        at = stop
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def batch_shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """Distinct hashed word n-grams of each text, ascending; of fewer words the whole sequence; A-Z count as lower case."""
-    out: list[np.ndarray] = []
-    group: list[bytes] = []
-    size = 0
-
-    def flush() -> None:
-        nonlocal size
-        if group:
-            begins = np.concatenate([[0], np.cumsum([len(t) for t in group])])
-            h, start = word_hashes(np.frombuffer(b"".join(group).lower(), np.uint8), begins[:-1])
-            cut = np.searchsorted(start, begins)
-            out.extend(_grams([h[cut[k] : cut[k + 1]] for k in range(len(group))], width))
-            group.clear()
-            size = 0
-
-    for t in texts:
-        if len(t) > PIECE_BYTES:  # in pieces that end at white space; a longer word makes a longer piece
-            flush()
-            parts, at = [], 0
-            while at < len(t):
-                stop = len(t)
-                if stop - at > PIECE_BYTES:
-                    back = np.flatnonzero(SPACES[np.frombuffer(t, np.uint8, PIECE_BYTES, at)])
-                    if len(back):
-                        stop = at + int(back[-1]) + 1
-                    else:
-                        ahead = np.flatnonzero(SPACES[np.frombuffer(t, np.uint8, len(t) - at, at)])
-                        stop = at + int(ahead[0]) + 1 if len(ahead) else len(t)
-                parts.append(word_hashes(np.frombuffer(t[at:stop].lower(), np.uint8), np.zeros(1, np.int64))[0])
-                at = stop
-            out.extend(_grams([np.concatenate(parts)], width))
-            continue
-        if size + len(t) > PIECE_BYTES:
-            flush()
-        group.append(t)
-        size += len(t)
-    flush()
-    return out
+    """Distinct hashed word n-grams of each text, ascending; of fewer words the whole sequence."""
+    return _grams([word_hashes(t) for t in texts], width)
 
 
 def _grams(hashes: list[np.ndarray], width: int) -> list[np.ndarray]:
@@ -154,17 +107,16 @@ def first(n: np.ndarray, percent: int, share: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, percent: int, share: int, what: str) -> DataFrame:
-    """``doc_id, n, node, digest`` and n-grams of every text: the ``first`` ones, ``all``, or none.
+    """``place, n, node, digest`` and n-grams of every text: the ``first`` ones, ``all``, or none.
 
-    ``node`` is 63 bits of the 128-bit digest of the set, null for an empty one.
+    ``digest`` is the set's, of 128 bits, null for an empty one; ``node`` is 63 bits of it, for tests that may pass too many.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for piece in pieces_of(batch, 1, 512, 4 * PIECE_BYTES):
                 n, node, digest, grams = [], [], [], []
                 for s in batch_shingles([t or b"" for t in piece.column(1).cast(pa.binary()).to_pylist()], width):
                     d = xxh3_128_digest(s.tobytes())
@@ -175,11 +127,13 @@ def _sets(docs: DataFrame, width: int, percent: int, share: int, what: str) -> D
                 offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
                 flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n", "node", "digest", "grams"]
+                    [piece.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["place", "n", "node", "digest", "grams"]
                 )
+        give_back()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, digest binary, grams array<long>")
+    small_batches(docs.sparkSession)
+    kind = docs.schema["place"].dataType.simpleString()
+    return docs.select("place", "text").mapInArrow(run, f"place {kind}, n long, node long, digest binary, grams array<long>")
 
 
 def _shared_enough(sets: DataFrame, percent: int, share: int) -> DataFrame:
@@ -192,8 +146,8 @@ def _shared_enough(sets: DataFrame, percent: int, share: int) -> DataFrame:
     # written first: a join against a table, unlike one against an aggregation, can have its large partitions split
     common = cut_lineage(posts.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"))
     tested = posts.where(F.col("pos") < loose + enough).select("node", "gram", enough.cast("int").alias("enough"))
-    hits = tested.join(common, "gram").groupBy("node", "gram").agg(F.max("enough").alias("enough"))  # copies of a set count once
-    return hits.groupBy("node").agg(F.count(F.lit(1)).alias("hits"), F.max("enough").alias("enough")).where("hits >= enough").select("node")
+    hits = tested.join(common, "gram").groupBy("node", "gram").agg(F.min("enough").alias("enough"))  # copies of a set count once
+    return hits.groupBy("node").agg(F.count(F.lit(1)).alias("hits"), F.min("enough").alias("enough")).where("hits >= enough").select("node")
 
 
 def _gather(post: np.ndarray, start: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -203,10 +157,11 @@ def _gather(post: np.ndarray, start: np.ndarray, grams: np.ndarray) -> np.ndarra
     return post[np.repeat(at - ends + n, n) + np.arange(ends[-1])] if len(ends) and ends[-1] else post[:0]
 
 
-def trie_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, frequency: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i of left, j of right) with Jaccard of at least ``percent`` %; right None: i < j of left.
 
-    The n-grams of the left sets, most frequent first, form a trie; its paths are walked depth first. Overlaps with all right sets are kept at every
+    The n-grams of the left sets, most frequent first, form a trie. Their global ``frequency`` (n-grams, ascending, and their
+    counts) orders them, or else how often the right sets hold them; its paths are walked depth first. Overlaps with all right sets are kept at every
     branching, so that sets that share a path share its partial overlaps. A subtree is left when no right set can still reach its bound:
     overlap so far plus what remains of the path.
     """
@@ -217,7 +172,7 @@ def trie_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
         return none
     lens = np.array([len(s) for s in others])
     known, inverse = np.unique(np.concatenate(others), return_inverse=True)
-    count = np.bincount(inverse, minlength=len(known))
+    count = np.bincount(inverse, minlength=len(known)) if frequency is None else frequency[1][np.searchsorted(frequency[0], known)]
     rank = np.empty(len(known), np.int64)
     rank[np.argsort(-count, kind="stable")] = np.arange(len(known))
     place = rank[inverse]
@@ -298,8 +253,12 @@ def _block_links(percent: int):
         lists = table.column("grams").combine_chunks()
         flat, cut = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().cumsum()
         sets = np.split(flat, cut[:-1])
+        frequency = None
+        if "dfs" in table.schema.names:
+            known, at = np.unique(flat, return_index=True)
+            frequency = known, table.column("dfs").combine_chunks().flatten().to_numpy()[at]
         a, b = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-        i, j = trie_pairs([sets[k] for k in a], [sets[k] for k in b] if len(b) else None, percent)
+        i, j = trie_pairs([sets[k] for k in a], [sets[k] for k in b] if len(b) else None, percent, frequency)
         i, j = a[i], (b if len(b) else a)[j]
         differ = labels[i] != labels[j]
         kept = forest(len(nodes), zip(i[differ].tolist(), j[differ].tolist(), strict=True))
@@ -308,12 +267,23 @@ def _block_links(percent: int):
     return run
 
 
+def _blocks_of(sets: Column, grams: Column) -> Column:
+    """Into how many blocks a group is cut: of one set at least."""
+    return F.least(F.greatest(F.ceil(sets / BLOCK), F.ceil(grams / BLOCK_GRAMS)), sets).cast("int")
+
+
+def _placed(dealt: DataFrame, group: str) -> DataFrame:
+    """Every set in all pairs of blocks of its group that hold its own block; side 1 is that of the larger block."""
+    pairs = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return pairs.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "grams", "dfs", (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+
 def _round_links(sets: DataFrame, seed: int, percent: int) -> DataFrame:
     """Links between sets that share the round's minimum n-gram; a large group is cut into blocks by a hash."""
     drawn = F.array_min(F.transform("grams", lambda g: F.xxhash64(g, F.lit(seed))))
     keyed = sets.select("node", drawn.alias("key"), "grams")
-    size = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    block = F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("size") / BLOCK)).cast("int")
+    size = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.size("grams")).alias("total")).where("size > 1").select("key", _blocks_of(F.col("size"), F.col("total")).alias("blocks")))
+    block = F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")).cast("int")
     dealt = keyed.join(size, "key").select("key", block.alias("block"), "node", F.col("node").alias("label"), "grams", F.lit(0).alias("side"))
     return dealt.groupBy("key", "block").applyInArrow(_block_links(percent), "a long, b long")
 
@@ -329,42 +299,68 @@ def _unsettled(sets: DataFrame, percent: int) -> DataFrame:
 def _last_links(sets: DataFrame, percent: int) -> DataFrame:
     """Every link that joins two labels of ``sets``.
 
-    Two linked sets share one of the first ``slack + 1`` n-grams in order of frequency. Sets that share one go to one family. A family of more than a block
-    is dealt out to pairs of its blocks.
+    Two linked sets share one of the first ``slack + 1`` n-grams in order of frequency. Sets that share one go to one family. A family of several blocks
+    is dealt out to pairs of its blocks; one of more than ``FAMILY_BLOCKS``, and of more than its sets have rare n-grams, to those n-grams, and each
+    of them to pairs of blocks.
     """
+    slack_of = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
     posts = sets.select("node", "label", "n", F.explode("grams").alias("gram"))
     freq = cut_lineage(posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), (F.min("label") != F.max("label")).alias("mixed")))
-    ranked = posts.join(freq, "gram").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "gram")))
-    prefix = ranked.where((F.col("rank") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1) & F.col("mixed"))
+    ranked = cut_lineage(posts.join(freq, "gram").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "gram"))))
+    prefix = ranked.where((F.col("rank") <= slack_of + 1) & F.col("mixed"))
     ties = prefix.groupBy("gram").agg(F.min("node").alias("hub"))
     edges = cut_lineage(prefix.select("node", "gram").join(ties, "gram").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     touched = edges.where("a <> b")
     family = components(touched.select(F.col("a").alias("node")).unionByName(touched.select(F.col("b").alias("node"))).distinct(), touched).withColumnRenamed("label", "family")
-    blocks = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = sets.select("node", "label", "grams").join(family, "node").join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = pairs.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "grams", (F.col("block") > F.col("other")).cast("int").alias("side"))
-    return placed.groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
-
-
-def join_nodes(docs: DataFrame, width: int = 3, percent: int = 90, share: int = 100, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, n, node`` of every document, ``node, label`` of the nodes that have links).
-
-    The label of a node is the smallest node it reaches.
-    """
-    members = _sets(docs, width, percent, share, "none").select("doc_id", "n", "node")
+    listed = ranked.groupBy("node").agg(F.any_value("label").alias("label"), F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("x"))
+    ordered = cut_lineage(listed.join(family, "node").select("node", "label", "n", "family", F.col("x.gram").alias("grams"), F.col("x.df").alias("dfs")))
+    few = F.col("blocks") <= F.greatest(F.lit(FAMILY_BLOCKS), F.col("rare"))
+    blocks = cut_lineage(ordered.groupBy("family").agg(_blocks_of(F.count(F.lit(1)), F.sum("n")).alias("blocks"), (F.avg(slack_of) + 1).alias("rare")))
+    links = [_placed(ordered.join(blocks.where(few), "family"), "family").groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a long, b long")]
+    large = blocks.where(~few)
+    if not large.isEmpty():
+        mine = ordered.join(large.select("family"), "family", "left_semi")
+        rare = prefix.join(mine.select("node"), "node", "left_semi").select("node", "n", "gram", "label")
+        shared = rare.groupBy("gram").agg(_blocks_of(F.count(F.lit(1)), F.sum("n")).alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram", "blocks")
+        dealt = rare.select("node", "gram").join(shared, "gram").join(mine, "node")
+        links.append(_placed(dealt, "gram").groupBy("gram", "i", "j").applyInArrow(_block_links(percent), "a long, b long"))
+    return reduce(DataFrame.unionByName, links)
+
+
+def _linked(docs: DataFrame, width: int, percent: int, share: int, rounds: int) -> DataFrame:
+    """``digest, label`` of the sets that have links; ``label`` is the same for all sets that are reachable."""
     kept = cut_lineage(_shared_enough(_sets(docs, width, percent, share, "first").select("node", "n", "grams"), percent, share))
-    again = _sets(docs, width, percent, share, "all").where("node is not null").select("node", "n", "grams")
+    again = _sets(docs, width, percent, share, "all").where("node is not null").select("node", "digest", "n", "grams")
     if kept.count() <= BROADCAST_NODES:
         kept = F.broadcast(kept)
-    sets = again.join(kept, "node", "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.any_value("grams").alias("grams"))
-    sets = cut_lineage(sets)
+    sets = again.join(kept, "node", "left_semi").groupBy("digest").agg(F.max("n").alias("n"), F.any_value("grams").alias("grams"))
+    sets = cut_lineage(sets.withColumn("node", F.monotonically_increasing_id()))  # the whole digest tells sets apart
     links = cut_lineage(reduce(DataFrame.unionByName, [_round_links(sets, seed, percent) for seed in range(rounds)]))
     labels = components(sets.select("node"), links)
-    rest = cut_lineage(_unsettled(sets.join(labels, "node"), percent))
+    rest = cut_lineage(_unsettled(sets.select("node", "n", "grams").join(labels, "node"), percent))
     links = links.unionByName(cut_lineage(_last_links(rest, percent)))
     touched = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    return members, components(touched, links)
+    return sets.select("node", "digest").join(components(touched, links), "node").select("digest", "label")
+
+
+def join_sets(docs: DataFrame, width: int = 3, percent: int = 90, share: int = 100, rounds: int = ROUNDS) -> DataFrame:
+    """``place, n, first, size`` of every row of ``docs (place, text)``: of the rows that are reachable by links, the smallest place and the number.
+
+    Rows without a link or copy, and those without an n-gram, have no ``first`` and ``size``. Places are counted per set before they are joined. A text
+    with very many copies is joined by broadcast: there are at most ``MOST_HOT`` of more than 1 / ``MOST_HOT`` of all rows.
+    """
+    members = cut_lineage(_sets(docs, width, percent, share, "none").select("place", "n", "digest"))
+    own = members.where("digest is not null").groupBy("digest").agg(F.min("place").alias("low"), F.count(F.lit(1)).alias("copies"))
+    own = cut_lineage(own.join(_linked(docs, width, percent, share, rounds), "digest", "left"))
+    linked = own.where("label is not null")
+    ends = cut_lineage(linked.groupBy("label").agg(F.min("low").alias("first"), F.sum("copies").alias("size")))
+    alone = own.where("label is null and copies > 1").select("digest", "copies", F.col("low").alias("first"), F.col("copies").alias("size"))
+    named = cut_lineage(linked.join(ends, "label").select("digest", "copies", "first", "size").unionByName(alone))
+    bound = max(HOT_COPIES, members.count() // MOST_HOT)
+    hot = F.broadcast(named.where(F.col("copies") > bound).select(F.col("digest").alias("h"), F.col("first").alias("h_first"), F.col("size").alias("h_size")))
+    tried = members.join(hot, F.col("digest") == F.col("h"), "left")
+    cold = tried.where("h is null").select("place", "n", "digest").join(named.where(F.col("copies") <= bound).select("digest", "first", "size"), "digest", "left")
+    return cold.select("place", "n", "first", "size").unionByName(tried.where("h is not null").select("place", "n", F.col("h_first").alias("first"), F.col("h_size").alias("size")))
 
 
 def classes(docs: DataFrame, width: int = 3, percent: int = 90, share: int = 100) -> DataFrame:
@@ -373,11 +369,8 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90, share: int = 100
     ``component_id`` is the smallest id reachable by links, the own one included. Empty and null texts have no n-gram and no link. Null ids count as
     smaller than none: a component of null ids only has the id null. Repeated rows give repeated results; other columns are not read.
     """
-    members, labels = join_nodes(docs, width, percent, share)
-    labelled = cut_lineage(members.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("class")))
-    smallest = cut_lineage(labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id")))
-    named = labelled.join(smallest, "class", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = join_sets(docs.select(F.col("doc_id").alias("place"), "text"), width, percent, share)
+    return found.select(F.col("place").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("first", "place").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, share: int = 40) -> DataFrame:
@@ -387,21 +380,21 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, share: int = 40
     group the smallest by hash stays, of rows equal in id and text the smallest in all columns. Texts without an n-gram are in no group and stay.
     """
     rid = F.xxhash64("doc_id", "text")
-    members, labels = join_nodes(docs.select(F.struct("doc_id", rid.alias("rid")).alias("doc_id"), "text"), width, percent, share)
-    named = members.where("node is not null").join(labels, "node", "left").select(F.coalesce("label", "node").alias("class"), "doc_id.doc_id", "doc_id.rid")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
-    rows = cut_lineage(named.groupBy("class", "doc_id", "rid").agg(F.count(F.lit(1)).alias("copies")).select("class", place.alias("place"), "copies"))
-    first = cut_lineage(rows.groupBy("class").agg(F.min("place").alias("first"), F.sum("copies").alias("size")).where("size > 1").select("class", "first"))
-    found = cut_lineage(rows.join(first, "class").select(F.col("place.rid").alias("__rid"), (F.col("place.rid") != F.col("first.rid")).alias("gone"), "copies"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", rid.alias("rid"))
+    found = join_sets(docs.select(place.alias("place"), "text"), width, percent, share).where("size > 1")
+    found = found.groupBy("place").agg(F.any_value("first").alias("first"), F.count(F.lit(1)).alias("copies"))
+    found = cut_lineage(found.select(F.col("place.doc_id").alias("__id"), F.col("place.rid").alias("__rid"), F.expr("place <> first").alias("gone"), "copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (rid == F.col("__rid"))
 
     def few(ids: DataFrame) -> DataFrame:
+        ids = ids.select("__id", "__rid")
         return F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
 
     names = [F.col(f"`{c}`") for c in docs.columns]
-    left = docs.withColumn("__rid", rid).join(few(found.where("gone").select("__rid")), "__rid", "left_anti")
-    copied = found.where("not gone and copies > 1").select("__rid")
+    left = docs.join(few(found.where("gone")), same, "left_anti")
+    copied = found.where("not gone and copies > 1")
     if copied.isEmpty():
         return left.select(*names)
     copied = few(copied)
-    one = left.join(copied, "__rid", "left_semi").groupBy("__rid").agg(F.min(F.struct(*names)).alias("row"))
-    return left.join(copied, "__rid", "left_anti").select(*names).unionByName(one.select("row.*"))
+    one = left.join(copied, same, "left_semi").groupBy("doc_id", rid.alias("__rid")).agg(F.min(F.struct(*names)).alias("row"))
+    return left.join(copied, same, "left_anti").select(*names).unionByName(one.select("row.*"))

@@ -99,6 +99,21 @@ def test_ngram_join(odd, none):
     assert ngram_join.classes(none).count() == 0
 
 
+def test_words_that_a_polynomial_hash_confuses_are_different(spark):
+    thue = "a"
+    for _ in range(9):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    table = spark.createDataFrame([(1, thue), (2, thue.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in ngram_join.classes(table).collect()} == {(1, 1), (2, 2)}
+
+
+def test_word_hashes_of_a_long_text_in_pieces(monkeypatch):
+    text = ("Ein Wort\tund noch\n eines \x0b" * 200 + "x" * 900 + " end").encode()
+    whole = ngram_join.word_hashes(text)
+    monkeypatch.setattr(ngram_join, "PIECE_BYTES", 64)
+    assert len(whole) == len(text.split()) and (ngram_join.word_hashes(text) == whole).all()
+
+
 def test_keep_one_tells_rows_apart_by_id_and_text(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
     rows = [(1, a), (None, a), (2, a + " more"), (2, b), (None, c), (None, c), (None, c + " more"), (3, ""), (None, ""), (4, "alone " + b[::-1]), (4, "alone " + b[::-1])]

@@ -47,10 +47,13 @@ def test_op3_components(spark, sf_dir, docs):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in rows} == {(i, n[i], component[i]) for i in n}
 
 
-def test_ngram_join_finds_borderline_pairs_in_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("family_blocks", [16, 0])
+def test_ngram_join_finds_borderline_pairs_in_large_groups(spark, monkeypatch, family_blocks):
     import random
 
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)  # many blocks
+    monkeypatch.setattr(ngram_join, "BLOCK", 2 if family_blocks == 0 else 8)  # many blocks; families joined by their rare n-grams
+    monkeypatch.setattr(ngram_join, "FAMILY_BLOCKS", family_blocks)
+    monkeypatch.setattr(ngram_join, "HOT_COPIES", 2)
     rng = random.Random(5)
     base = [f"w{k}" for k in range(120)]
     rows = []
@@ -59,10 +62,10 @@ def test_ngram_join_finds_borderline_pairs_in_large_groups(spark, monkeypatch):
         for k in rng.sample(range(120), rng.randint(0, 5)):
             words[k] = f"x{i}_{k}"
         rows.append((i, " ".join(words)))
-    rows += [(100 + i, " ".join(f"u{i}_{k}" for k in range(60))) for i in range(20)]
+    rows += [(100 + i, " ".join(f"u{i}_{k}" for k in range(60))) for i in range(20)] + [(200 + i, " ".join(base)) for i in range(5)] + [(300 + i, "a copied text") for i in range(4)]
     for width, percent, share in ((3, 90, 100), (5, 80, 40)):
         n, component, links = brute.jaccard_components(rows, width, percent)
-        assert 0 < len(links) < 90 * 89 / 2
+        assert 0 < len(links) < 95 * 94 / 2
         got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), width, percent, share).collect()
         assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, n[i], component[i]) for i in n}
 
