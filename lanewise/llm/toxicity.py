@@ -1,8 +1,8 @@
 """Toxicity: a counterfactually regularised linear classifier.
 
-Logistic regression on the words of a text and their beginnings. Wherever a labelled sentence names a group of people, a copy
-names another group instead; the fit pays for every difference between the scores of the two, so that a neutral mention of
-a group does not count as toxic.
+Logistic regression on the words of a text and their beginnings. Wherever a sentence of a labelled text names groups of people, a copy
+names other groups instead; the fit pays for every difference between the scores of the two, so that a neutral mention of
+a group does not count as toxic. What the two share cancels, so that a pair is what the swap removes and what it adds.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, held_out
+from .common import cut_lineage, held_out, small_batches
 
 #: Bound of the training sample: rows of each class, chosen by hash of the id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 5_000, 10_000
 #: Features that the fit considers, most telling first, and documents of the sample that one must occur in.
 MOST_FEATURES, LEAST_DOCS = 4_000, 4
+#: Different swaps that the penalty considers, most frequent first.
+MOST_SWAPS = 50_000
 #: Length of the word beginnings that are features besides the words.
 PREFIX = 4
 #: Weights of the counterfactual penalty and of the L1 and L2 penalties, and the steps of the fit.
@@ -38,6 +40,8 @@ IDENTITY_TERMS = (
 )
 
 WORDS = re.compile(r"[^\W\d_]+")
+#: Where a sentence ends.
+SENTENCE = re.compile(r"[.!?。！？]+\s|\n")
 
 
 def word_set(text: str) -> set[str]:
@@ -49,23 +53,29 @@ def feature_names(words: set[str]) -> set[str]:
     return words | {w[:PREFIX] + "-" for w in words if len(w) >= PREFIX}
 
 
-def hashed(words: set[str]) -> np.ndarray:
+def hashed(names: set[str]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    names = feature_names(words)
     return np.sort(np.fromiter((xxh3_64_intdigest(n) for n in names), np.uint64, len(names))).astype(np.int64)
 
 
-def swapped(words: set[str], terms=IDENTITY_TERMS) -> set[str] | None:
-    """The words with each group term replaced by the next of its list; None if there is none."""
-    out, found = set(words), False
-    for group in terms:
-        for k, term in enumerate(group):
-            if term in words:
-                found = True
-                out.discard(term)
-                out.add(group[(k + 1) % len(group)])
-    return out if found else None
+def swaps(text: str, terms=IDENTITY_TERMS) -> list[tuple[set[str], set[str]]]:
+    """For every sentence that names groups: the features that it loses and gains if each group term gives way to the next of its list.
+
+    All terms of a sentence change at once: "she saw him and her" says "he" where it said "she", and "his" where it said "her". A sentence
+    whose words are the same afterwards, as where all terms of a list are named, is left out.
+    """
+    to = {term: group[(k + 1) % len(group)] for group in terms for k, term in enumerate(group)}
+    low, out = text.lower(), []
+    if not any(t in low for t in to):
+        return out
+    for sentence in SENTENCE.split(low):
+        words = WORDS.findall(sentence)
+        if any(w in to for w in words):
+            mine, other = feature_names(set(words)), feature_names({to.get(w, w) for w in words})
+            if mine != other:
+                out.append((mine - other, other - mine))
+    return out
 
 
 @dataclass
@@ -86,45 +96,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(m, -40, 40))))
 
 
-def _csr(rows: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of every known feature."""
-    lens = np.array([len(r) for r in rows], dtype=np.int64)
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), lens)
-    col = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
-    ok = known[col] == flat if len(known) else np.zeros(len(flat), bool)
-    return row[ok], col[ok]
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[int, np.ndarray]], cf_weight: float = CF_WEIGHT) -> Model:
-    """Fit by accelerated proximal gradient steps.
-
-    ``rows``: sorted hashed features of each text; ``pairs``: (row, hashed features of its swapped copy). With one class only, or none, the
-    model is a constant.
-    """
-    y = np.asarray(labels, dtype=np.float64)
-    n, pos = len(y), float(y.sum())
-    if n == 0 or pos in (0.0, float(n)):
-        return Model(float(np.log((pos + 0.5) / (n - pos + 0.5))))
-    feats, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    lens = np.array([len(r) for r in rows], dtype=np.int64)
-    df = np.bincount(inverse, minlength=len(feats))
-    hit = np.bincount(inverse, weights=np.repeat(y, lens), minlength=len(feats))
-    p, q = (hit + 0.5) / (pos + 1), (df - hit + 0.5) / (n - pos + 1)
-    telling = np.abs(np.log(p / q)) * np.abs(p - q)
-    telling[df < LEAST_DOCS] = 0
-    best = np.sort(np.argsort(-telling, kind="stable")[:MOST_FEATURES])
-    known = feats[best[telling[best] > 0]]
-    return _solve(y, _csr(rows, known), _csr([r for _, r in pairs], known), _csr([rows[k] for k, _ in pairs], known), len(pairs), known, cf_weight)
-
-
-def _solve(y: np.ndarray, own: tuple, other: tuple, same: tuple, m: int, known: np.ndarray, cf_weight: float) -> Model:
-    """Weights of the features ``known``. ``own``: row and column of every feature of a text; ``other`` and ``same``: of the ``m`` swapped
-    copies and of their texts."""
+def _solve(y: np.ndarray, own: tuple, gains: tuple, losses: tuple, times: np.ndarray, known: np.ndarray, cf_weight: float) -> Model:
+    """Weights of the features ``known``, by accelerated proximal gradient steps. ``own``: row and column of every feature of a text; ``gains`` and
+    ``losses``: of every swap, which occurs ``times``. With one class only, or none, the model is a constant."""
     n, d, pos = len(y), len(known), float(y.sum())
     if n == 0 or pos in (0.0, float(n)):
         return Model(float(np.log((pos + 0.5) / (n - pos + 0.5))))
-    (row, col), (arow, acol), (brow, bcol) = own, other, same
+    (row, col), (arow, acol), (brow, bcol), m = own, gains, losses, len(times)
+    dear = 2 * cf_weight * times / max(times.sum(), 1)  # what a unit of each swap's gap costs
     share = np.where(y > 0, 0.5 / pos, 0.5 / (n - pos))  # both classes weigh the same
 
     def smooth(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
@@ -133,7 +112,7 @@ def _solve(y: np.ndarray, own: tuple, other: tuple, same: tuple, m: int, known:
         g = np.bincount(col, weights=r[row], minlength=d) + L2 * w
         if m:
             gap = np.bincount(arow, weights=w[acol], minlength=m) - np.bincount(brow, weights=w[bcol], minlength=m)
-            gap *= 2 * cf_weight / m
+            gap *= dear
             g += np.bincount(acol, weights=gap[arow], minlength=d) - np.bincount(bcol, weights=gap[brow], minlength=d)
         return g, float(r.sum())
 
@@ -142,7 +121,7 @@ def _solve(y: np.ndarray, own: tuple, other: tuple, same: tuple, m: int, known:
         z = np.bincount(row, weights=v[col], minlength=n) + v[d]
         u = np.append(np.bincount(col, weights=(0.25 * share * z)[row], minlength=d), (0.25 * share * z).sum())
         if m:
-            gap = 2 * cf_weight / m * (np.bincount(arow, weights=v[acol], minlength=m) - np.bincount(brow, weights=v[bcol], minlength=m))
+            gap = dear * (np.bincount(arow, weights=v[acol], minlength=m) - np.bincount(brow, weights=v[bcol], minlength=m))
             u[:d] += np.bincount(acol, weights=gap[arow], minlength=d) - np.bincount(bcol, weights=gap[brow], minlength=d)
         curvature = float(np.linalg.norm(u)) or 1.0
         v = u / curvature
@@ -159,25 +138,29 @@ def _solve(y: np.ndarray, own: tuple, other: tuple, same: tuple, m: int, known:
     return Model(b, dict(zip(known[keep].view(np.uint64).tolist(), w[keep].tolist(), strict=True)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN, terms=IDENTITY_TERMS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN, terms=IDENTITY_TERMS, cf_weight: float = CF_WEIGHT) -> Model:
     """Fit on a bounded sample of the labelled documents that are not held out.
 
-    Ids are drawn from ``labels`` by hash, at most ``n_toxic + n_clean`` of them; the documents are found by a broadcast of those ids. Features
-    are counted by the executors; the driver gets the hashes of the most telling ones only. Labels that are null, or whose id is null, teach nothing; of several labels of an id the highest counts.
+    Ids that have a label and a row are drawn by hash, at most ``n_toxic + n_clean`` of them; their texts are found by a broadcast of those ids, one
+    text of each: of several, the smallest by hash. Features and swaps are counted by the executors; the driver gets the hashes of the most
+    telling features and the most frequent swaps only. Labels that are null, or whose id is null, teach nothing; of several labels of an id the highest counts.
     """
+    small_batches(docs.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    one = cut_lineage(docs.select("doc_id").join(one, "doc_id").distinct())
     drawn = [one.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for v, k in ((1, n_toxic), (0, n_clean))]
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))
-    sample = docs.where("text is not null").select("doc_id", "text").join(ids, "doc_id").select("doc_id", "toxic", "text")
+    found = docs.where("text is not null").select("doc_id", "text").join(ids, "doc_id")
+    sample = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    hashes = cut_lineage(sample.mapInArrow(_hasher(terms), f"doc_id {kind}, toxic int, own array<long>, other array<long>"))
+    hashes = cut_lineage(sample.mapInArrow(_hasher(terms), f"doc_id {kind}, toxic int, own array<long>, gains array<array<long>>, losses array<array<long>>"))
     known = np.array(sorted(r["f"] for r in _telling(hashes).collect()), dtype=np.int64)
-    got = hashes.mapInArrow(_narrower(known), f"doc_id {kind}, toxic int, own binary, other binary").collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["own"]))[: 2 * (n_toxic + n_clean)]  # repeated rows of an id
-    both = [r for r in got if r["other"] is not None]
-    places = _places([r["own"] for r in got]), _places([r["other"] for r in both]), _places([r["own"] for r in both])
-    return _solve(np.array([r["toxic"] for r in got], dtype=np.float64), *places, len(both), known, CF_WEIGHT)
+    got = sorted(hashes.select("doc_id", "toxic", "own").mapInArrow(_narrower(known, 2), f"doc_id {kind}, toxic int, own binary").collect())
+    pairs = hashes.select(F.explode(F.arrays_zip("gains", "losses")).alias("p")).select("p.gains", "p.losses").mapInArrow(_narrower(known, 0), "gains binary, losses binary")
+    often = pairs.where("gains <> losses").groupBy("gains", "losses").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "gains", "losses").limit(MOST_SWAPS).collect()
+    places = (_places([r[k] for r in rows]) for rows, k in ((got, "own"), (often, "gains"), (often, "losses")))
+    return _solve(np.array([r["toxic"] for r in got], dtype=np.float64), *places, np.array([r["n"] for r in often], dtype=np.float64), known, cf_weight)
 
 
 def _places(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,18 +169,19 @@ def _places(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hasher(terms):
-    """Hashed features of a text, and of its copy with group terms swapped, null if it has none."""
+    """Hashed features of a text, and what the swaps of its sentences gain and lose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, other = [], []
+            own, gains, losses = [], [], []
             for text in batch.column(2).to_pylist():
-                words = word_set(text)
-                own.append(hashed(words))
-                copy = swapped(words, terms)
-                other.append(None if copy is None else hashed(copy))
+                own.append(hashed(feature_names(word_set(text))))
+                pairs = swaps(text, terms)
+                losses.append([hashed(a).tolist() for a, _ in pairs])
+                gains.append([hashed(b).tolist() for _, b in pairs])
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, kind), pa.array(other, kind)], names=["doc_id", "toxic", "own", "other"])
+            lists = [pa.array(own, kind), pa.array(gains, pa.list_(kind)), pa.array(losses, pa.list_(kind))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "own", "gains", "losses"])
 
     return run
 
@@ -211,19 +195,16 @@ def _telling(hashes: DataFrame) -> DataFrame:
     return seen.select("f", gain.alias("gain")).where("gain > 0").orderBy(F.col("gain").desc(), "f").limit(MOST_FEATURES)
 
 
-def _narrower(known: np.ndarray):
-    """The known features of each list, as bytes of 32-bit column numbers."""
+def _narrower(known: np.ndarray, keep: int):
+    """Of the lists after the first ``keep`` columns, the known features as bytes of 32-bit column numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def narrow(v) -> bytes | None:
-            if not v.is_valid:
-                return None
-            at = np.flatnonzero(np.isin(known, v.values.to_numpy(zero_copy_only=False), assume_unique=True))
-            return at.astype(np.int32).tobytes()
+        def narrow(v) -> bytes:
+            return np.flatnonzero(np.isin(known, v.values.to_numpy(zero_copy_only=False), assume_unique=True)).astype(np.int32).tobytes()
 
         for batch in batches:
-            lists = [pa.array([narrow(v) for v in batch.column(k)], pa.binary()) for k in (2, 3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "own", "other"])
+            lists = [pa.array([narrow(v) for v in c], pa.binary()) for c in batch.columns[keep:]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *lists], names=batch.schema.names)
 
     return run
 
@@ -233,6 +214,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     A null or empty text gets the bias's score. Repeated rows give repeated results; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(_scorer(model), f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -250,6 +232,7 @@ def _scorer(model: Model):
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, same columns."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("score", T.DoubleType())])

@@ -242,31 +242,50 @@ def test_op10_learns_and_spares_clean_documents(spark):
     assert sum(r.predicted for r in rows if label[r.doc_id]) >= 0.9 * sum(label[r.doc_id] for r in rows)
 
 
+def test_swaps_change_all_terms_of_a_sentence_at_once():
+    from lanewise.llm.toxicity import swaps
+
+    plain = lambda text: [({w for w in a if "-" not in w}, {w for w in b if "-" not in w}) for a, b in swaps(text)]
+    assert plain("She said so. The old house") == [({"she"}, {"he"}), ({"old"}, {"young"})]
+    assert plain("he and she") == [] and plain("no term here") == []
+    assert plain("black and white, asian too") == [({"black"}, {"latino"})]
+    assert plain("muslims and jews saw her") == [({"muslims", "jews", "her"}, {"christians", "hindus", "his"})]
+
+
 def test_counterfactual_penalty_closes_the_gap(spark):
-    import numpy as np
+    import random
 
     from lanewise.llm import toxicity as T
 
-    rng = np.random.default_rng(1)
-    words = [f"word{c}{k}" for c in "abcdef" for k in range(20)]
-    words = ["".join(chr(97 + int(d)) if d.isdigit() else d for d in w) for w in words]
-    texts, labels = [], []
-    for k in range(400):
+    rng = random.Random(1)
+    words = [f"word{c}{d}" for c in "abcdef" for d in "ghijklmnopqrstuvwxyz"]
+    rows, labels = [], []
+    for k in range(500):
         toxic = k % 2
-        picked = set(rng.choice(words, 12))
-        if toxic:
-            picked |= {"idiot"} if rng.random() < 0.7 else set()
+        picked = rng.sample(words, 12) + (["idiot"] if toxic and rng.random() < 0.7 else [])
         if rng.random() < (0.7 if toxic else 0.1):  # the group is named with toxic words more often
-            picked |= {"muslims"}
-        texts.append(picked)
-        labels.append(toxic)
-    rows = [T.hashed(t) for t in texts]
-    pairs = [(k, T.hashed(s)) for k, t in enumerate(texts) if (s := T.swapped(t)) is not None]
-    gap = lambda m: abs(m.margin({"the", "muslims", "live", "here"}) - m.margin({"the", "christians", "live", "here"}))
-    free, fair = T.fit(rows, np.array(labels), [], 0.0), T.fit(rows, np.array(labels), pairs)
+            picked.append("muslims")
+        rows.append((k, " ".join(picked) + ". An end to it."))
+        labels.append((k, toxic))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    free, fair = T.learn(docs, marks, cf_weight=0.0), T.learn(docs, marks)
+    margin = lambda m, text: m.margin(T.word_set(text))
+    gap = lambda m: abs(margin(m, "the muslims live here") - margin(m, "the christians live here"))
     assert gap(free) > 0.5
     assert gap(fair) < 0.2 * gap(free)
-    assert fair.margin({"idiot"}) > fair.margin({"the"}) + 1
+    assert margin(fair, "idiot") > margin(fair, "the") + 1
+    # a neutral mention is toxic without the penalty only
+    assert free.score("muslims") > fair.score("muslims")
+
+
+def test_toxicity_sample_is_bounded_by_ids_not_rows(spark):
+    from lanewise.llm import toxicity as T
+
+    rows = [(1, f"bad awful thing number {k}") for k in range(400)] + [(k, "a calm and quiet text of words") for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k == 1)) for k in range(40)] + [(10_000 + k, 1) for k in range(300)], "doc_id long, toxic int")
+    model = T.learn(docs, marks, n_toxic=5, n_clean=20)
+    assert abs(model.bias) < 40 and 0 <= model.score("calm") <= 1
 
 
 def test_quality_verdict_names_the_rule(spark):
