@@ -93,8 +93,8 @@ def vector_angle(ux, uy, vx, vy) -> Column:
 
 
 def observation_probability(distance, sigma: float = 20.0) -> Column:
-    """Gaussian weight of a distance in metres."""
-    return F.exp(-0.5 * F.pow(_c(distance) / sigma, 2))
+    """Gaussian density of a distance in metres."""
+    return F.exp(-0.5 * F.pow(_c(distance) / sigma, 2)) / (math.sqrt(2 * math.pi) * sigma)
 
 
 def turn_similarity(heading_a, heading_b) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import aggregates, filters, windows
-from .graph import short_paths
+from .graph import cheapest_below, cut
 
 
 def lanes_by_edge(points: DataFrame, order: list, k: float = 2.0) -> DataFrame:
@@ -62,20 +62,31 @@ def infer_missing(targets: DataFrame, neighbours: DataFrame, points: DataFrame,
     return n.join(mode, "eid", "left").join(before, "prev_eid", "left").select("eid", F.coalesce("by_mode", "by_prev").alias("lane_num"))
 
 
-def edge_types(edges: DataFrame, signals: DataFrame, longest: float = 30.0) -> DataFrame:
-    """``eid, edge_type``: 3 ends at a signal, 4 starts at one, 0 longer than ``longest``, 1 has a way back of one hop, 2 of three, else 0.
+def edge_types(edges: DataFrame, signals: DataFrame, limit: float = 30.0) -> DataFrame:
+    """``eid, edge_type``: 3 ends at a signal, 4 starts at one; else, of edges shorter than ``limit``, 1 whose cheapest way back has one hop and costs
+    less than twice the limit, 2 whose cheapest way back has three hops and costs less than four times the limit; else 0.
 
-    ``edges (eid, src, dst, length)``, ``signals (node)``. A way back counts up to ``longest`` too.
+    ``edges (eid, src, dst, length)``, ``signals (node)``. Ways of one and three hops are joined from both ends, only for the edges in question; a way of
+    another number of hops is looked for below their cost only. Of ways of one cost that with fewer hops counts.
     """
     s = signals.select("node").distinct()
     marked = edges.join(s.select(F.col("node").alias("dst"), F.lit(True).alias("at_end")), "dst", "left").join(s.select(F.col("node").alias("src"), F.lit(True).alias("at_start")), "src", "left")
-    short = marked.where(F.col("length") <= longest)
-    back = short_paths(edges, short.select(F.col("dst").alias("root")).distinct(), 3).where(F.col("cost") <= longest).select(F.col("root").alias("dst"), F.col("node").alias("src"), F.col("hops"))
-    typed = marked.join(back, ["src", "dst"], "left")
-    kind = (
-        F.when(F.col("at_end"), 3).when(F.col("at_start"), 4).when(F.col("length") > longest, 0).when(F.col("hops") == 1, 1).when(F.col("hops") == 3, 2).otherwise(0)
-    )
-    return typed.select("eid", kind.alias("edge_type"))
+    short = marked.where((F.col("length") < limit) & F.col("at_end").isNull() & F.col("at_start").isNull())
+    pairs = cut(short.select(F.col("dst").alias("root"), F.col("src").alias("goal")).distinct())
+    e = cut(edges.where(F.col("length") < 4 * limit).groupBy("src", "dst").agg(F.min("length").alias("length")))
+    hop = lambda a, b, w: e.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("length").alias(w))
+    one = pairs.join(hop("root", "goal", "c1"), ["root", "goal"])
+    two = hop("root", "m", "w1").join(pairs.select("root").distinct(), "root", "left_semi").join(hop("m", "n", "w2"), "m").where(F.col("w1") + F.col("w2") < 4 * limit)
+    two = cut(two.groupBy("root", "n").agg(F.min(F.col("w1") + F.col("w2")).alias("c2")))
+    three = pairs.join(hop("n", "goal", "w3"), "goal").join(two, ["root", "n"]).groupBy("root", "goal").agg(F.min(F.col("c2") + F.col("w3")).alias("c3"))
+    ways = pairs.join(one, ["root", "goal"], "left").join(two.withColumnRenamed("n", "goal"), ["root", "goal"], "left").join(three, ["root", "goal"], "left")
+    never = F.lit(float("inf"))
+    c1, c2, c3 = (F.coalesce(c, never) for c in ("c1", "c2", "c3"))
+    kind = F.when((c1 <= c2) & (c1 <= c3) & (c1 < 2 * limit), 1).when((c3 < c1) & (c3 < c2) & (c3 < 4 * limit), 2)
+    found = cut(ways.select("root", "goal", kind.alias("kind"), F.least(c1, c3).alias("bound")).where("kind is not null"))
+    typed = found.join(cheapest_below(edges, found), ["root", "goal"], "left_anti") if not found.isEmpty() else found
+    out = marked.join(typed.select(F.col("root").alias("dst"), F.col("goal").alias("src"), "kind"), ["src", "dst"], "left")
+    return out.select("eid", F.when(F.col("at_end"), 3).when(F.col("at_start"), 4).when(F.col("length") < limit, F.coalesce("kind", F.lit(0))).otherwise(0).alias("edge_type"))
 
 
 def rank_candidates(candidates: DataFrame) -> DataFrame:

@@ -149,6 +149,27 @@ def short_paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return best.groupBy("root", "node").agg(F.min(F.struct("cost", "hops")).alias("b")).select("root", "node", "b.cost", "b.hops")
 
 
+def cheapest_below(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``root, goal, cost``: the cheapest path's cost for those of ``pairs (root, goal, bound)`` that have a path cheaper than their bound.
+
+    Rounds from the roots outwards, of any number of hops; a place is left as soon as no goal of its root could be reached below its bound. Only places
+    that became cheaper go on to the next round, so that the rounds end.
+    """
+    pairs = cut(pairs.select("root", "goal", "bound"))
+    most = cut(pairs.groupBy("root").agg(F.max("bound").alias("most")))
+    top = most.agg(F.max("most")).first()[0]
+    e = cut(edges.where(F.col("length") < F.lit(top)).groupBy("src", "dst").agg(F.min("length").alias("length")))
+    best = cut(most.select("root", F.col("root").alias("node"), F.lit(0.0).alias("cost")))
+    front = best
+    while not front.isEmpty():
+        step = front.join(e, front["node"] == e["src"]).select("root", F.col("dst").alias("node"), (F.col("cost") + F.col("length")).alias("cost"))
+        step = step.join(most, "root").where("cost < most").groupBy("root", "node").agg(F.min("cost").alias("cost"))
+        old = best.select("root", "node", F.col("cost").alias("old"))
+        front = cut(step.join(old, ["root", "node"], "left").where("old is null or cost < old").select("root", "node", "cost"))
+        best = cut(best.unionByName(front).groupBy("root", "node").agg(F.min("cost").alias("cost")))
+    return pairs.join(best.withColumnRenamed("node", "goal"), ["root", "goal"]).where("cost < bound").select("root", "goal", "cost")
+
+
 def longest_path(edges: DataFrame, key: str) -> DataFrame:
     """Longest path of each group's tree ``(key, src, dst, length)``: two breadth-first walks: ``key, seq, node``. Later nodes win ties."""
 

@@ -43,16 +43,21 @@ def path_coverage(path: DataFrame, edge: str = "eid", threshold: float = 0.6) ->
 
 
 def insert_interval(items: Column, new: Column) -> Column:
-    """Insert ``struct<start,end,value>`` into an ordered list: what it overlaps is absorbed, the span grows, the value is that of the first absorbed one."""
-    before = F.filter(items, lambda x: x["end"] < new["start"])
-    after = F.filter(items, lambda x: x["start"] > new["end"])
-    met = F.filter(items, lambda x: (x["end"] >= new["start"]) & (x["start"] <= new["end"]))
-    grown = F.struct(
-        F.least(new["start"], F.array_min(F.transform(met, lambda x: x["start"]))).alias("start"),
-        F.greatest(new["end"], F.array_max(F.transform(met, lambda x: x["end"]))).alias("end"),
-        F.coalesce(F.get(met, F.lit(0))["value"], new["value"]).alias("value"),
-    )
-    return F.concat(before, F.array(grown), after)
+    """Insert ``struct<start,end,value>`` into an ordered list: what it overlaps is absorbed, the span grows and may reach further items, and the value is
+    that of the last absorbed one."""
+    none = F.filter(items, lambda x: F.lit(False))
+    zero = F.struct(none.alias("before"), new.alias("new"), none.alias("after"))
+
+    def step(acc: Column, x: Column) -> Column:
+        left, right = x["end"] < acc["new"]["start"], x["start"] > acc["new"]["end"]
+        grown = F.struct(F.least(x["start"], acc["new"]["start"]).alias("start"), F.greatest(x["end"], acc["new"]["end"]).alias("end"), x["value"].alias("value"))
+        return F.struct(
+            F.when(left, F.concat(acc["before"], F.array(x))).otherwise(acc["before"]).alias("before"),
+            F.when(left | right, acc["new"]).otherwise(grown).alias("new"),
+            F.when(~left & right, F.concat(acc["after"], F.array(x))).otherwise(acc["after"]).alias("after"),
+        )
+
+    return F.aggregate(items, zero, step, lambda acc: F.concat(acc["before"], F.array(acc["new"]), acc["after"]))
 
 
 def split_overlaps(changes: DataFrame, existing: DataFrame, key: str, bucket: float | None = None) -> DataFrame:

@@ -55,38 +55,38 @@ def road_and_links(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.inline(F.concat(F.array(road), links))).distinct()
 
 
-def repair_headings(panos: DataFrame, keys: DataFrame) -> DataFrame:
+def repair_headings(panos: DataFrame, keys: DataFrame, least: float = 0.15) -> DataFrame:
     """Heading of every pano, and roads driven against their order turned round.
 
-    ``panos (PID, RID, Order, DIR)``, ``keys (PID, MoveDir)`` of key panos. A road's first pano takes its key heading, else 0; its last one the key
-    heading, else -1; the others DIR. On roads of several panos ``dir_sim`` = cos of (first heading - DIR of the first) + 1; below 0.15 the order is
-    reversed and headings that are not -1 are turned by half a turn.
+    ``panos (PID, RID, Order, DIR)``, ``keys (PID, MoveDir)`` of key panos. A road's last pano takes its key heading, else -1; the one of order 0, if it is
+    not the last, its key heading, else 0; the others have none yet. On roads of several panos ``dir_sim`` of the one of order 0 is cos of (its heading - DIR) + 1;
+    below ``least`` the road's order is reversed, and its panos without a heading, or with -1, take the opposite of DIR. What has no heading then takes DIR.
     """
     w = Window.partitionBy("RID")
-    up, down = w.orderBy(F.col("Order")), w.orderBy(F.col("Order").desc())
     p = panos.join(keys.select("PID", F.col("MoveDir").alias("__key")), "PID", "left")
-    p = p.withColumns({"__n": F.count(F.lit(1)).over(w), "__f": F.row_number().over(up) == 1, "__l": F.row_number().over(down) == 1})
-    p = p.withColumn("__move", F.when(F.col("__f"), F.coalesce("__key", F.lit(0.0))).when(F.col("__l"), F.coalesce("__key", F.lit(-1.0))).otherwise(F.col("DIR").cast("double")))
-    sim = F.when((F.col("__n") > 1) & F.col("__f"), F.cos(geo.azimuth_gap("__move", "DIR")) + 1)
-    p = p.withColumn("dir_sim", F.max(sim).over(w)).withColumn("revert", F.coalesce(F.col("dir_sim") < 0.15, F.lit(False)))
+    p = p.withColumns({"__n": F.count(F.lit(1)).over(w), "__l": F.row_number().over(w.orderBy(F.col("Order").desc())) == 1})
+    first = F.col("Order") == 0
+    sim = F.when(first & (F.col("__n") > 1), F.cos(geo.azimuth_gap(F.coalesce("__key", F.lit(0.0)), "DIR")) + 1)
+    move = F.when(F.col("__l"), F.coalesce("__key", F.lit(-1.0))).when(first, F.coalesce("__key", F.lit(0.0)))
+    p = p.withColumns({"dir_sim": sim, "__move": move}).withColumn("revert", F.coalesce(F.min("dir_sim").over(w) < least, F.lit(False)))
     order = F.when(F.col("revert"), F.max("Order").over(w) - F.col("Order")).otherwise(F.col("Order"))
-    move = F.when(F.col("revert") & (F.col("__move") != -1), geo.opposite("__move")).otherwise(F.col("__move"))
-    return p.select("PID", "RID", order.cast("int").alias("Order"), "DIR", move.cast("int").alias("MoveDir"), "dir_sim", "revert")
+    turned = F.when(F.col("revert") & ~F.coalesce(F.col("__move") >= 0, F.lit(False)), geo.opposite("DIR")).otherwise(F.col("__move"))
+    return p.select("PID", "RID", order.cast("int").alias("Order"), "DIR", F.coalesce(turned, F.col("DIR")).cast("int").alias("MoveDir"), "dir_sim", "revert")
 
 
-def topology(edges: DataFrame, headings: DataFrame, sigma: float = 20.0) -> DataFrame:
-    """Links between road ends with their similarity.
+def topology(edges: DataFrame, panos: DataFrame, sigma: float = 20.0, forward: bool = True) -> DataFrame:
+    """Roads and links between panos with their similarity: ``edges (rid, src, dst, link, dist)``, ``panos (pid, dir, x, y)``.
 
-    ``edges (rid, src, dst, link, dist)``, ``headings (pid, dir)``. ``dist_prob`` is the observation weight of the link's length, normalised by the
-    largest of the links that start together; similarity = cos^2 x dist_prob_std x turn. Roads have 1 for both.
+    ``dist_prob`` is the density of the edge's length; its square root, normalised by the largest of all edges that start together (end
+    together without ``forward``), is ``dist_prob_std``; ``turn_sim`` compares the heading at the start (at the end) with the azimuth from start to end. The
+    similarity is cos_sim^2 x dist_prob_std x turn_sim, with the cosine of the two headings; a road's is 1.
     """
-    both = edges.join(headings.select(F.col("pid").alias("src"), F.col("dir").alias("dir_0")), "src").join(headings.select(F.col("pid").alias("dst"), F.col("dir").alias("dir_1")), "dst")
-    prob = both.withColumn("dist_prob", geo.observation_probability("dist", sigma))
-    w = Window.partitionBy("src")
-    std = F.when(F.col("link"), F.sqrt(F.col("dist_prob") / F.max(F.when(F.col("link"), F.col("dist_prob"))).over(w))).otherwise(F.lit(1.0))
-    turn = F.when(F.col("link"), geo.turn_similarity("dir_0", "dir_1")).otherwise(F.lit(1.0))
-    out = prob.withColumn("dist_prob_std", std).withColumn("turn_sim", turn)
-    return out.withColumn("similarity", geo.edge_similarity(geo.turn_similarity("dir_0", "dir_1"), F.col("dist_prob_std"), F.col("turn_sim")))
+    at = lambda end, k: panos.select(F.col("pid").alias(end), F.col("dir").alias(f"dir_{k}"), F.col("x").alias(f"__x{k}"), F.col("y").alias(f"__y{k}"))
+    both = edges.join(at("src", 0), "src").join(at("dst", 1), "dst").withColumn("dist_prob", geo.observation_probability("dist", sigma))
+    std = F.when(F.col("link"), F.sqrt(F.col("dist_prob") / F.max("dist_prob").over(Window.partitionBy("src" if forward else "dst")))).otherwise(F.lit(1.0))
+    turn = geo.turn_similarity("dir_0" if forward else "dir_1", geo.azimuth("__x0", "__y0", "__x1", "__y1"))
+    out = both.withColumns({"dist_prob_std": std, "turn_sim": turn, "cos_sim": geo.turn_similarity("dir_0", "dir_1")}).drop("__x0", "__y0", "__x1", "__y1")
+    return out.withColumn("similarity", F.when(F.col("link"), geo.edge_similarity("cos_sim", "dist_prob_std", "turn_sim")).otherwise(F.lit(1.0)))
 
 
 def _chains(threshold: float):
@@ -96,9 +96,10 @@ def _chains(threshold: float):
         pdf = pdf.sort_values(["rid", "src", "dst"])
         ahead: dict = {}
         behind: dict = {}
-        for r in pdf.sort_values(["similarity", "rid"], ascending=[False, True]).itertuples():
+        for r in pdf.sort_values(["link", "similarity", "rid"], ascending=[True, False, True]).itertuples():
             ahead.setdefault(r.src, []).append((r.dst, r.rid, r.link, r.similarity))
-            behind.setdefault(r.dst, []).append((r.src, r.rid, r.link, r.similarity))
+        for r in pdf.sort_values(["link", "similarity_back", "rid"], ascending=[True, False, True]).itertuples():
+            behind.setdefault(r.dst, []).append((r.src, r.rid, r.link, r.similarity_back))
         seen: set = set()
 
         def walk(pid, table) -> list:
@@ -131,11 +132,14 @@ def _chains(threshold: float):
 def trajectories(topo: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``root, seq, rid``: roads chained greedily, component by component, as what is visited in one cannot be met in another.
 
-    ``topo (rid, src, dst, link, similarity)``, ``labels (node, component)`` of the panos' weak components.
+    ``topo (rid, src, dst, link, similarity)``, ``labels (node, component)`` of the panos' weak components. Chains go backwards by ``similarity_back``, if there
+    is such a column, else by ``similarity``.
     """
+    if "similarity_back" not in topo.columns:
+        topo = topo.withColumn("similarity_back", F.col("similarity"))
     keyed = topo.join(labels.select(F.col("node").alias("src"), "component"), "src")
     kind = topo.schema["rid"].dataType.simpleString()
-    return keyed.select("component", "rid", "src", "dst", "link", "similarity").groupBy("component").applyInPandas(_chains(threshold), f"root {kind}, seq long, rid {kind}")
+    return keyed.select("component", "rid", "src", "dst", "link", "similarity", "similarity_back").groupBy("component").applyInPandas(_chains(threshold), f"root {kind}, seq long, rid {kind}")
 
 
 def trajectory_table(trajs: DataFrame, roads: DataFrame) -> DataFrame:

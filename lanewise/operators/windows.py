@@ -23,13 +23,12 @@ def sigma_outlier(df: DataFrame, keys: list[str], value: str, k: float = 2.0, na
 
 
 def lane_filter(points: DataFrame, keys: list[str], order: list, value: str, k: float = 2.0) -> DataFrame:
-    """Outlier flag of lane observations: lanes of 0 or less are outliers; of the others those outside k deviations, and then those
-    that equal neither neighbour. Rows without a lane number vanish."""
+    """Outlier flag of lane observations: lanes of 0 or less are outliers; of the others those outside k deviations, and those at a place, the
+    first column of ``order``, where one equals neither neighbour. Both tests see all positive rows of the group. Rows without a lane number vanish."""
     bad = points.where(F.col(value) <= 0).withColumn("outlier", F.lit(True))
-    good = sigma_outlier(points.where(F.col(value) > 0), keys, value, k, "__far")
-    near = continuous(good.where(~F.col("__far")), keys, order, value, "__cont")
-    kept = near.withColumn("outlier", ~F.col("__cont")).drop("__cont", "__far")
-    return bad.unionByName(good.where("__far").withColumn("outlier", F.lit(True)).drop("__far")).unionByName(kept)
+    good = continuous(sigma_outlier(points.where(F.col(value) > 0), keys, value, k, "__far"), keys, order, value, "__cont")
+    broken = F.max(~F.col("__cont")).over(Window.partitionBy(*keys, order[0]))
+    return bad.unionByName(good.withColumn("outlier", F.col("__far") | broken).drop("__far", "__cont"))
 
 
 def running_distance(df: DataFrame, keys: list[str], order: list, distance: Column, name: str) -> DataFrame:
@@ -40,9 +39,9 @@ def running_distance(df: DataFrame, keys: list[str], order: list, distance: Colu
 
 
 def max_normalised(df: DataFrame, keys: list[str], value: str, is_link: Column, name: str) -> DataFrame:
-    """sqrt(value / largest of the group) for links, 1 for others."""
+    """sqrt(value / largest of the group, of all its rows) for links, 1 for others."""
     w = Window.partitionBy(*keys)
-    return df.withColumn(name, F.when(is_link, F.sqrt(F.col(value) / F.max(F.when(is_link, F.col(value))).over(w))).otherwise(F.lit(1.0)))
+    return df.withColumn(name, F.when(is_link, F.sqrt(F.col(value) / F.max(value).over(w))).otherwise(F.lit(1.0)))
 
 
 def reverse_order(df: DataFrame, keys: list[str], order: str, flag: Column, name: str) -> DataFrame:

@@ -130,19 +130,34 @@ def g19_projected_length(spark: SparkSession, d: str) -> DataFrame:
     return v_line(spark, d).select("id", F.round(line.length_mercator(F.col("coords")), 2).alias("m"))
 
 
-@q("SELECT event_id, round(exp(-0.5 * pow(value / 20, 2)), 9) AS p FROM events")
+@q("SELECT event_id, round(1 / (sqrt(2 * pi()) * 20) * exp(-pow(value, 2) / (2 * pow(20, 2))), 9) AS p FROM events")
 def g21_observation_probability(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(geo.observation_probability("value"), 9).alias("p"))
 
 
-@q("""WITH e AS (SELECT o_orderkey AS id, o_custkey AS src, o_orderkey % 360 AS a, o_custkey % 360 AS b, o_totalprice / 10000 AS dist FROM orders), p AS (SELECT *, exp(-0.5 * pow(dist / 20, 2)) AS pr, (1 + cos(radians(least(abs(a - b) % 360, 360 - abs(a - b) % 360)))) / 2 AS t FROM e)
-SELECT id, round(pow(t, 2) * sqrt(pr / max(pr) OVER (PARTITION BY src)) * t, 6) AS similarity FROM p""")
+_TOPO = """WITH e AS (SELECT o_orderkey AS id, o_custkey AS src, o_custkey % 360 AS dir_0, o_orderkey % 360 AS dir_1, o_orderstatus <> 'F' AS link, o_totalprice / 10000 AS dist, o_orderkey % 89 - o_custkey % 97 AS dx, o_orderkey % 83 - o_custkey % 101 AS dy FROM orders),
+a AS (SELECT *, 1 / (sqrt(2 * pi()) * 20) * exp(-pow(dist, 2) / (2 * pow(20, 2))) AS prob, CASE WHEN dx = 0 AND dy = 0 THEN 0 WHEN atan2(dx, dy) < 0 THEN degrees(atan2(dx, dy)) + 360 ELSE degrees(atan2(dx, dy)) END AS az FROM e),
+g AS (SELECT *, abs(dir_0 - dir_1) AS gap, abs({heading} - az) AS turn FROM a),
+s AS (SELECT *, (cos(radians(CASE WHEN gap > 180 THEN 360 - gap ELSE gap END)) + 1) / 2 AS cos_sim, (cos(radians(CASE WHEN turn > 180 THEN 360 - turn ELSE turn END)) + 1) / 2 AS turn_sim, sqrt(prob / max(prob) OVER (PARTITION BY {end})) AS std FROM g)
+SELECT id, round(CASE WHEN link THEN cos_sim * cos_sim * std * turn_sim ELSE 1 END, 6) AS similarity FROM s"""
+
+
+def _topo(spark: SparkSession, d: str, forward: bool) -> DataFrame:
+    """Orders as edges from their customer; every customer and order is a pano with a heading and a place."""
+    o = table(spark, d, "orders").selectExpr("o_orderkey rid", "o_custkey src", "-o_orderkey - 1 dst", "o_orderstatus <> 'F' link", "o_totalprice / 10000 dist")
+    heads = o.selectExpr("src pid", "src % 360 dir", "src % 97 x", "src % 101 y").distinct()
+    ends = o.selectExpr("dst pid", "rid % 360 dir", "rid % 89 x", "rid % 83 y")
+    return pano.topology(o, heads.unionByName(ends), forward=forward).select(F.col("rid").alias("id"), F.round("similarity", 6).alias("similarity"))
+
+
+@q(_TOPO.format(heading="dir_0", end="src"))
 def g22_edge_similarity(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").selectExpr("o_orderkey rid", "o_custkey src", "o_orderkey dst", "true link", "o_totalprice / 10000 dist")
-    heads = o.selectExpr("src pid", "src % 360 dir").distinct()
-    ends = o.selectExpr("-dst - 1 pid", "rid % 360 dir")
-    t = pano.topology(o.withColumn("dst", -F.col("dst") - 1), heads.unionByName(ends))
-    return t.select(F.col("rid").alias("id"), F.round("similarity", 6).alias("similarity"))
+    return _topo(spark, d, True)
+
+
+@q(_TOPO.format(heading="dir_1", end="id"))
+def g22_edge_similarity_back(spark: SparkSession, d: str) -> DataFrame:
+    return _topo(spark, d, False)
 
 
 @q("SELECT vec_id, vec_id * 256 * pow(2, 18 - vec_id % 5) AS m FROM embeddings")
@@ -351,10 +366,13 @@ def r24_both_directions(spark: SparkSession, d: str) -> DataFrame:
     return osm.both_directions(e).select("rid", "s", "e", "direction")
 
 
-@q(sql("v_graph", """WITH e AS (SELECT src * 1000 + dst AS eid, src, dst, length FROM v_graph), s AS (SELECT user_id AS node FROM events GROUP BY 1 HAVING user_id % 11 = 0), sh AS (SELECT DISTINCT dst AS root FROM e WHERE length <= 5 ),
-h1 AS (SELECT root, e.dst AS node, min(length) AS cost FROM sh JOIN e ON e.src = root GROUP BY 1, 2), h2 AS (SELECT root, e.dst AS node, min(cost + length) AS cost FROM h1 JOIN e ON e.src = node GROUP BY 1, 2), h3 AS (SELECT root, e.dst AS node, min(cost + length) AS cost FROM h2 JOIN e ON e.src = node GROUP BY 1, 2),
-al AS (SELECT root, node, cost, hops FROM (SELECT *, row_number() OVER (PARTITION BY root, node ORDER BY cost, hops) AS rn FROM (SELECT root, root AS node, 0.0 AS cost, 0 AS hops FROM sh UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3)) WHERE rn = 1)
-SELECT e.eid, CASE WHEN e.dst IN (SELECT node FROM s) THEN 3 WHEN e.src IN (SELECT node FROM s) THEN 4 WHEN e.length > 5 THEN 0 WHEN al.hops = 1 THEN 1 WHEN al.hops = 3 THEN 2 ELSE 0 END AS edge_type FROM e LEFT JOIN al ON al.root = e.dst AND al.node = e.src AND al.cost <= 5"""))
+@q(sql("v_graph", """WITH e AS (SELECT src * 1000 + dst AS eid, src, dst, length FROM v_graph), s AS (SELECT user_id AS node FROM events GROUP BY 1 HAVING user_id % 11 = 0), p1 AS (SELECT src AS a, dst AS b, struct_pack(cost := min(length), hops := 1) AS w FROM e WHERE length < 20 GROUP BY 1, 2),
+p2 AS (SELECT a, b, min(w) AS w FROM (SELECT * FROM p1 UNION ALL SELECT x.a, y.b, struct_pack(cost := x.w.cost + y.w.cost, hops := x.w.hops + y.w.hops) FROM p1 x JOIN p1 y ON x.b = y.a AND x.w.cost + y.w.cost < 20) GROUP BY 1, 2),
+p4 AS (SELECT a, b, min(w) AS w FROM (SELECT * FROM p2 UNION ALL SELECT x.a, y.b, struct_pack(cost := x.w.cost + y.w.cost, hops := x.w.hops + y.w.hops) FROM p2 x JOIN p2 y ON x.b = y.a AND x.w.cost + y.w.cost < 20) GROUP BY 1, 2),
+p8 AS (SELECT a, b, min(w) AS w FROM (SELECT * FROM p4 UNION ALL SELECT x.a, y.b, struct_pack(cost := x.w.cost + y.w.cost, hops := x.w.hops + y.w.hops) FROM p4 x JOIN p4 y ON x.b = y.a AND x.w.cost + y.w.cost < 20) GROUP BY 1, 2),
+p16 AS (SELECT a, b, min(w) AS w FROM (SELECT * FROM p8 UNION ALL SELECT x.a, y.b, struct_pack(cost := x.w.cost + y.w.cost, hops := x.w.hops + y.w.hops) FROM p8 x JOIN p8 y ON x.b = y.a AND x.w.cost + y.w.cost < 20) GROUP BY 1, 2)
+SELECT e.eid, CASE WHEN e.dst IN (SELECT node FROM s) THEN 3 WHEN e.src IN (SELECT node FROM s) THEN 4 WHEN e.length > 5 THEN 0 WHEN p.w.hops = 1 AND e.length < 5 AND p.w.cost < 10 THEN 1 WHEN p.w.hops = 3 AND e.length < 5 AND p.w.cost < 20 THEN 2 ELSE 0 END AS edge_type
+FROM e LEFT JOIN p16 p ON p.a = e.dst AND p.b = e.src"""))
 def r28_edge_types(spark: SparkSession, d: str) -> DataFrame:
     e = v_graph(spark, d).selectExpr("src * 1000 + dst eid", "src", "dst", "length")
     s = table(spark, d, "events").selectExpr("user_id node").distinct().where("node % 11 = 0")

@@ -17,8 +17,9 @@ _O = "ORDER BY ofs, pid, rid, tie"
 _FILTERED = f"""pos AS (SELECT * FROM v_map WHERE lane_num > 0),
 st AS (SELECT *, avg(lane_num) OVER (PARTITION BY eid) AS m, stddev_samp(lane_num) OVER (PARTITION BY eid) AS s, min(lane_num) OVER (PARTITION BY eid) AS lo, max(lane_num) OVER (PARTITION BY eid) AS hi FROM pos),
 far AS (SELECT *, coalesce(lo <> hi AND NOT (lane_num > m - 2 * s AND lane_num < m + 2 * s), FALSE) AS is_far FROM st),
-near AS (SELECT eid, rid, pid, ofs, lane_num, tie, NOT (coalesce(lag(lane_num) OVER (PARTITION BY eid {_O}) = lane_num, FALSE) OR coalesce(lead(lane_num) OVER (PARTITION BY eid {_O}) = lane_num, FALSE)) AS outlier FROM far WHERE NOT is_far),
-flt AS (SELECT eid, rid, pid, ofs, lane_num, tie, TRUE AS outlier FROM v_map WHERE lane_num <= 0 UNION ALL SELECT eid, rid, pid, ofs, lane_num, tie, TRUE FROM far WHERE is_far UNION ALL SELECT * FROM near)"""
+nb AS (SELECT eid, ofs, lane_num, lag(lane_num) OVER (PARTITION BY eid {_O}) AS prev, lead(lane_num) OVER (PARTITION BY eid {_O}) AS nxt FROM pos),
+broken AS (SELECT DISTINCT eid, ofs FROM nb WHERE prev IS DISTINCT FROM lane_num AND nxt IS DISTINCT FROM lane_num),
+flt AS (SELECT eid, rid, pid, ofs, lane_num, tie, TRUE AS outlier FROM v_map WHERE lane_num <= 0 UNION ALL SELECT far.eid, rid, pid, far.ofs, lane_num, tie, is_far OR broken.eid IS NOT NULL FROM far LEFT JOIN broken ON broken.eid = far.eid AND broken.ofs = far.ofs)"""
 _MODE = """cnt AS (SELECT eid, lane_num, count(*) AS n FROM flt WHERE NOT outlier GROUP BY 1, 2),
 md AS (SELECT eid, lane_num AS mode, n AS freq FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY n DESC, lane_num) AS rn FROM cnt) WHERE rn = 1),
 lanes AS (SELECT eid, CASE WHEN freq > 1 AND mode <> 0 THEN mode - 1 END AS lane_num FROM md)"""
@@ -213,7 +214,7 @@ def w04_running_distance(spark: SparkSession, d: str) -> DataFrame:
     return t.select("traj", "event_id", F.round("run", 4).alias("run"))
 
 
-@q("SELECT event_id, round(CASE WHEN event_type <> 'view' THEN sqrt(value / max(CASE WHEN event_type <> 'view' THEN value END) OVER (PARTITION BY user_id)) ELSE 1 END, 6) AS p FROM events")
+@q("SELECT event_id, round(CASE WHEN event_type <> 'view' THEN sqrt(value / max(value) OVER (PARTITION BY user_id)) ELSE 1 END, 6) AS p FROM events")
 def w05_max_normalise(spark: SparkSession, d: str) -> DataFrame:
     e = windows.max_normalised(table(spark, d, "events"), ["user_id"], "value", F.col("event_type") != "view", "p")
     return e.select("event_id", F.round("p", 6).alias("p"))
@@ -300,19 +301,19 @@ def r30_candidate_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 @q("""WITH p AS (SELECT l_orderkey AS rid, l_partkey AS pid, min(l_linenumber) AS ord FROM lineitem GROUP BY 1, 2), k AS (SELECT p_partkey AS pid, p_size * 7.0::DOUBLE AS mv FROM part WHERE p_partkey % 3 <> 0),
-w AS (SELECT p.*, l.dir, k.mv, count(*) OVER (PARTITION BY p.rid) AS n, row_number() OVER (PARTITION BY p.rid ORDER BY ord, p.pid) AS u, row_number() OVER (PARTITION BY p.rid ORDER BY ord DESC, p.pid DESC) AS d FROM p JOIN (SELECT p_partkey AS pid, p_partkey * 13 % 360 AS dir FROM part) l ON l.pid = p.pid LEFT JOIN k ON k.pid = p.pid),
-m AS (SELECT *, CASE WHEN u = 1 THEN coalesce(mv, 0) WHEN d = 1 THEN coalesce(mv, -1) ELSE dir END AS mo FROM w),
-s AS (SELECT *, max(CASE WHEN n > 1 AND u = 1 THEN cos(radians(least(abs(mo - dir) % 360, 360 - abs(mo - dir) % 360))) + 1 END) OVER (PARTITION BY rid) AS sim, max(ord) OVER (PARTITION BY rid) AS mx FROM m)
-SELECT pid, rid, CASE WHEN coalesce(sim < 0.15, FALSE) THEN mx - ord ELSE ord END AS ord, CAST(CASE WHEN coalesce(sim < 0.15, FALSE) AND mo <> -1 THEN (mo + 180) % 360 ELSE mo END AS INTEGER) AS move_dir, coalesce(sim < 0.15, FALSE) AS revert FROM s""")
+w AS (SELECT p.pid, p.rid, l.dir, k.mv, row_number() OVER (PARTITION BY p.rid ORDER BY ord, p.pid) - 1 AS ord, count(*) OVER (PARTITION BY p.rid) AS n FROM p JOIN (SELECT p_partkey AS pid, p_partkey * 13 % 360 AS dir FROM part) l ON l.pid = p.pid LEFT JOIN k ON k.pid = p.pid),
+first_pano AS (SELECT *, coalesce(mv, 0) AS h FROM w WHERE ord = 0 AND n > 1),
+reversed AS (SELECT rid FROM first_pano WHERE cos(radians(CASE WHEN abs(h - dir) > 180 THEN 360 - abs(h - dir) ELSE abs(h - dir) END)) + 1 < 0.15),
+m AS (SELECT w.*, r.rid IS NOT NULL AS revert, CASE WHEN ord = n - 1 THEN coalesce(mv, -1) WHEN ord = 0 THEN coalesce(mv, 0) END AS h FROM w LEFT JOIN reversed r ON r.rid = w.rid)
+SELECT pid, rid, CAST(CASE WHEN revert THEN n - 1 - ord ELSE ord END AS INTEGER) AS ord, CAST(CASE WHEN revert AND (h IS NULL OR h < 0) THEN (dir + 360 - 180) % 360 ELSE coalesce(h, dir) END AS INTEGER) AS move_dir, revert FROM m""")
 def r33_heading_repair(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     p = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("ord")).join(part.selectExpr("p_partkey l_partkey", "p_partkey * 13 % 360 DIR"), "l_partkey")
-    # the tie of equal orders is the pano's id, as in the oracle
-    panos = p.select(F.col("l_partkey").alias("PID"), F.col("l_orderkey").alias("RID"), (F.col("ord") * 10000000 + F.col("l_partkey")).alias("Order"), "DIR", "ord")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("ord", "l_partkey")) - 1
+    panos = p.select(F.col("l_partkey").alias("PID"), F.col("l_orderkey").alias("RID"), place.alias("Order"), "DIR")
     keys = part.where("p_partkey % 3 <> 0").selectExpr("p_partkey PID", "p_size * 7.0D MoveDir")
-    out = pano.repair_headings(panos.select("PID", "RID", "Order", "DIR"), keys).select("PID", "RID", "MoveDir", "revert").join(panos.select("PID", "RID", "ord"), ["PID", "RID"])
-    back = windows.reverse_order(out, ["RID"], "ord", F.col("revert"), "o2")
-    return back.select(F.col("PID").alias("pid"), F.col("RID").alias("rid"), F.col("o2").alias("ord"), F.col("MoveDir").alias("move_dir"), "revert")
+    out = pano.repair_headings(panos, keys)
+    return out.select(F.col("PID").alias("pid"), F.col("RID").alias("rid"), F.col("Order").alias("ord"), F.col("MoveDir").alias("move_dir"), "revert")
 
 
 @q("""WITH o AS (SELECT o_orderkey AS id, o_custkey AS v FROM orders), n AS (SELECT l_orderkey AS id, max(l_suppkey) AS v FROM lineitem WHERE l_quantity > 40 GROUP BY 1), k AS (SELECT * FROM o WHERE id NOT IN (SELECT id FROM n))

@@ -195,10 +195,15 @@ def g25_provider_coordinates(spark: SparkSession, d: str) -> DataFrame:
     return grid_nodes(spark, d).select("id", geo.wgs_to_bd("x", "y").alias("p")).select("id", F.round("p.x", 7).alias("x"), F.round("p.y", 7).alias("y"))
 
 
-@q()
+@q("""WITH s AS (SELECT DISTINCT l_orderkey AS eid, l_linenumber * 10 AS a, l_linenumber * 10 + 4 AS b, CAST(trunc(l_quantity) AS INTEGER) % 6 AS v FROM lineitem),
+met AS (SELECT eid, least(12, min(a)) AS a, greatest(33, max(b)) AS b, max(struct_pack(a := a, b := b, v := v)).v AS v FROM s WHERE b >= 12 AND a <= 33 GROUP BY 1),
+n AS (SELECT e.eid, coalesce(met.a, 12) AS a, coalesce(met.b, 33) AS b, coalesce(met.v, 9) AS v FROM (SELECT DISTINCT eid FROM s) e LEFT JOIN met ON met.eid = e.eid),
+u AS (SELECT * FROM s WHERE b < 12 OR a > 33 UNION ALL SELECT * FROM n)
+SELECT eid, CAST(row_number() OVER (PARTITION BY eid ORDER BY a, b, v) - 1 AS INTEGER) AS k, a AS start, b AS "end", v AS value FROM u""")
 def g29_inserted_interval(spark: SparkSession, d: str) -> DataFrame:
     spans = v_map(spark, d).groupBy("eid").agg(F.array_sort(F.collect_set(F.struct((F.col("ofs") * 10).alias("start"), (F.col("ofs") * 10 + 4).alias("end"), F.col("lane_num").alias("value")))).alias("s"))
-    return spans.select("eid", F.to_json(intervals.insert_interval(F.col("s"), F.struct(F.lit(12).alias("start"), F.lit(33).alias("end"), F.lit(9).alias("value")))).alias("spans"))
+    new = F.struct(F.lit(12).alias("start"), F.lit(33).alias("end"), F.lit(9).alias("value"))
+    return spans.select("eid", F.posexplode(intervals.insert_interval(F.col("s"), new)).alias("k", "x")).select("eid", "k", "x.start", "x.end", "x.value")
 
 
 @q()

@@ -122,6 +122,11 @@ def test_insert_interval_takes_the_absorbed_value(spark):
     assert [tuple(x) for x in got] == [(0, 2, "a"), (4, 7, "b"), (9, 9, "c")]
     free = one(spark, intervals.insert_interval(F.array(span(0, 2, "a")), span(4, 6, "new")))
     assert [tuple(x) for x in free] == [(0, 2, "a"), (4, 6, "new")]
+    # FIXTURES C3: of several absorbed ones the last one's value; what the grown span reaches is absorbed too
+    several = one(spark, intervals.insert_interval(F.array(span(0, 5, 3), span(8, 12, 2)), span(4, 9, 7)))
+    assert [tuple(x) for x in several] == [(0, 12, 2)]
+    reached = one(spark, intervals.insert_interval(F.array(span(0, 1, 1), span(3, 20, 2), span(15, 25, 3), span(30, 31, 4)), span(4, 9, 7)))
+    assert [tuple(x) for x in reached] == [(0, 1, 1), (3, 25, 3), (30, 31, 4)]
 
 
 @settings(max_examples=10, deadline=None)

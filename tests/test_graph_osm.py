@@ -1,12 +1,13 @@
 """Graph, network, observation and simulator operators on hand-made rows."""
 
+import math
 import struct
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.operators import filters, fusion, graph, matching, osm, pano, relational, simulation, spatial
+from lanewise.operators import filters, fusion, graph, matching, osm, pano, relational, simulation, spatial, windows
 from lanewise.sources import networks, osm_files, sinks, tables
 
 XML = """<?xml version="1.0"?>
@@ -187,7 +188,31 @@ def test_headings_are_repaired(spark):
     panos = spark.createDataFrame([("a", "r", 0, 10), ("b", "r", 1, 12), ("c", "r", 2, 14), ("d", "s", 0, 90), ("e", "s", 1, 90)], "PID string, RID string, Order int, DIR int")
     keys = spark.createDataFrame([("a", 190.0), ("d", 92.0), ("e", 88.0)], "PID string, MoveDir double")
     got = {r.PID: (r.Order, r.MoveDir, r.revert) for r in pano.repair_headings(panos, keys).collect()}
-    assert got == {"a": (2, 10, True), "b": (1, 192, True), "c": (0, -1, True), "d": (0, 92, False), "e": (1, 88, False)}
+    assert got == {"a": (2, 190, True), "b": (1, 192, True), "c": (0, 194, True), "d": (0, 92, False), "e": (1, 88, False)}
+
+
+def test_headings_of_reversed_and_single_panos(spark):
+    rows = [("a", "r", 0, 190), ("b", "r", 1, 190), ("c", "r", 2, 190), ("alone", "s", 0, 50), ("k", "t", 0, 60), ("m", "u", 0, 10), ("n", "u", 1, 10), ("o", "u", 2, 10)]
+    panos = spark.createDataFrame(rows, "PID string, RID string, Order int, DIR int")
+    keys = spark.createDataFrame([("a", 10.0), ("k", 70.0), ("m", 12.0)], "PID string, MoveDir double")
+    got = {r.PID: (r.Order, r.MoveDir, r.revert) for r in pano.repair_headings(panos, keys).collect()}
+    assert [got[p] for p in "abc"] == [(2, 10, True), (1, 10, True), (0, 10, True)]
+    assert got["alone"] == (0, -1, False) and got["k"] == (0, 70, False)
+    assert [got[p] for p in "mno"] == [(0, 12, False), (1, 10, False), (2, -1, False)]
+
+
+def test_topology_turns_and_normalises(spark):
+    panos = spark.createDataFrame([("a", 90.0, 0.0, 0.0), ("b", 90.0, 10.0, 0.0), ("c", 90.0, 0.0, 10.0), ("d", 0.0, 5.0, 5.0)], "pid string, dir double, x double, y double")
+    edges = spark.createDataFrame([("r", "a", "b", False, 0.0), ("l1", "a", "c", True, 20.0), ("l2", "a", "b", True, 20.0), ("l3", "d", "b", True, 5.0)], "rid string, src string, dst string, link boolean, dist double")
+    there = {r.rid: r for r in pano.topology(edges, panos).collect()}
+    # the road of no length sets the largest density; c lies north, at a right angle to the heading
+    std = math.exp(-0.25)
+    assert there["r"].similarity == 1 and there["r"].dist_prob == pytest.approx(0.0199471, abs=1e-7)
+    assert there["l1"].similarity == pytest.approx(std * 0.5) and there["l2"].similarity == pytest.approx(std)
+    assert there["l3"].cos_sim == pytest.approx(0.5) and there["l3"].turn_sim == pytest.approx((1 + math.cos(math.radians(135))) / 2)
+    back = {r.rid: r for r in pano.topology(edges, panos, forward=False).collect()}
+    assert back["l3"].turn_sim == pytest.approx((1 + math.cos(math.radians(45))) / 2)
+    assert back["l2"].dist_prob_std == pytest.approx(std)
 
 
 def test_trajectories(spark):
@@ -213,6 +238,40 @@ def test_lane_filter_and_mode(spark):
     assert {r.eid: r.lane_num for r in fusion.infer_lanes(points, edges, ["ofs"]).collect()} == {1: 2, 2: 1, 3: 1}
 
 
+def test_lane_filter_literals(spark):
+    """FIXTURES C2, and two equal rows around a far one: they are no neighbours."""
+    groups = {1: [4, 4, 3, 4], 2: [3], 3: [2, 2], 4: [0, 3, 3], 5: [5, 4, 4, 5], 6: [None], 7: [3] * 9 + [9], 8: [3, 3, 3, 3, 3, 3, 2, 9, 2, 3, 3, 3]}
+    rows = [(g, (k + 1) / 10, v) for g, values in groups.items() for k, v in enumerate(values)] + [(9, 0.1, 2), (9, 0.2, 2), (9, 0.2, 5), (9, 0.3, 4)]
+    points = spark.createDataFrame(rows, "eid long, offset double, lane_num int")
+    kept = {}
+    for r in windows.lane_filter(points, ["eid"], ["offset", "lane_num"], "lane_num").where("not outlier").orderBy("offset").collect():
+        kept.setdefault(r.eid, []).append(r.lane_num)
+    # in group 9 the place .2 also has a row unlike its neighbours: both go
+    assert kept == {1: [4, 4], 3: [2, 2], 4: [3, 3], 5: [4, 4], 7: [3] * 9, 8: [3] * 9, 9: [2]}
+    lanes = {r.eid: r.lane_num for r in fusion.lanes_by_edge(points.where("eid < 8"), ["offset"]).collect()}
+    assert lanes == {1: 3, 3: 1, 4: 2, 5: 3, 7: 2}
+
+
+def test_edge_types_by_the_way_back(spark):
+    edges = [(1, "a", "b", 20.0), (2, "b", "a", 45.0), (3, "c", "d", 20.0), (4, "d", "c", 60.0)]  # one hop: under twice the limit, and not
+    edges += [(5, "e", "f", 20.0), (6, "f", "g", 40.0), (7, "g", "h", 40.0), (8, "h", "e", 20.0)]  # three hops of 100
+    edges += [(9, "i", "j", 20.0), (10, "j", "k", 40.0), (11, "k", "l", 40.0), (12, "l", "i", 40.0)]  # three hops of 120
+    edges += [(13, "m", "n", 30.0), (14, "n", "m", 10.0)]  # not shorter than the limit
+    edges += [(15, "o", "p", 5.0), (16, "p", "q", 20.0), (17, "q", "r", 20.0), (18, "r", "o", 40.0)]  # three hops of 80, five of 50
+    edges += [(19 + k, a, b, 10.0) for k, (a, b) in enumerate(zip("pstuv", "stuvo", strict=True))]
+    edges += [(30, "w", "x", 1.0), (31, "x", "w", 1.0), (32, "x", "y", 1.0)]
+    table = spark.createDataFrame(edges, "eid long, src string, dst string, length double")
+    got = {r.eid: r.edge_type for r in fusion.edge_types(table, spark.createDataFrame([("w",), ("y",)], "node string")).collect()}
+    assert {k: got[k] for k in (1, 2, 3, 5, 9, 13, 14, 15, 30, 31, 32)} == {1: 1, 2: 0, 3: 0, 5: 2, 9: 0, 13: 0, 14: 1, 15: 0, 30: 4, 31: 3, 32: 3}
+
+
+def test_cheapest_below_goes_on_for_any_number_of_hops(spark):
+    line = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}", 1.0) for k in range(30)] + [("n00", "n30", 40.0)], "src string, dst string, length double")
+    pairs = spark.createDataFrame([("n00", "n30", 40.0), ("n00", "n10", 10.0), ("n05", "n30", 25.5)], "root string, goal string, bound double")
+    got = {(r.root, r.goal): r.cost for r in graph.cheapest_below(line, pairs).collect()}
+    assert got == {("n00", "n30"): 30.0, ("n05", "n30"): 25.0}
+
+
 def test_map_matching_follows_the_road(spark):
     m = 1 / 110000
     edges = spark.createDataFrame([(1, 1, 2, [(0.0, 0.0), (100 * m, 0.0)]), (2, 2, 3, [(100 * m, 0.0), (200 * m, 0.0)]), (3, 3, 4, [(200 * m, 0.0), (300 * m, 0.0)]), (4, 2, 9, [(100 * m, 0.0), (100 * m, 100 * m)])], "eid long, src long, dst long, coords array<struct<x:double,y:double>>")
