@@ -11,13 +11,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from .common import held_out
+from .common import held_out, small_batches
 
 #: Bound of the training sample: rows per language, code points of each that go to the dictionary, bytes of a dictionary.
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 400, 1_000, 112_640
-#: More languages than this raise an error: each costs one compression of every text.
-MOST_LANGUAGES = 200
+#: Bytes of all dictionaries together, which every executor holds: of more than 200 languages each has an equal share.
+ALL_BYTES = 200 * DICT_BYTES
 BLOCK_BYTES, LEVEL = 1_000, 5
 #: Relative margin to the second language under which a prediction is marked as rejected.
 MARGIN = 0.02
@@ -26,29 +27,33 @@ MARGIN = 0.02
 def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
     """Up to ``rows`` texts of each language, the smallest by a hash of the id and text, from documents that are not held out.
 
-    Counts come first, so that the sample is thinned by hash before it is sorted; what reaches the driver is bounded by
-    ``rows`` x ``SAMPLE_CHARS`` per language. A long text gives a stretch that starts at a hash-random place.
+    Two reads of the corpus for any number of languages. Counts come first, so that the sample is thinned by hash before it is ranked; what reaches the
+    driver is one count and up to ``rows`` x ``SAMPLE_CHARS`` per language. A long text gives a stretch that starts at a hash-random place.
     """
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return {}
+    rows = max(1, min(rows, ALL_BYTES // len(counts) // 250))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, 4.0 * rows / n)) for k, n in counts.items()], "lang string, share double")
     h = F.xxhash64("doc_id", "text")
-    share = F.coalesce(F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 4.0 * rows / r["count"])))]), F.col("lang")), F.lit(0.0)) if counts else F.lit(0.0)
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)).cast("long")) + 1
-    thin = known.where(F.pmod(h, F.lit(1_000_003)) < share * 1_000_003).select("lang", h.alias("h"), _letters(F.substr("text", start.cast("int"), F.lit(SAMPLE_CHARS))).alias("part")).where("part is not null")
-    out = {}
-    for r in sorted(counts, key=lambda r: r["lang"]):
-        out[r["lang"]] = [x["part"] for x in thin.where(F.col("lang") == r["lang"]).orderBy("h", "part").limit(rows).collect()]
+    thin = known.join(F.broadcast(shares), "lang").where(F.pmod(h, F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    parts = thin.select("lang", h.alias("h"), _letters(F.substr("text", start.cast("int"), F.lit(SAMPLE_CHARS))).alias("part")).where("part is not null")
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("rank") <= rows)
+    out: dict[str, list[str]] = {k: [] for k in sorted(counts)}
+    for r in sorted(ranked.collect(), key=lambda r: r["rank"]):
+        out[r["lang"]].append(r["part"])
     return out
 
 
 def dictionaries(samples: dict[str, list[str]], size: int = DICT_BYTES) -> dict[str, bytes]:
     """Raw content per language: up to ``size`` bytes of its own sample, however little the other languages have.
 
-    A small dictionary is at no advantage: what it does not hold has to be spelt out.
+    A small dictionary is at no advantage: what it does not hold has to be spelt out. All together have up to ``ALL_BYTES``.
     """
     raw = {k: "\n".join(v).encode() for k, v in samples.items()}
+    size = min(size, ALL_BYTES // max(len(raw), 1))
     return {k: v[-size:] for k, v in raw.items() if v}
 
 
@@ -59,6 +64,7 @@ def predict(docs: DataFrame, dicts: dict[str, bytes], margin: float = MARGIN) ->
     should not be relied on. A null text or one without a letter is ``und`` with score 0, rejected; so is every text if no language was learned.
     Repeated rows give repeated results.
     """
+    small_batches(docs.sparkSession)
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), _letters(F.col("text")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return out.mapInArrow(_predictor(dicts, margin), f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
