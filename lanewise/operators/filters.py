@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lanewise import constants as C
+from lanewise.session import cut
 
 
 def literal_map(table: dict) -> Column:
@@ -115,24 +116,26 @@ def dense_ids(df: DataFrame, where: Column, order: list, name: str) -> DataFrame
     """
     kept = df.where(where).repartitionByRange(*order).sortWithinPartitions(*order)
     placed = kept.withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and df.sparkSession.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        df.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lanewise-checkpoint-"))
-    placed = placed.checkpoint()
+    placed = cut(placed)
     counts = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     starts = counts.withColumn("__s", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).select("__p", "__s")
     return placed.join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + F.col("__k")).drop("__p", "__k", "__s")
 
 
+def draw_number(keys: list[str], seed: int) -> Column:
+    """A number in [0, 1) that depends on the keys and the seed only: 32 bits of an MD5 digest."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    return F.conv(F.left(digest, F.lit(8)), 16, 10).cast("double") / 2**32
+
+
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 1) -> DataFrame:
     """``n`` rows, the smallest by a seeded hash of their keys: the same on every run, however the table is partitioned."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    return df.orderBy(draw_number(keys, seed), *keys).limit(n)
 
 
 def split_fraction(df: DataFrame, keys: list[str], fraction: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """About ``fraction`` of the rows by a seeded hash of their keys, and the others."""
-    drawn = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) < fraction * 1_000_000
+    drawn = draw_number(keys, seed) < fraction
     return df.where(drawn), df.where(~drawn)
 
 
@@ -147,5 +150,5 @@ def draw_test_set(edges: DataFrame, per_city: int, levels: int = 5, seed: int =
     ``edges (city, eid, road_type)``.
     """
     typed = edges.withColumn("level", road_level(F.col("road_type"))).withColumn("is_link", F.contains("road_type", F.lit("link"))).where(F.col("level") < levels + 1)
-    w = Window.partitionBy("city").orderBy(F.xxhash64(F.lit(seed), "eid"), "eid")
+    w = Window.partitionBy("city").orderBy(draw_number(["eid"], seed), "eid")
     return typed.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= per_city).drop("__rn")

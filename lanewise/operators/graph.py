@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lanewise.session import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the copy."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lanewise-checkpoint-"))
-    return df.checkpoint()
+from . import filters
 
 
-def bfs_layers(edges: DataFrame, seeds: DataFrame, max_layers: int = 100) -> DataFrame:
-    """``node, layer`` of every node reached from ``seeds (node)``: frontier join, anti join with what was visited, union."""
+def bfs_layers(edges: DataFrame, seeds: DataFrame, max_layers: int | None = None) -> DataFrame:
+    """``node, layer`` of every node reached from ``seeds (node)``, of the first ``max_layers`` if given: frontier join, anti join with what was visited, union."""
     visited = cut(seeds.select("node").distinct().withColumn("layer", F.lit(0)))
-    frontier = visited
-    for layer in range(1, max_layers + 1):
+    frontier, layer = visited, 0
+    while layer != max_layers:
+        layer += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(visited, "node", "left_anti").withColumn("layer", F.lit(layer)))
         if frontier.isEmpty():
@@ -61,7 +56,7 @@ def complex_intersections(links: DataFrame, signals: DataFrame, buffer: float =
     short = links.where(F.col("length") <= buffer).join(s.withColumnRenamed("node", "src"), "src", "left_semi").join(s.withColumnRenamed("node", "dst"), "dst", "left_semi")
     nodes = short.select(F.col("src").alias("node")).unionByName(short.select(F.col("dst").alias("node"))).distinct()
     labels = components(nodes, short)
-    ids = labels.select("component").distinct().withColumn("main_node_id", F.row_number().over(Window.orderBy("component")) - 1)
+    ids = filters.dense_ids(labels.select("component").distinct(), F.lit(True), ["component"], "main_node_id")
     return labels.join(ids, "component").select("node", "main_node_id")
 
 
@@ -79,18 +74,23 @@ def consolidate(nodes: DataFrame, links: DataFrame, groups: DataFrame) -> tuple[
     return single.unionByName(merged), outer.withColumn("src", F.coalesce("__src", "src")).withColumn("dst", F.coalesce("__dst", "dst")).drop("__src", "__dst")
 
 
-def chain_heads(links: DataFrame, next_link: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """``link, head, place``: chains of ``next_link (link, next)`` by pointer jumping; a pure cycle keeps each link on its own."""
+def chain_heads(links: DataFrame, next_link: DataFrame) -> DataFrame:
+    """``link, head, place``: chains of ``next_link (link, next)`` by pointer jumping; a pure cycle keeps each link on its own.
+
+    Rounds double the jumps, so that as many as the number of links has binary digits reach every head; what has none by then is a cycle.
+    """
     back = next_link.select(F.col("next").alias("link"), F.col("link").alias("prev"))
-    state = cut(links.select("link").join(back, "link", "left").select("link", F.coalesce("prev", "link").alias("head"), F.when(F.col("prev").isNull(), 0).otherwise(1).alias("place")))
-    for _ in range(max_rounds):
+    state = cut(links.select("link").join(back, "link", "left").select("link", F.coalesce("prev", "link").alias("head"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("place")))
+    for _ in range(state.count().bit_length() + 1):
         up = state.select(F.col("link").alias("head"), F.col("head").alias("head2"), F.col("place").alias("place2"))
         new = cut(state.join(up, "head").select("link", F.col("head").alias("old"), F.col("head2").alias("head"), (F.col("place") + F.when(F.col("head") == F.col("link"), 0).otherwise(F.col("place2"))).alias("place")))
         state = new.select("link", "head", "place")
         if new.where("old <> head").isEmpty():
-            return state
-    loops = state.join(state.select(F.col("link").alias("head"), F.col("place").alias("p")).where("p = 0"), "head", "left_semi")
-    return loops.unionByName(state.join(loops.select("link"), "link", "left_anti").select("link", F.col("link").alias("head"), F.lit(0).alias("place")))
+            break
+    heads = state.where("link = head and place = 0").select(F.col("head").alias("__h"))
+    found = state.join(heads, F.col("head") == F.col("__h"), "left")
+    own = F.col("__h").isNull()
+    return found.select("link", F.when(own, F.col("link")).otherwise(F.col("head")).alias("head"), F.when(own, 0).otherwise(F.col("place")).cast("int").alias("place"))
 
 
 def combine_links(links: DataFrame, signals: DataFrame) -> DataFrame:
@@ -116,14 +116,16 @@ def combine_links(links: DataFrame, signals: DataFrame) -> DataFrame:
     steps = one.where("__l = 1 and __n = 1 and __at = n_in").select("link", "next")
     heads = chain_heads(links, steps)
     rows = links.join(heads, "link")
-    items = F.array_sort(F.collect_list(F.struct("place", "link", "src", "dst", "lanes", "length")))
+    before = F.sum("length").over(Window.partitionBy("head").orderBy("place")) - F.col("length")
+    rows = rows.withColumn("before", F.when(F.col("place") == 0, 0.0).otherwise(before))
+    items = F.array_sort(F.collect_list(F.struct("place", "link", "src", "dst", "lanes", "length", "before")))
     grouped = rows.groupBy("head").agg(items.alias("i"), F.min(F.when(F.col("place") == 0, F.col("name"))).alias("name"))
     return grouped.select(
         F.col("head").alias("link"), F.element_at("i", 1)["src"].alias("src"), F.element_at("i", -1)["dst"].alias("dst"), "name",
         F.array_join(F.transform("i", lambda x: x["link"].cast("string")), ";").alias("members"),
         F.aggregate("i", F.lit(0.0), lambda acc, x: acc + x["length"]).alias("length"),
         F.element_at("i", 1)["lanes"].alias("lanes"), F.transform("i", lambda x: x["lanes"]).alias("lane_list"),
-        F.transform("i", lambda x, k: F.aggregate(F.slice("i", 1, k), F.lit(0.0), lambda acc, y: acc + y["length"])).alias("change_points"),
+        F.transform("i", lambda x: x["before"]).alias("change_points"),
     )
 
 

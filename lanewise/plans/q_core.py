@@ -314,15 +314,15 @@ def j20_ramp_gain(spark: SparkSession, d: str) -> DataFrame:
     return ramp_gain(e).select("eid", F.col("gain").cast("long").alias("gain"))
 
 
-@q("""WITH a AS (SELECT l_suppkey AS k, l_linenumber * 10 AS a0, l_linenumber * 10 + 7 AS a1, l_partkey AS value FROM lineitem WHERE l_orderkey % 50 = 0),
-b AS (SELECT l_suppkey AS k, l_linenumber * 8 AS b0, l_linenumber * 8 + 9 AS b1, l_partkey AS base FROM lineitem WHERE l_orderkey % 50 = 1)
+@q("""WITH a AS (SELECT l_partkey AS k, l_linenumber * 10 AS a0, l_linenumber * 10 + 7 AS a1, l_suppkey AS value FROM lineitem WHERE l_returnflag = 'A'),
+b AS (SELECT l_partkey AS k, l_linenumber * 8 AS b0, l_linenumber * 8 + 9 AS b1, l_suppkey AS base FROM lineitem WHERE l_returnflag <> 'A')
 SELECT a.k AS k, greatest(a0, b0) AS start, least(a1, b1) AS "end", value, base FROM a JOIN b ON a.k = b.k AND a0 < b1 AND b0 < a1""")
 def j21_interval_split(spark: SparkSession, d: str) -> DataFrame:
     from lanewise.operators.intervals import split_overlaps
 
     li = table(spark, d, "lineitem")
-    a = li.where("l_orderkey % 50 = 0").selectExpr("l_suppkey k", "l_linenumber * 10 start", "l_linenumber * 10 + 7 end", "l_partkey value")
-    b = li.where("l_orderkey % 50 = 1").selectExpr("l_suppkey k", "l_linenumber * 8 start", "l_linenumber * 8 + 9 end", "l_partkey base")
+    a = li.where("l_returnflag = 'A'").selectExpr("l_partkey k", "l_linenumber * 10 start", "l_linenumber * 10 + 7 end", "l_suppkey value")
+    b = li.where("l_returnflag <> 'A'").selectExpr("l_partkey k", "l_linenumber * 8 start", "l_linenumber * 8 + 9 end", "l_suppkey base")
     return split_overlaps(a, b, "k", bucket=10.0)
 
 

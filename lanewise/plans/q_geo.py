@@ -211,15 +211,15 @@ def g38_shape_text(spark: SparkSession, d: str) -> DataFrame:
 # Spatial joins
 
 
-_L = "ln AS (SELECT a.id, a.i, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v_seg a JOIN v_seg b ON b.id = a.id AND b.i = a.i + 1 WHERE a.i < 4 AND a.id % 5 = 0)"
-_PT = "pt AS (SELECT vec_id AS pid, CAST(embedding[20] AS DOUBLE) AS px, CAST(embedding[21] AS DOUBLE) AS py FROM embeddings WHERE vec_id % 3 = 0)"
+_L = "ln AS (SELECT a.id, a.i, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v_seg a JOIN v_seg b ON b.id = a.id AND b.i = a.i + 1 WHERE a.i < 4)"
+_PT = "pt AS (SELECT vec_id AS pid, CAST(embedding[20] AS DOUBLE) AS px, CAST(embedding[21] AS DOUBLE) AS py FROM embeddings)"
 _D = "sqrt(pow(px - (x1 + u * (x2 - x1)), 2) + pow(py - (y1 + u * (y2 - y1)), 2))"
 _NEAR = f"{_L}, {_PT}, pj AS (SELECT pid, id, px, py, x1, y1, x2, y2, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS u FROM pt, ln), dd AS (SELECT pid, id, min({_D}) AS distance FROM pj GROUP BY 1, 2)"
 
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    points = table(spark, d, "embeddings").where("vec_id % 3 = 0").selectExpr("vec_id pid", "cast(embedding[19] as double) x", "cast(embedding[20] as double) y")
-    return points, v_line(spark, d, 4).where("id % 5 = 0").withColumnRenamed("id", "eid")
+    points = table(spark, d, "embeddings").selectExpr("vec_id pid", "cast(embedding[19] as double) x", "cast(embedding[20] as double) y")
+    return points, v_line(spark, d, 4).withColumnRenamed("id", "eid")
 
 
 @q(sql("v_seg", f"WITH {_NEAR} SELECT pid, id AS eid, round(distance, 6) AS distance FROM dd WHERE distance <= 0.05"))
@@ -260,19 +260,19 @@ def j13_points_per_area(spark: SparkSession, d: str) -> DataFrame:
 # Graphs
 
 
-@q(sql("v_graph", """WITH RECURSIVE g AS (SELECT src, dst FROM v_graph WHERE src % 3 = dst % 3), b AS (SELECT 7::BIGINT AS node, 0 AS layer UNION SELECT g.dst, b.layer + 1 FROM b JOIN g ON g.src = b.node WHERE b.layer < 4)
+@q(sql("v_graph", """WITH RECURSIVE g AS (SELECT src, dst FROM v_graph), b AS (SELECT 7::BIGINT AS node, 0 AS layer UNION SELECT g.dst, b.layer + 1 FROM b JOIN g ON g.src = b.node WHERE b.layer < 4)
 SELECT node, min(layer) AS layer FROM b GROUP BY 1"""))
 def r01_bfs_layers(spark: SparkSession, d: str) -> DataFrame:
-    g = v_graph(spark, d).where("src % 3 = dst % 3")
-    return graph.bfs_layers(g, spark.range(1).select(F.lit(7).cast("long").alias("node")), 4)
+    return graph.bfs_layers(v_graph(spark, d), spark.range(1).select(F.lit(7).cast("long").alias("node")), 4)
 
 
-_CC = """WITH RECURSIVE g AS (SELECT src, dst FROM v_graph WHERE src % 29 = dst % 29), n AS (SELECT user_id AS node FROM events GROUP BY 1), bw AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g),
+#: Users linked by their events, and customers, most of them alone.
+_CC = """WITH RECURSIVE g AS (SELECT src, dst FROM v_graph), n AS (SELECT user_id AS node FROM events UNION SELECT c_custkey FROM customer), bw AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g),
 r AS (SELECT node, node AS other FROM n UNION SELECT r.node, bw.dst FROM r JOIN bw ON bw.src = r.other), cc AS (SELECT node, min(other) AS component FROM r GROUP BY 1)"""
 
 
 def _cc(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, d, "events").selectExpr("user_id node").distinct(), v_graph(spark, d).where("src % 29 = dst % 29")
+    return table(spark, d, "events").selectExpr("user_id node").union(table(spark, d, "customer").selectExpr("c_custkey node")).distinct(), v_graph(spark, d)
 
 
 @q(sql("v_graph", f"{_CC} SELECT node, component FROM cc"))
@@ -311,10 +311,10 @@ def r13_short_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.short_paths(v_graph(spark, d), roots, 2).select("node", F.round("cost", 6).alias("cost"))
 
 
-@q(sql("v_graph", """WITH RECURSIVE o AS (SELECT src, min(dst) AS dst FROM v_graph WHERE length < 3 GROUP BY 1 HAVING count(*) = 1), w AS (SELECT user_id AS root, 0 AS seq, user_id AS node, [user_id] AS seen FROM events WHERE user_id <= 20 GROUP BY 1
+@q(sql("v_graph", """WITH RECURSIVE o AS (SELECT src, min(dst) AS dst FROM v_graph WHERE length < 3 GROUP BY 1 HAVING count(*) = 1), w AS (SELECT user_id AS root, 0 AS seq, user_id AS node, [user_id] AS seen FROM events GROUP BY 1
 UNION ALL SELECT w.root, w.seq + 1, o.dst, list_append(w.seen, o.dst) FROM w JOIN o ON o.src = w.node WHERE NOT list_contains(w.seen, o.dst)) SELECT root, seq, node FROM w"""))
 def r15_follow_single(spark: SparkSession, d: str) -> DataFrame:
-    starts = table(spark, d, "events").where("user_id <= 20").selectExpr("user_id root").distinct()
+    starts = table(spark, d, "events").selectExpr("user_id root").distinct()
     return graph.follow_single(v_graph(spark, d).where("length < 3"), starts, forks=False)
 
 
@@ -323,7 +323,7 @@ def r15_traversed_roads(spark: SparkSession, d: str) -> DataFrame:
     return graph.follow_single(v_graph(spark, d).where("length < 3"), table(spark, d, "events").selectExpr("user_id root").distinct())
 
 
-_WAY = "w AS (SELECT l_orderkey AS way, l_partkey AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_orderkey % 20 = 0)"
+_WAY = "w AS (SELECT l_orderkey AS way, l_partkey AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"
 
 
 @q(f"WITH {_WAY} SELECT node FROM w GROUP BY 1 HAVING count(*) > 1 OR bool_or(k = 1 OR k = n)")
@@ -335,7 +335,7 @@ def _placed(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return table(spark, d, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("way"), F.row_number().over(w).alias("k"), F.col("l_partkey").alias("node"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("way"), F.row_number().over(w).alias("k"), F.col("l_partkey").alias("node"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
 
 
 @q("SELECT o_orderkey AS way, back, CASE WHEN o_orderstatus = 'F' THEN lanes ELSE CAST(ceil(lanes / 2.0) AS INTEGER) END AS lanes FROM (SELECT *, o_orderkey % 5 + 1 AS lanes FROM orders), unnest([0, 1]) AS u(back) WHERE NOT (o_orderstatus = 'F' AND back = 1)")
@@ -398,10 +398,10 @@ def r38_boundary_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.boundary_nodes(v_graph(spark, d).where("length < 4"), table(spark, d, "events").selectExpr("user_id node").distinct())
 
 
-@q("""WITH iv AS (SELECT l_suppkey AS k, l_linenumber * 10 AS a, l_linenumber * 10 + CAST(trunc(l_quantity) AS INTEGER) AS b FROM lineitem WHERE l_orderkey % 40 = 0), r AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM iv),
+@q("""WITH iv AS (SELECT l_suppkey AS k, l_linenumber * 10 AS a, l_linenumber * 10 + CAST(trunc(l_quantity) AS INTEGER) AS b FROM lineitem), r AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM iv),
 g AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY a, b, new DESC ROWS UNBOUNDED PRECEDING) AS i FROM r) SELECT k, min(a) AS a, max(b) AS b FROM g GROUP BY k, i""")
 def a10_interval_union(spark: SparkSession, d: str) -> DataFrame:
-    iv = table(spark, d, "lineitem").where("l_orderkey % 40 = 0").selectExpr("l_suppkey k", "l_linenumber * 10 a", "l_linenumber * 10 + cast(l_quantity as int) b")
+    iv = table(spark, d, "lineitem").selectExpr("l_suppkey k", "l_linenumber * 10 a", "l_linenumber * 10 + cast(l_quantity as int) b")
     return intervals.union_intervals(iv, ["k"], "a", "b")
 
 

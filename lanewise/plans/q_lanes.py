@@ -279,7 +279,7 @@ def w14_sequence(spark: SparkSession, d: str) -> DataFrame:
 _WAYS = "e AS (SELECT c_custkey AS eid, c_nationkey AS rid, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS ord FROM customer), nb AS (SELECT eid, lag(eid) OVER (PARTITION BY rid ORDER BY ord) AS prev_eid, lead(eid) OVER (PARTITION BY rid ORDER BY ord) AS next_eid FROM e)"
 
 
-@q(sql("v_map", f"""WITH {_WAYS}, tg AS (SELECT eid FROM e WHERE eid % 4 = 0), t AS (SELECT tg.eid, prev_eid, next_eid FROM tg JOIN nb ON nb.eid = tg.eid),
+@q(sql("v_map", f"""WITH {_WAYS}, tg AS (SELECT eid FROM e), t AS (SELECT tg.eid, prev_eid, next_eid FROM tg JOIN nb ON nb.eid = tg.eid),
 lastt AS (SELECT eid, lane_num FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY ofs DESC, tie DESC) AS k FROM v_map) WHERE k <= 2), firstt AS (SELECT eid, lane_num FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY ofs, tie) AS k FROM v_map) WHERE k <= 1),
 seen AS (SELECT t.eid, l.lane_num FROM t JOIN lastt l ON l.eid = t.prev_eid UNION ALL SELECT t.eid, m.lane_num FROM t JOIN v_map m ON m.eid = t.eid UNION ALL SELECT t.eid, f.lane_num FROM t JOIN firstt f ON f.eid = t.next_eid),
 c AS (SELECT eid, lane_num, count(*) AS n FROM seen GROUP BY 1, 2), m AS (SELECT eid, CASE WHEN n > 1 AND lane_num <> 0 THEN lane_num - 1 END AS by_mode FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY n DESC, lane_num) AS rn FROM c) WHERE rn = 1),
@@ -291,7 +291,7 @@ def r29_missing_lanes(spark: SparkSession, d: str) -> DataFrame:
     nb = c.select(F.col("c_custkey").alias("eid"), F.lag("c_custkey").over(w).alias("prev_eid"), F.lead("c_custkey").over(w).alias("next_eid"))
     m = v_map(spark, d)
     lanes = m.groupBy("eid").agg(F.max("lane_num").alias("lane_num"))
-    return fusion.infer_missing(nb.where("eid % 4 = 0").select("eid"), nb, m, lanes)
+    return fusion.infer_missing(nb.select("eid"), nb, m, lanes)
 
 
 @q(sql("v_map", "WITH c AS (SELECT eid, rid, avg(tie) AS mean, min(tie) AS m FROM v_map GROUP BY 1, 2), b AS (SELECT v.eid, v.rid, min(v.pid) AS best FROM v_map v JOIN c ON c.eid = v.eid AND c.rid = v.rid AND v.tie = c.m GROUP BY 1, 2) SELECT c.eid, row_number() OVER (PARTITION BY c.eid ORDER BY mean, c.rid) AS rank, c.rid AS root, best AS rid FROM c JOIN b ON b.eid = c.eid AND b.rid = c.rid"))
@@ -330,11 +330,11 @@ def r40_wrong_headings(spark: SparkSession, d: str) -> DataFrame:
     return wrong.join(table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 48").selectExpr("l_partkey pid"), "pid", "left_anti")
 
 
-@q("""WITH m AS (SELECT l_returnflag AS link, l_suppkey % 7 AS grp, l_linenumber AS idx, l_orderkey AS rid, l_partkey, l_extendedprice FROM lineitem WHERE l_orderkey % 3 = 0), f AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY link, grp, idx) AS rn FROM (SELECT DISTINCT link, grp, idx, rid FROM m)),
+@q("""WITH m AS (SELECT l_returnflag AS link, l_suppkey % 7 AS grp, l_linenumber AS idx, l_orderkey AS rid, l_partkey, l_extendedprice FROM lineitem), f AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY link, grp, idx) AS rn FROM (SELECT DISTINCT link, grp, idx, rid FROM m)),
 p AS (SELECT o_orderkey AS rid, o_custkey AS pid, 1 AS ord FROM orders UNION ALL SELECT o_orderkey, o_custkey + 1, 2 FROM orders), r AS (SELECT f.link, f.grp, f.idx, p.rid, p.pid, p.ord, row_number() OVER (PARTITION BY p.pid ORDER BY f.link, f.grp, f.idx, p.ord, p.rid) AS k FROM f JOIN p ON p.rid = f.rid WHERE f.rn = 1)
 SELECT pid FROM r WHERE k = 1 AND pid NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 1)""")
 def r45_batch_regroup(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "lineitem").where("l_orderkey % 3 = 0").selectExpr("l_returnflag link", "l_suppkey % 7 grp", "l_linenumber idx", "l_orderkey rid").distinct()
+    m = table(spark, d, "lineitem").selectExpr("l_returnflag link", "l_suppkey % 7 grp", "l_linenumber idx", "l_orderkey rid").distinct()
     o = table(spark, d, "orders")
     panos = o.selectExpr("o_orderkey rid", "o_custkey pid", "1 ord").unionByName(o.selectExpr("o_orderkey rid", "o_custkey + 1 pid", "2 ord"))
     return pano.expand_roads(m, panos, table(spark, d, "customer").where("c_nationkey = 1").selectExpr("c_custkey pid")).select("pid")

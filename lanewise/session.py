@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution re-plans joins, splits skewed partitions and merges small ones at run time.
 SETTINGS = {
@@ -13,6 +15,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a checkpoint goes when nothing refers to it any more
 }
 
 
@@ -26,3 +29,21 @@ def build_session(master: str | None = None, settings: dict[str, str] | None = N
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """See that checkpoints have a folder: the session's ``spark.checkpoint.dir``.
+
+    Only a local session without one, as in tests, gets a temporary folder; on a cluster executors could not read it, and it is an error.
+    """
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
+        return
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lanewise-checkpoint-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from the copy."""
+    use_checkpoints(df.sparkSession)
+    return df.checkpoint()
