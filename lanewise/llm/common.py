@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewise.session import cut
+
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -22,17 +23,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder all executors share and continue from the copy.
+    """Write ``df`` to the folder all executors share, the session's ``spark.checkpoint.dir``, and continue from the copy.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests,
-    a temporary folder takes its place. Shuffle files of lineages cut before are let go first: Spark removes them when the
+    Shuffle files of lineages cut before are let go first: Spark removes them when the
     driver collects garbage, which a small driver heap may put off for long.
     """
-    spark = df.sparkSession
-    spark.sparkContext._jvm.System.gc()
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lanewise-checkpoint-"))
-    return df.checkpoint()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return cut(df)
 
 
 #: Rows of an Arrow batch between the JVM and Python: texts are long, and both sides hold a whole batch.
@@ -68,6 +65,24 @@ def give_back() -> None:
         pass
 
 
+#: Keys of more copies than 1 / ``MOST_HOT`` of all rows (and than ``HOT_COPIES``) are at most ``MOST_HOT``: a proven bound for a broadcast.
+MOST_HOT, HOT_COPIES = 100_000, 1_000
+
+
+def join_copies(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined with ``side (key, copies, ...)``, whose ``copies`` are the key's rows at least; without ``copies``. Both are written tables.
+
+    A key with very many rows would be one task of the join, so that those keys are joined by broadcast instead, and the others as usual.
+    """
+    bound = max(HOT_COPIES, rows.count() // MOST_HOT)
+    rest = [c for c in side.columns if c not in (key, "copies")]
+    few = side.where(F.col("copies") > bound)
+    hot = F.broadcast(few.select(F.col(key).alias("__hot"), *[F.col(c).alias(f"__{c}") for c in rest]))
+    tried = rows.join(hot, F.col(key) == F.col("__hot"), "left")
+    cold = tried.where("__hot is null").select(*rows.columns).join(side.where(F.col("copies") <= bound).drop("copies"), key, "left")
+    return cold.select(*rows.columns, *rest).unionByName(tried.where("__hot is not null").select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in rest]))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

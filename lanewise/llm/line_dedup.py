@@ -1,10 +1,13 @@
 """Line dedup with a log-template tree.
 
 Every line walks a tree of fixed depth: its token count, then its leading tokens, then what is constant in the rest. Tokens with
-digits are variable fields from the start. In longer lines the tokens after the leading ones fall into ``PARTS`` stretches, and a line
+digits are variable fields from the start. The tokens after the leading ones fall into ``PARTS`` stretches, and a line
 stands in one leaf for each stretch left open: two lines that differ only within one stretch, a variable field, share a
-leaf. A leaf that holds lines of several documents is a recurring template; its lines are dropped everywhere but in its first document.
+leaf. A stretch is open only where what stays makes up three quarters of the line, and half of it without digits. A leaf that holds
+lines of several documents is a recurring template; its lines are dropped everywhere but in its first document.
 Lines too short or too variable for a template have one leaf of their exact text, so that their copies recur too.
+
+Leaves are told apart by 96 bits of hashes.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ from .common import cut_lineage
 
 #: Leading tokens of the tree's fixed levels; stretches of the rest, of which one at a time may vary.
 LEADING, PARTS = 2, 5
-#: Lines with fewer tokens have no template; lines with fewer than ``OPEN_TOKENS`` have no open stretch.
-LEAST_TOKENS, OPEN_TOKENS = 3, 12
+#: Lines with fewer tokens have no template, only their exact text.
+LEAST_TOKENS = 3
 #: Stands for a null id: after all others.
 NO_ID = 2**63 - 1
 
@@ -36,32 +39,40 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.split(_let(plain, spaced), " ", -1), "")
 
 
-def _leaves(tokens: Column, line: Column, leading: int, parts: int, least: int, open_tokens: int, exact: bool) -> Column:
-    """Hashes of the leaves in which a line stands: the whole template, and one for each open stretch. Lines that are too short or of which less
-    than half is constant have the leaf of their exact text if ``exact``, else none; blank lines have none."""
+def _leaf(*parts: Column) -> Column:
+    return F.struct(F.xxhash64(*parts).alias("leaf"), F.hash(*parts).alias("more"))
+
+
+def _leaves(tokens: Column, line: Column, leading: int, parts: int, least: int) -> Column:
+    """The leaves in which a line stands: the whole template, and one for each open stretch. Lines that are too short or of which less
+    than half is constant have the leaf of their exact text; blank lines have none."""
+    none = F.array().cast("array<struct<leaf:bigint,more:int>>")
 
     def stretches(t: Column) -> Column:
         n = F.size(t)
         width = F.ceil((n - leading) / F.lit(parts)).cast("int")
         cut = lambda k: F.when(F.lit(leading) + width * k < n, F.xxhash64(F.slice(t, F.lit(leading + 1) + width * k, width))).otherwise(F.lit(0).cast("long"))
-        whole = F.xxhash64(n, F.lit(-1), t)
+        whole = _leaf(n, F.lit(-1), t)
         fixed = F.xxhash64(n, F.slice(t, 1, leading))
         several = _let(
-            F.array(fixed, *[cut(k) for k in range(parts)]), lambda h: F.array(whole, *[F.xxhash64(h[0], F.lit(k), *[h[j + 1] for j in range(parts) if j != k]) for k in range(parts)])
+            F.array(fixed, *[cut(k) for k in range(parts)]),
+            lambda h: F.array(whole, *[F.when(F.lit(leading) + width * k < n, _leaf(h[0], F.lit(k), *[h[j + 1] for j in range(parts) if j != k])) for k in range(parts)]),
         )
-        solid = (n >= least) & (F.size(F.array_remove(t, "<*>")) * 2 >= n)
-        alone = F.when(n > 0, F.array(F.xxhash64(F.lit(-2), line))).otherwise(F.array().cast("array<bigint>")) if exact else F.array().cast("array<bigint>")
-        return F.when(~solid, alone).when(n >= open_tokens, several).otherwise(F.array(whole))
+        constant = F.size(F.array_remove(t, "<*>"))
+        solid = (n >= least) & (constant * 2 >= n)
+        opens = (width * 4 <= n) & ((constant - width) * 2 >= n)
+        alone = F.array(_leaf(F.lit(-2), line))
+        return F.when(n == 0, none).when(~solid, alone).when(opens, F.filter(several, lambda x: x.isNotNull())).otherwise(F.array(whole))
 
     return _let(tokens, stretches)
 
 
-def line_leaves(docs: DataFrame, leading: int = LEADING, parts: int = PARTS, least: int = LEAST_TOKENS, open_tokens: int = OPEN_TOKENS, exact: bool = True) -> DataFrame:
-    """``id, rid, pos, leaf``: the leaves of every line that is not blank (without ``exact``: that has a template). ``rid`` tells rows with one id apart."""
+def line_leaves(docs: DataFrame, leading: int = LEADING, parts: int = PARTS, least: int = LEAST_TOKENS) -> DataFrame:
+    """``id, rid, pos, leaf, more``: the leaves of every line that is not blank. ``rid`` tells rows with one id apart."""
     lines = docs.where("text is not null").select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
     )
-    return lines.select("id", "rid", "pos", F.explode(_leaves(_tokens(F.col("line")), F.col("line"), leading, parts, least, open_tokens, exact)).alias("leaf"))
+    return lines.select("id", "rid", "pos", F.inline(_leaves(_tokens(F.col("line")), F.col("line"), leading, parts, least)))
 
 
 def recurring_lines(docs: DataFrame, **tree) -> DataFrame:
@@ -72,8 +83,8 @@ def recurring_lines(docs: DataFrame, **tree) -> DataFrame:
     """
     leaves = line_leaves(docs, **tree)
     # written first: a join against a table, unlike one against an aggregation, can have its large partitions split
-    shared = cut_lineage(leaves.groupBy("leaf").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("leaf", "first"))
-    hits = leaves.join(shared, "leaf").where("id > first").select("id", "rid", "pos")
+    shared = cut_lineage(leaves.groupBy("leaf", "more").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("leaf", "more", "first"))
+    hits = leaves.join(shared, ["leaf", "more"]).where("id > first").select("id", "rid", "pos")
     return hits.groupBy("id", "rid").agg(F.collect_set("pos").alias("drop"))
 
 
@@ -93,8 +104,8 @@ def _keys() -> list[Column]:
 def dedup_lines(docs: DataFrame, **tree) -> DataFrame:
     """``doc_id, n_lines, n_dropped, text``: every text without the lines whose template an earlier document has.
 
-    "Earlier" is by ``doc_id``; null ids count as one last document. A line repeated within its own document only stays, as do
-    blank lines and, without ``exact``, lines that have no template. A null text stays null with no lines; an empty one has one line. Rows with equal id and text are one document, and each of
+    "Earlier" is by ``doc_id``, a number; null ids count as one last document. A line repeated within its own document only stays, as do
+    blank lines. A null text stays null with no lines; an empty one has one line. Rows with equal id and text are one document, and each of
     them is returned; rows with equal id and other texts are one document too. Other columns are not read.
     """
     packed = docs.select("doc_id", "text", *_keys())

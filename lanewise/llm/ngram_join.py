@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import components, cut_lineage, give_back, pieces_of, small_batches
+from .common import components, cut_lineage, give_back, join_copies, pieces_of, small_batches
 
 #: N-grams and sets that a trie is built over at once, about: a block's bound.
 BLOCK_GRAMS, BLOCK = 250_000, 512
@@ -33,8 +33,6 @@ BLOCK_GRAMS, BLOCK = 250_000, 512
 FAMILY_BLOCKS = 16
 #: Rows up to this number are broadcast (24 bytes each); beyond it they are joined.
 BROADCAST_NODES = 1_000_000
-#: Texts of more copies than this share of all rows (and than ``HOT_COPIES``) are at most this many; they are joined by broadcast.
-MOST_HOT, HOT_COPIES = 100_000, 1_000
 ROUNDS = 2
 SPACE = re.compile(rb"[ \t-\r]")
 #: Fixed odd multipliers.
@@ -347,7 +345,7 @@ def join_sets(docs: DataFrame, width: int = 3, percent: int = 90, share: int = 1
     """``place, n, first, size`` of every row of ``docs (place, text)``: of the rows that are reachable by links, the smallest place and the number.
 
     Rows without a link or copy, and those without an n-gram, have no ``first`` and ``size``. Places are counted per set before they are joined. A text
-    with very many copies is joined by broadcast: there are at most ``MOST_HOT`` of more than 1 / ``MOST_HOT`` of all rows.
+    with very many copies is joined by broadcast.
     """
     members = cut_lineage(_sets(docs, width, percent, share, "none").select("place", "n", "digest"))
     own = members.where("digest is not null").groupBy("digest").agg(F.min("place").alias("low"), F.count(F.lit(1)).alias("copies"))
@@ -356,11 +354,7 @@ def join_sets(docs: DataFrame, width: int = 3, percent: int = 90, share: int = 1
     ends = cut_lineage(linked.groupBy("label").agg(F.min("low").alias("first"), F.sum("copies").alias("size")))
     alone = own.where("label is null and copies > 1").select("digest", "copies", F.col("low").alias("first"), F.col("copies").alias("size"))
     named = cut_lineage(linked.join(ends, "label").select("digest", "copies", "first", "size").unionByName(alone))
-    bound = max(HOT_COPIES, members.count() // MOST_HOT)
-    hot = F.broadcast(named.where(F.col("copies") > bound).select(F.col("digest").alias("h"), F.col("first").alias("h_first"), F.col("size").alias("h_size")))
-    tried = members.join(hot, F.col("digest") == F.col("h"), "left")
-    cold = tried.where("h is null").select("place", "n", "digest").join(named.where(F.col("copies") <= bound).select("digest", "first", "size"), "digest", "left")
-    return cold.select("place", "n", "first", "size").unionByName(tried.where("h is not null").select("place", "n", F.col("h_first").alias("first"), F.col("h_size").alias("size")))
+    return join_copies(members, named, "digest").drop("digest")
 
 
 def classes(docs: DataFrame, width: int = 3, percent: int = 90, share: int = 100) -> DataFrame:

@@ -114,15 +114,14 @@ t AS (
          list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS k
   FROM l),
 s AS (
-  SELECT *, len(k) AS n, CAST(ceil((len(k) - 2) / 5.0) AS BIGINT) AS w FROM t
-  WHERE len(k) >= 3 AND len(list_filter(k, lambda x: x <> '<*>')) * 2 >= len(k)),
+  SELECT *, len(k) AS n, CAST(ceil((len(k) - 2) / 5.0) AS BIGINT) AS w, len(list_filter(k, lambda x: x <> '<*>')) AS c FROM t WHERE len(k) > 0),
 leaves AS (
-  SELECT doc_id, pos, 'whole ' || array_to_string(k, ' ') AS leaf FROM s
+  SELECT doc_id, pos, CASE WHEN n >= 3 AND c * 2 >= n THEN 'whole ' || array_to_string(k, ' ') ELSE 'exact ' || line END AS leaf FROM s
   UNION ALL
   SELECT doc_id, pos, concat_ws(chr(1), n, k[1], k[2], o, CASE WHEN o <> 0 THEN array_to_string(k[3 : w + 2], ' ') ELSE '*' END,
          CASE WHEN o <> 1 THEN array_to_string(k[w + 3 : 2 * w + 2], ' ') ELSE '*' END, CASE WHEN o <> 2 THEN array_to_string(k[2 * w + 3 : 3 * w + 2], ' ') ELSE '*' END,
          CASE WHEN o <> 3 THEN array_to_string(k[3 * w + 3 : 4 * w + 2], ' ') ELSE '*' END, CASE WHEN o <> 4 THEN array_to_string(k[4 * w + 3 : 5 * w + 2], ' ') ELSE '*' END) AS leaf
-  FROM s, unnest([0, 1, 2, 3, 4]) AS u(o) WHERE n >= 12),
+  FROM s, unnest([0, 1, 2, 3, 4]) AS u(o) WHERE n >= 3 AND w * 4 <= n AND (c - w) * 2 >= n AND o * w + 2 < n),
 f AS (SELECT leaf, min(doc_id) AS low FROM leaves GROUP BY leaf),
 gone AS (SELECT DISTINCT leaves.doc_id, pos FROM leaves JOIN f ON f.leaf = leaves.leaf WHERE leaves.doc_id > f.low),
 kept AS (

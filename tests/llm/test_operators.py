@@ -7,7 +7,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.llm import chat, embed_dedup, line_dedup, mixing, ngram_join, quality, queries
+from lanewise.llm import chat, common, embed_dedup, line_dedup, mixing, ngram_join, quality, queries
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +54,7 @@ def test_ngram_join_finds_borderline_pairs_in_large_groups(spark, monkeypatch, f
 
     monkeypatch.setattr(ngram_join, "BLOCK", 2 if family_blocks == 0 else 8)  # many blocks; families joined by their rare n-grams
     monkeypatch.setattr(ngram_join, "FAMILY_BLOCKS", family_blocks)
-    monkeypatch.setattr(ngram_join, "HOT_COPIES", 2)
+    monkeypatch.setattr(common, "HOT_COPIES", 2)
     rng = random.Random(5)
     base = [f"w{k}" for k in range(120)]
     rows = []
@@ -243,14 +243,15 @@ def _brute_lines(rows):
     for i, text in rows:
         for pos, ln in enumerate(text.split("\n")):
             t = [("<*>" if re.search("[0-9]", w) else w) for w in brute.words(ln)]
-            n = len(t)
-            if n < 3 or sum(w != "<*>" for w in t) * 2 < n:
+            n, constant = len(t), sum(w != "<*>" for w in t)
+            if n == 0:
                 continue
-            leaves = [("whole", *t)]
-            if n >= 12:
-                w = math.ceil((n - 2) / 5)
+            solid = n >= 3 and constant * 2 >= n
+            leaves = [("whole", *t) if solid else ("exact", ln)]
+            w = math.ceil((n - 2) / 5)
+            if solid and w * 4 <= n and (constant - w) * 2 >= n:
                 parts = [tuple(t[2 + w * k : 2 + w * (k + 1)]) for k in range(5)]
-                leaves += [(n, *t[:2], k, *[p if j != k else "*" for j, p in enumerate(parts)]) for k in range(5)]
+                leaves += [(n, *t[:2], k, *[p if j != k else "*" for j, p in enumerate(parts)]) for k in range(5) if parts[k]]
             for leaf in leaves:
                 stand[leaf].add((i, pos))
     gone = set()
@@ -271,6 +272,10 @@ def test_op2_generalises_variable_fields(spark):
     rows = [(1, "intro line of one\nPosted by anna on day 12 at 10:30 in the city forum for all readers"), (2, "other words come here\nPosted by bert on day 14 at 11:45 in the city forum for all readers"), (3, "Posted by a totally different text that only shares its first two tokens with those above it")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "other words come here", 3: rows[2][1]}
+    short = [(1, "Posted by anna today\nMenu\nPage 3\nHi there anna\n1 2 total cost"), (2, "Posted by bert today\nMenu\nPage 4\nHi there bert\n3 4 total price"), (3, "Posted by carl yesterday\nRead more\nPage 3")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(short, "doc_id long, text string")).collect()}
+    # one word of four varies; of three words, or beside variable numbers, none may
+    assert got == {1: short[0][1], 2: "Page 4\nHi there bert\n3 4 total price", 3: "Posted by carl yesterday\nRead more"}
 
 
 def test_op10_learns_and_spares_clean_documents(spark):
