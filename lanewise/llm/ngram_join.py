@@ -273,7 +273,8 @@ def _blocks_of(sets: Column, grams: Column) -> Column:
 def _placed(dealt: DataFrame, group: str) -> DataFrame:
     """Every set in all pairs of blocks of its group that hold its own block; side 1 is that of the larger block."""
     pairs = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return pairs.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "grams", "dfs", (F.col("block") > F.col("other")).cast("int").alias("side"))
+    placed = pairs.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "grams", "dfs", (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return placed.repartition(group, "i", "j")  # the pairs of one group go to many tasks, however the group came here
 
 
 def _round_links(sets: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -282,7 +283,9 @@ def _round_links(sets: DataFrame, seed: int, percent: int) -> DataFrame:
     keyed = sets.select("node", drawn.alias("key"), "grams")
     size = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.size("grams")).alias("total")).where("size > 1").select("key", _blocks_of(F.col("size"), F.col("total")).alias("blocks")))
     block = F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")).cast("int")
-    dealt = keyed.join(size, "key").select("key", block.alias("block"), "node", F.col("node").alias("label"), "grams", F.lit(0).alias("side"))
+    few = size.count() <= BROADCAST_NODES
+    dealt = keyed.join(F.broadcast(size) if few else size, "key").select("key", block.alias("block"), "node", F.col("node").alias("label"), "grams", F.lit(0).alias("side"))
+    dealt = dealt if few else dealt.repartition("key", "block")  # a join by key leaves a key's blocks in one task
     return dealt.groupBy("key", "block").applyInArrow(_block_links(percent), "a long, b long")
 
 
