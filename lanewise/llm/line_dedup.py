@@ -52,17 +52,17 @@ def _leaves(tokens: Column, line: Column, leading: int, parts: int, least: int)
         n = F.size(t)
         width = F.ceil((n - leading) / F.lit(parts)).cast("int")
         cut = lambda k: F.when(F.lit(leading) + width * k < n, F.xxhash64(F.slice(t, F.lit(leading + 1) + width * k, width))).otherwise(F.lit(0).cast("long"))
-        whole = _leaf(n, F.lit(-1), t)
         fixed = F.xxhash64(n, F.slice(t, 1, leading))
+        # the tokens are hashed once, by stretch; leaving an empty stretch open gives one more name to the whole template
         several = _let(
             F.array(fixed, *[cut(k) for k in range(parts)]),
-            lambda h: F.array(whole, *[F.when(F.lit(leading) + width * k < n, _leaf(h[0], F.lit(k), *[h[j + 1] for j in range(parts) if j != k])) for k in range(parts)]),
+            lambda h: F.array(_leaf(F.lit(-1), *[h[j] for j in range(parts + 1)]), *[_leaf(h[0], F.lit(k), *[h[j + 1] for j in range(parts) if j != k]) for k in range(parts)]),
         )
         constant = F.size(F.array_remove(t, "<*>"))
         solid = (n >= least) & (constant * 2 >= n)
         opens = (width * 4 <= n) & ((constant - width) * 2 >= n)
         alone = F.array(_leaf(F.lit(-2), line))
-        return F.when(n == 0, none).when(~solid, alone).when(opens, F.filter(several, lambda x: x.isNotNull())).otherwise(F.array(whole))
+        return F.when(n == 0, none).when(~solid, alone).when(opens, several).otherwise(F.array(_leaf(n, F.lit(-1), t)))
 
     return _let(tokens, stretches)
 
