@@ -43,6 +43,17 @@ def from_wkt(text: Column) -> Column:
     return F.when(F.length(body) > 0, F.transform(F.split(body, r"\s*,\s*"), lambda p: _xy(F.split(F.trim(p), r"\s+")[0].cast("double"), F.split(F.trim(p), r"\s+")[1].cast("double"))))
 
 
+def of_nodes(nodes: Column, least: int = 2) -> Column:
+    """The line of a node list ``array<struct<..., x, y>>``; null if it has fewer than ``least`` nodes."""
+    return F.when(F.size(nodes) >= least, F.transform(nodes, lambda n: _xy(n["x"], n["y"])))
+
+
+def ring_of_nodes(nodes: Column) -> Column:
+    """The closed ring of a node list; null if it has fewer than three nodes."""
+    ring = of_nodes(nodes, 3)
+    return let(ring, lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1))))
+
+
 def segments(line: Column) -> Column:
     """Consecutive pairs as ``struct<a,b>``."""
     return let(line, lambda p: F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda k: F.struct(F.get(p, k - 1).alias("a"), F.get(p, k).alias("b")))).otherwise(F.array().cast(f"array<struct<a:{POINT},b:{POINT}>>")))

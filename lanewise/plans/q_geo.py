@@ -405,6 +405,12 @@ def a10_interval_union(spark: SparkSession, d: str) -> DataFrame:
     return intervals.union_intervals(iv, ["k"], "a", "b")
 
 
+@q("SELECT vec_id AS id, CASE WHEN n >= 2 THEN n END AS line_points, CASE WHEN n >= 3 THEN n + 1 END AS ring_points FROM (SELECT vec_id, CAST(vec_id % 5 AS INTEGER) AS n FROM embeddings)")
+def g35_lines_and_rings(spark: SparkSession, d: str) -> DataFrame:
+    nodes = v_line(spark, d).select("id", F.slice("coords", F.lit(1), (F.col("id") % 5).cast("int")).alias("n"))
+    return nodes.select("id", F.size(line.of_nodes(F.col("n"))).alias("line_points"), F.size(line.ring_of_nodes(F.col("n"))).alias("ring_points"))
+
+
 @q(sql("v_seg", f"WITH {_SEGS} SELECT id, round(sum({_hav('x1', 'y1', 'x2', 'y2', C.EARTH_RADIUS_M)}), 2) AS m FROM sg WHERE x2 IS NOT NULL GROUP BY 1"))
 def a21_link_length(spark: SparkSession, d: str) -> DataFrame:
     return v_line(spark, d).select("id", F.round(line.length_m(F.col("coords")), 2).alias("m"))

@@ -141,7 +141,8 @@ def r30_greedy_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @q()
 def r31_road_match(spark: SparkSession, d: str) -> DataFrame:
-    small = lambda c: F.transform(F.slice(c, 1, 3), lambda p: F.struct((p["x"] / 2000).alias("x"), (p["y"] / 2000).alias("y")))
+    # lines of some metres, side by side, so that each has a few neighbours
+    small = lambda c: F.transform(F.slice(c, 1, 3), lambda p: F.struct((p["x"] / 2000 + F.col("id") * 0.0002).alias("x"), (p["y"] / 2000).alias("y")))
     edges = v_line(spark, d, 4).select(F.col("id").alias("eid"), small("coords").alias("coords"))
     roads = v_line(spark, d, 4, 8).select(F.col("id").alias("rid"), small("coords").alias("line"))
     return spatial.road_match(edges, roads).select("eid", "rid", F.round("angle", 4).alias("angle"), F.round("frechet", 4).alias("frechet"))
@@ -252,7 +253,7 @@ def p16_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @q()
 def j09_candidate_lines(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.lines_near_lines(v_line(spark, d, 3), v_line(spark, d, 3, 12).selectExpr("id rid", "coords line"), 0.01).select("id", "rid", F.round("distance", 9).alias("distance"))
+    return spatial.lines_near_lines(v_line(spark, d, 3), v_line(spark, d, 3, 12).selectExpr("id rid", "coords line"), 0.01, size=0.2).select("id", "rid", F.round("distance", 9).alias("distance"))
 
 
 @q("SELECT o_orderkey, CAST(k AS INTEGER) AS k, CASE k WHEN 0 THEN CAST(o_custkey AS DOUBLE) ELSE 5 END AS x0, CASE k WHEN 0 THEN CAST(o_orderkey AS DOUBLE) ELSE 8 END AS y1 FROM orders, unnest([0, 1]) AS u(k)")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.operators.relational import upsert
+from lanewise.session import cut
 
 
 def save(df: DataFrame, path: str, mode: str = "overwrite") -> bool:
@@ -18,15 +21,66 @@ def save(df: DataFrame, path: str, mode: str = "overwrite") -> bool:
     return True
 
 
-def save_upserted(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
-    """New rows over stored ones by key. The result goes to a sibling folder, which then takes the table's place: what is read is never overwritten."""
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path`` and a function that makes paths of it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    here, fresh = hadoop.Path(path), hadoop.Path(path.rstrip("/") + ".new")
-    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = upsert(spark.read.parquet(path), new, keys) if fs.exists(here) else new
-    out.write.mode("overwrite").parquet(fresh.toString())
-    fs.delete(here, True)
-    fs.rename(fresh, here)
+    return hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.Path
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Finish or undo an upsert that was interrupted; whether there is a table. A new table that is whole (it has ``_SUCCESS``) wins over the old one."""
+    fs, at = _files(spark, path)
+    here, fresh, old = (path.rstrip("/") + end for end in ("", ".new", ".old"))
+    if not fs.exists(at(here)):
+        for other in (f"{fresh}/_SUCCESS", old):
+            if fs.exists(at(other)):
+                fs.rename(at(other.removesuffix("/_SUCCESS")), at(here))
+                break
+    if fs.exists(at(here)):
+        for rest in (fresh, old):
+            fs.delete(at(rest), True)
+        return True
+    return False
+
+
+def save_upserted(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
+    """New rows over stored ones by key. The result goes to a sibling folder, the old table steps aside and is deleted last: at every moment one of the
+    two is whole, and ``recover`` finds it."""
+    fs, at = _files(spark, path)
+    here, fresh, old = (path.rstrip("/") + end for end in ("", ".new", ".old"))
+    stored = recover(spark, path)
+    out = upsert(spark.read.parquet(here), new, keys) if stored else new
+    out.write.mode("overwrite").parquet(fresh)
+    if stored:
+        fs.rename(at(here), at(old))
+    fs.rename(at(fresh), at(here))
+    fs.delete(at(old), True)
+
+
+def save_memo(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Rows of a memo as CSV with a header (or Parquet, by the name); nested columns become JSON text."""
+    nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "struct", "map")]
+    flat = df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
+    if path.rstrip("/").endswith(".csv"):
+        flat.write.mode(mode).option("header", True).csv(path)
+    else:
+        flat.write.mode(mode).parquet(path)
+
+
+def remembered(spark: SparkSession, wanted: DataFrame, path: str, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results of ``wanted`` by ``keys`` from the memo at ``path``, kept between sessions: only what the memo lacks is computed, and added to it.
+
+    ``compute`` takes the missing rows and returns them with its results.
+    """
+    from .tables import memo
+
+    fs, at = _files(spark, path)
+    known = memo(spark, path) if fs.exists(at(path)) else None
+    missing = wanted if known is None else wanted.join(known.select(*keys).distinct(), keys, "left_anti")
+    fresh = cut(compute(missing))
+    if not fresh.isEmpty():
+        save_memo(fresh, path)
+    return memo(spark, path).join(wanted.select(*keys).distinct(), keys, "left_semi") if known is not None or not fresh.isEmpty() else fresh
 
 
 def stored_form(df: DataFrame) -> DataFrame:

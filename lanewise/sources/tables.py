@@ -107,6 +107,13 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return f.select("path", F.regexp_extract(name, r"^(.+)_[^_]+$", 1).alias("pid"), F.regexp_extract(name, r"_([^_]+)$", 1).alias("dir"))
 
 
+def geometry_table(spark: SparkSession, shapes: list[tuple[float, float]] | list[list[tuple[float, float]]]) -> DataFrame:
+    """One geometry or a list of them, each a list of points, as a table of one column ``geometry``."""
+    one = bool(shapes) and not isinstance(shapes[0][0], (list, tuple))
+    rows = [([(float(x), float(y)) for x, y in shape],) for shape in ([shapes] if one else shapes)]
+    return spark.createDataFrame(rows, "geometry array<struct<x:double,y:double>>")
+
+
 def geojson(spark: SparkSession, path: str) -> DataFrame:
     """Features of a GeoJSON file: ``properties`` as a map, ``kind`` and ``coords`` (points, lines and the outer ring of polygons)."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "struct<features:array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>").alias("j"))

@@ -289,6 +289,31 @@ def test_road_match_prefers_the_parallel_road(spark):
     assert set(got) == {"near", "cross"} and got["near"].frechet < 4 and got["cross"].frechet == float("inf")
 
 
+def test_memo_computes_what_it_lacks(spark, tmp_path):
+    for name in ("memo.csv", "memo.parquet"):
+        path, asked = str(tmp_path / name), []
+
+        def compute(missing, asked=asked):
+            asked.append(sorted(r.pid for r in missing.collect()))
+            return missing.withColumn("lanes", F.col("pid") * 2)
+
+        ids = lambda *v: spark.createDataFrame([(x,) for x in v], "pid long")
+        assert {(r.pid, r.lanes) for r in sinks.remembered(spark, ids(1, 2), path, ["pid"], compute).collect()} == {(1, 2), (2, 4)}
+        assert {(r.pid, r.lanes) for r in sinks.remembered(spark, ids(2, 3), path, ["pid"], compute).collect()} == {(2, 4), (3, 6)}
+        assert sinks.remembered(spark, ids(1, 3), path, ["pid"], compute).count() == 2
+        assert asked == [[1, 2], [3], []]
+
+
+def test_lines_rings_and_geometry_tables(spark):
+    from lanewise.functions import line
+
+    rows = [([(0.0, 0.0)],), ([(0.0, 0.0), (1.0, 0.0)],), ([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)],), ([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)],)]
+    t = spark.createDataFrame(rows, "n array<struct<x:double,y:double>>")
+    got = [(r.a and len(r.a), r.b and len(r.b)) for r in t.select(line.of_nodes(F.col("n")).alias("a"), line.ring_of_nodes(F.col("n")).alias("b")).collect()]
+    assert got == [(None, None), (2, None), (3, 4), (4, 4)]
+    assert tables.geometry_table(spark, [(0, 0), (1, 1)]).count() == 1 and tables.geometry_table(spark, [[(0, 0)], [(1, 1), (2, 2)]]).count() == 2
+
+
 def test_greedy_coverage_stops_when_covered(spark):
     ranked = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c")], "eid long, rank int, root string")
     matched = spark.createDataFrame([(1, "a", 0.0, 0.5), (1, "b", 0.4, 0.9), (1, "c", 0.9, 1.0)], "eid long, root string, start double, end double")
@@ -303,6 +328,12 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r.ID for r in tables.scan(spark, path, ["ID"], ring=[(0, 0), (2, 0), (2, 2), (0, 2)]).collect()] == [1]
     sinks.save_upserted(spark, spark.createDataFrame([(2, 7.0, 7.0), (3, 1.0, 1.0)], "ID long, x double, y double"), path, ["ID"])
     assert {(r.ID, r.x) for r in spark.read.parquet(path).collect()} == {(1, 0.5), (2, 7.0), (3, 1.0)}
+    (tmp_path / "t.parquet").rename(tmp_path / "t.parquet.old")  # as if the writer had died before the new table took its place
+    assert sinks.recover(spark, path) and spark.read.parquet(path).count() == 3
+    (tmp_path / "t.parquet").rename(tmp_path / "t.parquet.old")
+    table.write.parquet(path + ".new")
+    assert sinks.recover(spark, path) and spark.read.parquet(path).count() == 2 and not (tmp_path / "t.parquet.old").exists()
+    assert not sinks.recover(spark, str(tmp_path / "none"))
     lines = spark.createDataFrame([("a", [(0.0, 0.0), (9.0, 9.0)])], "name string, coords array<struct<x:double,y:double>>")
     sinks.write_geojson(lines, "coords", str(tmp_path / "g"))
     (tmp_path / "f.json").write_text('{"type":"FeatureCollection","features":[' + "".join(f.read_text() for f in (tmp_path / "g").glob("part*")).strip() + "]}")

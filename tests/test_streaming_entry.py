@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lanewise.streaming import upserts
 from lanewise.streaming.upserts import upsert_stream, windowed_counts
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -55,6 +56,15 @@ def test_stream_is_upserted(spark, tmp_path):
         if extra:
             spark.createDataFrame([extra], "id long, v string, t string").withColumn("t", F.to_timestamp("t")).write.mode("append").parquet(str(source))
         upsert_stream(spark.readStream.schema(schema).parquet(str(source)), path, ["id"], "t", str(tmp_path / "cp"), once=True).awaitTermination()
-    assert {(r.id, r.v) for r in spark.read.parquet(path).collect()} == {(1, "b"), (2, "d")}
+    assert {(r.id, r.v) for r in upserts.current(spark, path, ["id"]).collect()} == {(1, "b"), (2, "d")}
+    upserts.compact(spark, path, ["id"])
+    assert sorted(p.name for p in (tmp_path / "table").glob("*/n=*")) == [f"n={1:019d}"]
+    upserts.append_batch(spark.createDataFrame([(1, "e", None), (7, "f", None)], schema), path, 2)
+    upserts.append_batch(spark.createDataFrame([(1, "e", None), (7, "f", None)], schema), path, 2)  # a batch repeated after a crash
+    (tmp_path / "table" / "log" / f"n={3:019d}").mkdir()  # a batch that was not finished
+    assert {(r.id, r.v) for r in upserts.current(spark, path, ["id"]).collect()} == {(1, "e"), (2, "d"), (7, "f")}
+    upserts.compact(spark, path, ["id"])
+    upserts.compact(spark, path, ["id"])
+    assert {(r.id, r.v) for r in upserts.current(spark, path, ["id"]).collect()} == {(1, "e"), (2, "d"), (7, "f")}
     counts = windowed_counts(spark.readStream.schema(schema).parquet(str(source)), "t", "id")
     assert counts.isStreaming and counts.columns == ["window", "id", "n"]
