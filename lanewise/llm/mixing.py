@@ -140,7 +140,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share:
     mixed = taken.select("row", F.explode(copies).alias("words"))
     pieces = F.split(F.col("row.text"), r"(?<=[\x20\x09-\x0D])(?![\x20\x09-\x0D])", -1)
     lead = F.when(F.col("row.text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    start = F.rtrim(F.array_join(F.slice(pieces, F.lit(1), (F.col("words") + lead).cast("int")), ""))
+    start = F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), (F.col("words") + lead).cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
     text = F.when(F.col("words") == 0, F.col("row.text")).otherwise(start)
     out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:

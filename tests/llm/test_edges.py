@@ -59,6 +59,18 @@ def test_mixing(odd, none):
     assert mixing.mix_sizes(none).count() == mixing.mix_documents(none).count() == 0
 
 
+def test_mixing_cuts_after_the_last_word_taken(spark):
+    """Of 12 words the source of weight 1 gets 4: one document whole or cut, and no white space behind the cut."""
+    texts = {1: "a1\tb1\n c1 \x0b d1", 2: "a2 \n\n b2\tc2\r\nd2", 3: "x\ty z\n w"}
+    table = spark.createDataFrame([(i, t, "en", "b" if i == 3 else "a", len(t)) for i, t in texts.items()], SCHEMA)
+    want = {r.doc_id: r.taken for r in mixing.mix_sizes(table).collect()}
+    got = {}
+    for r in mixing.mix_documents(table).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(brute.words(r.text))
+        assert texts[r.doc_id].startswith(r.text) and r.text == r.text.rstrip(" \t\n\x0b\x0c\r") and r.n_chars == len(r.text)
+    assert got == {i: n for i, n in want.items() if n}
+
+
 def test_mixing_without_words(spark):
     empty = spark.createDataFrame([(1, "", "en", "a", 0), (2, None, "en", None, 0)], SCHEMA)
     assert {r.taken for r in mixing.mix_sizes(empty).collect()} == {0}
@@ -233,6 +245,52 @@ def test_toxicity(odd, none, labels):
     assert toxicity.learn(odd, labels.limit(0)).weights == {}
 
 
+def test_pipeline_against_brute_force(spark, sf_dir):
+    """Every stage again in plain Python, on its predecessor's plain result; only the fitted weights are the engine's."""
+    import hashlib
+    import math
+    from collections import Counter
+
+    from test_operators import _brute_lines
+    from tokenizers import Tokenizer
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.learn(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = {r.doc_id: (r.source, r.text) for r in table.collect()}
+    assert len(docs) == table.count() and all(t is not None for _, t in docs.values())
+    docs = {i: d for i, d in docs.items() if model.bias + sum(model.weights.get(h, 0.0) for h in toxicity.hashed(toxicity.feature_names(toxicity.word_set(d[1]))).view(np.uint64).tolist()) < 0}
+    lines = _brute_lines([(i, t) for i, (_, t) in docs.items()])
+    docs = {i: (s, lines[i]) for i, (s, _) in docs.items()}
+    n, component, _ = brute.jaccard_components([(i, t) for i, (_, t) in docs.items()], 5, 80)
+    docs = {i: d for i, d in docs.items() if n[i] == 0 or component[i] == i}
+    sizes = Counter()
+    for s, t in docs.values():
+        sizes[s] += len(brute.words(t))
+    target, mixed = brute.mix_targets(dict(sizes)), []
+    for source in sizes:
+        epochs = min(3, math.floor(target[source] / sizes[source])) if sizes[source] else 0
+        left = round(target[source] - epochs * sizes[source]) if epochs < 3 else 0
+        for i in sorted((i for i in docs if docs[i][0] == source), key=lambda i: (hashlib.md5(f"mix:{i}".encode()).hexdigest(), i)):
+            text, words = docs[i][1], brute.words(docs[i][1])
+            if not words:
+                continue
+            mixed += [(i, text)] * epochs
+            if left >= len(words):
+                mixed.append((i, text))
+            elif left > 0:
+                mixed.append((i, text[: [m.end() for m in brute.WORD.finditer(text)][left - 1]]))
+            left = max(0, left - len(words))
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    tok.no_truncation()
+    tok.no_padding()
+    want = Counter()
+    for i, text in mixed:
+        ids = tok.encode(text, add_special_tokens=False).ids
+        want[i, len(ids), " ".join(map(str, ids)), tok.decode(ids, skip_special_tokens=False)] += 1
+    got = Counter((r.doc_id, r.n_tokens, r.ids, r.decoded) for r in corpus_pipeline.run(spark, sf_dir).collect())
+    assert got == want and len(got) > 100
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     first = docs
