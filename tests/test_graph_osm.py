@@ -281,6 +281,15 @@ def test_map_matching_follows_the_road(spark):
     assert path[0].breakpoint == pytest.approx(0.2, abs=0.01) and path[-1].breakpoint == pytest.approx(0.8, abs=0.01)
 
 
+def test_map_matching_of_a_sparse_track(spark):
+    m = 1 / 110000
+    edges = spark.createDataFrame([(k, k, k + 1, [(100 * k * m, 0.0), (100 * (k + 1) * m, 0.0)]) for k in range(1, 10)], "eid long, src long, dst long, coords array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([("t", 0, 120 * m, 5 * m), ("t", 1, 980 * m, -4 * m)], "traj string, seq long, x double, y double")
+    steps = lambda hops: [(r.eid, r.step) for r in matching.match(points, edges, radius_m=15.0, max_hops=hops).orderBy("seq").collect()]
+    assert steps(None) == [(1, 0), *[(k, 1) for k in range(2, 9)], (9, -1)]
+    assert [e for e, _ in steps(4)] != [e for e, _ in steps(None)]
+
+
 def test_road_match_prefers_the_parallel_road(spark):
     m = 1 / 110000
     edges = spark.createDataFrame([(1, [(0.0, 0.0), (60 * m, 0.0)])], "eid long, coords array<struct<x:double,y:double>>")
