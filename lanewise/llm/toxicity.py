@@ -148,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_cle
     small_batches(docs.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    one = cut_lineage(docs.select("doc_id").join(one, "doc_id").distinct())
+    one = cut_lineage(docs.select("doc_id").distinct().join(one, "doc_id"))  # an id of very many rows is one before it is joined
     drawn = [one.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for v, k in ((1, n_toxic), (0, n_clean))]
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))
     found = docs.where("text is not null").select("doc_id", "text").join(ids, "doc_id")
