@@ -90,7 +90,8 @@ def r14_map_matching(spark: SparkSession, d: str) -> DataFrame:
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     edges = steps.select((F.col("node") * 1000000 + F.col("dst")).alias("eid"), F.col("node").alias("src"), "dst", F.array(point("x", "y"), point("x2", "y2")).alias("coords"))
     points = pairs.select(F.col("way").alias("traj"), F.col("k").cast("long").alias("seq"), (F.col("x") + 0.0001).alias("x"), (F.col("y") - 0.0001).alias("y"))
-    return matching.match(points, edges)
+    # observations are one edge apart, some 16 m beside it
+    return matching.match(points, edges, radius_m=20.0, max_hops=2)
 
 
 @q()
