@@ -148,24 +148,28 @@ def _verify(threshold: float, single: bool):
         near = units[left] @ units[right].T >= threshold
         if diagonal:
             near = np.triu(near, 1)
+        rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if not len(rows):
+            return empty
+        close, involved = near[np.ix_(rows, columns)], np.zeros(len(side), bool)
+        involved[left[rows]] = involved[right[columns]] = True
         lists = table.column("filters").combine_chunks()
         flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(side)), lists.value_lengths().to_numpy())
-        flat, owner = flat[flat < here], owner[flat < here]
-        known, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-        place = np.cumsum(times > 1) - 1  # of the filters that several vectors share
-        many = times[column] > 1
-        owner, column = owner[many], place[column[many]]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        for at in range(0, int((times > 1).sum()), COLUMNS):
-            if not near.any():
-                return empty
-            lo, hi = np.searchsorted(column, (at, at + COLUMNS))
-            marks = np.zeros((len(side), COLUMNS), np.float32)
-            marks[owner[lo:hi], column[lo:hi] - at] = 1
-            near &= ~(marks[left] @ marks[right].T > 0)
-        if not near.any():
+        earlier = (flat < here) & involved[owner]
+        flat, owner = flat[earlier], owner[earlier]
+        _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = times[place] > 1  # filters that several of them are in
+        owner, place = owner[shared], (np.cumsum(times > 1) - 1)[place[shared]]
+        order = np.argsort(place, kind="stable")
+        owner, place, most = owner[order], place[order], int((times > 1).sum())
+        for at in range(0, most, COLUMNS):
+            lo, hi = np.searchsorted(place, (at, at + COLUMNS))
+            marks = np.zeros((len(side), min(COLUMNS, most - at)), np.float32)
+            marks[owner[lo:hi], place[lo:hi] - at] = 1
+            close &= ~(marks[left[rows]] @ marks[right[columns]].T > 0)
+        if not close.any():
             return empty
+        near[np.ix_(rows, columns)] = close
         nodes, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
         weight = np.zeros(len(side), np.int64)
         weight[left] += near @ copies[right]

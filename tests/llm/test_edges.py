@@ -71,6 +71,13 @@ def test_mixing_cuts_after_the_last_word_taken(spark):
     assert got == {i: n for i, n in want.items() if n}
 
 
+def test_mixing_shares_ties_evenly(spark):
+    rows = [(1, "one two three", "en", "a", 13)] * 4 + [(2, "a b c d e f", "en", "b", 11)]
+    got = [(r.doc_id, r.target, r.taken) for r in mixing.mix_sizes(spark.createDataFrame(rows, SCHEMA)).collect()]
+    # six of twelve words are left for four equal rows: one each, rounded down
+    assert sorted(got) == [(1, 6.0, 1)] * 4 + [(2, 12.0, 12)]
+
+
 def test_mixing_without_words(spark):
     empty = spark.createDataFrame([(1, "", "en", "a", 0), (2, None, "en", None, 0)], SCHEMA)
     assert {r.taken for r in mixing.mix_sizes(empty).collect()} == {0}
