@@ -169,6 +169,37 @@ def test_op7_recall_and_components(spark, monkeypatch):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+@pytest.mark.parametrize(("blocks", "columns"), [(2, 4096), (2, 3), (3, 4096)])
+def test_op7_counts_every_pair_once(monkeypatch, blocks, columns):
+    """Over all filters, a pair is counted at one of those it shares; codes of two and three blocks."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(embed_dedup, "COLUMNS", columns)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.standard_normal((12, 64)), 6, axis=0) + 0.2 * rng.standard_normal((72, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    filters = embed_dedup.list_decode(unit, embed_dedup.codebooks(64, 16 if blocks == 2 else 7, blocks))
+    assert all(len(f) >= embed_dedup.LEAST for f in filters)
+    got, want = np.zeros(72, int), np.zeros(72, int)
+    for here in np.unique(np.concatenate(filters)).tolist():
+        rows = [k for k in range(72) if here in filters[k]]
+        n = len(rows)
+        table = pa.table({"filter": [here] * n, "i": [0] * n, "j": [0] * n, "side": pa.array([0] * n, pa.int32()), "node": rows, "copies": [1] * n, "raw": [x[k].tobytes() for k in rows], "filters": [filters[k].tolist() for k in rows]})
+        for r in embed_dedup._verify(0.95, False)(table).to_pylist():
+            got[r["a"]] += r["w"] if r["b"] is None else 0
+    for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.95, 1)), strict=True):
+        if len(np.intersect1d(filters[a], filters[b])):
+            want[[a, b]] += 1
+    assert (got == want).all() and want.sum() > 100
+
+
+def test_op7_code_grows_with_the_vectors():
+    sizes = [embed_dedup.code_size(n) for n in (0, 1_000, 10**6, 6 * 10**7, 10**8, 10**11)]
+    assert [b for b, _ in sizes] == [2, 2, 2, 2, 3, 3] and all(w <= embed_dedup.MOST_WORDS for _, w in sizes)
+    assert all(w**b * embed_dedup.PER_FILTER >= 0.9 * n * embed_dedup.LIST for n, (b, w) in zip((10**6, 10**8, 10**11), (sizes[2], *sizes[4:]), strict=True))
+
+
 def test_op8_reads_back_what_was_formatted(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-7, 0, "user", queries.PLANTED), (-7, 1, "assistant", queries.PLANTED)]
