@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lanewise.constants import METRES_PER_DEGREE, WGS84_A, WGS84_E
 from lanewise.functions import geo, line
 from lanewise.operators import filters, fusion, graph, intervals, matching, osm, pano, simulation, spatial
 from lanewise.plans.adapters import Registry, sql, table, v_graph, v_line, v_map
@@ -192,7 +193,21 @@ def r47_trajectory_overlap(spark: SparkSession, d: str) -> DataFrame:
     return pano.trajectory_overlap(v_map(spark, d).selectExpr("eid", "cast(rid as string) root", "pid"), "7", "11")
 
 
-@q()
+def _pairs_of_lines(shift: int) -> str:
+    """Lines of three points against those of the three points after ``shift`` numbers, segment by segment: whether they cross, and how near their ends come."""
+    points = "SELECT vec_id AS {id}, i, CAST(embedding[{k} + 2 * i - 1] AS DOUBLE) AS x, CAST(embedding[{k} + 2 * i] AS DOUBLE) AS y FROM embeddings, unnest([1, 2, 3]) AS u(i)"
+    segments = "SELECT {id}, x AS {p}x, y AS {p}y, lead(x) OVER w AS {q}x, lead(y) OVER w AS {q}y FROM ({points}) WINDOW w AS (PARTITION BY {id} ORDER BY i)"
+    sa = segments.format(id="id", p="m", q="n", points=points.format(id="id", k=0))
+    sb = segments.format(id="rid", p="u", q="v", points=points.format(id="rid", k=shift))
+    side = lambda p, q, r: f"(({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x))"
+    at = lambda p, a, b: f"greatest(0, least(1, (({p}x - {a}x) * ({b}x - {a}x) + ({p}y - {a}y) * ({b}y - {a}y)) / (pow({b}x - {a}x, 2) + pow({b}y - {a}y, 2))))"
+    far = lambda p, a, b: f"sqrt(pow({p}x - {a}x - {at(p, a, b)} * ({b}x - {a}x), 2) + pow({p}y - {a}y - {at(p, a, b)} * ({b}y - {a}y), 2))"
+    crosses = f"{side('m', 'n', 'u')} * {side('m', 'n', 'v')} <= 0 AND {side('u', 'v', 'm')} * {side('u', 'v', 'n')} <= 0"
+    near = ", ".join(far(p, a, b) for p, a, b in (("m", "u", "v"), ("n", "u", "v"), ("u", "m", "n"), ("v", "m", "n")))
+    return f"sa AS ({sa}), sb AS ({sb}), pr AS (SELECT id, rid, {crosses} AS crosses, least({near}) AS d FROM sa, sb WHERE nx IS NOT NULL AND vx IS NOT NULL), nl AS (SELECT id, rid, CASE WHEN bool_or(crosses) THEN 0 ELSE min(d) END AS distance FROM pr GROUP BY 1, 2)"
+
+
+@q(sql("v_seg", f"WITH s AS (SELECT id, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM v_seg WHERE i <= 4 WINDOW w AS (PARTITION BY id ORDER BY i)) SELECT id, CAST(sum(greatest(1, round(sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) * {METRES_PER_DEGREE} / 1000.0) - 1)) + 1 AS INTEGER) AS points FROM s WHERE x2 IS NOT NULL GROUP BY 1"))
 def g15_densified(spark: SparkSession, d: str) -> DataFrame:
     return v_line(spark, d, 4).select("id", F.size(line.densify(F.col("coords"), 1000.0)).alias("points"))
 
@@ -203,7 +218,9 @@ def g16_cut_to_overlap(spark: SparkSession, d: str) -> DataFrame:
     return a.join(a.select((F.col("id") - 1).alias("id"), F.col("coords").alias("other")), "id").select("id", F.size(line.cut_to_overlap(F.col("coords"), F.col("other"))).alias("points"))
 
 
-@q()
+@q(sql("v_seg", """WITH m AS (SELECT a.id, (a.x + b.x) / 2 AS px, (a.y + b.y) / 2 AS py FROM v_seg a JOIN v_seg b ON b.id = a.id AND a.i = 1 AND b.i = 4), s AS (SELECT id - 1 AS id, i - 1 AS i, x, y, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM v_seg WHERE i <= 4 WINDOW w AS (PARTITION BY id ORDER BY i)),
+t AS (SELECT m.id, i, ((px - x) * dx + (py - y) * dy) / (dx * dx + dy * dy) AS t FROM m JOIN s ON s.id = m.id WHERE dx IS NOT NULL)
+SELECT id, round(coalesce(arg_min((i + t) / 3, i) FILTER (WHERE t BETWEEN 0 AND 1), CASE WHEN arg_min(t, i) < 0 THEN 0 ELSE 1 END), 6) AS at FROM t GROUP BY 1"""))
 def g17_relative_position(spark: SparkSession, d: str) -> DataFrame:
     a = v_line(spark, d, 4)
     return a.join(a.select((F.col("id") - 1).alias("id"), F.col("coords").alias("other")), "id").select("id", F.round(line.relative_position(F.col("coords"), F.col("other")), 6).alias("at"))
@@ -214,12 +231,23 @@ def g18_offset_line(spark: SparkSession, d: str) -> DataFrame:
     return v_line(spark, d, 4).select("id", line.to_wkt(line.offset_right(F.col("coords"), 500.0)).alias("wkt"))
 
 
-@q()
+@q(f"""WITH {_NODES}, a AS (SELECT node, radians(y) AS phi, radians(x - 111) AS lam, pow({WGS84_E}::DOUBLE, 2) AS e FROM nd),
+b AS (SELECT *, e / (1 - e) AS ep, {WGS84_A}::DOUBLE / sqrt(1 - e * pow(sin(phi), 2)) AS n, pow(tan(phi), 2) AS t, cos(phi) * lam AS a,
+  {WGS84_A}::DOUBLE * ((1 - e / 4 - 3 * pow(e, 2) / 64 - 5 * pow(e, 3) / 256) * phi - (3 * e / 8 + 3 * pow(e, 2) / 32 + 45 * pow(e, 3) / 1024) * sin(2 * phi) + (15 * pow(e, 2) / 256 + 45 * pow(e, 3) / 1024) * sin(4 * phi) - 35 * pow(e, 3) / 3072 * sin(6 * phi)) AS m FROM a),
+c AS (SELECT *, ep * pow(cos(phi), 2) AS c FROM b)
+SELECT node AS id, round(0.9996::DOUBLE * n * (a + (1 - t + c) * pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * pow(a, 5) / 120) + 500000, 2) AS x,
+  round(0.9996::DOUBLE * (m + n * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * pow(a, 6) / 720)), 2) AS y FROM c""")
 def g23_utm(spark: SparkSession, d: str) -> DataFrame:
     return grid_nodes(spark, d).select("id", geo.utm("x", "y").alias("p")).select("id", "p.x", "p.y")
 
 
-@q()
+@q(f"""WITH {_NODES}, a AS (SELECT *, x - 105 AS u, y - 35 AS v, radians(y) AS r FROM nd),
+b AS (SELECT *, (20 * sin(6 * u * pi()) + 20 * sin(2 * u * pi())) * 2 / 3 AS wave, 1 - {geo.GCJ_EE}::DOUBLE * pow(sin(r), 2) AS mg FROM a),
+c AS (SELECT *, -100 + 2 * u + 3 * v + 0.2::DOUBLE * v * v + 0.1::DOUBLE * u * v + 0.2::DOUBLE * sqrt(abs(u)) + wave + (20 * sin(v * pi()) + 40 * sin(v / 3 * pi())) * 2 / 3 + (160 * sin(v / 12 * pi()) + 320 * sin(v * pi() / 30)) * 2 / 3 AS dy,
+  300 + u + 2 * v + 0.1::DOUBLE * u * u + 0.1::DOUBLE * u * v + 0.1::DOUBLE * sqrt(abs(u)) + wave + (20 * sin(u * pi()) + 40 * sin(u / 3 * pi())) * 2 / 3 + (150 * sin(u / 12 * pi()) + 300 * sin(u / 30 * pi())) * 2 / 3 AS dx FROM b),
+g AS (SELECT node, x + dx * 180 / ({geo.GCJ_A}::DOUBLE / sqrt(mg) * cos(r) * pi()) AS gx, y + dy * 180 / ({geo.GCJ_A}::DOUBLE * (1 - {geo.GCJ_EE}::DOUBLE) / (mg * sqrt(mg)) * pi()) AS gy FROM c),
+z AS (SELECT node, sqrt(gx * gx + gy * gy) + 0.00002::DOUBLE * sin(gy * pi() * 3000 / 180) AS z, atan2(gy, gx) + 0.000003::DOUBLE * cos(gx * pi() * 3000 / 180) AS th FROM g)
+SELECT node AS id, round(z * cos(th) + 0.0065::DOUBLE, 7) AS x, round(z * sin(th) + 0.006::DOUBLE, 7) AS y FROM z""")
 def g25_provider_coordinates(spark: SparkSession, d: str) -> DataFrame:
     return grid_nodes(spark, d).select("id", geo.wgs_to_bd("x", "y").alias("p")).select("id", F.round("p.x", 7).alias("x"), F.round("p.y", 7).alias("y"))
 
@@ -235,7 +263,7 @@ def g29_inserted_interval(spark: SparkSession, d: str) -> DataFrame:
     return spans.select("eid", F.posexplode(intervals.insert_interval(F.col("s"), new)).alias("k", "x")).select("eid", "k", "x.start", "x.end", "x.value")
 
 
-@q()
+@q(f"WITH {_pairs_of_lines(10)} SELECT DISTINCT rid FROM nl WHERE id % 7 = 3 AND distance <= 3000.0 / 110000")
 def p08_road_filter(spark: SparkSession, d: str) -> DataFrame:
     edges = v_line(spark, d, 3).selectExpr("id eid", "cast(id % 7 as string) name", "'primary' road_type", "coords")
     return spatial.filter_roads(edges, v_line(spark, d, 3, 10).selectExpr("id rid", "coords line"), name="3", buffer_m=3000.0)[1].select("rid")
@@ -252,7 +280,7 @@ def p16_sample(spark: SparkSession, d: str) -> DataFrame:
     return filters.split_fraction(table(spark, d, "orders"), ["o_orderkey"], 0.05)[0].select("o_orderkey")
 
 
-@q()
+@q(f"WITH {_pairs_of_lines(12)} SELECT id, rid, round(distance, 9) AS distance FROM nl WHERE distance <= 0.01")
 def j09_candidate_lines(spark: SparkSession, d: str) -> DataFrame:
     return spatial.lines_near_lines(v_line(spark, d, 3), v_line(spark, d, 3, 12).selectExpr("id rid", "coords line"), 0.01, size=0.2).select("id", "rid", F.round("distance", 9).alias("distance"))
 
