@@ -12,6 +12,10 @@ from lanewise.session import cut
 from . import filters
 
 
+#: Relative difference of two sums that counts as none.
+ROUNDING = 1e-12
+
+
 def bfs_layers(edges: DataFrame, seeds: DataFrame, max_layers: int | None = None) -> DataFrame:
     """``node, layer`` of every node reached from ``seeds (node)``, of the first ``max_layers`` if given: frontier join, anti join with what was visited, union."""
     visited = cut(seeds.select("node").distinct().withColumn("layer", F.lit(0)))
@@ -151,25 +155,40 @@ def short_paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return best.groupBy("root", "node").agg(F.min(F.struct("cost", "hops")).alias("b")).select("root", "node", "b.cost", "b.hops")
 
 
-def cheapest_below(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``root, goal, cost``: the cheapest path's cost for those of ``pairs (root, goal, bound)`` that have a path cheaper than their bound.
+def costs_within(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``root, node, cost``: the cheapest path's cost to every node within ``limit`` of the root, of any number of hops: ``starts (root, limit)``.
 
-    Rounds from the roots outwards, of any number of hops; a place is left as soon as no goal of its root could be reached below its bound. Only places
-    that became cheaper go on to the next round, so that the rounds end.
+    Only nodes that became cheaper go on to the next round, so that the rounds end; lengths are positive.
     """
-    pairs = cut(pairs.select("root", "goal", "bound"))
-    most = cut(pairs.groupBy("root").agg(F.max("bound").alias("most")))
-    top = most.agg(F.max("most")).first()[0]
-    e = cut(edges.where(F.col("length") < F.lit(top)).groupBy("src", "dst").agg(F.min("length").alias("length")))
-    best = cut(most.select("root", F.col("root").alias("node"), F.lit(0.0).alias("cost")))
+    starts = cut(starts.select("root", "limit"))
+    best = cut(starts.select("root", F.col("root").alias("node"), F.lit(0.0).alias("cost")))
     front = best
     while not front.isEmpty():
-        step = front.join(e, front["node"] == e["src"]).select("root", F.col("dst").alias("node"), (F.col("cost") + F.col("length")).alias("cost"))
-        step = step.join(most, "root").where("cost < most").groupBy("root", "node").agg(F.min("cost").alias("cost"))
+        step = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node"), (F.col("cost") + F.col("length")).alias("cost"))
+        step = step.join(starts, "root").where(F.col("cost") <= F.col("limit")).groupBy("root", "node").agg(F.min("cost").alias("cost"))
         old = best.select("root", "node", F.col("cost").alias("old"))
         front = cut(step.join(old, ["root", "node"], "left").where("old is null or cost < old").select("root", "node", "cost"))
         best = cut(best.unionByName(front).groupBy("root", "node").agg(F.min("cost").alias("cost")))
-    return pairs.join(best.withColumnRenamed("node", "goal"), ["root", "goal"]).where("cost < bound").select("root", "goal", "cost")
+    return best
+
+
+def cheapest_below(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``root, goal, cost``: the cheapest path's cost for those of ``pairs (root, goal, bound)`` that have a path cheaper than their bound.
+
+    Searched from both ends: a path below the bound goes up to half of it from the root, over one edge, and comes in less than half of it to
+    the goal. So only the surroundings of half the bound are explored, by any number of hops. Cheaper means by more than ``ROUNDING``, as lengths
+    are added up in another order than the bound's may have been.
+    """
+    pairs = cut(pairs.select("root", "goal", "bound"))
+    top = pairs.agg(F.max("bound")).first()[0]
+    e = cut(edges.where(F.col("length") < F.lit(top)).groupBy("src", "dst").agg(F.min("length").alias("length")))
+    half = (F.max("bound") / 2).alias("limit")
+    ahead = costs_within(e, pairs.groupBy("root").agg(half))
+    back = costs_within(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length"), pairs.groupBy(F.col("goal").alias("root")).agg(half))
+    over = ahead.join(e, ahead["node"] == e["src"]).select("root", F.col("dst").alias("node"), (F.col("cost") + F.col("length")).alias("cost")).where(F.col("cost") < F.lit(top))
+    reach = cut(ahead.unionByName(over).groupBy("root", "node").agg(F.min("cost").alias("cost")))
+    met = pairs.join(back.select(F.col("root").alias("goal"), "node", F.col("cost").alias("rest")), "goal").join(reach, ["root", "node"])
+    return met.groupBy("root", "goal", "bound").agg(F.min(F.col("cost") + F.col("rest")).alias("cost")).where(F.col("cost") < F.col("bound") * (1 - ROUNDING)).select("root", "goal", "cost")
 
 
 def longest_path(edges: DataFrame, key: str) -> DataFrame:
