@@ -211,15 +211,17 @@ def g38_shape_text(spark: SparkSession, d: str) -> DataFrame:
 # Spatial joins
 
 
-_L = "ln AS (SELECT a.id, a.i, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v_seg a JOIN v_seg b ON b.id = a.id AND b.i = a.i + 1 WHERE a.i < 4)"
-_PT = "pt AS (SELECT vec_id AS pid, CAST(embedding[20] AS DOUBLE) AS px, CAST(embedding[21] AS DOUBLE) AS py FROM embeddings)"
+#: Points and lines side by side, so that each has equally many neighbours at every size.
+_L = "ln AS (SELECT a.id, a.i, a.x + CAST(0.02 AS DOUBLE) * a.id AS x1, a.y AS y1, b.x + CAST(0.02 AS DOUBLE) * b.id AS x2, b.y AS y2 FROM v_seg a JOIN v_seg b ON b.id = a.id AND b.i = a.i + 1 WHERE a.i < 4)"
+_PT = "pt AS (SELECT vec_id AS pid, CAST(embedding[20] AS DOUBLE) + CAST(0.02 AS DOUBLE) * vec_id AS px, CAST(embedding[21] AS DOUBLE) AS py FROM embeddings)"
 _D = "sqrt(pow(px - (x1 + u * (x2 - x1)), 2) + pow(py - (y1 + u * (y2 - y1)), 2))"
 _NEAR = f"{_L}, {_PT}, pj AS (SELECT pid, id, px, py, x1, y1, x2, y2, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS u FROM pt, ln), dd AS (SELECT pid, id, min({_D}) AS distance FROM pj GROUP BY 1, 2)"
 
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    points = table(spark, d, "embeddings").selectExpr("vec_id pid", "cast(embedding[19] as double) x", "cast(embedding[20] as double) y")
-    return points, v_line(spark, d, 4).withColumnRenamed("id", "eid")
+    points = table(spark, d, "embeddings").selectExpr("vec_id pid", "cast(embedding[19] as double) + 0.02D * vec_id x", "cast(embedding[20] as double) y")
+    along = F.transform("coords", lambda p: F.struct((p["x"] + F.lit(0.02) * F.col("id")).alias("x"), p["y"].alias("y")))
+    return points, v_line(spark, d, 4).select(F.col("id").alias("eid"), along.alias("coords"))
 
 
 @q(sql("v_seg", f"WITH {_NEAR} SELECT pid, id AS eid, round(distance, 6) AS distance FROM dd WHERE distance <= 0.05"))
