@@ -144,3 +144,11 @@ reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reac
 SELECT d.vec_id, coalesce(n.n, 0) AS n_links, least(d.vec_id, coalesce(m.low, d.vec_id)) AS component_id, d.vec_id <= coalesce(m.low, d.vec_id) AS kept
 FROM embeddings d LEFT JOIN (SELECT a, count(*) AS n FROM both_ways GROUP BY a) n ON n.a = d.vec_id LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) m ON m.a = d.vec_id
 """
+
+SQL["op11_warc"] = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS low FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> low THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> low THEN low END AS refers_to
+FROM q
+"""

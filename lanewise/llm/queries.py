@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, langid, line_dedup, mixing, ngram_join, quality, secrets, toxicity
+from . import bpe, chat, embed_dedup, langid, line_dedup, mixing, ngram_join, quality, repair, secrets, toxicity, warc, whiten
 from .common import read_table
 
 #: The tokenizer that op5 encodes with, by its name in the installed set of vocabularies.
@@ -75,8 +75,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = warc.archive_pages(read_table(spark, sf_dir, "pages"))
+    return records.withColumnRenamed("key", "page_id")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "conversations")
+    return repair.repair_all(table, repair.damage(table))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_ngram_join, op4_quality, op5_bpe, op6_language, op7_embedding_dedup, op8_chat, op9_secrets, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_ngram_join, op4_quality, op5_bpe, op6_language, op7_embedding_dedup, op8_chat, op9_secrets, op10_toxicity, op11_warc, op12_whitening, op13_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
