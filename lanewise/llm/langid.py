@@ -17,6 +17,8 @@ from .common import held_out, small_batches
 
 #: Bound of the training sample: rows per language, code points of each that go to the dictionary, bytes of a dictionary.
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 400, 1_000, 112_640
+#: Languages that are learned at most: so many coders every worker holds.
+LANGUAGES = 500
 #: Bytes of all dictionaries together, which every executor holds: of more than 200 languages each has an equal share.
 ALL_BYTES = 200 * DICT_BYTES
 BLOCK_BYTES, LEVEL = 1_000, 5
@@ -25,21 +27,24 @@ MARGIN = 0.02
 
 
 def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
-    """Up to ``rows`` texts of each language, the smallest by a hash of the id and text, from documents that are not held out.
+    """Up to ``rows`` different texts of each language, the smallest by a hash of the id and text, from documents that are not held out and have a letter.
 
-    Two reads of the corpus for any number of languages. Counts come first, so that the sample is thinned by hash before it is ranked; what reaches the
-    driver is one count and up to ``rows`` x ``SAMPLE_CHARS`` per language. A long text gives a stretch that starts at a hash-random place.
+    Of more than ``LANGUAGES`` languages the most frequent are learned. Two reads of the corpus for any number of them. How many different hashes a language has comes first, so that they
+    can be thinned before they are ranked: repeated rows are one, and no language is thinned to nothing. What reaches the driver is one count and up to ``rows`` x
+    ``SAMPLE_CHARS`` for each. A long text gives a stretch that starts at a hash-random place, or its first letters if there are none.
     """
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    h = F.xxhash64("doc_id", "text")
+    distinct = known.select("lang", h.alias("h")).distinct().groupBy("lang").count()
+    counts = {r["lang"]: r["count"] for r in distinct.orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return {}
     rows = max(1, min(rows, ALL_BYTES // len(counts) // 250))
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, 4.0 * rows / n)) for k, n in counts.items()], "lang string, share double")
-    h = F.xxhash64("doc_id", "text")
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)).cast("long")) + 1
     thin = known.join(F.broadcast(shares), "lang").where(F.pmod(h, F.lit(1_000_003)) < F.col("share") * 1_000_003)
-    parts = thin.select("lang", h.alias("h"), _letters(F.substr("text", start.cast("int"), F.lit(SAMPLE_CHARS))).alias("part")).where("part is not null")
+    stretch = F.coalesce(_letters(F.substr("text", start.cast("int"), F.lit(SAMPLE_CHARS))), F.substring(F.trim(_letters(F.col("text"))), 1, SAMPLE_CHARS))
+    parts = thin.select("lang", h.alias("h"), stretch.alias("part")).groupBy("lang", "h").agg(F.min("part").alias("part"))
     ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("rank") <= rows)
     out: dict[str, list[str]] = {k: [] for k in sorted(counts)}
     for r in sorted(ranked.collect(), key=lambda r: r["rank"]):

@@ -221,6 +221,26 @@ def test_language_with_one_short_document_leaves_the_others_alone(spark, sf_dir)
         assert len(rows) > 20 and sum(r.lang_pred == truth[r.doc_id] for r in rows) / len(rows) > 0.9
 
 
+@pytest.mark.parametrize("ids", [1, 10])
+def test_no_language_is_lost_to_repeated_rows(spark, ids):
+    free = [i for i in range(10**6, 10**6 + 200) if not brute.held_out(i)]
+    for at in range(0, 60, 10):  # whatever the hash of an id says
+        repeated = spark.range(10_000).select(F.element_at(F.array(*[F.lit(i) for i in free[at : at + ids]]), (F.col("id") % ids + 1).cast("int")).cast("long").alias("doc_id"), F.lit("kri olmu bes tura").alias("text"), F.lit("aa").alias("lang"))
+        many = spark.range(5_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the word "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("bb").alias("lang"))
+        samples = langid.sample_texts(repeated.unionByName(many))
+        assert set(samples) == {"aa", "bb"} and samples["aa"] == ["kri olmu bes tura"] * ids and len(samples["bb"]) == langid.SAMPLE_ROWS
+
+
+def test_languages_without_letters_and_very_many(spark):
+    free = [i for i in range(300) if not brute.held_out(i)]
+    rows = [(free[0], "123 456", "nn"), (free[1], "7" * 3_000 + " wort", "dd"), (free[2], "wort " * 3, "ee")]
+    samples = langid.sample_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(samples) == {"dd", "ee"} and samples["dd"] == ["wort"]
+    many = spark.createDataFrame([(free[k % 9], f"w{chr(97 + k % 26)}", f"l{k:04}") for k in range(2 * langid.LANGUAGES)] + [(free[k], "often " + "ab"[k % 2], "zz") for k in range(9)], "doc_id long, text string, lang string")
+    samples = langid.sample_texts(many)
+    assert len(samples) == langid.LANGUAGES and "zz" in samples
+
+
 def test_embeddings(spark):
     table = spark.createDataFrame([(1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (None, [0.0, 1.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<float>").withColumns({"node": F.lit(1), "unit": F.lit(2), "dim": F.lit(3)})
     got = [tuple(r) for r in embed_dedup.near_duplicates(table).orderBy("vec_id").collect()]
