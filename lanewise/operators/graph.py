@@ -100,9 +100,10 @@ def chain_heads(links: DataFrame, next_link: DataFrame) -> DataFrame:
 def combine_links(links: DataFrame, signals: DataFrame) -> DataFrame:
     """Links combined at nodes with one link in and one out, or two and two of a two-way road.
 
-    ``links (link, src, dst, name, link_type, free_speed, allowed_uses, biway, lanes, length)``, ``signals (node)``. Both links must agree in name, type,
-    speed, uses, being two-way and having a lane number; a turn back is no continuation. Returns ``link, src, dst, name, way ids as ``members`` joined by
-    ``;``, length, lanes`` (of the first) and ``lane_list`` with ``change_points`` in metres.
+    ``links (link, src, dst, name, link_type, free_speed, allowed_uses, biway, lanes, length)`` and, if there, ``way`` and ``coords``; ``signals (node)``. Both links must
+    agree in name, type, speed, uses, being two-way and having a lane number; a turn back is no continuation, so that a loop stays two links that meet at its last node, by id.
+    Returns ``link, src, dst, name``, the ways' ids (links' without a ``way``) as ``members`` joined by ``;``, ``length``, ``lanes`` (of the first), ``lane_list`` with
+    equal neighbours once, ``change_points`` in metres between them, and ``coords`` with each joint once.
     """
     into = links.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
     outof = links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"))
@@ -119,29 +120,39 @@ def combine_links(links: DataFrame, signals: DataFrame) -> DataFrame:
     one = pairs.withColumns({"__l": F.count(F.lit(1)).over(w_link), "__n": F.count(F.lit(1)).over(w_next), "__at": F.count(F.lit(1)).over(Window.partitionBy("node"))})
     steps = one.where("__l = 1 and __n = 1 and __at = n_in").select("link", "next")
     heads = chain_heads(links, steps)
-    rows = links.join(heads, "link")
-    before = F.sum("length").over(Window.partitionBy("head").orderBy("place")) - F.col("length")
-    rows = rows.withColumn("before", F.when(F.col("place") == 0, 0.0).otherwise(before))
-    items = F.array_sort(F.collect_list(F.struct("place", "link", "src", "dst", "lanes", "length", "before")))
-    grouped = rows.groupBy("head").agg(items.alias("i"), F.min(F.when(F.col("place") == 0, F.col("name"))).alias("name"))
-    return grouped.select(
-        F.col("head").alias("link"), F.element_at("i", 1)["src"].alias("src"), F.element_at("i", -1)["dst"].alias("dst"), "name",
-        F.array_join(F.transform("i", lambda x: x["link"].cast("string")), ";").alias("members"),
-        F.aggregate("i", F.lit(0.0), lambda acc, x: acc + x["length"]).alias("length"),
-        F.element_at("i", 1)["lanes"].alias("lanes"), F.transform("i", lambda x: x["lanes"]).alias("lane_list"),
-        F.transform("i", lambda x: x["before"]).alias("change_points"),
+    own = F.col("way") if "way" in links.columns else F.col("link")
+    line = F.col("coords") if "coords" in links.columns else F.lit(None).cast("array<struct<x:double,y:double>>")
+    items = F.array_sort(F.collect_list(F.struct("place", "link", "src", "dst", own.cast("string").alias("id"), "lanes", "length", line.alias("line"))))
+    grouped = links.join(heads, "link").groupBy("head").agg(items.alias("i"), F.min(F.when(F.col("place") == 0, F.col("name"))).alias("name"))
+    # a chain that comes back to its start is cut where the last of its inner nodes stands
+    inner = F.transform(F.slice("i", 2, F.size("i")), lambda x: x["src"])
+    cut_at = F.when((F.size("i") > 1) & (F.element_at("i", 1)["src"] == F.element_at("i", -1)["dst"]), F.array_position(inner, F.array_max(inner)).cast("int")).otherwise(F.size("i"))
+    parts = F.filter(F.array(F.slice("i", F.lit(1), cut_at), F.slice("i", cut_at + 1, F.size("i"))), lambda x: F.size(x) > 0)
+    rows = grouped.select("name", F.explode(parts).alias("i"))
+    fold = F.aggregate(
+        "i", F.struct(F.lit(0.0).alias("length"), F.array().cast("array<int>").alias("lanes"), F.array().cast("array<double>").alias("points")),
+        lambda acc, x: F.struct(
+            (acc["length"] + x["length"]).alias("length"),
+            F.when((F.size(acc["lanes"]) > 0) & F.element_at(acc["lanes"], -1).eqNullSafe(x["lanes"].cast("int")), acc["lanes"]).otherwise(F.concat(acc["lanes"], F.array(x["lanes"].cast("int")))).alias("lanes"),
+            F.when((F.size(acc["lanes"]) == 0) | F.element_at(acc["lanes"], -1).eqNullSafe(x["lanes"].cast("int")), acc["points"]).otherwise(F.concat(acc["points"], F.array(acc["length"]))).alias("points"),
+        ),
+    )
+    coords = F.flatten(F.transform("i", lambda x, k: F.when(k == 0, x["line"]).otherwise(F.slice(x["line"], F.lit(2), F.greatest(F.size(x["line"]) - 1, F.lit(0))))))
+    return rows.withColumn("f", fold).select(
+        F.element_at("i", 1)["link"].alias("link"), F.element_at("i", 1)["src"].alias("src"), F.element_at("i", -1)["dst"].alias("dst"), "name",
+        F.array_join(F.transform("i", lambda x: x["id"]), ";").alias("members"), F.col("f.length").alias("length"), F.element_at("i", 1)["lanes"].alias("lanes"),
+        F.col("f.lanes").alias("lane_list"), F.col("f.points").alias("change_points"), coords.alias("coords"), F.size("i").alias("n_members"),
     )
 
 
 def lane_segments(combined: DataFrame) -> DataFrame:
-    """Stretches of combined links whose lanes differ from the first: ``link, start_lr, end_lr, l_lanes_added, r_lanes_added``."""
-    rows = combined.where(F.size("lane_list") > 1).select("link", "lanes", "length", F.posexplode(F.arrays_zip("change_points", "lane_list")).alias("k", "c"))
-    w = Window.partitionBy("link").orderBy("k")
-    return (
-        rows.withColumn("end_lr", F.coalesce(F.lead("c.change_points").over(w), "length"))
-        .where("c.lane_list is not null and c.lane_list <> lanes")
-        .select("link", F.col("c.change_points").alias("start_lr"), "end_lr", F.lit(0).alias("l_lanes_added"), (F.col("c.lane_list") - F.col("lanes")).cast("int").alias("r_lanes_added"))
-    )
+    """Stretches of combined links from each change point to the next or the end: ``link, start_lr, end_lr, l_lanes_added, r_lanes_added``.
+
+    What a stretch has more than the link's first number of lanes is added on the left; a stretch that is back at it has 0.
+    """
+    rows = combined.where(F.size("change_points") > 0).select("link", "lanes", "length", "lane_list", F.posexplode("change_points").alias("k", "start_lr"))
+    end = F.coalesce(F.lead("start_lr").over(Window.partitionBy("link").orderBy("k")), "length")
+    return rows.select("link", "start_lr", end.alias("end_lr"), (F.get("lane_list", F.col("k") + 1) - F.col("lanes")).cast("int").alias("l_lanes_added"), F.lit(0).alias("r_lanes_added"))
 
 
 def short_paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
@@ -155,21 +166,36 @@ def short_paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return best.groupBy("root", "node").agg(F.min(F.struct("cost", "hops")).alias("b")).select("root", "node", "b.cost", "b.hops")
 
 
+def settle(best: DataFrame, keys: list[str], step) -> DataFrame:
+    """Rounds until no row of ``best (keys, cost, ...)`` becomes cheaper: ``step`` turns what the last round changed into rows of the same columns.
+
+    Of the rows of a key the cheapest stays, of equals the older one. Each round is one union and aggregation: joins of the state with itself would multiply
+    the sizes that the optimizer estimates, round by round, until planning takes longer than the work.
+    """
+    rest = [c for c in best.columns if c not in keys and c != "cost"]
+    best = cut(best.withColumn("__round", F.lit(0)))
+    k = 0
+    while True:
+        k += 1
+        new = step(best.where(F.col("__round") == k - 1).drop("__round")).withColumn("__round", F.lit(k))
+        both = best.unionByName(new).groupBy(*keys).agg(F.min(F.struct("cost", "__round", *rest)).alias("__b"))
+        best = cut(both.select(*keys, "__b.cost", *[F.col(f"__b.{c}").alias(c) for c in rest], F.col("__b.__round").alias("__round")))
+        if best.where(F.col("__round") == k).isEmpty():
+            return best.drop("__round")
+
+
 def costs_within(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``root, node, cost``: the cheapest path's cost to every node within ``limit`` of the root, of any number of hops: ``starts (root, limit)``.
 
     Only nodes that became cheaper go on to the next round, so that the rounds end; lengths are positive.
     """
     starts = cut(starts.select("root", "limit"))
-    best = cut(starts.select("root", F.col("root").alias("node"), F.lit(0.0).alias("cost")))
-    front = best
-    while not front.isEmpty():
-        step = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node"), (F.col("cost") + F.col("length")).alias("cost"))
-        step = step.join(starts, "root").where(F.col("cost") <= F.col("limit")).groupBy("root", "node").agg(F.min("cost").alias("cost"))
-        old = best.select("root", "node", F.col("cost").alias("old"))
-        front = cut(step.join(old, ["root", "node"], "left").where("old is null or cost < old").select("root", "node", "cost"))
-        best = cut(best.unionByName(front).groupBy("root", "node").agg(F.min("cost").alias("cost")))
-    return best
+
+    def step(front: DataFrame) -> DataFrame:
+        far = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node"), (F.col("cost") + F.col("length")).alias("cost"))
+        return far.join(starts, "root").where(F.col("cost") <= F.col("limit")).select("root", "node", "cost")
+
+    return settle(starts.select("root", F.col("root").alias("node"), F.lit(0.0).alias("cost")), ["root", "node"], step)
 
 
 def cheapest_below(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -191,31 +217,43 @@ def cheapest_below(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.groupBy("root", "goal", "bound").agg(F.min(F.col("cost") + F.col("rest")).alias("cost")).where(F.col("cost") < F.col("bound") * (1 - ROUNDING)).select("root", "goal", "cost")
 
 
+def _farthest(near: dict, start) -> tuple:
+    """The node farthest from ``start`` by breadth-first search, of equals the one met last; its distance, and each node's predecessor."""
+    dist, prev, queue, end, most = {start: 0.0}, {start: None}, [start], start, 0.0
+    for n in queue:
+        if dist[n] >= most:
+            end, most = n, dist[n]
+        for m, w in near.get(n, ()):
+            if m not in dist:
+                dist[m], prev[m] = dist[n] + w, n
+                queue.append(m)
+    return end, most, prev
+
+
+def _longest(edges: list[tuple], origin) -> tuple[list, float]:
+    """Nodes and length of the longest path of the undirected tree in which ``origin`` stands; neighbours are met in the order of ``edges (src, dst, length)``."""
+    near: dict = {}
+    for s, d, w in edges:
+        near.setdefault(s, []).append((d, w))
+        near.setdefault(d, []).append((s, w))
+    start, _, _ = _farthest(near, origin)
+    node, length, prev = _farthest(near, start)
+    path = []
+    while node is not None:
+        path.append(node)
+        node = prev[node]
+    return path[::-1], length
+
+
 def longest_path(edges: DataFrame, key: str) -> DataFrame:
-    """Longest path of each group's tree ``(key, src, dst, length)``: two breadth-first walks: ``key, seq, node``. Later nodes win ties."""
+    """Longest path of each group's tree ``(key, src, dst, length)``: ``key, seq, node``, by two breadth-first searches, the first from the smallest node.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for s, d, w in zip(pdf.src, pdf.dst, pdf.length, strict=True):
-            near.setdefault(s, []).append((d, w))
-            near.setdefault(d, []).append((s, w))
+    Edges are met in order of their nodes; of equally far nodes the one met last ends the path.
+    """
 
-        def far(start) -> tuple:
-            dist, prev, queue = {start: 0.0}, {start: None}, [start]
-            for n in queue:
-                for m, w in near[n]:
-                    if m not in dist:
-                        dist[m], prev[m] = dist[n] + w, n
-                        queue.append(m)
-            end = max(dist, key=lambda n: (dist[n], n))
-            return end, prev
-
-        end, _ = far(min(near))
-        node, prev = far(end)
-        path = []
-        while node is not None:
-            path.append(node)
-            node = prev[node]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(pdf.src, pdf.dst, pdf.length, strict=True))
+        path, _ = _longest(rows, min(min(r[0], r[1]) for r in rows))
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(path), "seq": range(len(path)), "node": path})
 
     kind, node = edges.schema[key].dataType.simpleString(), edges.schema["src"].dataType.simpleString()
@@ -255,80 +293,93 @@ def boundary_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.select("node", F.coalesce(flag, F.lit(True)).cast("int").alias("is_boundary"))
 
 
-def repair_directions(edges: DataFrame, key: str, rounds: int = 4) -> DataFrame:
-    """Flip, at nodes with two or more ways in and none out, the incoming edge that runs on straightest; up to ``rounds`` times per group.
+def repair_directions(edges: DataFrame, key: str, origins: DataFrame | None = None, rounds: int = 3) -> DataFrame:
+    """Edges that a road's walks run against are turned round: the same columns and ``flipped``.
 
-    ``edges (key, src, dst, x0, y0, x1, y1)``; returns the same columns and ``flipped``.
+    ``edges (key, src, dst, x0, y0, x1, y1)``, ``origins (key, node)``: where the walks start, else at each node without a way in, by id. A walk goes on as in ``follow_single``. Where it ends
+    at a node with two or more ways in and none out, of the other edges that run in the one that goes on straightest is turned (of equals that of the smaller node), and again at
+    its far end if that has become such a node. Then the walk is taken anew, ``rounds`` times at most.
     """
     import math
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = pdf.sort_values(["src", "dst"]).to_dict("records")
-        for r in e:
+    def angle(a: tuple, b: tuple) -> float:
+        size = math.hypot(*a) * math.hypot(*b)
+        if not size:
+            return math.inf
+        turn = math.degrees(math.acos(max(-1.0, min(1.0, (a[0] * b[0] + a[1] * b[1]) / size))))
+        return min(turn, abs(turn - 180))
+
+    def run(pdf: pd.DataFrame, starts: list | None = None) -> pd.DataFrame:
+        rows = pdf.to_dict("records")
+        at, out_of, into = {}, {}, {}
+        for r in rows:
             r["flipped"] = False
-        for _ in range(rounds):
-            outs = {r["src"] for r in e}
-            sinks: dict = {}
-            for k, r in enumerate(e):
-                if r["dst"] not in outs:
-                    sinks.setdefault(r["dst"], []).append(k)
-            todo = sorted(n for n, k in sinks.items() if len(k) >= 2)
-            if not todo:
-                break
-            for n in todo:
-                rows = sinks[n]
-                head = {k: math.atan2(e[k]["y1"] - e[k]["y0"], e[k]["x1"] - e[k]["x0"]) for k in rows}
-                gap = lambda k: min(abs(math.pi - abs((head[k] - head[j] + math.pi) % (2 * math.pi) - math.pi)) for j in rows if j != k)
-                k = min(rows, key=lambda k: (gap(k), e[k]["src"]))
-                r = e[k]
-                r["src"], r["dst"], r["x0"], r["y0"], r["x1"], r["y1"] = r["dst"], r["src"], r["x1"], r["y1"], r["x0"], r["y0"]
-                r["flipped"] = not r["flipped"]
-        return pd.DataFrame(e, columns=[*pdf.columns, "flipped"])
+            at[r["src"]], at[r["dst"]] = (r["x0"], r["y0"]), (r["x1"], r["y1"])
+            for side, n, m in ((out_of, r["src"], r["dst"]), (into, r["dst"], r["src"])):
+                side.setdefault(n, set()).add(m)
+        ins, outs = (lambda n: into.get(n, set())), (lambda n: out_of.get(n, set()))
+
+        def walk(origin) -> list:
+            queue, seen, found = [origin], set(), []
+            for n in queue:
+                ahead = outs(n)
+                for m in sorted(ahead):
+                    if m not in seen and (len(ahead) == 1 or len(ins(m)) == 1):
+                        seen.add(m)
+                        queue.append(m)
+                        found.append((n, m))
+            return found
+
+        def repair(prev, node) -> None:
+            while not outs(node) and len(ins(node)) >= 2:
+                base = (at[node][0] - at[prev][0], at[node][1] - at[prev][1])
+                other = min((m for m in ins(node) if m != prev), key=lambda m: (angle(base, (at[m][0] - at[node][0], at[m][1] - at[node][1])), m))
+                into[node].discard(other), out_of[other].discard(node)
+                out_of.setdefault(node, set()).add(other), into.setdefault(other, set()).add(node)
+                for r in rows:
+                    if (r["src"], r["dst"]) == (other, node):
+                        r["src"], r["dst"], r["x0"], r["y0"], r["x1"], r["y1"] = r["dst"], r["src"], r["x1"], r["y1"], r["x0"], r["y0"]
+                        r["flipped"] = not r["flipped"]
+                prev, node = node, other
+
+        for origin in starts if starts is not None else sorted(n for n in out_of if not ins(n)):
+            for _ in range(rounds):
+                found = walk(origin)
+                if len(found) < 2 or outs(found[-1][1]) or len(ins(found[-1][1])) < 2:
+                    break
+                repair(*found[-1])
+        return pd.DataFrame(rows, columns=[*pdf.columns, "flipped"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema.fields) + ", flipped boolean"
-    return edges.groupBy(key).applyInPandas(run, schema)
+    if origins is None:
+        return edges.groupBy(key).applyInPandas(lambda pdf: run(pdf), schema)
+    given = origins.select(key, "node").distinct().groupBy(key).cogroup(edges.groupBy(key))
+    return given.applyInPandas(lambda a, b: run(b, sorted(a["node"])), schema)
 
 
-def main_roads(edges: DataFrame, key: str, least: float = 50.0) -> DataFrame:
+def main_roads(edges: DataFrame, key: str, least: float = 50.0, order: str | None = None) -> DataFrame:
     """Main roads and links of every road: ``key, src, dst, is_main, path``.
 
-    From the origins (no way in, some way out) the longest walk is taken, its edges are removed, and so on while walks are longer than ``least``; what
-    remains are links. ``edges (key, src, dst, length)``.
+    ``edges (key, src, dst, length)``, met in the order of the column ``order``, else of their nodes. Each edge that starts at an origin (no way in) takes its turn once: the longest path of the
+    undirected tree in which the origin then stands is a main road if it is longer than ``least``. Its pairs are main in both directions, and are no edges any more for those that follow.
     """
+    by = [order] if order else []
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {(r.src, r.dst): float(r.length) for r in pdf.sort_values(["src", "dst"]).itertuples()}
-        main: dict = {}
-        rounds = 0
-        while left:
-            ends = {d for _, d in left}
-            origins = sorted({s for s, _ in left} - ends) or [min(s for s, _ in left)]
-            out_of: dict = {}
-            for (s, d), w in left.items():
-                out_of.setdefault(s, []).append((d, w))
-            best: tuple = (0.0, [])
-            for o in origins:
-                stack = [(o, 0.0, [o])]
-                far: dict = {}
-                while stack:
-                    n, cost, path = stack.pop()
-                    if cost < far.get(n, -1.0):
-                        continue
-                    far[n] = cost
-                    if cost > best[0]:
-                        best = (cost, path)
-                    stack += [(d, cost + w, [*path, d]) for d, w in out_of.get(n, ()) if d not in path and cost + w > far.get(d, -1.0)]
-            if best[0] <= least:
-                break
-            for pair in zip(best[1], best[1][1:], strict=False):
-                main[pair] = rounds
-                del left[pair]
-            rounds += 1
-        rows = [(pdf[key].iloc[0], s, d, True, k) for (s, d), k in main.items()] + [(pdf[key].iloc[0], s, d, False, None) for s, d in left]
-        return pd.DataFrame(rows, columns=[key, "src", "dst", "is_main", "path"]).astype({"path": "Int32"})
+        rows = list(pdf.sort_values([*by, "src", "dst"])[["src", "dst", "length"]].itertuples(index=False, name=None))
+        ends, main, left, k = {d for _, d, _ in rows}, {}, rows, 0
+        for origin in [s for s, _, _ in rows if s not in ends]:
+            path, length = _longest(left, origin)
+            if length > least:
+                for a, b in zip(path, path[1:], strict=False):
+                    main[a, b] = main[b, a] = k
+                left = [r for r in left if (r[0], r[1]) not in main]
+                k += 1
+        out = [(pdf[key].iloc[0], s, d, (s, d) in main, main.get((s, d))) for s, d, _ in rows]
+        return pd.DataFrame(out, columns=[key, "src", "dst", "is_main", "path"]).astype({"path": "Int32"})
 
     kind, node = edges.schema[key].dataType.simpleString(), edges.schema["src"].dataType.simpleString()
-    return edges.select(key, "src", "dst", "length").groupBy(key).applyInPandas(run, f"{key} {kind}, src {node}, dst {node}, is_main boolean, path int")
+    return edges.select(key, "src", "dst", "length", *by).groupBy(key).applyInPandas(run, f"{key} {kind}, src {node}, dst {node}, is_main boolean, path int")
 
 
 def chain_edges(edges: DataFrame) -> DataFrame:

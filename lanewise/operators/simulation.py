@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from . import windows
+from lanewise.constants import METRES_PER_DEGREE
+
+from . import intervals, windows
 
 
 def signed_order(rid: Column, order: Column) -> Column:
@@ -50,23 +52,29 @@ def ramp_gain(edges: DataFrame) -> DataFrame:
     return both.where(F.coalesce("i", "o").isNotNull()).select("eid", gain.alias("gain")).where("gain > 0")
 
 
-def lane_sections(points: DataFrame, least_m: float = 20.0) -> DataFrame:
+def lane_sections(points: DataFrame, least_m: float = 20.0, deviations: float = 2.0) -> DataFrame:
     """Sections of a road whose lanes differ from its median: ``rid, start, stop, lanes``.
 
-    ``points (rid, pos, at, lanes)``: places in order with metres along the road. Runs of one value; of these the ones inside two deviations of the run
-    lengths' mean; those of at least ``least_m`` metres stay.
+    ``points (rid, pos, lanes)`` in order, with places ``x, y`` in degrees or metres ``at`` along the road. The median is taken as it is, so that at 2.5 both 2 and 3 differ. Runs of one number
+    from place to place are sections, those without length are none. Of two or more, those stay whose lane number lies within (not on) so many deviations of
+    the numbers' mean; where all have one number none does. Sections of at least ``least_m`` metres are kept; shorter ones are absorbed by what they touch, one after another, or go.
     """
     w = Window.partitionBy("rid")
-    differ = points.withColumn("__m", F.percentile(F.col("lanes"), F.lit(0.5)).over(w).cast("int")).withColumn("v", F.when(F.col("lanes") != F.col("__m"), F.col("lanes")).otherwise(F.lit(0)))
+    differ = points.withColumn("__m", F.percentile(F.col("lanes"), F.lit(0.5)).over(w)).withColumn("v", F.when(F.col("lanes") != F.col("__m"), F.col("lanes")).otherwise(F.lit(0)))
     runs = windows.run_lengths(differ, ["rid"], "pos", "v")
-    at = points.select("rid", "pos", "at")
-    metres = (
-        runs.join(at.select("rid", F.col("pos").alias("start"), F.col("at").alias("from_m")), ["rid", "start"])
-        .join(at.select("rid", (F.col("pos") + 1).alias("stop"), F.col("at").alias("to_m")), ["rid", "stop"])
-        .withColumn("length", F.col("to_m") - F.col("from_m"))
-    )
-    kept = windows.sigma_outlier(metres, ["rid"], "length", 2.0, "__far").where(~F.col("__far") & (F.col("length") >= least_m))
-    return kept.select("rid", "start", "stop", F.col("value").alias("lanes"))
+    flat = "at" not in points.columns
+    place = (lambda c: F.struct("x", "y").alias(c)) if flat else (lambda c: F.col("at").alias(c))
+    ends = runs.join(points.select("rid", F.col("pos").alias("start"), place("a")), ["rid", "start"]).join(points.select("rid", (F.col("pos") + 1).alias("stop"), place("b")), ["rid", "stop"])
+    length = F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")) * METRES_PER_DEGREE if flat else F.col("b") - F.col("a")
+    long = ends.withColumn("length", length).where("length <> 0")
+    spread = long.withColumns({"__n": F.count(F.lit(1)).over(w), "__avg": F.avg("value").over(w), "__std": F.stddev_samp("value").over(w)})
+    near = (F.col("value") > F.col("__avg") - deviations * F.col("__std")) & (F.col("value") < F.col("__avg") + deviations * F.col("__std"))
+    rows = spread.where((F.col("__n") == 1) | near)
+    item = F.struct("start", F.col("stop").alias("end"), F.col("value").alias("value"))
+    lists = rows.groupBy("rid").agg(F.array_sort(F.collect_list(F.when(F.col("length") >= least_m, item))).alias("keep"), F.array_sort(F.collect_list(F.when(F.col("length") < least_m, item))).alias("short"))
+    grown = F.aggregate("short", F.col("keep"), intervals.insert_interval)
+    whole = lists.where(F.size("keep") > 0).select("rid", F.inline(F.filter(grown, lambda x: ~F.array_contains(F.col("short"), x))))
+    return whole.select("rid", "start", F.col("end").alias("stop"), F.col("value").alias("lanes"))
 
 
 def rebuild_ids(sections: DataFrame, used: DataFrame, least_tail: float = 25.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lanewise import constants as C
 from lanewise.functions import geo, line
-from lanewise.operators import fusion, graph, intervals, osm, pano, spatial
+from lanewise.operators import fusion, graph, intervals, osm, pano, routing, spatial
 from lanewise.plans.adapters import Registry, sql, table, v_graph, v_line, v_point
 
 QUERIES = Registry()
@@ -313,6 +313,21 @@ def r13_short_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.short_paths(v_graph(spark, d), roots, 2).select("node", F.round("cost", 6).alias("cost"))
 
 
+@q(sql("v_graph", """WITH RECURSIVE p AS (SELECT dst AS root, src AS goal FROM v_graph),
+r AS (SELECT DISTINCT root, root AS node, CAST(0 AS DOUBLE) AS cost, 0 AS k FROM p
+UNION ALL SELECT r.root, g.dst, min(cost + length), k + 1 FROM r JOIN v_graph g ON g.src = r.node WHERE k < 24 GROUP BY r.root, g.dst, k)
+SELECT p.root, p.goal, round(min(r.cost), 6) AS cost, round(min(r.cost), 6) AS path_cost, true AS hangs_together FROM p JOIN r ON r.root = p.root AND r.node = p.goal GROUP BY 1, 2"""))
+def r13_cheapest_paths(spark: SparkSession, d: str) -> DataFrame:
+    e = v_graph(spark, d).selectExpr("src * 100000 + dst eid", "src", "dst", "length")
+    pairs = e.selectExpr("dst root", "src goal")  # the way back along every edge
+    found = routing.cheapest_paths(e, pairs)
+    # what the edges of each path add up to, and whether they lead from node to node
+    steps = found.select("root", "goal", "path", F.posexplode("via").alias("k", "eid")).join(e, "eid")
+    fits = (F.col("src") == F.get("path", F.col("k"))) & (F.col("dst") == F.get("path", F.col("k") + 1))
+    read = steps.groupBy("root", "goal").agg(F.round(F.sum("length"), 6).alias("path_cost"), F.min(fits).alias("hangs_together"))
+    return found.select("root", "goal", F.round("cost", 6).alias("cost")).join(read, ["root", "goal"])
+
+
 @q(sql("v_graph", """WITH RECURSIVE o AS (SELECT src, min(dst) AS dst FROM v_graph WHERE length < 3 GROUP BY 1 HAVING count(*) = 1), w AS (SELECT user_id AS root, 0 AS seq, user_id AS node, [user_id] AS seen FROM events GROUP BY 1
 UNION ALL SELECT w.root, w.seq + 1, o.dst, list_append(w.seen, o.dst) FROM w JOIN o ON o.src = w.node WHERE NOT list_contains(w.seen, o.dst)) SELECT root, seq, node FROM w"""))
 def r15_follow_single(spark: SparkSession, d: str) -> DataFrame:

@@ -47,10 +47,37 @@ def r21_network_links(spark: SparkSession, d: str) -> DataFrame:
     return net.links.select("link_id", "way", "from_node_id", "to_node_id", "lanes", "free_speed", "link_type", "length", "from_biway")
 
 
-@q()
+def chained_ways(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as two ways in line, which meet at a node of their own: nodes and ways. Some have a signal there, or two names."""
+    o = table(spark, d, "orders").dropDuplicates(["o_orderkey"])
+    nodes = o.select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    signal = F.when((F.col("k") == 2) & (F.col("o_orderkey") % 7 == 0), F.create_map(F.lit("highway"), F.lit("traffic_signals"))).otherwise(F.create_map().cast("map<string,string>"))
+    nodes = nodes.select((F.col("o_orderkey") * 10 + F.col("k")).alias("id"), (113.9 + F.col("o_orderkey") % 1000 * STEP + F.col("k") * STEP / 10).alias("x"), (22.5 + F.floor(F.col("o_orderkey") / 1000) * STEP).alias("y"), signal.alias("tags"))
+    ways = o.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
+    lanes = F.when(F.col("j") == 0, F.col("o_custkey") % 4 + 1).otherwise(F.col("o_custkey") % 3 + 1)
+    name = F.when((F.col("j") == 1) & (F.col("o_orderkey") % 5 == 0), "other").otherwise(F.col("o_orderstatus"))
+    tags = F.create_map(F.lit("highway"), F.lit("primary"), F.lit("name"), name, F.lit("lanes"), lanes.cast("string"), F.lit("oneway"), F.when(F.col("o_custkey") % 3 == 0, "yes").otherwise("no"))
+    refs = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.col("o_orderkey") * 10 + F.col("j") * 2 + k)
+    return nodes, ways.select((F.col("o_orderkey") * 2 + F.col("j")).alias("id"), refs.alias("refs"), tags.alias("tags"))
+
+
+@q("""WITH o AS (SELECT DISTINCT o_orderkey AS o, o_custkey AS c FROM orders), w AS (SELECT o, c % 3 = 0 AS oneway, c % 4 + 1 AS a, c % 3 + 1 AS b, o % 7 <> 0 AND o % 5 <> 0 AS joined FROM o),
+l AS (SELECT *, CASE WHEN oneway THEN a ELSE CAST(ceil(a / 2.0) AS BIGINT) END AS la, CASE WHEN oneway THEN b ELSE CAST(ceil(b / 2.0) AS BIGINT) END AS lb FROM w),
+u AS (SELECT CAST(2 * o AS VARCHAR) AS members, 1 AS n_members, la AS lanes, CAST(la AS VARCHAR) AS lane_list FROM l WHERE NOT joined UNION ALL SELECT CAST(2 * o + 1 AS VARCHAR), 1, lb, CAST(lb AS VARCHAR) FROM l WHERE NOT joined
+UNION ALL SELECT CAST(2 * o AS VARCHAR), 1, la, CAST(la AS VARCHAR) FROM l WHERE NOT joined AND NOT oneway UNION ALL SELECT CAST(2 * o + 1 AS VARCHAR), 1, lb, CAST(lb AS VARCHAR) FROM l WHERE NOT joined AND NOT oneway
+UNION ALL SELECT (2 * o) || ';' || (2 * o + 1), 2, la, CASE WHEN la = lb THEN CAST(la AS VARCHAR) ELSE la || ',' || lb END FROM l WHERE joined
+UNION ALL SELECT (2 * o + 1) || ';' || (2 * o), 2, lb, CASE WHEN la = lb THEN CAST(la AS VARCHAR) ELSE lb || ',' || la END FROM l WHERE joined AND NOT oneway)
+SELECT members, n_members, CAST(lanes AS INTEGER) AS lanes, lane_list, CAST(CASE WHEN contains(lane_list, ',') THEN 1 ELSE 0 END AS INTEGER) AS changes FROM u""")
 def r09_combined_links(spark: SparkSession, d: str) -> DataFrame:
-    net = osm.build_network(grid_nodes(spark, d), grid_ways(spark, d), combine=True)
-    return net.links.select("link_id", "members", "length", "lanes", F.size("coords").alias("points"))
+    net = osm.build_network(*chained_ways(spark, d), combine=True)
+    return net.links.select("members", "n_members", "lanes", F.array_join("lane_list", ",").alias("lane_list"), F.size("change_points").alias("changes"))
+
+
+@q("""WITH o AS (SELECT DISTINCT o_orderkey AS o, o_custkey AS c FROM orders), w AS (SELECT o, c % 3 = 0 AS oneway, c % 4 + 1 AS a, c % 3 + 1 AS b FROM o WHERE o % 7 <> 0 AND o % 5 <> 0),
+l AS (SELECT *, CASE WHEN oneway THEN a ELSE CAST(ceil(a / 2.0) AS BIGINT) END AS la, CASE WHEN oneway THEN b ELSE CAST(ceil(b / 2.0) AS BIGINT) END AS lb FROM w)
+SELECT CAST(lb - la AS INTEGER) AS l_lanes_added, 0 AS r_lanes_added FROM l WHERE la <> lb UNION ALL SELECT CAST(la - lb AS INTEGER), 0 FROM l WHERE la <> lb AND NOT oneway""")
+def r10_lane_segments(spark: SparkSession, d: str) -> DataFrame:
+    return osm.build_network(*chained_ways(spark, d), combine=True).segments.select("l_lanes_added", "r_lanes_added")
 
 
 @q(f"""WITH {_CROSS}, m AS (SELECT pl.*, cr.node IS NOT NULL AS c, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY way) AS n, first(pl.node) OVER w AS a, last(pl.node) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM pl LEFT JOIN cr ON cr.node = pl.node WINDOW w AS (PARTITION BY way ORDER BY k)),
@@ -62,9 +89,16 @@ def r18_split_ways(spark: SparkSession, d: str) -> DataFrame:
     return osm.split_ways(placed, osm.crossings(placed)).select("way", "part", F.size("nodes").alias("n"))
 
 
-@q()
+@q(sql("v_seg", """WITH s AS (SELECT *, x > -0.1 AND x < 0.1 AND y > -0.1 AND y < 0.1 AS ins FROM v_seg), f AS (SELECT id, min(i) FILTER (NOT ins) AS fo, max(i) FILTER (NOT ins) AS lo FROM s GROUP BY 1),
+e AS (SELECT id, 0 AS piece, fo AS points, fo - 1 AS a, fo AS b FROM f WHERE fo > 1 UNION ALL SELECT id, 1, 9 - lo, lo + 1, lo FROM f WHERE lo < 8),
+c AS (SELECT e.id, piece, points, p.x AS x, p.y AS y, r.x - p.x AS dx, r.y - p.y AS dy FROM e JOIN s p ON p.id = e.id AND p.i = a JOIN s r ON r.id = e.id AND r.i = b),
+t AS (SELECT *, least(1, CASE WHEN dx > 0 THEN (0.1::DOUBLE - x) / dx WHEN dx < 0 THEN (-0.1::DOUBLE - x) / dx ELSE 'inf'::DOUBLE END, CASE WHEN dy > 0 THEN (0.1::DOUBLE - y) / dy WHEN dy < 0 THEN (-0.1::DOUBLE - y) / dy ELSE 'inf'::DOUBLE END) AS t FROM c)
+SELECT id, piece, CAST(points AS INTEGER) AS points, round(x + t * dx, 4) AS border_x, round(y + t * dy, 4) AS border_y FROM t UNION ALL SELECT id, 0, 8, NULL, NULL FROM f WHERE fo IS NULL"""))
 def r19_cut_at_region(spark: SparkSession, d: str) -> DataFrame:
-    return v_line(spark, d).select("id", F.size(osm.cut_at_box(F.col("coords"), (-0.1, -0.1, 0.1, 0.1))).alias("points")).where("points is not null")
+    nodes = F.transform("coords", lambda p, i: F.struct(i.cast("long").alias("node"), p["x"].alias("x"), p["y"].alias("y")))
+    pieces = v_line(spark, d).select("id", F.inline(osm.pieces_in_box(nodes, (-0.1, -0.1, 0.1, 0.1))))
+    border = F.filter("nodes", lambda n: n["node"].isNull())
+    return pieces.select("id", "piece", F.size("nodes").alias("points"), F.round(F.get(border, F.lit(0))["x"], 4).alias("border_x"), F.round(F.get(border, F.lit(0))["y"], 4).alias("border_y"))
 
 
 @q()
@@ -90,9 +124,11 @@ def r14_map_matching(spark: SparkSession, d: str) -> DataFrame:
     steps = pairs.select("node", "x", "y", F.lead("node").over(w).alias("dst"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).where("dst is not null").dropDuplicates(["node", "dst"])
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     edges = steps.select((F.col("node") * 1000000 + F.col("dst")).alias("eid"), F.col("node").alias("src"), "dst", F.array(point("x", "y"), point("x2", "y2")).alias("coords"))
+    # every road can be driven both ways
+    edges = edges.unionByName(edges.select((-F.col("eid")).alias("eid"), F.col("dst").alias("src"), F.col("src").alias("dst"), F.reverse("coords").alias("coords")))
     points = pairs.select(F.col("way").alias("traj"), F.col("k").cast("long").alias("seq"), (F.col("x") + 0.0001).alias("x"), (F.col("y") - 0.0001).alias("y"))
-    # observations are one edge apart, some 16 m beside it
-    return matching.match(points, edges, radius_m=20.0, max_hops=2)
+    # observations are one edge of a hundred metres apart, some 16 m beside it
+    return matching.match(points, edges, radius_m=20.0)
 
 
 @q()
@@ -109,11 +145,7 @@ def r22_pois(spark: SparkSession, d: str) -> DataFrame:
     return osm.pois(ways, grid_nodes(spark, d)).select("osm_way_id", "building", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@q("""WITH p AS (SELECT user_id AS rid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CAST(floor(value / 40) AS INTEGER) AS lanes FROM events), d AS (SELECT rid, CAST(trunc(quantile_cont(lanes, 0.5)) AS INTEGER) AS md FROM p GROUP BY 1),
-k AS (SELECT p.* FROM p JOIN d ON d.rid = p.rid WHERE lanes <> md AND lanes <> 0), n AS (SELECT *, CASE WHEN lag(pos) OVER w + 1 = pos AND lag(lanes) OVER w = lanes THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY rid ORDER BY pos)),
-g AS (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM n), r AS (SELECT rid, min(pos) AS start, max(pos) + 1 AS stop, min(lanes) AS lanes, (max(pos) - min(pos)) * 12.0::DOUBLE AS len FROM g GROUP BY rid, run),
-f AS (SELECT *, avg(len) OVER w AS m, stddev_samp(len) OVER w AS s, min(len) OVER w AS lo, max(len) OVER w AS hi FROM r WINDOW w AS (PARTITION BY rid))
-SELECT rid, start, stop, lanes FROM f WHERE NOT coalesce(lo <> hi AND NOT (len > m - 2 * s AND len < m + 2 * s), FALSE) AND len >= 12""")
+@q()
 def r25_lane_sections(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     p = table(spark, d, "events").select(F.col("user_id").alias("rid"), F.row_number().over(w).alias("pos"), F.floor(F.col("value") / 40).cast("int").alias("lanes")).withColumn("at", F.col("pos") * 12.0)
@@ -152,7 +184,7 @@ def r31_road_match(spark: SparkSession, d: str) -> DataFrame:
 
 @q()
 def r32_main_roads(spark: SparkSession, d: str) -> DataFrame:
-    return graph.main_roads(v_graph(spark, d).where("src < dst").selectExpr("src % 17 k", "src", "dst", "length"), "k", 50.0)
+    return graph.main_roads(v_graph(spark, d).selectExpr("src % 17 k", "src", "dst", "length"), "k", 50.0)
 
 
 @q(sql("v_map", """WITH t AS (SELECT v.eid, ofs, pid, p_size FROM v_map v JOIN part ON p_partkey = pid), g AS (SELECT eid AS root, array_to_string(list(pid ORDER BY ofs, pid, p_size), ';') AS rids, count(*) AS n_roads, sum(p_size) AS n_panos, count(*) AS points FROM t GROUP BY 1)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lanewise.operators.relational import upsert
 from lanewise.session import cut
 
+from .tables import MEMO_NULL, memo, memo_schema
+
 
 def save(df: DataFrame, path: str, mode: str = "overwrite") -> bool:
     """Write a table; False, not an error, if Spark refuses."""
@@ -58,13 +60,25 @@ def save_upserted(spark: SparkSession, new: DataFrame, path: str, keys: list[str
 
 
 def save_memo(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Rows of a memo as CSV with a header (or Parquet, by the name); nested columns become JSON text."""
+    """Rows of a memo as CSV with a header (or Parquet, by the name); nested columns become JSON text.
+
+    The types of a CSV's columns are written beside it, at ``path.schema``, when it is begun; rows that are appended later take those types, and an error if their columns
+    have other names.
+    """
     nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "struct", "map")]
     flat = df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
-    if path.rstrip("/").endswith(".csv"):
-        flat.write.mode(mode).option("header", True).csv(path)
-    else:
+    if not path.rstrip("/").endswith(".csv"):
         flat.write.mode(mode).parquet(path)
+        return
+    spark = df.sparkSession
+    known = memo_schema(spark, path) if mode == "append" else None
+    if known is None:
+        spark.createDataFrame([(flat.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.schema")
+    elif set(known.names) != set(flat.columns):
+        raise ValueError(f"the memo at {path} has columns {known.names}, not {flat.columns}")
+    else:
+        flat = flat.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in known.fields])
+    flat.write.mode(mode).options(header=True, escape='"', nullValue=MEMO_NULL).csv(path)
 
 
 def remembered(spark: SparkSession, wanted: DataFrame, path: str, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -72,8 +86,6 @@ def remembered(spark: SparkSession, wanted: DataFrame, path: str, keys: list[str
 
     ``compute`` takes the missing rows and returns them with its results.
     """
-    from .tables import memo
-
     fs, at = _files(spark, path)
     known = memo(spark, path) if fs.exists(at(path)) else None
     missing = wanted if known is None else wanted.join(known.select(*keys).distinct(), keys, "left_anti")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lanewise.functions import geo, line
 from lanewise.operators import pano
@@ -66,9 +69,28 @@ def load_nodes(spark: SparkSession, path: str) -> DataFrame:
     return typed.dropDuplicates(["ID"])
 
 
-def memo(spark: SparkSession, path: str) -> DataFrame:
-    """A memo table, Parquet or CSV by its name."""
-    return spark.read.csv(path, header=True, inferSchema=True) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
+#: How CSV memos are read: quotes are doubled, so that text with line ends and quotes comes back as it was.
+MEMO_CSV = {"header": True, "escape": '"', "multiLine": True}
+#: What stands for null in memos of our own, where an empty cell is an empty text.
+MEMO_NULL = "\\N"
+
+
+def memo_schema(spark: SparkSession, path: str) -> StructType | None:
+    """The column types that ``sinks.save_memo`` has put beside a CSV memo; none if it was written elsewhere."""
+    here = f"{path.rstrip('/')}.schema"
+    at = spark._jvm.org.apache.hadoop.fs.Path(here)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return StructType.fromJson(json.loads(spark.read.text(here, wholetext=True).first()[0]))
+
+
+def memo(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
+    """A memo table, Parquet or CSV by its name. A CSV has the types stored beside it or given; without either its columns are text, so that no key loses its zeros."""
+    if not path.rstrip("/").endswith(".csv"):
+        return spark.read.parquet(path)
+    own = memo_schema(spark, path)
+    reader = spark.read.options(**MEMO_CSV, **({"nullValue": MEMO_NULL} if own else {}))
+    return reader.csv(path, schema=schema or own) if schema or own else reader.csv(path)
 
 
 def unpredicted(panos: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:

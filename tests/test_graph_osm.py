@@ -94,16 +94,38 @@ def test_pbf_matches_xml(spark, tmp_path):
     assert [(m.type, m.ref, m.role) for m in relations.first().members] == [("way", 10, "outer")]
 
 
+LINKS = "link long, src long, dst long, lanes int, length double"
+SAME = ("*", "'Main' name", "3 link_type", "39D free_speed", "'auto' allowed_uses", "0 biway", "link * 10 way", "array(named_struct('x', cast(src as double), 'y', 0D), named_struct('x', cast(dst as double), 'y', 0D)) coords")
+
+
+def combined(spark, rows, signals=(9,)):
+    return graph.combine_links(spark.createDataFrame(rows, LINKS).selectExpr(*SAME), spark.createDataFrame([(n,) for n in signals], "node long"))
+
+
 def test_chains_are_combined(spark):
     rows = [(1, 1, 2, 3, 10.0), (2, 2, 3, 3, 20.0), (3, 3, 4, 2, 5.0), (4, 4, 5, 3, 1.0), (5, 4, 6, 3, 1.0)]
-    links = spark.createDataFrame(rows, "link long, src long, dst long, lanes int, length double").selectExpr("*", "'Main' name", "3 link_type", "39D free_speed", "'auto' allowed_uses", "0 biway")
-    out = {r.link: r for r in graph.combine_links(links, spark.createDataFrame([(9,)], "node long")).collect()}
+    out = {r.link: r for r in combined(spark, rows).collect()}
     assert set(out) == {1, 4, 5}
-    assert (out[1].members, out[1].length, out[1].lanes, out[1].lane_list, out[1].change_points, out[1].dst) == ("1;2;3", 35.0, 3, [3, 3, 2], [0.0, 10.0, 30.0], 4)
-    segments = graph.lane_segments(graph.combine_links(links, spark.createDataFrame([(9,)], "node long"))).collect()
-    assert [(s.link, s.start_lr, s.end_lr, s.r_lanes_added) for s in segments] == [(1, 30.0, 35.0, -1)]
-    kept = graph.combine_links(links, spark.createDataFrame([(2,)], "node long"))
-    assert {r.members for r in kept.collect()} == {"1", "2;3", "4", "5"}
+    assert (out[1].members, out[1].length, out[1].lanes, out[1].lane_list, out[1].change_points, out[1].dst) == ("10;20;30", 35.0, 3, [3, 2], [30.0], 4)
+    assert [p.x for p in out[1].coords] == [1.0, 2.0, 3.0, 4.0]
+    segments = graph.lane_segments(combined(spark, rows)).collect()
+    assert [(s.link, s.start_lr, s.end_lr, s.l_lanes_added, s.r_lanes_added) for s in segments] == [(1, 30.0, 35.0, -1, 0)]
+    assert {r.members for r in combined(spark, rows, (2,)).collect()} == {"10", "20;30", "40", "50"}
+
+
+def test_lane_lists_and_segments_of_combined_links(spark):
+    rows = [(1, 1, 2, 2, 5.0), (2, 2, 3, 3, 5.0), (3, 3, 4, 3, 5.0), (4, 11, 12, 2, 1.0), (5, 12, 13, 4, 2.0), (6, 13, 14, 2, 3.0), (7, 21, 22, None, 1.0), (8, 22, 23, None, 1.0), (9, 31, 32, None, 1.0), (10, 32, 33, 2, 1.0)]
+    out = {r.link: r for r in combined(spark, rows).collect()}
+    assert (out[1].lane_list, out[1].change_points) == ([2, 3], [5.0])
+    assert (out[4].lane_list, out[4].change_points) == ([2, 4, 2], [1.0, 3.0])
+    assert (out[7].members, out[7].lane_list, out[7].change_points) == ("70;80", [None], []) and {9, 10} <= set(out)
+    got = sorted((s.link, s.start_lr, s.end_lr, s.l_lanes_added, s.r_lanes_added) for s in graph.lane_segments(combined(spark, rows)).collect())
+    assert got == [(1, 5.0, 15.0, 1, 0), (4, 1.0, 3.0, 2, 0), (4, 3.0, 6.0, 0, 0)]
+
+
+def test_a_loop_stays_two_links(spark):
+    rows = [(1, 9, 2, 1, 1.0), (2, 2, 3, 1, 1.0), (3, 3, 4, 1, 1.0), (4, 4, 9, 1, 1.0)]
+    assert {(r.members, r.src, r.dst) for r in combined(spark, rows).collect()} == {("10;20;30", 9, 4), ("40", 4, 9)}
 
 
 def test_two_way_roads_combine_both_directions(spark):
@@ -125,10 +147,22 @@ def test_longest_path_and_components(spark):
     assert {labels[k] for k in range(61)} == {0} and labels[65] == 65
 
 
+EDGES = "k string, src long, dst long, x0 double, y0 double, x1 double, y1 double"
+
+
 def test_direction_repair_flips_the_straight_edge(spark):
     rows = [("r", 1, 2, 0.0, 0.0, 1.0, 0.0), ("r", 3, 2, 2.0, 0.0, 1.0, 0.0), ("r", 5, 2, 1.0, 3.0, 1.0, 0.0)]
-    out = graph.repair_directions(spark.createDataFrame(rows, "k string, src long, dst long, x0 double, y0 double, x1 double, y1 double"), "k").collect()
-    assert [(r.src, r.dst) for r in out if r.flipped] == [(2, 1)]
+    table = spark.createDataFrame(rows, EDGES)
+    flipped = lambda out: sorted((r.k, r.src, r.dst) for r in out.collect() if r.flipped)
+    # a walk of one edge is no road yet
+    assert flipped(graph.repair_directions(table, "k")) == []
+    # 0-1-2, and 3-2 against it: the edge that the walk came by stays
+    road = [("r", 0, 1, -1.0, 0.0, 0.0, 0.0), *rows, ("s", 1, 2, 0.0, 0.0, 1.0, 0.0), ("s", 2, 3, 1.0, 0.0, 2.0, 0.0), ("s", 4, 3, 3.0, 0.0, 2.0, 0.0), ("s", 5, 4, 4.0, 0.0, 3.0, 0.0)]
+    table = spark.createDataFrame(road, EDGES)
+    starts = spark.createDataFrame([("r", 0), ("s", 1)], "k string, node long")
+    assert flipped(graph.repair_directions(table, "k", starts)) == [("r", 2, 3), ("s", 3, 4), ("s", 4, 5)]
+    out = {(r.k, r.src, r.dst): (r.x0, r.x1) for r in graph.repair_directions(table, "k", starts).collect()}
+    assert out["r", 2, 3] == (1.0, 2.0) and len(out) == 8
 
 
 def test_edge_ids(spark):
@@ -285,9 +319,9 @@ def test_map_matching_of_a_sparse_track(spark):
     m = 1 / 110000
     edges = spark.createDataFrame([(k, k, k + 1, [(100 * k * m, 0.0), (100 * (k + 1) * m, 0.0)]) for k in range(1, 10)], "eid long, src long, dst long, coords array<struct<x:double,y:double>>")
     points = spark.createDataFrame([("t", 0, 120 * m, 5 * m), ("t", 1, 980 * m, -4 * m)], "traj string, seq long, x double, y double")
-    steps = lambda hops: [(r.eid, r.step) for r in matching.match(points, edges, radius_m=15.0, max_hops=hops).orderBy("seq").collect()]
-    assert steps(None) == [(1, 0), *[(k, 1) for k in range(2, 9)], (9, -1)]
-    assert [e for e, _ in steps(4)] != [e for e, _ in steps(None)]
+    for bound in (100.0, 2000.0):  # what the table of ways does not span is searched for
+        got = [(r.eid, r.step) for r in matching.match(points, edges, radius_m=15.0, ways_m=bound).orderBy("seq").collect()]
+        assert got == [(1, 0), *[(k, 1) for k in range(2, 9)], (9, -1)]
 
 
 def test_road_match_prefers_the_parallel_road(spark):
@@ -313,6 +347,22 @@ def test_memo_computes_what_it_lacks(spark, tmp_path):
         assert asked == [[1, 2], [3], []]
 
 
+def test_memo_keeps_the_types_of_its_keys(spark, tmp_path):
+    path = str(tmp_path / "memo.csv")
+    double = lambda missing: missing.withColumns({"note": F.concat(F.lit('"a",\n'), "pid"), "lanes": F.length("pid").cast("int")})
+    ids = lambda *v: spark.createDataFrame([(x,) for x in v], "pid string")
+    assert [r.pid for r in sinks.remembered(spark, ids("0911"), path, ["pid"], double).collect()] == ["0911"]
+    more = lambda missing: double(missing).withColumn("lanes", F.col("lanes").cast("string")).select("lanes", "note", "pid")
+    got = sinks.remembered(spark, ids("0911", "1e3", ""), path, ["pid"], more)
+    assert got.dtypes == [("pid", "string"), ("note", "string"), ("lanes", "int")]
+    assert {(r.pid, r.note, r.lanes) for r in got.collect()} == {("0911", '"a",\n0911', 4), ("1e3", '"a",\n1e3', 3), ("", '"a",\n', 0)}
+    with pytest.raises(ValueError, match="columns"):
+        sinks.save_memo(ids("7"), path)
+    (tmp_path / "plain.csv").write_text("pid,n\n007,1\n")
+    assert [tuple(r) for r in tables.memo(spark, str(tmp_path / "plain.csv")).collect()] == [("007", "1")]
+    assert [tuple(r) for r in tables.memo(spark, str(tmp_path / "plain.csv"), "pid string, n int").collect()] == [("007", 1)]
+
+
 def test_lines_rings_and_geometry_tables(spark):
     from lanewise.functions import line
 
@@ -400,9 +450,14 @@ def test_road_filter_and_samples(spark):
 
 
 def test_main_roads_and_chains(spark):
-    edges = spark.createDataFrame([("k", 1, 2, 40.0), ("k", 2, 3, 40.0), ("k", 2, 9, 10.0), ("k", 5, 6, 60.0)], "k string, src long, dst long, length double")
-    got = {(r.src, r.dst): (r.is_main, r.path) for r in graph.main_roads(edges, "k").collect()}
-    assert got == {(1, 2): (True, 0), (2, 3): (True, 0), (5, 6): (True, 1), (2, 9): (False, None)}
+    schema = "k string, src long, dst long, length double"
+    main = lambda rows: {(r.src, r.dst): (r.is_main, r.path) for r in graph.main_roads(spark.createDataFrame(rows, schema), "k").collect()}
+    assert main([("k", 1, 2, 40.0), ("k", 2, 3, 40.0), ("k", 2, 9, 10.0), ("k", 5, 6, 60.0)]) == {(1, 2): (True, 0), (2, 3): (True, 0), (5, 6): (True, 1), (2, 9): (False, None)}
+    # one walk from the only origin, over the undirected tree, in both directions; no second round for 2-4
+    assert main([("k", 1, 2, 60.0), ("k", 2, 3, 60.0), ("k", 2, 4, 55.0), ("k", 3, 2, 60.0)]) == {(1, 2): (True, 0), (2, 3): (True, 0), (3, 2): (True, 0), (2, 4): (False, None)}
+    # an origin with two edges takes two turns
+    assert main([("k", 1, 2, 60.0), ("k", 1, 3, 70.0), ("k", 3, 4, 10.0), ("k", 3, 5, 55.0)]) == {(1, 2): (True, 0), (1, 3): (True, 0), (3, 5): (True, 0), (3, 4): (False, None)}
+    assert main([("k", 1, 2, 20.0)]) == {(1, 2): (False, None)}
     chained = graph.chain_edges(spark.createDataFrame([(10, 1, 2), (11, 2, 3), (12, 3, 4), (13, 3, 5)], "eid long, s long, e long"))
     assert {tuple(r) for r in chained.collect()} == {(10, 10, 0), (11, 10, 1), (12, 12, 0), (13, 13, 0)}
 
@@ -416,9 +471,84 @@ def test_lookups_and_overlap(spark):
 
 
 def test_parts_are_cut_at_the_region(spark):
-    p = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((-2, 1), (1, 1), (2, 1), (5, 4))])
-    got = spark.range(1).select(osm.cut_at_box(p, (0.0, 0.0, 4.0, 4.0)).alias("p")).first().p
-    assert [(q.x, q.y) for q in got] == [(0.0, 1.0), (1.0, 1.0), (2.0, 1.0), (4.0, 3.0)]
+    box = (0.0, 0.0, 4.0, 4.0)
+
+    def pieces(*points):
+        p = F.array(*[F.struct(F.lit(k).cast("long").alias("node"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for k, (x, y) in enumerate(points)])
+        return {r.piece: [(n.node, n.x, n.y) for n in r.nodes] for r in spark.range(1).select(F.inline(osm.pieces_in_box(p, box))).collect()}
+
+    assert pieces((1, 1), (2, 1)) == {0: [(0, 1.0, 1.0), (1, 2.0, 1.0)]}
+    assert pieces((1, 1), (2, 1), (5, 4)) == {0: [(0, 1.0, 1.0), (1, 2.0, 1.0), (None, 4.0, 3.0)]}
+    assert pieces((-2, 1), (1, 1), (2, 1)) == {1: [(None, 0.0, 1.0), (1, 1.0, 1.0), (2, 2.0, 1.0)]}
+    assert pieces((1, 1), (6, 1), (2, 2), (8, 2), (3, 3)) == {0: [(0, 1.0, 1.0), (None, 4.0, 1.0)], 1: [(None, 4.0, 2.8), (4, 3.0, 3.0)]}
+    assert pieces((-2, 1), (1, 1), (2, 1), (5, 4)) == {} and pieces((-1, 1), (-2, 1)) == {}
+
+
+def test_network_of_a_region_has_nodes_on_its_border(spark):
+    tags = {"highway": "primary", "lanes": "2", "oneway": "no"}
+    places = [(1, 1.0, 1.0), (2, 2.0, 1.0), (3, 5.0, 1.0), (4, 5.0, 2.0), (5, 3.0, 2.0), (6, 1.0, 3.0), (7, -1.0, 3.0)]
+    nodes = spark.createDataFrame([(i, x, y, {}) for i, x, y in places], "id long, x double, y double, tags map<string,string>")
+    ways = spark.createDataFrame([(10, [1, 2, 3, 4, 5], tags), (11, [5, 6, 7], tags | {"oneway": "yes"}), (12, [3, 4], tags)], "id long, refs array<long>, tags map<string,string>")
+    net = osm.build_network(nodes, ways, box=(0.0, 0.0, 4.0, 4.0))
+    out = {r.node_id: (r.osm_node_id, r.x, r.y) for r in net.nodes.collect()}
+    assert sorted(out.values(), key=str) == sorted([(1, 1.0, 1.0), (5, 3.0, 2.0), (None, 4.0, 1.0), (None, 4.0, 2.0), (None, 0.0, 3.0)], key=str)
+    assert {out[k][0] for k in (0, 1)} == {1, 5} and sorted(out) == [0, 1, 2, 3, 4]
+    lines = sorted((r.way, [(p.x, p.y) for p in r.coords], out[r.from_node_id][1:], out[r.to_node_id][1:]) for r in net.links.collect())
+    head, tail = [(1.0, 1.0), (2.0, 1.0), (4.0, 1.0)], [(4.0, 2.0), (3.0, 2.0)]
+    want = [(10, line, line[0], line[-1]) for line in (head, head[::-1], tail, tail[::-1])] + [(11, [(3.0, 2.0), (1.0, 3.0), (0.0, 3.0)], (3.0, 2.0), (0.0, 3.0))]
+    assert lines == sorted(want)
+    assert net.links.select("link_id").distinct().count() == 5
+
+
+def plain_sections(lanes, least, place=10.0):
+    """Sections of one road, by the rule as it is written."""
+    values = sorted(lanes)
+    middle = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+    runs = []
+    for k, v in enumerate(lanes):
+        if v != middle and v != 0:
+            if runs and runs[-1][1] == k and runs[-1][2] == v:
+                runs[-1][1] = k + 1
+            else:
+                runs.append([k, k + 1, v])
+    runs = [r for r in runs if r[1] - 1 > r[0]]
+    if len(runs) > 1:
+        mean = sum(r[2] for r in runs) / len(runs)
+        std = (sum((r[2] - mean) ** 2 for r in runs) / (len(runs) - 1)) ** 0.5
+        runs = [r for r in runs if mean - 2 * std < r[2] < mean + 2 * std]
+    size = lambda r: (r[1] - 1 - r[0]) * place
+    keep, short = [r for r in runs if size(r) >= least], [r for r in runs if size(r) < least]
+    if not keep:
+        return []
+    for new in short:
+        before, after, own = [], [], list(new)
+        for x in keep:
+            if x[1] < own[0]:
+                before.append(x)
+            elif x[0] > own[1]:
+                after.append(x)
+            else:
+                own = [min(x[0], own[0]), max(x[1], own[1]), x[2]]
+        keep = [*before, own, *after]
+    return sorted(tuple(r) for r in keep if r not in short)
+
+
+def test_sections_absorb_short_ones(spark):
+    import random
+
+    rng = random.Random(8)
+    roads = {0: [3, 3, 3, 3, 2, 2, 2, 2, 2, 4, 4, 3, 3, 3, 3, 3], 1: [2, 2, 3, 3, 2, 2, 3, 3], 2: [3] * 9, 3: [3, 3, 3, 3, 3, 2, 2, 2, 2, 3]}
+    for k in range(4, 40):
+        roads[k] = [v for _ in range(rng.randrange(1, 9)) for v in [rng.choice([0, 1, 2, 3, 3, 4])] * rng.randrange(1, 6)]
+    points = spark.createDataFrame([(rid, k, 10.0 * k, v) for rid, vs in roads.items() for k, v in enumerate(vs)], "rid long, pos int, at double, lanes int")
+    got = {}
+    for r in simulation.lane_sections(points).collect():
+        got.setdefault(r.rid, []).append((r.start, r.stop, r.lanes))
+    want = {rid: s for rid, vs in roads.items() if (s := plain_sections(vs, 20.0))}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert want[0] == [(4, 11, 2)] and 1 not in want and want[3] == [(5, 9, 2)]
+    flat = points.withColumns({"x": F.col("at") / 110000, "y": F.lit(0.0)}).drop("at")
+    assert {tuple(r) for r in simulation.lane_sections(flat, 19.999).collect()} == {(k, *s) for k, v in want.items() for s in v}
 
 
 def test_banded_polynomial(spark):
