@@ -78,7 +78,7 @@ def save_memo(df: DataFrame, path: str, mode: str = "append") -> None:
         raise ValueError(f"the memo at {path} has columns {known.names}, not {flat.columns}")
     else:
         flat = flat.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in known.fields])
-    flat.write.mode(mode).options(header=True, escape='"', nullValue=MEMO_NULL).csv(path)
+    flat.write.mode(mode).options(header=True, escape='"', nullValue=MEMO_NULL, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def remembered(spark: SparkSession, wanted: DataFrame, path: str, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
