@@ -122,11 +122,14 @@ def r14_map_matching(spark: SparkSession, d: str) -> DataFrame:
     pairs = osm.way_nodes(grid_ways(spark, d), nodes)
     w = Window.partitionBy("way").orderBy("k")
     steps = pairs.select("node", "x", "y", F.lead("node").over(w).alias("dst"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).where("dst is not null").dropDuplicates(["node", "dst"])
+    steps = steps.where("abs(x2 - x) < 0.01")  # no road runs from the end of a row of the grid to the start of the next
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     edges = steps.select((F.col("node") * 1000000 + F.col("dst")).alias("eid"), F.col("node").alias("src"), "dst", F.array(point("x", "y"), point("x2", "y2")).alias("coords"))
     # every road can be driven both ways
     edges = edges.unionByName(edges.select((-F.col("eid")).alias("eid"), F.col("dst").alias("src"), F.col("src").alias("dst"), F.reverse("coords").alias("coords")))
-    points = pairs.select(F.col("way").alias("traj"), F.col("k").cast("long").alias("seq"), (F.col("x") + 0.0001).alias("x"), (F.col("y") - 0.0001).alias("y"))
+    # a track along a row starts anew in the next row, ten kilometres off
+    row = F.when(F.col("way") % 20 == 0, F.floor(F.col("node") / 100)).otherwise(0)
+    points = pairs.select((F.col("way") * 100000 + row).alias("traj"), F.col("k").cast("long").alias("seq"), (F.col("x") + 0.0001).alias("x"), (F.col("y") - 0.0001).alias("y"))
     # observations are one edge of a hundred metres apart, some 16 m beside it
     return matching.match(points, edges, radius_m=20.0)
 
