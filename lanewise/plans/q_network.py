@@ -73,6 +73,16 @@ def r09_combined_links(spark: SparkSession, d: str) -> DataFrame:
     return net.links.select("members", "n_members", "lanes", F.array_join("lane_list", ",").alias("lane_list"), F.size("change_points").alias("changes"))
 
 
+@q("""WITH o AS (SELECT DISTINCT o_orderkey AS o, o_custkey % 3 = 0 AS oneway FROM orders WHERE o_orderkey % 1000 <= 500),
+l AS (SELECT 2 * o AS way, oneway, 10 * o AS a, 10 * o + 2 AS b, 3 AS points FROM o UNION ALL SELECT 2 * o + 1, oneway, 10 * o + 2, CASE WHEN o % 1000 < 500 THEN 10 * o + 4 END, CASE WHEN o % 1000 < 500 THEN 3 ELSE 2 END FROM o)
+SELECT way, a AS from_osm, b AS to_osm, points FROM l UNION ALL SELECT way, b, a, points FROM l WHERE NOT oneway""")
+def r21_network_of_a_region(spark: SparkSession, d: str) -> DataFrame:
+    # the region ends between the third and the fourth node of the chains in its last column, whose second way is cut there
+    net = osm.build_network(*chained_ways(spark, d), box=(0.0, 0.0, 113.9 + 500 * STEP + 2.5 * STEP / 10, 90.0))
+    end = lambda c: net.nodes.select(F.col("node_id").alias(f"{c}_node_id"), F.col("osm_node_id").alias(f"{c}_osm"))
+    return net.links.join(end("from"), "from_node_id").join(end("to"), "to_node_id").select("way", "from_osm", "to_osm", F.size("coords").alias("points"))
+
+
 @q("""WITH o AS (SELECT DISTINCT o_orderkey AS o, o_custkey AS c FROM orders), w AS (SELECT o, c % 3 = 0 AS oneway, c % 4 + 1 AS a, c % 3 + 1 AS b FROM o WHERE o % 7 <> 0 AND o % 5 <> 0),
 l AS (SELECT *, CASE WHEN oneway THEN a ELSE CAST(ceil(a / 2.0) AS BIGINT) END AS la, CASE WHEN oneway THEN b ELSE CAST(ceil(b / 2.0) AS BIGINT) END AS lb FROM w)
 SELECT CAST(lb - la AS INTEGER) AS l_lanes_added, 0 AS r_lanes_added FROM l WHERE la <> lb UNION ALL SELECT CAST(la - lb AS INTEGER), 0 FROM l WHERE la <> lb AND NOT oneway""")
