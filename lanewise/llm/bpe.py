@@ -6,6 +6,8 @@ share is encoded once. A new chunk is put together from its words, the finest cu
 the tokenizer. Wherever two pieces meet, the characters on both sides are encoded together and apart, once for each pair of characters. Chunks
 that do not agree where they meet are encoded again as one piece, which grows to both sides until it agrees with its neighbours: encoded
 together with them it gives the same ids as apart.
+
+All this holds for tokenizers that never look past the white space around a word (``by_words``); any other one gets whole texts.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,10 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 #: White space that two pieces are tried with where they meet.
 SPACINGS = (" ", "\n", "\t", "\r\n", "  ", "\x0b", "\x0c")
 
+#: Steps of a tokenizer that treat each word alike, whatever stands beyond the white space around it.
+PLAIN_NORMALIZERS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "BertNormalizer"}
+PLAIN_SPLITTERS = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer", "Punctuation", "Digits"}
+
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -60,6 +67,37 @@ def cut_points(data: bytes) -> np.ndarray:
     return at[(rolling >> np.uint64(64 - MASK_BITS)) == 0]
 
 
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    if part is None:
+        return []
+    return [s for p in part[inner] for s in _steps(p, inner)] if part["type"] == "Sequence" else [part]
+
+
+def _local(step: dict) -> bool:
+    """Whether the pattern of a step looks at nothing outside its match: no look-around, no anchors."""
+    return re.search(r"\(\?[=!<]|\\[bBAzZGK]|(?<!\[)\^|\$", step["pattern"].get("Regex", "")) is None
+
+
+def _inked(step: dict) -> bool:
+    """Whether the pattern of a step can match no white space, as far as its form tells: what might, counts as if it does."""
+    rest = re.sub(r"\[\^[^\]]*\\s[^\]]*\]", "", step["pattern"].get("Regex", " "))
+    return re.search(r"\[\^|\\[sWDPHhvRXNOxunrt]|[\s.]", rest) is None
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer (its JSON form) encodes a text as its words apart: it splits at white space, keeps none of it, and no step
+    looks around or changes a text's ends."""
+    normal = all(s["type"] in PLAIN_NORMALIZERS or s["type"] == "Replace" and _local(s) for s in _steps(spec["normalizer"], "normalizers"))
+    splits = _steps(spec["pre_tokenizer"], "pretokenizers")
+    if not (normal and splits):
+        return False
+    first, *rest = splits
+    # what lies between the matches goes: white space must not be part of one
+    matches = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and _local(first) and _inked(first)
+    after = all(s["type"] in PLAIN_SPLITTERS or s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in rest)
+    return after and (matches or first["type"] in PLAIN_SPLITTERS - {"Punctuation", "Digits"})
+
+
 class ChunkCoder:
     """Encodes and decodes texts with one tokenizer and bounded stores of chunks and words."""
 
@@ -71,7 +109,8 @@ class ChunkCoder:
         t.no_padding()
         self.most, self.most_words = store, words
         #: Without a decoder, decoded text is the tokens with spaces between; a decoder has to see all ids of a text.
-        self.spaced = json.loads(t.to_str())["decoder"] is None
+        spec = json.loads(t.to_str())
+        self.spaced, self.by_words = spec["decoder"] is None, by_words(spec)
         size = t.get_vocab_size(with_added_tokens=True)
         self.names, self.digits = [t.id_to_token(i) for i in range(size)], [str(i) for i in range(size)]
         special = {i: x.content for i, x in t.get_added_tokens_decoder().items() if x.special}
@@ -192,6 +231,9 @@ class ChunkCoder:
 
     def code_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of tokens, ids as text and decoded text of each text."""
+        if not self.by_words:
+            coded = [self.plain(i) for i in self.encode([t.encode("utf-8", "replace").decode() for t in texts])]
+            return [(n, ids, names if self.spaced else self.decode(ids)) for n, ids, names in coded]
         datas = [t.encode("utf-8", "replace") for t in texts]
         if self.lowers:
             low = [d.lower() for d in datas]  # A-Z only
