@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut_lineage
 
@@ -22,7 +23,10 @@ from .common import cut_lineage
 LEADING, PARTS = 2, 5
 #: Lines with fewer tokens have no template, only their exact text.
 LEAST_TOKENS = 3
-#: Stands for a null id: after all others.
+#: Documents in which a template must stand to recur. With two, a line of four words goes where an earlier document has it but for one word;
+#: a larger number spares such chance pairs, and keeps the passages that two documents only share.
+DOCUMENTS = 2
+#: Stands for a null id among whole numbers: after all others.
 NO_ID = 2**63 - 1
 
 
@@ -39,6 +43,13 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.split(_let(plain, spaced), " ", -1), "")
 
 
+def _keys(docs: DataFrame) -> list[Column]:
+    """``id``, by which documents are earlier or later, nulls last, and ``rid``, which tells rows with one id apart."""
+    whole = isinstance(docs.schema["doc_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) if whole else F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("value"))
+    return [own.alias("id"), F.xxhash64("doc_id", "text").alias("rid")]
+
+
 def _leaf(*parts: Column) -> Column:
     return F.struct(F.xxhash64(*parts).alias("leaf"), F.hash(*parts).alias("more"))
 
@@ -69,21 +80,24 @@ def _leaves(tokens: Column, line: Column, leading: int, parts: int, least: int)
 
 def line_leaves(docs: DataFrame, leading: int = LEADING, parts: int = PARTS, least: int = LEAST_TOKENS) -> DataFrame:
     """``id, rid, pos, leaf, more``: the leaves of every line that is not blank. ``rid`` tells rows with one id apart."""
-    lines = docs.where("text is not null").select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
-    )
+    lines = docs.where("text is not null").select(*_keys(docs), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return lines.select("id", "rid", "pos", F.inline(_leaves(_tokens(F.col("line")), F.col("line"), leading, parts, least)))
 
 
-def recurring_lines(docs: DataFrame, **tree) -> DataFrame:
-    """``id, rid, drop``: of every text that has any, the places of its lines whose template an earlier document has.
+def recurring_lines(docs: DataFrame, documents: int = DOCUMENTS, **tree) -> DataFrame:
+    """``id, rid, drop``: of every text that has any, the places of its lines whose template an earlier document has, of templates
+    of ``documents`` documents at least.
 
     Sums and minima are combined before the shuffle, so that a template that most documents have costs one row per task;
     only leaves of several documents are joined back.
     """
     leaves = line_leaves(docs, **tree)
     # written first: a join against a table, unlike one against an aggregation, can have its large partitions split
-    shared = cut_lineage(leaves.groupBy("leaf", "more").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("leaf", "more", "first"))
+    if documents <= 2:
+        found = leaves.groupBy("leaf", "more").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    else:
+        found = leaves.select("leaf", "more", "id").distinct().groupBy("leaf", "more").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= documents)
+    shared = cut_lineage(found.select("leaf", "more", "first"))
     hits = leaves.join(shared, ["leaf", "more"]).where("id > first").select("id", "rid", "pos")
     return hits.groupBy("id", "rid").agg(F.collect_set("pos").alias("drop"))
 
@@ -97,18 +111,14 @@ def _with_kept(docs: DataFrame, packed: DataFrame, **tree) -> DataFrame:
     return joined.withColumn("kept_text", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("drop"), F.lit(0)).cast("long"))
 
 
-def _keys() -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("doc_id", "text").alias("rid")]
-
-
 def dedup_lines(docs: DataFrame, **tree) -> DataFrame:
     """``doc_id, n_lines, n_dropped, text``: every text without the lines whose template an earlier document has.
 
-    "Earlier" is by ``doc_id``, a number; null ids count as one last document. A line repeated within its own document only stays, as do
+    "Earlier" is by ``doc_id`` in its own type's order; null ids count as one last document. A line repeated within its own document only stays, as do
     blank lines. A null text stays null with no lines; an empty one has one line. Rows with equal id and text are one document, and each of
     them is returned; rows with equal id and other texts are one document too. Other columns are not read.
     """
-    packed = docs.select("doc_id", "text", *_keys())
+    packed = docs.select("doc_id", "text", *_keys(docs))
     out = _with_kept(docs, packed, **tree)
     return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), "n_dropped", F.col("kept_text").alias("text"))
 
@@ -116,7 +126,7 @@ def dedup_lines(docs: DataFrame, **tree) -> DataFrame:
 def dedup_documents(docs: DataFrame, **tree) -> DataFrame:
     """The rows of ``docs``, same columns, with the text that ``dedup_lines`` leaves and its length in ``n_chars``."""
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"), *_keys())
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"), *_keys(docs))
     out = _with_kept(docs, packed, **tree)
     new = {c: F.col(f"row.`{c}`") for c in names} | {"text": F.col("kept_text")}
     if "n_chars" in names:

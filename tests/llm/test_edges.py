@@ -1,5 +1,7 @@
 """Defined results for nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
+import json
+
 import brute
 import numpy as np
 import pytest
@@ -106,6 +108,45 @@ def test_exact_copies_of_lines_without_template_are_dropped(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_documents(table).collect()} == {1: table.first().text, 2: "\nmenu\n8 a", None: " \nown"}
 
 
+def test_line_dedup_takes_ids_of_any_type(spark):
+    line = "Posted by anna in the city forum for all readers"
+    texts = [("b9", line), ("b10", f"own words here\n{line}"), (None, line), ("a", None)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id string, text string")).collect()}
+    assert got == {"b10": texts[1][1], "b9": "", None: "", "a": None}  # by the order of texts, null last
+    floats = spark.createDataFrame([(2.5, line), (2.25, line)], "doc_id double, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(floats).collect()} == {2.25: line, 2.5: ""}
+    small = spark.createDataFrame([(2, line), (1, line)], "doc_id int, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_documents(small).collect()} == {1: line, 2: ""}
+
+
+def test_line_dedup_by_least_number_of_documents(spark):
+    rows = [(1, "the cat sat up\nshared by three"), (2, "the cat sat down\nshared by three"), (3, "shared by three\nshared by three"), (3, "shared by three")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    two = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(table).collect())
+    three = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(table, documents=3).collect())
+    assert two == [(1, rows[0][1]), (2, ""), (3, ""), (3, "")]
+    assert three == [(1, rows[0][1]), (2, "the cat sat down"), (3, ""), (3, "")]
+    assert sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(table, documents=4).collect()) == sorted(rows)
+
+
+def test_bpe_gives_whole_texts_to_tokenizers_that_look_around(spark, monkeypatch, tmp_path):
+    words, bytes_ = queries.tokenizer_path(), queries.tokenizer_path("byte_bpe_50k.json")
+    assert bpe.ChunkCoder(words).by_words and not bpe.ChunkCoder(bytes_).by_words
+    spec = json.loads(open(words).read())
+    for pattern, fine in ((r"\p{L}+|\S", True), (r"\p{L}+(?!\s)|\S", False), (r"\s?\p{L}+", False), (r"^\p{L}+|\S", False), (r"[^\s]+", True)):
+        spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": pattern}
+        assert bpe.by_words(spec) == fine, pattern
+    spec["pre_tokenizer"] = None
+    assert not bpe.by_words(spec)
+    texts = ["", "one two  three\n\n four", "it's 1234 " * 50, "日本 é e\u0301 <|endoftext|> x", " \t"]
+    coder = bpe.ChunkCoder(bytes_)
+    for text, (n, ids, decoded) in zip(texts, coder.code_batch(texts), strict=True):
+        want = coder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert (n, ids) == (len(want), " ".join(map(str, want))) and decoded == coder.tokenizer.decode(want, skip_special_tokens=False)
+    got = {r.doc_id: r.decoded for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bytes_).collect()}
+    assert got == dict(enumerate(texts))
+
+
 def test_ngram_join(odd, none):
     got = by_id(ngram_join.classes(odd))
     assert sum(map(len, got.values())) == len(ROWS)
