@@ -55,7 +55,7 @@ def _leaf(*parts: Column) -> Column:
 
 
 def _leaves(tokens: Column, line: Column, leading: int, parts: int, least: int) -> Column:
-    """The leaves in which a line stands: the whole template, and one for each open stretch. Lines that are too short or of which less
+    """The leaves in which a line stands, one for each open stretch. Lines that are too short or of which less
     than half is constant have the leaf of their exact text; blank lines have none."""
     none = F.array().cast("array<struct<leaf:bigint,more:int>>")
 
@@ -64,11 +64,14 @@ def _leaves(tokens: Column, line: Column, leading: int, parts: int, least: int)
         width = F.ceil((n - leading) / F.lit(parts)).cast("int")
         cut = lambda k: F.when(F.lit(leading) + width * k < n, F.xxhash64(F.slice(t, F.lit(leading + 1) + width * k, width))).otherwise(F.lit(0).cast("long"))
         fixed = F.xxhash64(n, F.slice(t, 1, leading))
-        # the tokens are hashed once, by stretch; leaving an empty stretch open gives one more name to the whole template
+        # the tokens are hashed once, by stretch; lines with one whole template share the leaf of each stretch, so that neither the
+        # whole template nor an empty stretch needs a leaf of its own
+        filled = F.when(width > 0, F.ceil((n - leading) / width)).otherwise(1).cast("int")
         several = _let(
             F.array(fixed, *[cut(k) for k in range(parts)]),
-            lambda h: F.array(_leaf(F.lit(-1), *[h[j] for j in range(parts + 1)]), *[_leaf(h[0], F.lit(k), *[h[j + 1] for j in range(parts) if j != k]) for k in range(parts)]),
+            lambda h: F.array(*[_leaf(h[0], F.lit(k), *[h[j + 1] for j in range(parts) if j != k]) for k in range(parts)]),
         )
+        several = F.slice(several, 1, filled)
         constant = F.size(F.array_remove(t, "<*>"))
         solid = (n >= least) & (constant * 2 >= n)
         opens = (width * 4 <= n) & ((constant - width) * 2 >= n)
