@@ -27,8 +27,8 @@ from .common import give_back, pieces_of, small_batches
 
 #: Bytes that the rolling hash sees; a cut every 2 ** MASK_BITS white spaces on average.
 WINDOW, MASK_BITS = 8, 5
-#: Bytes of chunks and of words, with their codes, that a task remembers; a full store starts anew.
-STORE_BYTES, WORD_BYTES = 8 << 20, 24 << 20
+#: Bytes of chunks and of words, with their codes, that a task remembers. A full store of chunks starts anew, one of words keeps what came again.
+STORE_BYTES, WORD_BYTES = 8 << 20, 96 << 20
 #: What an entry costs besides its texts, about; pairs of characters that are remembered.
 ENTRY_BYTES, MOST_MEETS = 400, 100_000
 #: Texts that are coded together: rows and bytes.
@@ -135,6 +135,25 @@ class ChunkCoder:
         self.spelled: list[str] = []
         self.word_bytes = 0
         self.sizes, self.first, self.last = (np.zeros(1024, np.int64) for _ in range(3))
+        self.again = np.zeros(1024, bool)
+
+    def forget_rare_words(self) -> None:
+        """Keep the words that came again since the store was last thinned, if they leave half of it free: most words of a large
+        corpus come once."""
+        kept = np.flatnonzero(self.again[: len(self.said)]).tolist()
+        words = list(self.words)
+        words, said, spelled = [words[i] for i in kept], [self.said[i] for i in kept], [self.spelled[i] for i in kept]
+        numbers = [x[kept] for x in (self.sizes, self.first, self.last)]
+        size = self.cost(words, said, spelled)
+        self.forget_words()
+        if 0 < 2 * size <= self.most_words:
+            self.words, self.said, self.spelled, self.word_bytes = dict(zip(words, range(len(words)), strict=True)), said, spelled, size
+            self.sizes, self.first, self.last = numbers
+            self.again = np.zeros(len(kept), bool)
+
+    @staticmethod
+    def cost(words: list[bytes], said: list[str], spelled: list[str]) -> int:
+        return sum(map(len, words)) + sum(map(len, said)) + sum(map(len, spelled)) + ENTRY_BYTES * len(words)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -160,7 +179,7 @@ class ChunkCoder:
         texts = [w.decode() for w in fresh]
         base, number = len(self.said), self.characters
         if base + len(fresh) > len(self.sizes):
-            self.sizes, self.first, self.last = (np.resize(x, 2 * (base + len(fresh))) for x in (self.sizes, self.first, self.last))
+            self.sizes, self.first, self.last, self.again = (np.resize(x, 2 * (base + len(fresh))) for x in (self.sizes, self.first, self.last, self.again))
         place = slice(base, base + len(fresh))
         coded = self.encode_words(texts)
         digits, names = self.digits.__getitem__, self.names.__getitem__
@@ -169,8 +188,9 @@ class ChunkCoder:
         self.sizes[place] = [len(ids) for ids in coded]
         self.first[place] = [number.setdefault(t[0], len(number)) for t in texts]
         self.last[place] = [number.setdefault(t[-1], len(number)) for t in texts]
+        self.again[place] = False
         self.words.update(zip(fresh, range(base, base + len(fresh)), strict=True))
-        self.word_bytes += sum(map(len, fresh)) + sum(map(len, self.said[base:])) + sum(map(len, self.spelled[base:])) + ENTRY_BYTES * len(fresh)
+        self.word_bytes += self.cost(fresh, self.said[base:], self.spelled[base:])
 
     def agree(self, last: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Whether pieces that meet at these characters encode together as they do apart, whatever the white space."""
@@ -201,10 +221,12 @@ class ChunkCoder:
             return {}
         split = [p.split() for p in parts]
         flat = [w for ws in split for w in ws]
+        known = len(self.said)
         if fresh := [w for w in dict.fromkeys(flat) if w not in self.words]:
             self.learn(fresh)
         at = list(map(self.words.__getitem__, flat))
         index = np.array(at, np.int64)
+        self.again[index[index < known]] = True
         n, first, last = self.sizes[index], self.first[index], self.last[index]
         ends = np.cumsum([len(ws) for ws in split], dtype=np.int64)
         inner = np.ones(max(len(index) - 1, 0), bool)
@@ -271,7 +293,7 @@ class ChunkCoder:
         if self.stored > self.most:
             self.store, self.stored = {}, 0
         if self.word_bytes > self.most_words:
-            self.forget_words()
+            self.forget_rare_words()
         if len(self.meets) > MOST_MEETS:
             self.forget()
 
