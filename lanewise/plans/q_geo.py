@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lanewise import constants as C
 from lanewise.functions import geo, line
-from lanewise.operators import fusion, graph, intervals, osm, pano, routing, spatial
+from lanewise.operators import fusion, graph, intervals, masks, osm, pano, routing, spatial
 from lanewise.plans.adapters import Registry, sql, table, v_graph, v_line, v_point
 
 QUERIES = Registry()
@@ -230,6 +230,24 @@ def j08_points_near_lines(spark: SparkSession, d: str) -> DataFrame:
     return spatial.points_near_lines(p, ln, 0.05).select("pid", "eid", F.round("distance", 6).alias("distance"))
 
 
+#: A place is in a capsule's polygon if it is behind all its 32 edges at the ends and not beyond its sides.
+_HALF_PLANES = """nr AS (SELECT pid, px, py, x1, y1, x2, y2, atan2(y2 - y1, x2 - x1) AS turn FROM (SELECT *, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS u FROM pt, ln) WHERE sqrt(pow(px - (x1 + u * (x2 - x1)), 2) + pow(py - (y1 + u * (y2 - y1)), 2)) <= 0.05),
+hp AS (SELECT *, turn + (k + 0.5) * pi() / 16 AS a FROM nr, unnest(generate_series(0, 31)) AS v(k)),
+pc AS (SELECT pid, max(px * cos(a) + py * sin(a) - greatest(x1 * cos(a) + y1 * sin(a), x2 * cos(a) + y2 * sin(a))) AS beyond FROM hp GROUP BY pid, x1, y1, x2, y2)"""
+
+
+@q(sql("v_seg", f"WITH {_L}, {_PT}, {_HALF_PLANES} SELECT DISTINCT pid FROM pc WHERE beyond <= 0.05 * cos(pi() / 32)"))
+def a17_points_in_mask(spark: SparkSession, d: str) -> DataFrame:
+    p, ln = _near(spark, d)
+    return masks.in_mask(p, masks.buffer_mask(ln, 0.05), 0.4).select("pid")
+
+
+@q(sql("v_seg", "SELECT a.id AS eid, round(2 * 0.05 * sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) + 16 * sin(pi() / 16) * 0.05 * 0.05, 8) AS area FROM v_seg a JOIN v_seg b ON b.id = a.id AND a.i = 1 AND b.i = 2"))
+def g20_buffer_area(spark: SparkSession, d: str) -> DataFrame:
+    mask = masks.buffer_mask(v_line(spark, d, 2).withColumnRenamed("id", "eid"), 0.05, ["eid"])
+    return mask.groupBy("eid").agg(F.round(F.sum(masks.trapezoid_area()), 8).alias("area"))
+
+
 @q(sql("v_seg", f"WITH {_NEAR} SELECT pid, eid, distance FROM (SELECT pid, id AS eid, round(distance, 6) AS distance, row_number() OVER (PARTITION BY pid ORDER BY distance, id) AS rn FROM dd WHERE distance <= 0.1) WHERE rn = 1"))
 def j10_nearest_line(spark: SparkSession, d: str) -> DataFrame:
     p, ln = _near(spark, d)
