@@ -29,8 +29,8 @@ from .common import give_back, pieces_of, small_batches
 WINDOW, MASK_BITS = 8, 5
 #: Bytes of chunks and of words, with their codes, that a task remembers. A full store of chunks starts anew, one of words keeps what came again.
 STORE_BYTES, WORD_BYTES = 8 << 20, 96 << 20
-#: What an entry costs besides its texts, about; pairs of characters that are remembered.
-ENTRY_BYTES, MOST_MEETS = 400, 100_000
+#: What an entry of chunks or of words costs besides its bytes and ids, about; pairs of characters that are remembered.
+ENTRY_BYTES, WORD_ENTRY_BYTES, MOST_MEETS = 400, 240, 100_000
 #: Texts that are coded together: rows and bytes.
 PIECE_ROWS, PIECE_BYTES = 128, 1 << 20
 #: Words that are encoded in one call.
@@ -67,6 +67,29 @@ def cut_points(data: bytes) -> np.ndarray:
     return at[(rolling >> np.uint64(64 - MASK_BITS)) == 0]
 
 
+def flat(coded: list) -> np.ndarray:
+    """Lists or arrays of ids as one."""
+    return np.concatenate([np.asarray(ids, np.int32) for ids in coded]) if coded else np.zeros(0, np.int32)
+
+
+def split_words(parts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all parts, and how many there are up to the end of each part."""
+    raw = np.frombuffer(b"\n".join([*parts, b""]), dtype=np.uint8)
+    space = SPACES[raw]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[~space])])
+    return words, np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts]))
+
+
+def spelled(names: pa.Array, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+    """The names of the ids of each stretch, joined by one space."""
+    text = names.take(pa.array(ids))
+    offsets, data = np.frombuffer(text.buffers()[1], np.int64), memoryview(text.buffers()[2] or b"")
+    return [data[a : max(a, b - 1)] for a, b in zip(offsets[starts].tolist(), offsets[ends].tolist(), strict=True)]
+
+
 def _steps(part: dict | None, inner: str) -> list[dict]:
     if part is None:
         return []
@@ -112,7 +135,8 @@ class ChunkCoder:
         spec = json.loads(t.to_str())
         self.spaced, self.by_words = spec["decoder"] is None, by_words(spec)
         size = t.get_vocab_size(with_added_tokens=True)
-        self.names, self.digits = [t.id_to_token(i) for i in range(size)], [str(i) for i in range(size)]
+        #: Each with a space behind.
+        self.names, self.digits = (pa.array([x + " " for x in own], pa.large_string()) for own in ([t.id_to_token(i) or "" for i in range(size)], map(str, range(size))))
         special = {i: x.content for i, x in t.get_added_tokens_decoder().items() if x.special}
         #: A special token stands between words that are encoded in one call: it keeps them apart.
         self.fence = next(iter(special.items()), None)
@@ -130,67 +154,67 @@ class ChunkCoder:
         self.forget_words()
 
     def forget_words(self) -> None:
+        """Words by number; the ids of all of them stand in one array, those of a word from its place on."""
         self.words: dict[bytes, int] = {}
-        self.said: list[str] = []
-        self.spelled: list[str] = []
-        self.word_bytes = 0
-        self.sizes, self.first, self.last = (np.zeros(1024, np.int64) for _ in range(3))
+        self.ids, self.n_ids = np.zeros(4096, np.int32), 0
+        self.places, self.sizes, self.first, self.last = (np.zeros(1024, t) for t in (np.int64, np.int32, np.int32, np.int32))
         self.again = np.zeros(1024, bool)
+        self.word_bytes = 0
 
     def forget_rare_words(self) -> None:
         """Keep the words that came again since the store was last thinned, if they leave half of it free: most words of a large
         corpus come once."""
-        kept = np.flatnonzero(self.again[: len(self.said)]).tolist()
+        kept = np.flatnonzero(self.again[: len(self.words)])
         words = list(self.words)
-        words, said, spelled = [words[i] for i in kept], [self.said[i] for i in kept], [self.spelled[i] for i in kept]
-        numbers = [x[kept] for x in (self.sizes, self.first, self.last)]
-        size = self.cost(words, said, spelled)
+        words = [words[i] for i in kept.tolist()]
+        sizes, first, last, ids = self.sizes[kept], self.first[kept], self.last[kept], self.spread(kept)
         self.forget_words()
-        if 0 < 2 * size <= self.most_words:
-            self.words, self.said, self.spelled, self.word_bytes = dict(zip(words, range(len(words)), strict=True)), said, spelled, size
-            self.sizes, self.first, self.last = numbers
-            self.again = np.zeros(len(kept), bool)
+        if 0 < 2 * self.cost(words, len(ids)) <= self.most_words:
+            self.add(words, ids, sizes, first, last)
 
     @staticmethod
-    def cost(words: list[bytes], said: list[str], spelled: list[str]) -> int:
-        return sum(map(len, words)) + sum(map(len, said)) + sum(map(len, spelled)) + ENTRY_BYTES * len(words)
+    def cost(words: list[bytes], n_ids: int) -> int:
+        return sum(map(len, words)) + 4 * n_ids + WORD_ENTRY_BYTES * len(words)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word. Many words make one text, as a call costs more than a word."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has. Many words make one text, as a call costs more than a word."""
         if self.fence is None or any(self.fence[1][:2] in w for w in words):
-            return self.encode(words)
-        out: list[list[int]] = []
-        for at in range(0, len(words), TOGETHER):
-            some = words[at : at + TOGETHER]
-            ids = self.tokenizer.encode(self.fence[1].join(some), add_special_tokens=False).ids
-            ends = [*np.flatnonzero(np.array(ids) == self.fence[0]).tolist(), len(ids)]
-            out += [ids[a:b] for a, b in zip([0, *[e + 1 for e in ends]], ends, strict=False)]
-        return out
-
-    def plain(self, ids: list[int]) -> tuple[int, str, str]:
-        """Number of tokens, ids as text and what decode() makes of them, special tokens included."""
-        return len(ids), " ".join(map(self.digits.__getitem__, ids)), " ".join(map(self.names.__getitem__, ids))
+            coded = self.encode(words)
+            return flat(coded), np.array([len(ids) for ids in coded], np.int32)
+        fence = self.fence[1]
+        coded = self.encode([fence.join(words[at : at + TOGETHER]) + fence for at in range(0, len(words), TOGETHER)])
+        ids = flat(coded)
+        ends = np.flatnonzero(ids == self.fence[0])
+        return ids[ids != self.fence[0]], (np.diff(ends, prepend=-1) - 1).astype(np.int32)
+
+    def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        """Append words to the store."""
+        base, end, n = len(self.words), len(self.words) + len(words), self.n_ids + len(ids)
+        if n > len(self.ids):
+            self.ids = np.resize(self.ids, n + n // 2)
+        if end > len(self.sizes):
+            self.places, self.sizes, self.first, self.last, self.again = (np.resize(x, end + end // 2) for x in (self.places, self.sizes, self.first, self.last, self.again))
+        self.ids[self.n_ids : n] = ids
+        self.places[base:end] = self.n_ids + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.sizes[base:end], self.first[base:end], self.last[base:end], self.again[base:end] = sizes, first, last, False
+        self.words.update(zip(words, range(base, end), strict=True))
+        self.n_ids = n
+        self.word_bytes += self.cost(words, len(ids))
 
     def learn(self, fresh: list[bytes]) -> None:
         """Store new words."""
-        texts = [w.decode() for w in fresh]
-        base, number = len(self.said), self.characters
-        if base + len(fresh) > len(self.sizes):
-            self.sizes, self.first, self.last, self.again = (np.resize(x, 2 * (base + len(fresh))) for x in (self.sizes, self.first, self.last, self.again))
-        place = slice(base, base + len(fresh))
-        coded = self.encode_words(texts)
-        digits, names = self.digits.__getitem__, self.names.__getitem__
-        self.said += [" ".join(map(digits, ids)) for ids in coded]
-        self.spelled += [" ".join(map(names, ids)) for ids in coded]
-        self.sizes[place] = [len(ids) for ids in coded]
-        self.first[place] = [number.setdefault(t[0], len(number)) for t in texts]
-        self.last[place] = [number.setdefault(t[-1], len(number)) for t in texts]
-        self.again[place] = False
-        self.words.update(zip(fresh, range(base, base + len(fresh)), strict=True))
-        self.word_bytes += self.cost(fresh, self.said[base:], self.spelled[base:])
+        texts, number = b"\n".join(fresh).decode().split("\n"), self.characters
+        first, last = ([number.setdefault(t[k], len(number)) for t in texts] for k in (0, -1))
+        self.add(fresh, *self.encode_words(texts), first, last)
+
+    def spread(self, index: np.ndarray) -> np.ndarray:
+        """The ids of the words of these numbers, one after the other."""
+        sizes = self.sizes[index]
+        before = np.cumsum(sizes, dtype=np.int64) - sizes
+        return self.ids[np.repeat(self.places[index] - before, sizes) + np.arange(sizes.sum(dtype=np.int64))]
 
     def agree(self, last: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Whether pieces that meet at these characters encode together as they do apart, whatever the white space."""
@@ -213,49 +237,50 @@ class ChunkCoder:
         inner, number = text.strip(" \t\n\x0b\x0c\r"), self.characters
         if not inner:
             return ()
-        return (*self.plain(self.encode([text])[0]), number.setdefault(inner[0], len(number)), number.setdefault(inner[-1], len(number)))
+        return flat(self.encode([text])), number.setdefault(inner[0], len(number)), number.setdefault(inner[-1], len(number))
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each word in the store, where new ones are put first."""
+        coded = words.dictionary_encode()
+        distinct, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), len(self.words)
+        at = list(map(self.words.get, distinct))
+        if fresh := [w for w, k in zip(distinct, at, strict=True) if k is None]:
+            self.learn(fresh)
+            at = list(map(self.words.__getitem__, distinct))
+        at = np.array(at, np.int64)
+        self.again[at[at < known]] = True
+        return at[coded.indices.to_numpy()]
 
     def chunks(self, parts: list[bytes]) -> dict[bytes, tuple]:
-        """Codes of new chunks: tokens, ids as text, decoded text, first and last character; () without words."""
+        """Codes of new chunks: ids, first and last character; () without words."""
         if not parts:
             return {}
-        split = [p.split() for p in parts]
-        flat = [w for ws in split for w in ws]
-        known = len(self.said)
-        if fresh := [w for w in dict.fromkeys(flat) if w not in self.words]:
-            self.learn(fresh)
-        at = list(map(self.words.__getitem__, flat))
-        index = np.array(at, np.int64)
-        self.again[index[index < known]] = True
-        n, first, last = self.sizes[index], self.first[index], self.last[index]
-        ends = np.cumsum([len(ws) for ws in split], dtype=np.int64)
+        words, ends = split_words(parts)
+        index = self.numbers(words)
+        first, last = self.first[index].astype(np.int64), self.last[index].astype(np.int64)
         inner = np.ones(max(len(index) - 1, 0), bool)
         inner[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(index))] - 1] = False  # where two chunks stand beside one another
         bad = np.zeros(len(index) + 1, np.int64)
         if inner.any():
             bad[1:-1][inner] = ~self.agree(last[:-1][inner], first[1:][inner])
-        bad, total, empty = np.cumsum(bad), np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n == 0)])
-        said, spelled = self.said.__getitem__, self.spelled.__getitem__
+        ids, total = self.spread(index), np.concatenate([[0], np.cumsum(self.sizes[index], dtype=np.int64)])
+        starts = np.concatenate([[0], ends[:-1]])
+        bad = np.cumsum(bad)
+        broken = bad[np.maximum(ends - 1, 0)] > bad[starts]
+        first, last = np.append(first, 0)[starts], np.append(last, 0)[ends - 1]
         out: dict[bytes, tuple] = {}
-        lo = 0
-        for p, hi in zip(parts, ends.tolist(), strict=True):
+        for p, lo, hi, again, a, b, x, y in zip(parts, *(v.tolist() for v in (starts, ends, broken, total[starts], total[ends], first, last)), strict=True):
             if hi == lo:
                 out[p] = ()
-            elif bad[hi - 1] > bad[lo]:
-                out[p] = self.whole(p)
             else:
-                own = at[lo:hi]
-                if empty[hi] > empty[lo]:
-                    own = [i for i in own if self.sizes[i]]
-                out[p] = (int(total[hi] - total[lo]), " ".join(map(said, own)), " ".join(map(spelled, own)), int(first[lo]), int(last[hi - 1]))
-            lo = hi
+                out[p] = self.whole(p) if again else (ids[a:b], x, y)
         return out
 
-    def code_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of tokens, ids as text and decoded text of each text."""
+    def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where those of each end."""
         if not self.by_words:
-            coded = [self.plain(i) for i in self.encode([t.encode("utf-8", "replace").decode() for t in texts])]
-            return [(n, ids, names if self.spaced else self.decode(ids)) for n, ids, names in coded]
+            coded = self.encode([t.encode("utf-8", "replace").decode() for t in texts])
+            return flat(coded), np.cumsum([len(ids) for ids in coded], dtype=np.int64)
         datas = [t.encode("utf-8", "replace") for t in texts]
         if self.lowers:
             low = [d.lower() for d in datas]  # A-Z only
@@ -268,28 +293,39 @@ class ChunkCoder:
             parts.append([data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
             at += len(data) + 1
         made = self.chunks(list(dict.fromkeys(p for own in parts for p in own if p not in self.store)))
-        out = []
-        for text, own in zip(texts, parts, strict=True):
-            pieces = [made[p] if p in made else self.store[p] for p in own]
-            inked = [k for k, p in enumerate(pieces) if p]
-            if len(inked) > 1:
-                ok = self.agree(np.array([pieces[k][4] for k in inked[:-1]]), np.array([pieces[k][3] for k in inked[1:]]))
-                if not ok.all():
-                    pieces = self.repaired(own, pieces, [(inked[k], inked[k + 1]) for k in np.flatnonzero(~ok).tolist()])
-            some = [p for p in pieces if p and p[0]]
-            ids = " ".join([p[1] for p in some])
-            out.append((sum(p[0] for p in some), ids, " ".join([p[2] for p in some]) if self.spaced else self.decode(ids)))
+        pieces = [[made[p] if p in made else self.store[p] for p in own] for own in parts]
+        inked = [[k for k, p in enumerate(own) if p] for own in pieces]
+        meets = [(d, a, b) for d, own in enumerate(inked) for a, b in zip(own, own[1:], strict=False)]
+        if meets:
+            ok = self.agree(np.array([pieces[d][a][2] for d, a, _ in meets]), np.array([pieces[d][b][1] for d, _, b in meets]))
+            apart: dict[int, list[tuple[int, int]]] = {}
+            for d, a, b in (meets[k] for k in np.flatnonzero(~ok).tolist()):
+                apart.setdefault(d, []).append((a, b))
+            for d, joins in apart.items():
+                pieces[d] = self.repaired(parts[d], pieces[d], joins)
+        ids = flat([p[0] for own in pieces for p in own if p])
         self.remember(made)
-        return out
+        return ids, np.cumsum([sum(len(p[0]) for p in own if p) for own in pieces], dtype=np.int64)
+
+    def code_parts(self, texts: list[str]) -> tuple[list[int], list, list]:
+        """Number of tokens, ids as text and decoded text of each text, both in UTF-8."""
+        ids, ends = self.code(texts)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        if self.spaced:
+            decoded = spelled(self.names, ids, starts, ends)
+        else:
+            decoded = [self.tokenizer.decode(ids[a:b].tolist(), skip_special_tokens=False).encode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return (ends - starts).tolist(), spelled(self.digits, ids, starts, ends), decoded
 
-    def decode(self, ids: str) -> str:
-        return self.tokenizer.decode([int(i) for i in ids.split()], skip_special_tokens=False)
+    def code_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Number of tokens, ids as text and decoded text of each text."""
+        return [(n, str(a, "utf-8"), str(b, "utf-8")) for n, a, b in zip(*self.code_parts(texts), strict=True)]
 
     def remember(self, made: dict[bytes, tuple]) -> None:
         """Store new chunks; full stores start anew."""
-        short = {p: v for p, v in made.items() if len(p) <= MOST_BYTES}
+        short = {p: v and (v[0].copy(), *v[1:]) for p, v in made.items() if len(p) <= MOST_BYTES}
         self.store.update(short)
-        self.stored += sum(len(p) + (len(v[1]) + len(v[2]) if v else 0) + ENTRY_BYTES for p, v in short.items())
+        self.stored += sum(len(p) + (4 * len(v[0]) if v else 0) + ENTRY_BYTES for p, v in short.items())
         if self.stored > self.most:
             self.store, self.stored = {}, 0
         if self.word_bytes > self.most_words:
@@ -313,8 +349,8 @@ class ChunkCoder:
                     lo = windows.pop()[0]
                     continue
                 mine = self.whole(b"".join(parts[lo:hi]))
-                apart = " ".join(p[1] for p in (*pieces[left:lo], mine, *pieces[hi:right]) if p and p[0])
-                if (left, right) == (lo, hi) or self.whole(b"".join(parts[left:right]))[1] == apart:
+                apart = flat([p[0] for p in (*pieces[left:lo], mine, *pieces[hi:right]) if p])
+                if (left, right) == (lo, hi) or np.array_equal(self.whole(b"".join(parts[left:right]))[0], apart):
                     break
                 lo, hi = left, right
             windows.append((lo, hi, mine))
@@ -368,10 +404,9 @@ def _coder(path: str, n_keep: int, digests: bool):
         names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("n_tokens", "ids", "decoded")
         for batch in batches:
             for piece in pieces_of(batch, n_keep, PIECE_ROWS, PIECE_BYTES):
-                out = coder.code_batch([t or "" for t in piece.column(n_keep).to_pylist()])
-                if digests:
-                    out = [(n, hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest()) for n, a, b in out]
-                new = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]
+                n, *made = coder.code_parts([t or "" for t in piece.column(n_keep).to_pylist()])
+                say = (lambda x: hashlib.sha256(x).hexdigest()) if digests else (lambda x: str(x, "utf-8"))
+                new = [pa.array(n, pa.int64()), *[pa.array(list(map(say, x)), pa.string()) for x in made]]
                 yield pa.RecordBatch.from_arrays([*[piece.column(k) for k in range(n_keep)], *new], names=[*piece.schema.names[:n_keep], *names])
 
     return run

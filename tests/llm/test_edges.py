@@ -242,6 +242,23 @@ def test_bpe_repairs_joins_that_do_not_agree(monkeypatch):
     assert len(repairs) > 20
 
 
+def test_bpe_store_holds_its_bytes_of_words():
+    """A word costs the store its ids, not two texts of them: what fits is learned once; what does not is still right."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    tok.no_truncation()
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(5_000)]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, 5_000, 50)] + ["\u200b x \ufffd\x00 \x85 y", "", " \n "]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [(len(ids), " ".join(map(str, ids)), tok.decode(ids, skip_special_tokens=False)) for ids in want]
+    for size, all_fit in ((1_400_000, True), (300_000, False)):
+        coder = bpe.ChunkCoder(queries.tokenizer_path(), store=10_000, words=size)
+        for _ in range(2):
+            assert [x for k in range(0, len(texts), 10) for x in coder.code_batch(texts[k : k + 10])] == want
+        assert (len(coder.words) > 5_000) == all_fit
+
+
 def test_language(odd, none):
     got = by_id(langid.identify(odd))
     assert [r.lang_pred for r in got[3] + got[4] + got[5] + got[8]] == ["und"] * 4
