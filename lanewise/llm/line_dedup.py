@@ -30,17 +30,23 @@ DOCUMENTS = 2
 NO_ID = 2**63 - 1
 
 
-def _let(value: Column, body) -> Column:
-    """Bind ``value`` once for ``body``: neither a pushed-down filter nor a merged projection computes it again."""
-    return F.transform(F.array(value), body)[0]
+def _masked(line: Column) -> Column:
+    """A line whose tokens with digits are variable fields. Only lines with a digit see the pattern, which starts at token starts."""
+    masked = F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*", "<*>")
+    return F.when(line.rlike("[0-9]"), masked).otherwise(line)
+
+
+def _spaced(line: Column) -> Column:
+    """A line with spaces for all white space; only lines with other white space are written anew."""
+    other = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r")
+    return F.when(other, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
 
 
 def _tokens(line: Column) -> Column:
-    """Tokens of a line; those with digits are variable fields. Only lines with a digit see the pattern, which starts at token starts."""
-    masked = F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*", "<*>")
-    plain = F.when(line.rlike("[0-9]"), masked).otherwise(line)
-    spaced = lambda p: F.when(p.rlike(r"[\x09\x0B-\x0D]"), F.translate(p, "\t\x0b\x0c\r", "    ")).otherwise(p)
-    return F.array_remove(F.split(_let(plain, spaced), " ", -1), "")
+    """What spaces part; only some lines have empty tokens to remove."""
+    tokens = F.split(line, " ", -1)
+    gaps = (line == "") | line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    return F.when(gaps, F.array_remove(tokens, "")).otherwise(tokens)
 
 
 def _keys(docs: DataFrame) -> list[Column]:
@@ -54,37 +60,35 @@ def _leaf(*parts: Column) -> Column:
     return F.struct(F.xxhash64(*parts).alias("leaf"), F.hash(*parts).alias("more"))
 
 
-def _leaves(tokens: Column, line: Column, leading: int, parts: int, least: int) -> Column:
-    """The leaves in which a line stands, one for each open stretch. Lines that are too short or of which less
-    than half is constant have the leaf of their exact text; blank lines have none."""
-    none = F.array().cast("array<struct<leaf:bigint,more:int>>")
-
-    def stretches(t: Column) -> Column:
-        n = F.size(t)
-        width = F.ceil((n - leading) / F.lit(parts)).cast("int")
-        cut = lambda k: F.when(F.lit(leading) + width * k < n, F.xxhash64(F.slice(t, F.lit(leading + 1) + width * k, width))).otherwise(F.lit(0).cast("long"))
-        fixed = F.xxhash64(n, F.slice(t, 1, leading))
-        # the tokens are hashed once, by stretch; lines with one whole template share the leaf of each stretch, so that neither the
-        # whole template nor an empty stretch needs a leaf of its own
-        filled = F.when(width > 0, F.ceil((n - leading) / width)).otherwise(1).cast("int")
-        several = _let(
-            F.array(fixed, *[cut(k) for k in range(parts)]),
-            lambda h: F.array(*[_leaf(h[0], F.lit(k), *[h[j + 1] for j in range(parts) if j != k]) for k in range(parts)]),
-        )
-        several = F.slice(several, 1, filled)
-        constant = F.size(F.array_remove(t, "<*>"))
-        solid = (n >= least) & (constant * 2 >= n)
-        opens = (width * 4 <= n) & ((constant - width) * 2 >= n)
-        alone = F.array(_leaf(F.lit(-2), line))
-        return F.when(n == 0, none).when(~solid, alone).when(opens, several).otherwise(F.array(_leaf(n, F.lit(-1), t)))
-
-    return _let(tokens, stretches)
-
-
 def line_leaves(docs: DataFrame, leading: int = LEADING, parts: int = PARTS, least: int = LEAST_TOKENS) -> DataFrame:
-    """``id, rid, pos, leaf, more``: the leaves of every line that is not blank. ``rid`` tells rows with one id apart."""
+    """``id, rid, pos, leaf, more``: the leaves of every line that is not blank, one for each open stretch. ``rid`` tells rows with one
+    id apart. Lines that are too short or of which less than half is constant have the leaf of their exact text.
+
+    What a step reads more than once is a projection before it, so that generated code computes it once.
+    """
+    t, n, constant, width, form = (F.col(c) for c in ("t", "n", "constant", "width", "form"))
+    names = ["id", "rid", "pos", "line"]
     lines = docs.where("text is not null").select(*_keys(docs), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return lines.select("id", "rid", "pos", F.inline(_leaves(_tokens(F.col("line")), F.col("line"), leading, parts, least)))
+    lines = lines.select(*names, _masked(F.col("line")).alias("masked"))
+    lines = lines.select(*names, _spaced(F.col("masked")).alias("plain"))
+    lines = lines.select(*names, "plain", _tokens(F.col("plain")).alias("t"))
+    fixed = F.when(F.col("plain").contains("<*>"), F.size(F.array_remove(t, "<*>"))).otherwise(F.size(t))
+    lines = lines.select(*names, "t", F.size(t).alias("n"), fixed.alias("constant"))
+    lines = lines.select(*names, "t", "n", "constant", F.ceil((n - leading) / F.lit(parts)).cast("int").alias("width"))
+    solid = (n >= least) & (constant * 2 >= n)
+    opens = (width * 4 <= n) & ((constant - width) * 2 >= n)
+    # forms: blank, exact text alone, open stretches, whole template
+    lines = lines.select(*names, "t", "n", "width", F.when(n == 0, 0).when(~solid, 1).when(opens, 2).otherwise(3).alias("form"))
+    # the tokens are hashed once, by stretch; lines with one whole template share the leaf of each stretch, so that neither the
+    # whole template nor an empty stretch needs a leaf of its own
+    cut = lambda k: F.when((form == 2) & (F.lit(leading) + width * k < n), F.xxhash64(F.slice(t, F.lit(leading + 1) + width * k, width))).otherwise(F.lit(0).cast("long"))
+    head = F.when(form == 2, F.xxhash64(n, F.slice(t, 1, leading)))
+    lines = lines.select(*names, "t", "n", "width", "form", head.alias("head"), *[cut(k).alias(f"part{k}") for k in range(parts)])
+    several = F.array(*[_leaf(F.col("head"), F.lit(k), *[F.col(f"part{j}") for j in range(parts) if j != k]) for k in range(parts)])
+    filled = F.when(width > 0, F.ceil((n - leading) / width)).otherwise(1).cast("int")
+    none = F.array().cast("array<struct<leaf:bigint,more:int>>")
+    leaves = F.when(form == 2, F.slice(several, 1, filled)).when(form == 3, F.array(_leaf(n, F.lit(-1), t))).when(form == 1, F.array(_leaf(F.lit(-2), F.col("line")))).otherwise(none)
+    return lines.select("id", "rid", "pos", F.inline(leaves))
 
 
 def recurring_lines(docs: DataFrame, documents: int = DOCUMENTS, **tree) -> DataFrame:

@@ -129,6 +129,20 @@ def test_line_dedup_by_least_number_of_documents(spark):
     assert sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(table, documents=4).collect()) == sorted(rows)
 
 
+def test_line_leaves_in_generated_code(spark):
+    """Leaves are made by projections, not by functions over arrays, which Spark interprets; odd white space and fields stay as they were."""
+    same = [["a b c d e f g h"], ["a\tb c\x0bd e\rf  g h ", "  a b\x0cc d e f g h"], ["a b c d e f g <*>", "a b c d e f g 1"], ["x", " x"], ["<*> 1 2 w"], ["", " \t "]]
+    rows = [(100 * g + k, t) for g, texts in enumerate(same) for k, t in enumerate(texts)]
+    leaves = line_dedup.line_leaves(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "lambda" not in leaves._jdf.queryExecution().toString()
+    got = {}
+    for r in leaves.collect():
+        got.setdefault(r.id, set()).add((r.leaf, r.more))
+    assert {i: len(x) for i, x in got.items()} == {0: 3, 100: 3, 101: 3, 200: 3, 201: 3, 300: 1, 301: 1, 400: 1}
+    assert got[0] == got[100] == got[101] and got[200] == got[201]
+    assert len(got[0] & got[200]) == 1 and got[300] != got[301]
+
+
 def test_bpe_gives_whole_texts_to_tokenizers_that_look_around(spark, monkeypatch, tmp_path):
     words, bytes_ = queries.tokenizer_path(), queries.tokenizer_path("byte_bpe_50k.json")
     assert bpe.ChunkCoder(words).by_words and not bpe.ChunkCoder(bytes_).by_words
