@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lanewise.constants import METRES_PER_DEGREE
+from lanewise.functions.geo import let
 
 from . import intervals, windows
 
@@ -110,24 +111,31 @@ def insert_nodes(roads: DataFrame, missing: DataFrame, places: DataFrame) -> Dat
     """
     known = roads.select("rid", F.posexplode("nodes").alias("k", "node")).join(places, "node")
     extra = missing.join(places, "node").select("rid", F.lit(-1).alias("k"), "node", "x", "y")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        road = pdf[pdf.k >= 0].sort_values("k")[["node", "x", "y"]].values.tolist()
-        for node, x, y in pdf[pdf.k < 0].sort_values("node")[["node", "x", "y"]].values.tolist():
-            best = None
-            for i in range(len(road) - 1):
-                (_, ax, ay), (_, bx, by) = road[i], road[i + 1]
-                n = (bx - ax) ** 2 + (by - ay) ** 2
-                t = ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n if n else 1.0
-                u = min(1.0, max(0.0, t))
-                d = (x - ax - u * (bx - ax)) ** 2 + (y - ay - u * (by - ay)) ** 2
-                if best is None or d < best[0]:
-                    best = (d, i, t)
-            place = 1 if best is None else 0 if best[1] == 0 and best[2] < 0 else best[1] + 2 if best[1] == len(road) - 2 and best[2] > 1 else best[1] + 1
-            road.insert(place, [node, x, y])
-        return pd.DataFrame({"rid": [pdf.rid.iloc[0]], "nodes": [[int(r[0]) for r in road]]})
-
-    return known.select("rid", "k", "node", "x", "y").unionByName(extra).groupBy("rid").applyInPandas(run, "rid long, nodes array<long>")
+    item = F.struct("k", "node", "x", "y")
+    lists = known.select("rid", "k", "node", "x", "y").unionByName(extra).groupBy("rid").agg(
+        F.array_sort(F.collect_list(F.when(F.col("k") >= 0, item))).alias("road"), F.array_sort(F.collect_list(F.when(F.col("k") < 0, item))).alias("extra")
+    )
+
+    def foot(p: Column, a: Column, b: Column, i: Column) -> Column:
+        """Squared distance of a place to a chord, the chord's number and where its foot lies along it."""
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        n = dx * dx + dy * dy
+        t = F.when(n != 0, ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / n).otherwise(F.lit(1.0))
+        u = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+        ex, ey = p["x"] - a["x"] - u * dx, p["y"] - a["y"] - u * dy
+        return F.struct((ex * ex + ey * ey).alias("d"), i.alias("i"), t.alias("t"))
+
+    def insert(road: Column, p: Column) -> Column:
+        feet = F.transform(F.sequence(F.lit(0), F.size(road) - 2), lambda i: foot(p, F.get(road, i), F.get(road, i + 1), i))
+        best = F.when(F.size(road) > 1, F.array_min(feet))
+
+        def put(b: Column) -> Column:
+            place = F.when(b.isNull(), 1).when((b["i"] == 0) & (b["t"] < 0), 0).when((b["i"] == F.size(road) - 2) & (b["t"] > 1), b["i"] + 2).otherwise(b["i"] + 1)
+            return let(place, lambda k: F.concat(F.slice(road, F.lit(1), k), F.array(p), F.slice(road, k + 1, F.size(road))))
+
+        return let(best, put)
+
+    return lists.select("rid", F.transform(F.aggregate("extra", F.col("road"), insert), lambda x: x["node"]).alias("nodes"))
 
 
 def resolve_cluster(cluster: Column, order: Column) -> Column:

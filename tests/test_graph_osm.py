@@ -208,6 +208,15 @@ def test_missing_nodes_are_placed(spark):
     assert simulation.insert_nodes(roads, missing, places).first().nodes == [6, 1, 2, 4, 3, 5]
 
 
+def test_missing_nodes_of_many_roads_need_no_python_group_each(spark):
+    places = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 0.0), (3, 20.0, 0.0), (4, 14.0, 1.0), (5, 5.0, 2.0), (6, 0.0, 0.0)], "node long, x double, y double")
+    roads = spark.createDataFrame([(1, [1, 2, 3]), (2, [1]), (3, [99]), (4, [1, 6, 2]), (5, [3, 2, 1])], "rid long, nodes array<long>")
+    missing = spark.createDataFrame([(1, 4), (1, 5), (2, 3), (2, 2), (3, 2), (3, 1), (4, 5), (5, 98)], "rid long, node long")
+    found = simulation.insert_nodes(roads, missing, places)
+    assert {r.rid: r.nodes for r in found.collect()} == {1: [1, 5, 2, 4, 3], 2: [1, 2, 3], 3: [1, 2], 4: [1, 6, 5, 2], 5: [3, 2, 1]}
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nested_text_and_roads(spark):
     text = "[{'ID': 'r1', 'IsCurrent': 1, 'Panos': [{'PID': 'b', 'Order': 2, 'DIR': 10, 'X': 5, 'Y': 6, 'Type': None}, {'PID': 'a', 'Order': 1, 'DIR': 20, 'X': 3, 'Y': 4, 'Type': 'street'}]}, {'ID': 'r2', 'IsCurrent': 0, 'Panos': []}]"
     links = "[{'PID': 'z', 'RID': 'r9', 'X': 9, 'Y': 9, 'DIR': 0}]"
