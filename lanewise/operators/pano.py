@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,33 +98,50 @@ def _chains(threshold: float):
         pdf = pdf.sort_values(["rid", "src", "dst"])
         ahead: dict = {}
         behind: dict = {}
+        pairs: dict = {}
+        pair = lambda r: pairs.setdefault((r.src, r.dst) if r.src < r.dst else (r.dst, r.src), len(pairs))
         for r in pdf.sort_values(["link", "similarity", "rid"], ascending=[True, False, True]).itertuples():
-            ahead.setdefault(r.src, []).append((r.dst, r.rid, r.link, r.similarity))
+            if not r.similarity < threshold:
+                ahead.setdefault(r.src, []).append((r.dst, r.rid, r.link, pair(r)))
         for r in pdf.sort_values(["link", "similarity_back", "rid"], ascending=[True, False, True]).itertuples():
-            behind.setdefault(r.dst, []).append((r.src, r.rid, r.link, r.similarity_back))
+            if not r.similarity_back < threshold:
+                behind.setdefault(r.dst, []).append((r.src, r.rid, r.link, pair(r)))
         seen: set = set()
-
-        def walk(pid, table) -> list:
-            out, steps = [], set()
-            while True:
-                for other, rid, link, sim in table.get(pid, ()):
-                    if sim < threshold or (not link and rid in seen) or (other, pid) in steps or (pid, other) in steps:
+        taken, walks = [0] * len(pairs), count(1)
+        roads = [{rid for near in table.values() for _, rid, link, _ in near if not link} for table in (ahead, behind)]
+
+        def see(rid) -> None:
+            seen.add(rid)
+            for left in roads:
+                left.discard(rid)
+
+        def walk(pid, table, left: set) -> list:
+            # what a walk passes over at a node it never takes later: back there it goes on behind that, and does not meet the same neighbours again;
+            # once all roads that it could take are seen, it only follows links, which leave no trace
+            out, rest, number = [], {}, next(walks)
+            while left:
+                near = rest.get(pid)
+                if near is None:
+                    near = rest[pid] = iter(table.get(pid, ()))
+                for other, rid, link, own in near:
+                    if taken[own] == number or (not link and rid in seen):
                         continue
-                    steps.add((pid, other))
+                    taken[own] = number
                     if not link:
-                        seen.add(rid)
+                        see(rid)
                         out.append(rid)
                     pid = other
                     break
                 else:
-                    return out
+                    break
+            return out
 
         rows = []
         for r in pdf[~pdf.link & (pdf.src != pdf.dst)].drop_duplicates("rid").itertuples():
             if r.rid in seen:
                 continue
-            seen.add(r.rid)
-            chain = [*reversed(walk(r.src, behind)), r.rid, *walk(r.dst, ahead)]
+            see(r.rid)
+            chain = [*reversed(walk(r.src, behind, roads[1])), r.rid, *walk(r.dst, ahead, roads[0])]
             rows += [(chain[0], k, rid) for k, rid in enumerate(chain)]
         return pd.DataFrame(rows, columns=["root", "seq", "rid"])
 

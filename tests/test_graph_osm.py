@@ -3,8 +3,10 @@
 import math
 import random
 import struct
+import time
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,6 +275,49 @@ def test_trajectories(spark):
     assert t == {"r1": ("r1;r2", 2, 4, 4), "r3": ("r3", 1, 2, 2)}
 
 
+def _plain_chains(pdf, threshold):
+    """Greedy chains as the rule has them: every neighbour is looked at again at each step."""
+    rows = pdf.sort_values(["rid", "src", "dst"])
+    order = lambda c, end: {n: list(g[["src", "dst", "rid", "link", c]].itertuples(index=False, name=None)) for n, g in rows.sort_values(["link", c, "rid"], ascending=[True, False, True]).groupby(end)}
+    ahead, behind, seen, out = order("similarity", "src"), order("similarity_back", "dst"), set(), []
+
+    def walk(pid, table, side):
+        found, steps = [], set()
+        while True:
+            for row in table.get(pid, ()):
+                other, rid, link, sim = row[side], *row[2:]
+                if sim < threshold or (not link and rid in seen) or (other, pid) in steps or (pid, other) in steps:
+                    continue
+                steps.add((pid, other))
+                if not link:
+                    seen.add(rid)
+                    found.append(rid)
+                pid = other
+                break
+            else:
+                return found
+
+    for r in rows[~rows.link & (rows.src != rows.dst)].drop_duplicates("rid").itertuples():
+        if r.rid not in seen:
+            seen.add(r.rid)
+            chain = [*reversed(walk(r.src, behind, 0)), r.rid, *walk(r.dst, ahead, 1)]
+            out += [(chain[0], k, rid) for k, rid in enumerate(chain)]
+    return out
+
+
+def test_chains_of_a_dense_component_do_not_look_at_everything_again():
+    rng = random.Random(4)
+    pairs = sorted({(a, b) for a in range(120) for b in rng.sample(range(120), 40) if a != b})
+    rows = [(a * 1000 + b, a, b, rng.random() > 0.08, rng.random() + 0.25, rng.random() + 0.25) for a, b in pairs]
+    pdf = pd.DataFrame(rows, columns=["rid", "src", "dst", "link", "similarity", "similarity_back"])
+    began = time.perf_counter()
+    want = _plain_chains(pdf, 0.7)
+    middle = time.perf_counter()
+    got = pano._chains(0.7)(pdf)
+    assert list(got.itertuples(index=False, name=None)) == want
+    assert time.perf_counter() - middle < (middle - began) / 3
+
+
 def test_lane_filter_and_mode(spark):
     rows = [(1, k, v) for k, v in enumerate([3, 3, 3, 9, 3, 0, None])] + [(2, 0, 2), (3, 0, 4), (3, 1, 4)]
     points = spark.createDataFrame(rows, "eid long, ofs int, lane_num int")
