@@ -571,6 +571,23 @@ def test_main_roads_of_a_large_group_as_by_the_plain_rule(spark):
     assert time.perf_counter() - middle < (middle - began) / 2
 
 
+def test_combined_links_are_written_once_before_and_once_after(spark, monkeypatch):
+    o = spark.range(40).select(F.col("id").alias("o"))
+    nodes = o.select(F.explode(F.expr("sequence(o * 10, o * 10 + 4)")).alias("id")).selectExpr("id", "id / 1000D x", "22D y", "cast(map() as map<string,string>) tags")
+    ways = o.selectExpr("o * 2 + 1 id", "sequence(o * 10 + 2, o * 10 + 4) refs").unionByName(o.selectExpr("o * 2 id", "sequence(o * 10, o * 10 + 2) refs"))
+    ways = ways.withColumn("tags", F.expr("map('highway', 'primary', 'oneway', 'yes', 'lanes', cast(id % 2 + 1 as string))"))
+    written = []
+    cut = graph.cut
+    for module in (graph, filters):
+        monkeypatch.setattr(module, "cut", lambda df: (written.append(df.columns), cut(df))[1])
+    net = osm.build_network(nodes, ways, combine=True)
+    got = {(r.members, r.n_members, tuple(r.lane_list), len(r.coords)) for r in net.links.collect()}
+    assert got == {(f"{2 * k};{2 * k + 1}", 2, (1, 2), 5) for k in range(40)} and net.segments.count() == 40
+    assert [r.link_id for r in net.links.orderBy("way").collect()] == list(range(40))
+    # as made, combined, and with their places in order
+    assert sum("coords" in c for c in written) == 3
+
+
 def test_lookups_and_overlap(spark):
     stored = spark.createDataFrame([("a", 1)], "ID string, X long")
     have, lack = pano.look_up(spark.createDataFrame([("a",), ("b",), ("b",)], "PID string"), stored)
